@@ -45,7 +45,7 @@ class SketchShape:
         return plan.n_chains * plan.depth * self.hashes * self.width * 8
 
 
-def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
     """Join small Arrow batches; yield the other columns and x as [dim, row]."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -130,7 +130,7 @@ def count_cells(
     def count(batches):
         size = plan.n_chains * plan.depth * shape.hashes
         table = np.zeros((size, shape.width), dtype=np.int64)
-        for _, x in _matrices(batches):
+        for _, x in matrices(batches):
             for c, d, index in _buckets(x, plan, deltas, shape):
                 base = (c * plan.depth + d) * shape.hashes
                 for j, i in enumerate(index):
@@ -157,7 +157,7 @@ class CountMinModel:
     shape: SketchShape
     cells: DataFrame
 
-    def _broadcast(self):
+    def broadcast_values(self):
         """Depth values of all counters; its size is fixed by plan and shape, not by the data."""
         spark = self.cells.sparkSession
         size = self.plan.n_chains * self.plan.depth * self.shape.hashes
@@ -172,11 +172,11 @@ class CountMinModel:
 
     def depth_arrays(self, vectors: DataFrame) -> DataFrame:
         """(row_id, v array): value at every (chain, depth), chain-major."""
-        shared, plan, deltas, shape = self._broadcast(), self.plan, self.deltas, self.shape
+        shared, plan, deltas, shape = self.broadcast_values(), self.plan, self.deltas, self.shape
 
         def values(batches):
             table = shared.value
-            for columns, x in _matrices(batches):
+            for columns, x in matrices(batches):
                 out = np.empty((x.shape[1], plan.n_chains * plan.depth))
                 for c, d, v in _values(x, table, plan, deltas, shape):
                     out[:, c * plan.depth + d] = v
@@ -204,11 +204,11 @@ class CountMinModel:
 
     def score(self, vectors: DataFrame) -> DataFrame:
         """(row_id, score), or one score per stacked ensemble as (row_id, ensemble, score)."""
-        shared, plan, deltas, shape = self._broadcast(), self.plan, self.deltas, self.shape
+        shared, plan, deltas, shape = self.broadcast_values(), self.plan, self.deltas, self.shape
 
         def score(batches):
             table = shared.value
-            for columns, x in _matrices(batches):
+            for columns, x in matrices(batches):
                 total = ensemble_totals(x, table, plan, deltas, shape)
                 yield pa.RecordBatch.from_arrays([columns[0], _list_array(total)], [ID, "s"])
 
