@@ -181,7 +181,7 @@ class CountMinModel:
                 for c, d, v in _values(x, table, plan, deltas, shape):
                     out[:, c * plan.depth + d] = v
                 yield pa.RecordBatch.from_arrays(
-                    [columns[0], _list_array(out)], [ID, "v"]
+                    [columns[0], list_array(out)], [ID, "v"]
                 )
 
         return vectors.select(ID, "x").mapInArrow(values, f"{ID} bigint, v array<double>")
@@ -210,7 +210,7 @@ class CountMinModel:
             table = shared.value
             for columns, x in matrices(batches):
                 total = ensemble_totals(x, table, plan, deltas, shape)
-                yield pa.RecordBatch.from_arrays([columns[0], _list_array(total)], [ID, "s"])
+                yield pa.RecordBatch.from_arrays([columns[0], list_array(total)], [ID, "s"])
 
         scored = vectors.select(ID, "x").mapInArrow(score, f"{ID} bigint, s array<double>")
         if plan.n_ensembles == 1:
@@ -254,7 +254,7 @@ def ensemble_totals(x, table, plan, deltas, shape) -> np.ndarray:
     return total / plan.chains_per_ensemble
 
 
-def _list_array(values: np.ndarray) -> pa.ListArray:
+def list_array(values: np.ndarray) -> pa.ListArray:
     rows, width = values.shape
     offsets = np.arange(0, (rows + 1) * width, width, dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))

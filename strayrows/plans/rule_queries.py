@@ -182,7 +182,7 @@ BASE = [
     f"vals AS MATERIALIZED (SELECT v.* FROM ({LONG_MEMBERS}) v SEMI JOIN focus USING (k, cluster_id, feature))",
     f"fr AS MATERIALIZED ({FEATURE_RANGE})",
     _density_sql("vals"),
-    f"""base AS MATERIALIZED (SELECT *, {AT} AS at FROM (
+    f"""base AS MATERIALIZED (SELECT *, {AT} AS pos FROM (
   SELECT k, cluster_id, feature, 'interval' AS kind, lo, hi, NULL AS value FROM runs UNION ALL
   SELECT k, cluster_id, 'o_orderstatus', 'category', NULL, NULL, o_orderstatus FROM (
     SELECT k, cluster_id, o_orderstatus, row_number() OVER (
@@ -192,13 +192,13 @@ BASE = [
 SEARCH = [
     *BASE,
     "sizes AS (SELECT k, cluster_id, count(*) AS size FROM cl GROUP BY k, cluster_id)",
-    f"""good AS MATERIALIZED (SELECT p.k, p.cluster_id, p.feature, p.kind, p.lo, p.hi, p.value, p.at
+    f"""good AS MATERIALIZED (SELECT p.k, p.cluster_id, p.feature, p.kind, p.lo, p.hi, p.value, p.pos
   FROM base p JOIN cl USING (k, cluster_id) JOIN of r USING (row_id) JOIN sizes USING (k, cluster_id)
-  GROUP BY p.k, p.cluster_id, p.feature, p.kind, p.lo, p.hi, p.value, p.at
+  GROUP BY p.k, p.cluster_id, p.feature, p.kind, p.lo, p.hi, p.value, p.pos
   HAVING count(*) FILTER (WHERE {HOLDS}) >= 0.05 * any_value(size))""",
-    """preds AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k, cluster_id ORDER BY at, cost, lo, hi) - 1 AS pred FROM (
+    """preds AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k, cluster_id ORDER BY pos, cost, lo, hi) - 1 AS pred FROM (
   SELECT *, 1 AS cost FROM good UNION ALL
-  SELECT a.k, a.cluster_id, a.feature, a.kind, a.lo, b.hi, NULL, a.at, 2 FROM good a JOIN good b
+  SELECT a.k, a.cluster_id, a.feature, a.kind, a.lo, b.hi, NULL, a.pos, 2 FROM good a JOIN good b
     ON a.k = b.k AND a.cluster_id = b.cluster_id AND a.feature = b.feature AND a.kind = 'interval' AND a.lo < b.lo))""",
     f"""mask AS MATERIALIZED (SELECT k, cluster_id, m, count(*) FILTER (WHERE own) AS n_out,
     count(*) FILTER (WHERE NOT own) AS n_norm FROM (
@@ -207,10 +207,10 @@ SEARCH = [
   FROM of r LEFT JOIN cl c USING (row_id) JOIN preds p ON c.row_id IS NULL OR (c.k = p.k AND c.cluster_id = p.cluster_id)
   GROUP BY p.k, p.cluster_id, r.row_id) GROUP BY k, cluster_id, m)""",
     """RECURSIVE_rules AS (
-  SELECT k, cluster_id, 1::HUGEINT << pred::INT AS bits, at, cost AS spent, txt FROM named
+  SELECT k, cluster_id, 1::HUGEINT << pred::INT AS bits, pos, cost AS spent, txt FROM named
   UNION ALL
-  SELECT c.k, c.cluster_id, c.bits | (1::HUGEINT << p.pred::INT), p.at, c.spent + p.cost, c.txt || p.txt
-  FROM RECURSIVE_rules c JOIN named p ON p.k = c.k AND p.cluster_id = c.cluster_id AND p.at > c.at AND c.spent + p.cost <= 5)""",
+  SELECT c.k, c.cluster_id, c.bits | (1::HUGEINT << p.pred::INT), p.pos, c.spent + p.cost, c.txt || p.txt
+  FROM RECURSIVE_rules c JOIN named p ON p.k = c.k AND p.cluster_id = c.cluster_id AND p.pos > c.pos AND c.spent + p.cost <= 5)""",
     """scored AS MATERIALIZED (SELECT k, cluster_id, txt AS rule_text, sum(n_out) / any_value(size) AS coverage,
     sum(n_out) / sum(n_out + n_norm) AS purity
   FROM RECURSIVE_rules r JOIN mask USING (k, cluster_id) JOIN sizes USING (k, cluster_id)

@@ -1,0 +1 @@
+"""Counting and scoring rows as they arrive."""
