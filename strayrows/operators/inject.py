@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,19 +69,14 @@ def fit_mixture(
         n = scaled.count()
         best, lowest = None, math.inf
         for k in range(1, max_components + 1):
-            model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(scaled)
-            bic = -2.0 * model.summary.logLikelihood + (3 * k - 1) * math.log(n)
+            parts, log_likelihood = _components(scaled, k, n, seed, max_iter)
+            bic = -2.0 * log_likelihood + (3 * k - 1) * math.log(n)
             if bic < lowest:
                 lowest = bic
-                gaussians = [
-                    (w, g.mean[0], math.sqrt(max(g.cov.toArray()[0][0], 1e-12)))
-                    for w, g in zip(model.weights, model.gaussians)
-                    if w > 1e-12
-                ]
                 best = Mixture(
-                    tuple(w for w, _, _ in gaussians),
-                    tuple(lo + m * (hi - lo) for _, m, _ in gaussians),
-                    tuple(s * (hi - lo) for _, _, s in gaussians),
+                    tuple(w for w, _, _ in parts),
+                    tuple(lo + m * (hi - lo) for _, m, _ in parts),
+                    tuple(s * (hi - lo) for _, _, s in parts),
                     lo,
                     hi,
                 )
@@ -89,6 +84,25 @@ def fit_mixture(
     return Mixture(best.weights, best.means, best.sds, lo, hi, float(least))
 
 
+def _components(
+    scaled: DataFrame, k: int, n: int, seed: int, max_iter: int
+) -> tuple[list[tuple[float, float, float]], float]:
+    """(weight, mean, sd) of k fitted Gaussians and their log likelihood."""
+    if k == 1:
+        x = F.get(vector_to_array("features"), F.lit(0))
+        row = scaled.agg(F.avg(x).alias("m"), F.var_pop(x).alias("v")).first()
+        return [(1.0, row["m"], math.sqrt(row["v"]))], -0.5 * n * (
+            math.log(2 * math.pi * row["v"]) + 1.0
+        )
+    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(scaled)
+    parts = [
+        (w, float(g.mean[0]), math.sqrt(max(float(g.cov.toArray()[0][0]), 1e-12)))
+        for w, g in zip(model.weights, model.gaussians)
+        if w > 1e-12
+    ]
+    return parts, model.summary.logLikelihood
+
+
 def category_shares(df: DataFrame, feature: str) -> DataFrame:
     """(value, share) of a category."""
     counts = df.groupBy(F.col(quote(feature)).cast("string").alias("value")).agg(
