@@ -2,7 +2,9 @@
 
 A chain halves randomly chosen dimensions one depth at a time; a row that falls
 into sparsely filled cells early is unusual. Here a whole ensemble is one table
-job: all chains and depths are group keys, nothing loops over them.
+job: all chains and depths are group keys, nothing loops over them. Rows that
+pass a chain through the same bins share one path; depths are unfolded for
+distinct paths only, so the row-level work is rows x chains.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from strayrows.staging import stage
 
 SCORE_DIGITS = 9
 HOT_PARTS = 64
-BROADCAST_SKETCH_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 class DetectorModel(Protocol):
@@ -82,33 +84,48 @@ class ChainPlan:
             out.append(dict(seen))
         return out
 
-    def cells(self, deltas: Sequence[float]) -> list[dict]:
-        """One record per (chain, depth): its split dimension and the bin terms of its key."""
+    def steps(self, deltas: Sequence[float]) -> list[dict]:
+        """One record per chain: the bin term of every split along it."""
         records = []
         for c in range(self.n_chains):
+            steps = []
             for d, counts in enumerate(self.uses(c)):
-                terms = [
+                k = self.dims[c][d]
+                steps.append(
                     {
                         "dim": k,
-                        "mult": 2.0 ** (m - 1),
+                        "mult": 2.0 ** (counts[k] - 1),
                         "shift": self.shift[c][k] * deltas[k],
                         "delta": deltas[k],
                     }
-                    for k, m in sorted(counts.items())
-                ]
-                records.append(
-                    {"chain": c, "depth": d + 1, "split": self.dims[c][d], "terms": terms}
                 )
+            records.append({"chain": c, "steps": steps})
         return records
 
+    def keys(self) -> list[list[dict]]:
+        """Per chain and depth: its split dimension and which bins of the path form the cell.
 
-CELL_TYPE = (
-    "array<struct<chain:int,depth:int,split:int,"
-    "terms:array<struct<dim:int,mult:double,shift:double,delta:double>>>>"
+        A cell is the latest bin of every dimension split so far, in dimension order.
+        """
+        out = []
+        for row in self.dims:
+            latest: dict[int, int] = {}
+            depths = []
+            for d, k in enumerate(row):
+                latest[k] = d
+                picks = [latest[dim] for dim in sorted(latest)]
+                depths.append({"depth": d + 1, "split": k, "picks": picks})
+            out.append(depths)
+        return out
+
+
+STEPS_TYPE = (
+    "array<struct<chain:int,steps:array<struct<dim:int,mult:double,shift:double,delta:double>>>>"
 )
+KEYS_TYPE = "array<array<struct<depth:int,split:int,picks:array<int>>>>"
 
 
-def literal_table(records: list[dict], ddl: str) -> Column:
+def literal_table(records: list, ddl: str) -> Column:
     """Parameters as one constant array column.
 
     The optimizer folds it to a literal that ships with the task, so exploding
@@ -140,72 +157,90 @@ def half_ranges(bounds: Sequence[tuple[float, float]]) -> list[float]:
     return [1.0 if hi == lo else (hi - lo) / 2.0 for lo, hi in bounds]
 
 
-def bin_rows(vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float]) -> DataFrame:
-    """(row_id, chain, depth, split, bin): the cell of every row at every depth.
+def path_rows(vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float]) -> DataFrame:
+    """(row_id, chain, path): the bins a row passes along every chain.
 
     After m splits of a dimension its coordinate is floor((2^(m-1) x + s) / delta).
-    Dimensions a chain has not split yet are left out of the key.
     """
-    cells = literal_table(plan.cells(deltas), CELL_TYPE)
-    return vectors.select(ID, "x", F.explode(cells).alias("p")).select(
+    chains = literal_table(plan.steps(deltas), STEPS_TYPE)
+    return vectors.select(ID, "x", F.explode(chains).alias("p")).select(
         ID,
         "p.chain",
-        "p.depth",
-        "p.split",
         F.transform(
-            "p.terms",
+            "p.steps",
             lambda t: F.floor((t["mult"] * F.col("x")[t["dim"]] + t["shift"]) / t["delta"]),
-        ).alias("bin"),
+        ).alias("path"),
     )
 
 
+def unfold(paths: DataFrame, plan: ChainPlan, *keep: str) -> DataFrame:
+    """(<keep>, chain, depth, split, bin): the cells of (chain, path) rows at every depth."""
+    keys = literal_table(plan.keys(), KEYS_TYPE)
+    return paths.select(*keep, "chain", "path", F.explode(keys[F.col("chain")]).alias("p")).select(
+        *keep,
+        "chain",
+        "p.depth",
+        "p.split",
+        F.transform("p.picks", lambda i: F.col("path")[i]).alias("bin"),
+    )
+
+
+def bin_rows(vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float]) -> DataFrame:
+    """(row_id, chain, depth, split, bin): the cell of every row at every depth."""
+    return unfold(path_rows(vectors, plan, deltas), plan, ID)
+
+
+def count_paths(paths: DataFrame) -> DataFrame:
+    """(chain, path, cnt): rows that pass a chain alike are counted before the shuffle."""
+    return paths.groupBy("chain", "path").agg(F.count("*").alias("cnt"))
+
+
 def count_bins(binned: DataFrame) -> DataFrame:
-    """(chain, depth, bin, cnt); counts combine before the shuffle, so a full cell is no hot spot."""
+    """(chain, depth, bin, cnt) straight from rows; used where one aggregation must do."""
     return binned.groupBy("chain", "depth", "bin").agg(F.count("*").alias("cnt"))
 
 
+def sketch_of(path_counts: DataFrame, plan: ChainPlan) -> DataFrame:
+    """(chain, depth, bin, cnt, paths): counts per cell from counted paths.
+
+    Depth multiplies only the distinct paths, not the rows.
+    """
+    return (
+        unfold(path_counts, plan, "cnt")
+        .groupBy("chain", "depth", "bin")
+        .agg(F.sum("cnt").alias("cnt"), F.count("*").alias("paths"))
+    )
+
+
 def merge_sketches(*sketches: DataFrame) -> DataFrame:
     """Add up counts of sketches that share one plan and one set of ranges."""
     merged = sketches[0]
     for s in sketches[1:]:
         merged = merged.unionByName(s)
-    return merged.groupBy("chain", "depth", "bin").agg(F.sum("cnt").alias("cnt"))
+    return merged.groupBy("chain", "depth", "bin").agg(
+        F.sum("cnt").alias("cnt"), F.sum("paths").alias("paths")
+    )
 
 
-def look_up(
-    binned: DataFrame, sketch: DataFrame, hot: DataFrame | None, small: bool
-) -> DataFrame:
-    """Count of each row's cell, 0 when the cell was never filled.
+def look_up(df: DataFrame, table: DataFrame, on: list[str], small: bool, hot: DataFrame | None) -> DataFrame:
+    """Left join a table with unique keys.
 
-    A sketch of checked small size is broadcast. Otherwise cells holding more
-    than 1/HOT_PARTS of the rows (`hot`, at most HOT_PARTS per chain and depth)
-    are looked up by broadcast and only the remaining rows are shuffled, so no
-    shuffle key carries a large share of the table.
+    A table of checked small size is broadcast. Otherwise its `hot` rows, those
+    that a large share of `df` would meet and bounded in number, are broadcast
+    and only the remaining rows are shuffled, so no key carries a large share.
     """
-    keys = ["chain", "depth", "bin"]
     if small:
-        joined = binned.join(F.broadcast(sketch), keys, "left")
-    else:
-        hot = F.broadcast(hot)
-        warm = binned.join(hot, keys, "inner")
-        cold = binned.join(hot, keys, "left_anti").join(
-            sketch.hint("shuffle_merge"), keys, "left"
-        )
-        joined = warm.unionByName(cold)
-    return joined.withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+        return df.join(F.broadcast(table), on, "left")
+    hot = F.broadcast(hot)
+    warm = df.join(hot, on, "inner")
+    cold = df.join(hot.select(*on), on, "left_anti").join(table.hint("shuffle_merge"), on, "left")
+    return warm.unionByName(cold)
 
 
 def depth_value(cnt: Column, depth: Column) -> Column:
     return F.log2(F.lit(1.0) + cnt) + depth
 
 
-def chain_minima(counted: DataFrame) -> DataFrame:
-    """(row_id, chain, v): the smallest depth value along each chain."""
-    return counted.groupBy(ID, "chain").agg(
-        F.min(depth_value(F.col("cnt"), F.col("depth"))).alias("v")
-    )
-
-
 def ensemble_scores(minima: DataFrame, plan: ChainPlan) -> DataFrame:
     """(row_id[, ensemble], score): negated mean over chains; higher is more unusual."""
     score = F.round(-F.avg("v"), SCORE_DIGITS).alias("score")
@@ -244,38 +279,70 @@ class ChainModel:
     plan: ChainPlan
     deltas: list[float]
     sketch: DataFrame
-    n_rows: int
-    sketch_rows: int
+    n_cells: int
+    n_paths: int
+    path_counts: DataFrame | None = None
     _hot: DataFrame | None = field(default=None, repr=False)
 
-    @property
-    def small(self) -> bool:
-        return self.sketch_rows <= BROADCAST_SKETCH_ROWS
-
-    def counted(self, vectors: DataFrame) -> DataFrame:
-        binned = bin_rows(vectors, self.plan, self.deltas)
-        if not self.small and self._hot is None:
+    def _count(self, cells: DataFrame) -> DataFrame:
+        """Add cnt to (chain, depth, bin) rows, 0 for a cell that was never filled."""
+        small = self.n_cells <= BROADCAST_ROWS
+        if not small and self._hot is None:
+            # At most HOT_PARTS cells per chain and depth can exceed this share of the paths.
+            share = F.col("paths") * HOT_PARTS * self.plan.n_chains
             self._hot = stage(
-                self.sketch.where(F.col("cnt") * HOT_PARTS > F.lit(self.n_rows)), "hot-cells"
+                self.sketch.where(share > F.lit(self.n_paths)).drop("paths"), "hot-cells"
             )
-        return look_up(binned, self.sketch, self._hot, self.small)
+        joined = look_up(
+            cells, self.sketch.drop("paths"), ["chain", "depth", "bin"], small, self._hot
+        )
+        return joined.withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+
+    def path_values(self, path_counts: DataFrame) -> DataFrame:
+        """(chain, path, cnt, v): the smallest depth value along each distinct path."""
+        cells = self._count(
+            unfold(path_counts.withColumnRenamed("cnt", "n"), self.plan, "path", "n")
+        )
+        return cells.groupBy("chain", "path").agg(
+            F.max("n").alias("cnt"),
+            F.min(depth_value(F.col("cnt"), F.col("depth"))).alias("v"),
+        )
 
-    def score(self, vectors: DataFrame) -> DataFrame:
-        return ensemble_scores(chain_minima(self.counted(vectors)), self.plan)
+    def score(self, vectors: DataFrame, fitted: bool = False) -> DataFrame:
+        """(row_id[, ensemble], score). `fitted` says these are the rows of the fit, whose
+        distinct paths are known already."""
+        paths = path_rows(vectors, self.plan, self.deltas)
+        known = fitted and self.path_counts is not None
+        counts = self.path_counts if known else count_paths(paths)
+        values = stage(self.path_values(counts), "path-values")
+        size = values.agg(F.count("*").alias("n"), F.sum("cnt").alias("rows")).first()
+        small = size["n"] <= BROADCAST_ROWS
+        hot = None
+        if not small:
+            # At most HOT_PARTS paths per chain hold more than this share of the rows.
+            share = F.col("cnt") * HOT_PARTS * self.plan.n_chains
+            hot = stage(values.where(share > F.lit(size["rows"])).drop("cnt"), "hot-paths")
+        minima = look_up(paths, values.drop("cnt"), ["chain", "path"], small, hot)
+        return ensemble_scores(minima, self.plan)
 
     def depth_scores(self, vectors: DataFrame) -> DataFrame:
         """(row_id, chain, depth, split, v) for every depth."""
-        return self.counted(vectors).select(
+        return self._count(bin_rows(vectors, self.plan, self.deltas)).select(
             ID, "chain", "depth", "split", depth_value(F.col("cnt"), F.col("depth")).alias("v")
         )
 
     def update(self, vectors: DataFrame) -> ChainModel:
         """The model after counting further rows; chains and ranges stay as fitted."""
-        more = count_bins(bin_rows(vectors, self.plan, self.deltas))
-        sketch = stage(merge_sketches(self.sketch, more), "sketch")
-        return ChainModel(
-            self.plan, self.deltas, sketch, self.n_rows + vectors.count(), sketch.count()
-        )
+        more = sketch_of(count_paths(path_rows(vectors, self.plan, self.deltas)), self.plan)
+        return _model(self.plan, self.deltas, stage(merge_sketches(self.sketch, more), "sketch"))
+
+
+def _model(
+    plan: ChainPlan, deltas: list[float], sketch: DataFrame, path_counts: DataFrame | None = None
+) -> ChainModel:
+    size = sketch.agg(F.count("*").alias("cells"), F.sum("paths").alias("paths")).first()
+    n_paths = int(size["paths"] or 0) // plan.depth
+    return ChainModel(plan, deltas, sketch, int(size["cells"]), n_paths, path_counts)
 
 
 @dataclass(frozen=True)
@@ -299,9 +366,5 @@ def fit_plan(
     if bounds is None:
         bounds = ranges(vectors, len(plan.shift[0]))
     deltas = half_ranges(bounds)
-    sketch = stage(count_bins(bin_rows(vectors, plan, deltas)), "sketch")
-    sizes = sketch.agg(
-        F.sum(F.when((F.col("chain") == 0) & (F.col("depth") == 1), F.col("cnt"))).alias("rows"),
-        F.count("*").alias("cells"),
-    ).first()
-    return ChainModel(plan, deltas, sketch, int(sizes["rows"] or 0), int(sizes["cells"]))
+    path_counts = stage(count_paths(path_rows(vectors, plan, deltas)), "paths")
+    return _model(plan, deltas, stage(sketch_of(path_counts, plan), "sketch"), path_counts)

@@ -136,7 +136,7 @@ class PairDetector:
         plan = self.plan(pairs)
         vectors = self.vectors(rows, pairs)
         model = fit_plan(vectors, plan, ranges(vectors, self.width * len(pairs)))
-        scores = model.score(vectors)
+        scores = model.score(vectors, fitted=True)
         if plan.n_ensembles == 1:
             scores = scores.withColumn("ensemble", F.lit(0))
         return _named(normalise(stage(scores, "pair-scores"), ["ensemble"]), pairs)

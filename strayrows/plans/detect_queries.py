@@ -53,7 +53,7 @@ _models: dict[tuple, C.ChainModel] = {}
 def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(
         spark, sf_dir, "order-scores",
-        lambda: order_model(spark, sf_dir).score(order_vectors(spark, sf_dir)),
+        lambda: order_model(spark, sf_dir).score(order_vectors(spark, sf_dir), fitted=True),
     )
 
 
@@ -155,7 +155,7 @@ def strangest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     rows = stage(order_features(spark, sf_dir).repartition(cores, "row_id"), "orders")
     vectors = vectorize(rows.select("row_id", *ORDER_NUMERIC), ORDER_NUMERIC_SPEC)
-    scores = C.fit_plan(vectors, PLAN).score(vectors)
+    scores = C.fit_plan(vectors, PLAN).score(vectors, fitted=True)
     return C.top_k(scores, 20).select("row_id", F.round("score", 6).alias("score"))
 
 
@@ -503,7 +503,7 @@ def walk_importance(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     def build():
         vectors = shared(spark, sf_dir, "walk-vectors", lambda: walk_rows(spark, sf_dir))
         model = C.fit_plan(vectors, WALK_PLAN)
-        top = C.top_k(model.score(vectors), WALK_TOP)
+        top = C.top_k(model.score(vectors, fitted=True), WALK_TOP)
         return model.depth_scores(vectors.join(top, "row_id", "left_semi"))
 
     depths = shared(spark, sf_dir, "walk-depths", build)
