@@ -223,7 +223,7 @@ NAMED = """named AS MATERIALIZED (SELECT *, CASE WHEN kind = 'interval'
 SEARCH.insert(len(SEARCH) - 2, NAMED)
 
 
-def _rules_sql(tail: str) -> str:
+def rules_sql(tail: str) -> str:
     return S.with_(*SEARCH).replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_rules", "combos") + tail
 
 
@@ -247,7 +247,7 @@ def rule_base_query(spark, sf_dir):
     )
 
 
-@query("rule_candidates", _rules_sql(f"SELECT {ROUNDED} FROM scored"))
+@query("rule_candidates", rules_sql(f"SELECT {ROUNDED} FROM scored"))
 def rule_candidates(spark, sf_dir):
     return _out(rules(spark, sf_dir))
 
@@ -264,7 +264,7 @@ SCORED9 = "(SELECT k, cluster_id, rule_text, round(coverage, 9) AS coverage, rou
 
 @query(
     "rule_topk",
-    _rules_sql(
+    rules_sql(
         f"""SELECT {ROUNDED}, rank FROM (SELECT *, row_number() OVER (PARTITION BY k, cluster_id
   ORDER BY coverage DESC, purity DESC, rule_text) AS rank FROM {SCORED9} WHERE coverage >= 0.1 AND purity >= 0.2) WHERE rank <= 5"""
     ),
@@ -275,7 +275,7 @@ def rule_topk(spark, sf_dir):
 
 @query(
     "rule_display",
-    _rules_sql(
+    rules_sql(
         f"""SELECT {ROUNDED}, place FROM (
   SELECT *, CASE WHEN n <= 3 THEN f WHEN f = 1 THEN 1 WHEN s = 1 THEN 2
     WHEN row_number() OVER (PARTITION BY k, cluster_id ORDER BY (f = 1 OR s = 1), coverage + purity DESC, rule_text) = 1 THEN 3 END AS place
@@ -291,7 +291,7 @@ def rule_display(spark, sf_dir):
 
 @query(
     "rule_nearest",
-    _rules_sql(
+    rules_sql(
         f"""SELECT {ROUNDED} FROM {SCORED9} QUALIFY row_number() OVER (PARTITION BY k, cluster_id
   ORDER BY round(pow(1 - coverage, 2) + pow(1 - purity, 2), 9), rule_text) = 1"""
     ),
@@ -335,7 +335,7 @@ def rule_matches(spark, sf_dir):
 
 @query(
     "rule_text_round_trip",
-    _rules_sql(
+    rules_sql(
         "SELECT k, cluster_id, rule_text, len(regexp_extract_all(rule_text, 'Feature ')) AS n_conditions FROM scored"
     ),
 )
