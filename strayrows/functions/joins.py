@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strayrows.spec import quote
+
 BROADCAST_ROWS = 1_000_000
 SALTS = 16
 
@@ -21,5 +23,7 @@ def lookup(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left"
     if small.count() <= BROADCAST_ROWS:
         return df.join(F.broadcast(small), list(on), how)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    # The salt follows from the row's content, so a task that is run again salts alike.
+    content = F.xxhash64(*[F.col(quote(c)) for c in df.columns])
+    salted = df.withColumn("_salt", F.pmod(content, F.lit(SALTS)).cast("int"))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

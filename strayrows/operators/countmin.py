@@ -22,6 +22,7 @@ from strayrows.staging import stage
 
 BATCH_ROWS = 65_536
 MAX_TABLE_BYTES = 256 * 1024 * 1024
+TASKS_PER_CORE = 4
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,8 @@ def count_cells(
     """(cell, cnt) of all non-empty counters.
 
     Each task sends at most one row per counter, so the shuffle is bounded by
-    tasks times table size; `partitions` lets fewer, longer tasks read the input.
+    tasks times table size. To keep that small next to a large input, the splits
+    are read by at most `partitions` tasks, TASKS_PER_CORE per core by default.
     """
     if shape.table_bytes(plan) > MAX_TABLE_BYTES:
         raise ValueError(
@@ -143,9 +145,9 @@ def count_cells(
                 [pa.array(part.astype(np.int64)), pa.array(flat[part])], ["cell", "cnt"]
             )
 
-    rows = vectors.select("x")
-    if partitions is not None:
-        rows = rows.coalesce(partitions)
+    if partitions is None:
+        partitions = TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    rows = vectors.select("x").coalesce(partitions)
     partial = rows.mapInArrow(count, "cell bigint, cnt bigint")
     return partial.groupBy("cell").agg(F.sum("cnt").alias("cnt"))
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strayrows.functions.joins import lookup
 from strayrows.functions.tokens import murmur3, projection_weights
 from strayrows.operators.chains import (
     SCORE_DIGITS,
@@ -120,11 +121,11 @@ class PairDetector:
         """(fx, fy, row_id, score, score_norm) of the outliers, normalised over all rows."""
         if self.shape is None:
             return self._exact(rows, pairs).join(outliers.select(ID), ID, "left_semi")
-        marks = outliers.select(ID).distinct().withColumn("hit", F.lit(True))
-        marked = rows.join(marks, ID, "left").withColumn("hit", F.col("hit").isNotNull())
+        marks = stage(outliers.select(ID).distinct().withColumn("hit", F.lit(True)), "marks")
+        marked = lookup(rows, marks, [ID]).withColumn("hit", F.col("hit").isNotNull())
         out = None
         for block in self.blocks(pairs):
-            part = self._counted(marked, block)
+            part = self._counted(rows, marked, block)
             out = part if out is None else out.unionByName(part)
         return out
 
@@ -141,10 +142,10 @@ class PairDetector:
             scores = scores.withColumn("ensemble", F.lit(0))
         return _named(normalise(stage(scores, "pair-scores"), ["ensemble"]), pairs)
 
-    def _counted(self, marked: DataFrame, block: list[Pair]) -> DataFrame:
+    def _counted(self, rows: DataFrame, marked: DataFrame, block: list[Pair]) -> DataFrame:
         """One pass scores every row but emits only outliers and each task's extremes."""
         plan, shape = self.plan(block), self.shape
-        vectors = self.vectors(marked, block, "hit")
+        vectors = self.vectors(rows, block)
         deltas = half_ranges(ranges(vectors, self.width * len(block)))
         cells = stage(count_cells(vectors, plan, deltas, shape), "pair-cells")
         shared = CountMinModel(plan, deltas, shape, cells).broadcast_values()
@@ -164,7 +165,7 @@ class PairDetector:
                 yield _long(None, lo[None, :], hi[None, :])
 
         out = stage(
-            vectors.select(ID, "hit", "x").mapInArrow(
+            self.vectors(marked, block, "hit").mapInArrow(
                 score, f"{ID} bigint, ensemble int, score double, hi double"
             ),
             "pair-scores",

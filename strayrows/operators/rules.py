@@ -350,21 +350,26 @@ def find_rules(
     sizes = stage(members.groupBy(*GROUP).agg(F.count("*").alias("size")), "cluster-sizes")
     single = _numbered(base, spec)
     # Only conditions that cover enough of their cluster on their own take part.
-    checks = [
-        F.count_if(
-            (F.col("k") == k) & (F.col("cluster_id") == cid) & F.expr(_condition(c).sql())
-        ).alias(f"c{k}_{cid}_{i}")
+    cases = " ".join(
+        f"WHEN k = {k} AND cluster_id = {cid} THEN array({', '.join(_condition(c).sql() for c in conds)})"
         for (k, cid), conds in single.items()
-        for i, c in enumerate(conds)
-    ]
-    covered = members.agg(*checks).first().asDict()
+    )
+    if not single:
+        return spark.createDataFrame(
+            [], f"k int, cluster_id int, rule_id string, rule {RULE}, coverage double, purity double"
+        )
+    own = members.select(*GROUP, F.posexplode(F.expr(f"CASE {cases} END")).alias("i", "hit"))
+    covered = {
+        (r["k"], r["cluster_id"], r["i"]): r["n"]
+        for r in own.groupBy(*GROUP, "i").agg(F.count_if("hit").alias("n")).collect()
+    }
     size = {(r["k"], r["cluster_id"]): r["size"] for r in sizes.collect()}  # one row per cluster
     kept = {
         key: _with_hulls(
             [
                 c
                 for i, c in enumerate(conds)
-                if covered[f"c{key[0]}_{key[1]}_{i}"] >= min_coverage * size[key]
+                if covered[(*key, i)] >= min_coverage * size[key]
             ],
             spec,
         )

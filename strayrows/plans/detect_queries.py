@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrows.operators import attribute as A
@@ -170,31 +170,37 @@ query(
     S.with_(
         S.ORDER_FEATURES,
         S.long_vectors("of", ORDER_NUMERIC),
-        S.half_ranges(where="WHERE row_id % 2 = 0"),
+        S.half_ranges(where="SEMI JOIN (SELECT row_id FROM of WHERE o_orderstatus = 'F') USING (row_id)"),
         S.plan_values(PLAN),
         S.bins(),
         """sketch AS MATERIALIZED (SELECT chain, depth, bin, count(*) AS cnt
-           FROM bins WHERE row_id % 2 = 0 GROUP BY chain, depth, bin)""",
+           FROM bins JOIN of USING (row_id) WHERE o_orderstatus = 'F' GROUP BY chain, depth, bin)""",
         S.DEPTH_VALUES,
         S.scores(),
     )
-    + "SELECT row_id, row_id % 2 = 0 AS fitted, round(score, 6) AS score FROM scores",
+    + "SELECT row_id, o_orderstatus, round(score, 6) AS score FROM scores JOIN of USING (row_id)",
 )
 def score_new_rows(spark, sf_dir):
-    """Fit on the even keys, then score every row: the odd ones were never counted."""
+    """Fit on the finished orders, then score all: open ones were never counted."""
+    orders = staged_orders(spark, sf_dir)
     vectors = order_vectors(spark, sf_dir)
-    model = C.fit_plan(vectors.where("row_id % 2 = 0"), PLAN)
-    return model.score(vectors).select(
-        "row_id", F.expr("row_id % 2 = 0").alias("fitted"), F.round("score", 6).alias("score")
+    finished = orders.where(F.col("o_orderstatus") == "F").select("row_id", *ORDER_NUMERIC)
+    model = C.fit_plan(vectorize(finished, ORDER_NUMERIC_SPEC), PLAN)
+    return model.score(vectors).join(orders.select("row_id", "o_orderstatus"), "row_id").select(
+        "row_id", "o_orderstatus", F.round("score", 6).alias("score")
     )
 
 
 EVENT_PLAN = C.ChainPlan.draw(2, 6, 4, SEED)
 EVENT_VECTORS = """ev AS (SELECT event_id AS row_id, value, user_id::DOUBLE AS u FROM events)"""
+EVENT_RANGES = S.half_ranges(
+    where="SEMI JOIN (SELECT event_id AS row_id FROM events WHERE event_type = 'click') USING (row_id)"
+)
 
 
-def event_vectors(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(
+def event_vectors(spark, sf_dir, kind: Column | None = None):
+    events = table(spark, sf_dir, "events")
+    return (events if kind is None else events.where(kind)).select(
         F.col("event_id").alias("row_id"),
         F.array(F.col("value"), F.col("user_id").cast("double")).alias("x"),
     )
@@ -205,7 +211,7 @@ def event_vectors(spark, sf_dir):
     S.with_(
         EVENT_VECTORS,
         S.long_vectors("ev", ("value", "u")),
-        S.half_ranges(where="WHERE row_id % 2 = 0"),
+        EVENT_RANGES,
         S.plan_values(EVENT_PLAN),
         S.bins(),
         S.SKETCH,
@@ -213,10 +219,10 @@ def event_vectors(spark, sf_dir):
     + "SELECT chain, depth, bin, cnt FROM sketch",
 )
 def sketch_update(spark, sf_dir):
-    """Counting half the events, then the other half, equals counting them once."""
-    vectors = event_vectors(spark, sf_dir)
-    first = C.fit_plan(vectors.where("row_id % 2 = 0"), EVENT_PLAN)
-    return _sketch_out(first.update(vectors.where("row_id % 2 = 1")).sketch)
+    """Counting the clicks, then all other events, equals counting the events once."""
+    click = F.col("event_type") == "click"
+    first = C.fit_plan(event_vectors(spark, sf_dir, click), EVENT_PLAN)
+    return _sketch_out(first.update(event_vectors(spark, sf_dir, ~click)).sketch)
 
 
 CM_SHAPE = CM.SketchShape(hashes=2, bits=10, seed=3)

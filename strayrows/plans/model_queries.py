@@ -17,10 +17,9 @@ from strayrows.operators.prep import one_hot
 from strayrows.operators.project import vectorize
 from strayrows.plans import sql_parts as S
 from strayrows.plans.detect_queries import (
-    DETECT,
     EVENT_PLAN,
+    EVENT_RANGES,
     EVENT_VECTORS,
-    TOP,
     event_vectors,
     order_model,
     order_vectors,
@@ -224,7 +223,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_deltas(spark, sf_dir) -> list[float]:
-    first = event_vectors(spark, sf_dir).where("row_id % 2 = 0")
+    first = event_vectors(spark, sf_dir, F.col("event_type") == "click")
     return C.half_ranges(C.ranges(first, 2))
 
 
@@ -233,7 +232,7 @@ def _event_deltas(spark, sf_dir) -> list[float]:
     S.with_(
         EVENT_VECTORS,
         S.long_vectors("ev", ("value", "u")),
-        S.half_ranges(where="WHERE row_id % 2 = 0"),
+        EVENT_RANGES,
         S.plan_values(EVENT_PLAN),
         S.bins(),
         S.SKETCH,

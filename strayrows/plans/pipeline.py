@@ -69,10 +69,14 @@ class Detection:
 
 
 def detect(df: DataFrame, spec: FeatureSpec, p: Parameters = Parameters()) -> Detection:
-    """Score all rows, explain the selected ones and group them by their explanation."""
+    """Score all rows, explain the selected ones and group them by their explanation.
+
+    `df` is read several times; stage it first if it is an expensive view.
+    """
     rows = split_roles(df, spec)
     role = FeatureSpec(spec.features, spec.categorical, ID, "label" if spec.label else None)
-    vectors = stage(vectorize(rows, role, p.projdim), "vectors")
+    # Projected anew in every pass: cheaper than writing n x projdim doubles.
+    vectors = vectorize(rows, role, p.projdim)
     width = p.projdim or len(spec.features)
     exact = p.exact
     if exact is None:
