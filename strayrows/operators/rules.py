@@ -192,7 +192,14 @@ class Condition:
         if self.value is not None:
             text = self.value.replace("\\", "\\\\").replace("'", "\\'")
             return f"CAST({name} AS STRING) = '{text}'"
-        return f"CAST({name} AS DOUBLE) BETWEEN {double(self.lo)} AND {double(self.hi)}"
+        x = f"CAST({name} AS DOUBLE)"
+        return f"{x} >= {double(self.lo)} AND {x} <= {double(self.hi)}"
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        """The same test on a batch of the feature's values."""
+        if self.value is not None:
+            return values == self.value
+        return (values >= self.lo) & (values <= self.hi)
 
 
 def merge(conditions: Sequence[Condition]) -> list[Condition]:
@@ -274,16 +281,42 @@ def _condition(c: dict) -> Condition:
     return Condition(c["feature"], c["lo"], c["hi"], c["value"])
 
 
-def _mask_words(conditions: list[dict]) -> str:
-    """SQL array of bit words, bit i set where condition i holds."""
-    words = []
-    for at in range(0, max(len(conditions), 1), WORD_BITS):
-        bits = [
-            f"CASE WHEN {_condition(c).sql()} THEN {1 << i}L ELSE 0L END"
-            for i, c in enumerate(conditions[at : at + WORD_BITS])
-        ]
-        words.append(" + ".join(bits) if bits else "0L")
-    return "array(" + ", ".join(words) + ")"
+MAX_HELD = 200_000
+
+
+def _batch_hits(frame: pd.DataFrame, conditions: Sequence[Condition]) -> dict[Condition, np.ndarray]:
+    """Every distinct condition tested once per batch, whatever number of clusters shares it."""
+    columns = {f: frame[f].to_numpy() for f in {c.feature for c in conditions}}
+    return {c: c.holds(columns[c.feature]) for c in set(conditions)}
+
+
+def _tested_columns(conditions: dict[tuple[int, int], list[dict]]) -> list[Column]:
+    kinds = {c["feature"]: c["kind"] for conds in conditions.values() for c in conds}
+    return [
+        F.col(quote(f)).cast("double" if kind == "interval" else "string").alias(f)
+        for f, kind in sorted(kinds.items())
+    ]
+
+
+def condition_counts(members: DataFrame, conditions: dict[tuple[int, int], list[dict]]) -> DataFrame:
+    """(k, cluster_id, i, n): members of a cluster that meet its i-th condition."""
+    tests = {key: [_condition(c) for c in conds] for key, conds in conditions.items()}
+
+    def count(batches):
+        for frame in batches:
+            hits = _batch_hits(frame, [c for conds in tests.values() for c in conds])
+            k, cid = frame["k"].to_numpy(), frame["cluster_id"].to_numpy()
+            rows = []
+            for key, conds in tests.items():
+                own = (k == key[0]) & (cid == key[1])
+                if own.any():
+                    rows += [(*key, i, int(hits[c][own].sum())) for i, c in enumerate(conds)]
+            yield pd.DataFrame(rows, columns=["k", "cluster_id", "i", "n"])
+
+    partial = members.select(*GROUP, *_tested_columns(conditions)).mapInPandas(
+        count, "k int, cluster_id int, i int, n bigint"
+    )
+    return partial.groupBy(*GROUP, "i").agg(F.sum("n").alias("n"))
 
 
 def masks(
@@ -291,24 +324,17 @@ def masks(
 ) -> DataFrame:
     """(k, cluster_id, words, n_out, n_norm): rows per distinct condition mask.
 
-    The conditions are generated code over the row; counts combine before the
-    shuffle, so the normal rows leave their tasks only as a few counted masks.
+    Bit i of the words is set where condition i of the cluster holds. Tasks count
+    the masks of the rows they read, so normal rows leave them only as counted
+    masks; rows that meet no condition are left out.
     """
-    per_cluster = ", ".join(
-        f"struct({k} AS k, {c} AS cluster_id, {_mask_words(conds)} AS words)"
-        for (k, c), conds in sorted(conditions.items())
-    )
-    every = F.explode(F.expr(f"array({per_cluster})")).alias("m")
-    some = F.exists("m.words", lambda w: w != 0)
-    normal = (
-        normals.select(every).where(some).groupBy("m.k", "m.cluster_id", "m.words")
-        .agg(F.lit(0).cast("bigint").alias("n_out"), F.count("*").alias("n_norm"))
-    )
-    own = (
-        members.select(F.col("k").alias("own_k"), F.col("cluster_id").alias("own_c"), every)
-        .where((F.col("m.k") == F.col("own_k")) & (F.col("m.cluster_id") == F.col("own_c")) & some)
-        .groupBy("m.k", "m.cluster_id", "m.words")
-        .agg(F.count("*").alias("n_out"), F.lit(0).cast("bigint").alias("n_norm"))
+    columns = _tested_columns(conditions)
+    none = F.lit(None).cast("int")
+    normal = _count_masks(
+        normals.select(none.alias("k"), none.alias("cluster_id"), *columns), conditions, False
+    ).select(*GROUP, "words", F.lit(0).cast("bigint").alias("n_out"), F.col("n").alias("n_norm"))
+    own = _count_masks(members.select(*GROUP, *columns), conditions, True).select(
+        *GROUP, "words", F.col("n").alias("n_out"), F.lit(0).cast("bigint").alias("n_norm")
     )
     return (
         normal.unionByName(own)
@@ -317,6 +343,56 @@ def masks(
     )
 
 
+def _count_masks(
+    rows: DataFrame, conditions: dict[tuple[int, int], list[dict]], own_cluster: bool
+) -> DataFrame:
+    tests = {key: [_condition(c) for c in conds] for key, conds in conditions.items()}
+    bits = WORD_BITS
+
+    def count(batches):
+        held: dict[tuple, int] = {}
+        for frame in batches:
+            hits = _batch_hits(frame, [c for conds in tests.values() for c in conds])
+            if own_cluster:
+                k, cid = frame["k"].to_numpy(), frame["cluster_id"].to_numpy()
+            for key, conds in tests.items():
+                words = np.zeros((len(frame), -(-len(conds) // bits)), dtype=np.int64)
+                for i, c in enumerate(conds):
+                    words[:, i // bits] |= hits[c].astype(np.int64) << (i % bits)
+                if own_cluster:
+                    words = words[(k == key[0]) & (cid == key[1])]
+                words = words[words.any(axis=1)]
+                for mask, n in zip(*_distinct(words)):
+                    at = (*key, *mask)
+                    held[at] = held.get(at, 0) + int(n)
+            if len(held) > MAX_HELD:
+                yield _mask_frame(held)
+                held = {}
+        if held:
+            yield _mask_frame(held)
+
+    return rows.mapInPandas(count, "k int, cluster_id int, words array<bigint>, n bigint")
+
+
+def _distinct(words: np.ndarray) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    if words.shape[1] == 1:
+        found, n = np.unique(words[:, 0], return_counts=True)
+        return [(int(v),) for v in found], n
+    found, n = np.unique(words, axis=0, return_counts=True)
+    return [tuple(int(v) for v in row) for row in found], n
+
+
+def _mask_frame(held: dict[tuple, int]) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "k": [at[0] for at in held],
+            "cluster_id": [at[1] for at in held],
+            "words": [list(at[2:]) for at in held],
+            "n": list(held.values()),
+        }
+    )
+
+
 PREDICATE = "k int, cluster_id int, pred int, at int, cost int, c " + CONDITION
 
 
@@ -350,18 +426,14 @@ def find_rules(
     sizes = stage(members.groupBy(*GROUP).agg(F.count("*").alias("size")), "cluster-sizes")
     single = _numbered(base, spec)
     # Only conditions that cover enough of their cluster on their own take part.
-    cases = " ".join(
-        f"WHEN k = {k} AND cluster_id = {cid} THEN array({', '.join(_condition(c).sql() for c in conds)})"
-        for (k, cid), conds in single.items()
+    nothing = spark.createDataFrame(
+        [], f"k int, cluster_id int, rule_id string, rule {RULE}, coverage double, purity double"
     )
     if not single:
-        return spark.createDataFrame(
-            [], f"k int, cluster_id int, rule_id string, rule {RULE}, coverage double, purity double"
-        )
-    own = members.select(*GROUP, F.posexplode(F.expr(f"CASE {cases} END")).alias("i", "hit"))
+        return nothing
     covered = {
         (r["k"], r["cluster_id"], r["i"]): r["n"]
-        for r in own.groupBy(*GROUP, "i").agg(F.count_if("hit").alias("n")).collect()
+        for r in condition_counts(members, single).collect()  # one row per base condition
     }
     size = {(r["k"], r["cluster_id"]): r["size"] for r in sizes.collect()}  # one row per cluster
     kept = {
@@ -369,13 +441,15 @@ def find_rules(
             [
                 c
                 for i, c in enumerate(conds)
-                if covered[(*key, i)] >= min_coverage * size[key]
+                if covered.get((*key, i), 0) >= min_coverage * size[key]
             ],
             spec,
         )
         for key, conds in single.items()
     }
     kept = {key: conds for key, conds in kept.items() if conds}
+    if not kept:
+        return nothing
     preds = _predicate_table(spark, kept)
 
     # Each mask as the list of conditions it satisfies, in predicate order.
@@ -429,6 +503,8 @@ def find_rules(
             .where(F.col("n_out") >= F.lit(min_coverage) * F.col("size"))
         )
         counted = stage(counted, f"frequent-{depth}")
+        if counted.isEmpty():
+            break  # level 1 is never empty: every kept condition covers enough on its own
         found = counted if found is None else found.unionByName(counted)
         if depth < max_conditions:
             level = wider.join(counted.select(*GROUP, "rule"), [*GROUP, "rule"], "left_semi")

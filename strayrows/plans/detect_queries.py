@@ -153,7 +153,7 @@ def strangest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strayrows.staging import stage
 
     cores = spark.sparkContext.defaultParallelism
-    rows = stage(order_features(spark, sf_dir).repartition(cores, "row_id"), "orders")
+    rows = stage(order_features(spark, sf_dir).repartition(cores), "orders")
     vectors = vectorize(rows.select("row_id", *ORDER_NUMERIC), ORDER_NUMERIC_SPEC)
     scores = C.fit_plan(vectors, PLAN).score(vectors, fitted=True)
     return C.top_k(scores, 20).select("row_id", F.round("score", 6).alias("score"))

@@ -55,7 +55,7 @@ def staged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     return shared(
         spark, sf_dir, "order-features",
-        lambda: order_features(spark, sf_dir).repartition(cores, "row_id"),
+        lambda: order_features(spark, sf_dir).repartition(cores),
     )
 
 
