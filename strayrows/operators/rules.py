@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strayrows.operators.prep import limits
-from strayrows.spec import ID, FeatureSpec, double, quote
+from strayrows.spec import FeatureSpec, double, quote
 from strayrows.staging import stage
 
 GROUP = ["k", "cluster_id"]

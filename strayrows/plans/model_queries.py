@@ -28,7 +28,6 @@ from strayrows.plans.detect_queries import (
 from strayrows.plans.registry import query
 from strayrows.plans.views import (
     ORDER_NUMERIC,
-    ORDER_SPEC,
     embeddings,
     shared,
     staged_orders,

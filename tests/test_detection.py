@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from strayrows.functions import tokens
 from strayrows.operators import chains as C

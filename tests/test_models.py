@@ -1,6 +1,5 @@
 """Forest, injection and streams."""
 
-import math
 
 import numpy as np
 import pytest
@@ -10,7 +9,6 @@ from strayrows.operators import chains as C
 from strayrows.operators import countmin as CM
 from strayrows.operators import inject as N
 from strayrows.operators import iforest as I
-from strayrows.operators.project import vectorize
 from strayrows.plans import pipeline
 from strayrows.spec import FeatureSpec
 from strayrows.streaming import updates as U
