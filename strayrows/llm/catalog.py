@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from strayrows.llm import exact_dedup, quality_rules, toxicity, warc  # noqa: F401
+from strayrows.llm import exact_dedup, language_id, quality_rules, toxicity, warc  # noqa: F401
 from strayrows.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
