@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from strayrows.llm import bpe, exact_dedup, language_id, packing, quality_rules, substring_dedup, toxicity, warc  # noqa: F401
+from strayrows.llm import bpe, exact_dedup, language_id, ngram_join, packing, quality_rules, substring_dedup, toxicity, warc  # noqa: F401
 from strayrows.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
