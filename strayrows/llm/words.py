@@ -92,6 +92,37 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+class Runs:
+    """Hashes of runs of word hashes; equal runs have equal hashes wherever they stand."""
+
+    def __init__(self, h: np.ndarray):
+        self.power, self.inverse = powers(len(h) + 1)
+        self.total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * self.power[:-1], out=self.total[1:])
+
+    def _sum(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.total[ends] - self.total[starts]) * self.inverse[starts]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed(self._sum(starts, ends) + (ends - starts).astype(np.uint64))
+
+    def without(self, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the runs without the word at place `at`, as `hashes` gives for what is left."""
+        rest = self._sum(starts + at + 1, ends) * self.power[at]
+        return mixed(self._sum(starts, starts + at) + rest + (ends - starts - 1).astype(np.uint64))
+
+
+def lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with a word: first word, word after the last, text, number of the line in it from 0."""
+    breaks = np.flatnonzero(words.data == 10)
+    ends = np.searchsorted(words.starts, breaks)
+    starts = np.concatenate([np.zeros(1, ends.dtype), ends[:-1]]) if len(ends) else ends
+    doc = np.searchsorted(words.offsets, breaks, side="right") - 1
+    number = np.arange(len(breaks)) - np.searchsorted(breaks, words.offsets)[doc]
+    has = ends > starts
+    return starts[has], ends[has], doc[has], number[has]
+
+
 def window_fits(words: Words, k: int) -> np.ndarray:
     """Whether the window of k words that starts at a word lies within its text."""
     n = max(len(words) - k + 1, 0)
