@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strayrows.llm.carried import kept_columns, output_type, restored
 from strayrows.llm.registry import query, table
 from strayrows.llm.repeated import Filter, repeated_keys
 from strayrows.llm.words import Runs, Words, lines, mixed, slices, texts_of
@@ -218,15 +219,15 @@ def line_dedup(
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         F.coalesce(own, F.lit(LAST)).alias("doc"),
         F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"),
-        own.alias("_id"), *[F.col(f"`{c}`").alias(f"_{c}") for c in keep],
+        own.alias("_row_id"), *kept_columns(keep),
     )
     gone = stage(earliest_lines(source.select("text", "doc", "text_hash"), least, near, bits), "removed-lines")
     extra = [c for c in source.columns if c not in ("text", "doc", "text_hash")]
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in extra)
     joined = source.join(gone, ["doc", "text_hash"], "left").select("text", "numbers", *extra)
-    cleaned = joined.mapInArrow(_without_lines, f"{kinds}, n_lines bigint, n_removed bigint, kept_text string")
+    spec = output_type(source, extra, "n_lines bigint, n_removed bigint, kept_text string")
+    cleaned = joined.mapInArrow(_without_lines, spec)
     return cleaned.select(
-        F.col("_id").alias("doc_id"), *[F.col(f"_{c}").alias(c) for c in keep], "n_lines", "n_removed", "kept_text"
+        F.col("_row_id").alias("doc_id"), *restored(keep), "n_lines", "n_removed", "kept_text"
     )
 
 

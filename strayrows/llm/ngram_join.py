@@ -92,7 +92,7 @@ def _set_keys(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(flt, k: int, similarity: Similarity):
-    """(doc, n, node, grams): grams only where the corpus may hold a partner."""
+    """(doc, text_hash, n, node, grams): grams only where the corpus may hold a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(*flt.value)
@@ -109,8 +109,8 @@ def _sets(flt, k: int, similarity: Similarity):
                 stay = (n > 0) & (alone <= similarity.alien(n))
                 grams = [found[first[i] : first[i + 1]].tobytes() if s else None for i, s in enumerate(stay)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1)[a:b], pa.array(n), pa.array(node.view(np.int64), mask=n == 0), pa.array(grams, pa.binary())],
-                    names=["doc", "n", "node", "grams"],
+                    [batch.column(1)[a:b], batch.column(2)[a:b], pa.array(n), pa.array(node.view(np.int64), mask=n == 0), pa.array(grams, pa.binary())],
+                    names=["doc", "text_hash", "n", "node", "grams"],
                 )
 
     return run
@@ -316,7 +316,7 @@ def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5,
     similarity: Similarity = Similarity(80, 100), bits: int = 26, cells: int = 22,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of `docs`.
+    """(doc_id, text_hash, n_shingles, component_id) of every row of `docs`.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z in lower case. component_id is the
     smallest doc_id that links reach; texts without words link with nothing and have their own doc_id. A null
@@ -327,6 +327,7 @@ def near_duplicates(
     own = F.col(f"`{id}`").cast("bigint")
     source = docs.select(
         F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(own, F.lit(LAST)).alias("doc"),
+        F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"),
     )
     rows = _rows(source, k, similarity, bits)
     groups = stage(
@@ -347,9 +348,10 @@ def near_duplicates(
     joined = member.join(tops, "component").select("node", "top")
     copies = groups.where("copies > 1").join(linked, "node", "left_anti").select("node", F.col("doc").alias("top"))
     answers = stage(joined.unionByName(copies), "answers")
-    labelled = rows.select("doc", "n", "node").join(answers, "node", "left")
+    labelled = rows.select("doc", "text_hash", "n", "node").join(answers, "node", "left")
     return labelled.select(
         F.nullif("doc", F.lit(LAST)).alias("doc_id"),
+        "text_hash",
         F.col("n").alias("n_shingles"),
         F.nullif(F.coalesce("top", "doc"), F.lit(LAST)).alias("component_id"),
     )
@@ -357,9 +359,10 @@ def near_duplicates(
 
 def _rows(source: DataFrame, k: int, similarity: Similarity, bits: int) -> DataFrame:
     flt = repeated_keys(source.select("text"), _low_keys(k), bits)
-    return stage(source.mapInArrow(_sets(flt, k, similarity), "doc bigint, n bigint, node bigint, grams binary"), "rows")
+    return stage(source.mapInArrow(_sets(flt, k, similarity), "doc bigint, text_hash bigint, n bigint, node bigint, grams binary"), "rows")
 
 
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4, similarity=Similarity(85, 100))
+    found = near_duplicates(table(spark, sf_dir, "documents"), k=4, similarity=Similarity(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id")

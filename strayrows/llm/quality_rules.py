@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strayrows.llm.carried import kept_columns, restored
 from strayrows.llm.registry import query, table
 from strayrows.llm.words import Words, mixed, slices, texts_of, window_fits, windows
 from strayrows.staging import stage
@@ -125,8 +127,9 @@ def quality(
     by: tuple[str, str] = ("lang", "source"),
     rules: tuple[Rule, ...] = RULES,
     least: int = 200,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, the counts of BASE, base_failed, kept.
+    """One row per document: doc_id, the columns `keep`, the counts of BASE, base_failed, kept.
 
     A document fails the base rules with fewer than 50 words or if more than half of its words
     lie in repeated windows. Quantiles are taken over the documents that pass them. Levels with
@@ -138,28 +141,38 @@ def quality(
         F.col(f"`{id}`").cast("bigint").alias("key"),
         F.col(f"`{text}`").cast("string").alias("text"),
         *[F.col(f"`{c}`").cast("string").alias(f"g{i}") for i, c in enumerate(by)],
+        *kept_columns(keep),
     )
-    counts = stage(source.mapInArrow(_measure, f"{SCHEMA}, g0 string, g1 string"), "measures")
+    spec = f"{SCHEMA}, g0 string, g1 string"
+    counts = stage(source.select("key", "text", "g0", "g1").mapInArrow(_measure, spec), "measures")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = counts.withColumn("base_failed", base_failed).withColumns(
-        {
-            "chars_per_word": share("word_chars", "n_words"),
-            "symbols_per_word": share("n_symbols", "n_words"),
-            "dup_line_share": share("n_dup_lines", "n_lines"),
-            "repeat_share": share("n_repeat_words", "n_words"),
-            "upper_share": share("n_upper", "n_letters"),
-        }
-    )
+    derived = {
+        "base_failed": base_failed,
+        "chars_per_word": share("word_chars", "n_words"),
+        "symbols_per_word": share("n_symbols", "n_words"),
+        "dup_line_share": share("n_dup_lines", "n_lines"),
+        "repeat_share": share("n_repeat_words", "n_words"),
+        "upper_share": share("n_upper", "n_letters"),
+    }
+    rows = counts.withColumns(derived)
     limits = stage(_limits(rows.where(~F.col("base_failed")), rules, least), "limits")
     inside = F.lit(True)
     for r in rules:
         inside &= (F.col(r.measure) <= F.col(f"{r.measure}_hi")) if not r.lower else F.col(r.measure).between(
             F.col(f"{r.measure}_lo"), F.col(f"{r.measure}_hi")
         )
+    if keep:
+        # Measured again beside the columns to keep: cheaper than moving whole texts to meet their measures.
+        carried = [f"_keep_{c}" for c in keep]
+        measured_type = T.StructType(
+            T.StructType.fromDDL(spec).fields + [source.schema[c] for c in carried]
+        )
+        rows = source.mapInArrow(_measure, measured_type).withColumns(derived)
     d, t = rows.alias("d"), limits.alias("t")
     same = F.col("d.g0").eqNullSafe(F.col("t.g0")) & F.col("d.g1").eqNullSafe(F.col("t.g1"))
     return d.join(t, same, "left").select(
         F.col("key").alias("doc_id"),
+        *restored(keep),
         *BASE,
         "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"),

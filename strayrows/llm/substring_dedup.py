@@ -18,6 +18,7 @@ automaton of an anchor's segments has to meet the segments of that anchor only.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strayrows.llm.carried import kept_columns, output_type, restored
 from strayrows.llm.registry import query, table
 from strayrows.llm.repeated import Filter, repeated_keys
 from strayrows.llm.words import Words, slices, texts_of, window_fits, windows
@@ -283,7 +285,10 @@ def removed(n_words: int, spans: list[dict], doc: int, length: int) -> np.ndarra
     return np.cumsum(change)[:n_words] > 0
 
 
-def _cleaned(length: int):
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def _cleaned(length: int, layout: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(1).to_pylist()
@@ -293,7 +298,10 @@ def _cleaned(length: int):
                 gone = removed(len(words), spans, doc[i], length) if spans else None
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()) if spans else 0)
-                kept.append(b" ".join([w for w, g in zip(words, gone) if not g]) if spans else b" ".join(words))
+                if layout:
+                    kept.append(b"".join([w for w, g in zip(_WORD.findall(text), gone) if not g]) if spans else text)
+                else:
+                    kept.append(b" ".join([w for w, g in zip(words, gone) if not g]) if spans else b" ".join(words))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[3:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string())],
@@ -305,13 +313,14 @@ def _cleaned(length: int):
 
 def substring_dedup(
     docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (),
-    length: int = 13, gram: int = 6, bits: int = 26, heavy: int = 2000,
+    length: int = 13, gram: int = 6, bits: int = 26, heavy: int = 2000, layout: bool = False,
 ) -> DataFrame:
     """doc_id, the columns `keep`, n_words, n_removed and kept_text of every row of `docs`.
 
     Words are runs of bytes other than space and 0x09-0x0D. A word goes if a window of `length`
     consecutive words around it also starts in a document with a smaller doc_id, all judged on the input.
-    kept_text is what stays, joined by spaces. A null text has no words; a null doc_id counts as larger
+    kept_text is what stays, joined by spaces, or with `layout` the text with its own white space
+    (as it is where nothing goes). A null text has no words; a null doc_id counts as larger
     than any other; rows of one doc_id are never each other's reference, and rows that repeat
     doc_id and text get the same answer. Texts of fewer than `length` words lose nothing.
     """
@@ -320,17 +329,16 @@ def substring_dedup(
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         F.coalesce(own, F.lit(LAST)).alias("doc_id"),
         F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"),
-        own.alias("_id"), *[F.col(f"`{c}`").alias(f"_{c}") for c in keep],
+        own.alias("_row_id"), *kept_columns(keep),
     )
     spans = stage(
         repeated_spans(source.select("text", "doc_id", "text_hash"), length, gram, bits, heavy), "spans"
     )
     extra = [c for c in source.columns if c not in ("text", "doc_id", "text_hash")]
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in extra)
-    spec = f"{kinds}, n_words bigint, n_removed bigint, kept_text string"
+    spec = output_type(source, extra, "n_words bigint, n_removed bigint, kept_text string")
     joined = source.join(spans, ["doc_id", "text_hash"], "left").select("text", "doc_id", "spans", *extra)
-    return joined.mapInArrow(_cleaned(length), spec).select(
-        F.col("_id").alias("doc_id"), *[F.col(f"_{c}").alias(c) for c in keep], "n_words", "n_removed", "kept_text"
+    return joined.mapInArrow(_cleaned(length, layout), spec).select(
+        F.col("_row_id").alias("doc_id"), *restored(keep), "n_words", "n_removed", "kept_text"
     )
 
 
