@@ -166,7 +166,7 @@ class Model:
         A script that no language uses leaves all candidates in.
         """
         total = np.zeros((len(spelled.starts), len(self.langs)), np.float32)
-        if not len(total):
+        if not total.size:
             return total
         for j in range(len(self.langs)):  # one language at a time keeps the temporary arrays short
             logs = np.where(spelled.letter, self.grams[spelled.trigram, j], 0)

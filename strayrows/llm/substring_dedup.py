@@ -235,26 +235,18 @@ def repeated_spans(
         "segments",
     )
     distinct = stage(
-        occurrences.groupBy("anchor", "segment")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_last"))
-        .select("anchor", "segment", "doc_id", "_last"),
-        "distinct-segments",
+        occurrences.groupBy("anchor", "segment").agg(F.min("doc_id").alias("doc_id")), "distinct-segments"
     )
-    per_anchor = stage(
-        distinct.groupBy("anchor")
-        .agg(F.count("*").alias("count"), F.min("doc_id").alias("_a"), F.max("_last").alias("_b"))
-        # An anchor of one document has nothing to remove.
-        .where("_a < _b").select("anchor", "count"),
-        "anchors",
+    crowded = stage(
+        distinct.groupBy("anchor").count().where(F.col("count") > heavy).select("anchor"), "crowded-anchors"
     )
-    known = distinct.drop("_last").join(per_anchor, "anchor")
     light = (
-        known.where(F.col("count") <= heavy).select("anchor", "segment", "doc_id")
+        distinct.join(crowded, "anchor", "left_anti")
         .repartition("anchor").sortWithinPartitions("anchor")
         .mapInArrow(_oldest(length), "segment_id binary, oldest array<bigint>")
     )
     single = stage(
-        known.where(F.col("count") > heavy).select("segment", "doc_id")
+        distinct.join(crowded, "anchor", "left_semi").select("segment", "doc_id")
         .mapInArrow(_windows(length), "segment_id binary, at bigint, window binary, doc_id bigint"),
         "heavy-windows",
     )
