@@ -63,6 +63,11 @@ class ChainPlan:
             n_chains,
         )
 
+    def block(self, first: int, last: int) -> ChainPlan:
+        """Chains first..last - 1 of a single ensemble, as an ensemble of their own."""
+        dims = self.dims[first:last]
+        return ChainPlan(dims, self.shift[first:last], len(dims))
+
     @property
     def n_chains(self) -> int:
         return len(self.dims)
@@ -253,11 +258,11 @@ def ensemble_scores(minima: DataFrame, plan: ChainPlan) -> DataFrame:
 def normalise(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add score_norm in 0..1 (0 when all scores are equal), overall or per `by`."""
     if by:
-        # One row per group of `by`; the optimizer broadcasts it when it is small.
+        # One row per group of `by`, which are ensembles or clusters: bounded by parameters.
         limits = scores.groupBy(*by).agg(
             F.min("score").alias("_lo"), F.max("score").alias("_hi")
         )
-        joined = scores.join(limits, list(by))
+        joined = scores.join(F.broadcast(limits), list(by))
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
         joined = scores

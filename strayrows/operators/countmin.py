@@ -2,8 +2,11 @@
 
 The exact sketch grows with the data; here every chain and depth owns `hashes`
 rows of `width` counters. Counting is a partial sum per input partition plus one
-small aggregation, scoring reads a broadcast table of bounded size, and rows are
-never shuffled. Estimates never fall below the exact counts.
+small aggregation, scoring reads a broadcast table of bounded size. Estimates never
+fall below the exact counts; a counter holds rows / width foreign rows on average, so
+the width is chosen from the error that is acceptable, never from the number of
+chains. An ensemble whose counters exceed BLOCK_BYTES is counted and scored in blocks of
+chains, which changes no score.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from strayrows.spec import ID
 from strayrows.staging import stage
 
 BATCH_ROWS = 65_536
-MAX_TABLE_BYTES = 256 * 1024 * 1024
+BLOCK_BYTES = 256 * 1024 * 1024
 TASKS_PER_CORE = 4
 
 
@@ -45,6 +48,14 @@ class SketchShape:
     def table_bytes(self, plan: ChainPlan) -> int:
         return plan.n_chains * plan.depth * self.hashes * self.width * 8
 
+    def chains_in(self, n_bytes: int, depth: int) -> int:
+        """Chains whose counters fit in `n_bytes`, one at least."""
+        return max(1, n_bytes // (depth * self.hashes * self.width * 8))
+
+    def foreign_rows(self, n_rows: int) -> float:
+        """Rows of other cells a counter holds on average: the bound on an estimate's error."""
+        return n_rows / self.width
+
 
 def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
     """Join small Arrow batches; yield the other columns and x as [dim, row]."""
@@ -101,12 +112,19 @@ class CountMinDetector:
     seed: int = 0
     shape: SketchShape = SketchShape()
     fit_partitions: int | None = None
+    block_bytes: int = BLOCK_BYTES
 
-    def fit(self, vectors: DataFrame) -> CountMinModel:
+    def fit(self, vectors: DataFrame) -> CountMinModel | BlockedModel:
+        """A model of one block, or of as many as the counters need."""
         plan = ChainPlan.draw(self.n_dims, self.n_chains, self.depth, self.seed)
         deltas = half_ranges(ranges(vectors, self.n_dims))
-        cells = count_cells(vectors, plan, deltas, self.shape, self.fit_partitions)
-        return CountMinModel(plan, deltas, self.shape, stage(cells, "count-min"))
+        step = self.shape.chains_in(self.block_bytes, self.depth)
+        blocks = []
+        for first in range(0, self.n_chains, step):
+            part = plan.block(first, first + step)
+            cells = count_cells(vectors, part, deltas, self.shape, self.fit_partitions)
+            blocks.append(CountMinModel(part, deltas, self.shape, stage(cells, "count-min")))
+        return blocks[0] if len(blocks) == 1 else BlockedModel(plan, blocks)
 
 
 def count_cells(
@@ -122,11 +140,6 @@ def count_cells(
     tasks times table size. To keep that small next to a large input, the splits
     are read by at most `partitions` tasks, TASKS_PER_CORE per core by default.
     """
-    if shape.table_bytes(plan) > MAX_TABLE_BYTES:
-        raise ValueError(
-            f"counters need {shape.table_bytes(plan)} bytes, limit {MAX_TABLE_BYTES}: "
-            "use fewer bits, chains or depths, or score blocks of chains"
-        )
     deltas = list(deltas)
 
     def count(batches):
@@ -229,6 +242,36 @@ class CountMinModel:
         )
 
 
+@dataclass
+class BlockedModel:
+    """One ensemble whose chains are spread over several models with the same rows."""
+
+    plan: ChainPlan
+    blocks: list[CountMinModel]
+
+    def score(self, vectors: DataFrame) -> DataFrame:
+        """(row_id, score): the mean over all chains, from one sum per row and block."""
+        sums = None
+        for b in self.blocks:
+            part = b.score(vectors).select(ID, (F.col("score") * b.plan.n_chains).alias("s"))
+            sums = part if sums is None else sums.unionByName(part)
+        score = F.round(F.sum("s") / self.plan.n_chains, SCORE_DIGITS).alias("score")
+        return sums.groupBy(ID).agg(score)
+
+    def depth_scores(self, vectors: DataFrame) -> DataFrame:
+        """(row_id, chain, depth, split, v) for every depth."""
+        out, first = None, 0
+        for b in self.blocks:
+            part = b.depth_scores(vectors).withColumn("chain", F.col("chain") + first)
+            out = part if out is None else out.unionByName(part)
+            first += b.plan.n_chains
+        return out
+
+    def update(self, vectors: DataFrame) -> BlockedModel:
+        """The model after counting further rows."""
+        return BlockedModel(self.plan, [b.update(vectors) for b in self.blocks])
+
+
 def merge_cells(*cells: DataFrame) -> DataFrame:
     merged = cells[0]
     for c in cells[1:]:

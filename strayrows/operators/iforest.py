@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strayrows.functions.draws import uniform
+from strayrows.functions.prefix import running_totals
 from strayrows.operators.attribute import to_long
 from strayrows.operators.countmin import list_array, matrices
 from strayrows.operators.metrics import roc_auc
@@ -178,12 +179,22 @@ def _walk(tree: dict[str, np.ndarray], x: np.ndarray):
         yield at
 
 
+def quantile(df: DataFrame, column: str, share: float) -> float | None:
+    """The smallest value that at least `share` of the non-null values do not exceed, exactly."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    upto = stage(running_totals(counts, F.col("v"), ["n"]), "quantile")
+    n = upto.agg(F.max("cum_n")).first()[0]
+    if n is None:
+        return None
+    return upto.where(F.col("cum_n") >= max(1, math.ceil(share * n - 1e-9))).agg(F.min("v")).first()[0]
+
+
 def predict(scored: DataFrame, contamination: float | None = None) -> DataFrame:
     """Add prediction = 1 for scores above the contamination quantile, or above 0.5."""
     if contamination is None:
         limit = F.lit(0.5)
     else:
-        limit = scored.agg(F.percentile_approx("score", 1.0 - contamination, 100_000)).scalar()
+        limit = F.lit(quantile(scored, "score", 1.0 - contamination))
     return scored.withColumn("prediction", F.when(F.col("score") > limit, 1).otherwise(0))
 
 

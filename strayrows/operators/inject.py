@@ -11,6 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,7 @@ from strayrows.staging import stage
 
 INFLATE = 5.0
 NOISE = 0.01
-DRAWS = 64
+SEGMENTS = 512
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,39 @@ class Mixture:
     hi: float
     min_log: float = 0.0
 
+    def log_at(self, x: np.ndarray) -> np.ndarray:
+        """The log density of each of `x`, on the driver."""
+        w, m, s = (np.array(v)[:, None] for v in (self.weights, self.means, self.sds))
+        logs = np.log(w) - np.log(s) - 0.5 * math.log(2 * math.pi) - 0.5 * ((x - m) / s) ** 2
+        peak = logs.max(axis=0)
+        return peak + np.log(np.exp(logs - peak).sum(axis=0))
+
+    def unlikely(self, lo: float, hi: float) -> list[tuple[float, float]]:
+        """The intervals of [lo, hi] where the density is below every normal value's.
+
+        The density of some Gaussians changes sides between their means a few times at most; a grid
+        that is finer around each mean finds the changes, bisection places them.
+        """
+        near = np.linspace(-8.0, 8.0, 257)
+        grid = np.concatenate([np.linspace(lo, hi, 4097), *[m + s * near for m, s in zip(self.means, self.sds)]])
+        grid = np.unique(grid[(grid >= lo) & (grid <= hi)])
+        below = self.log_at(grid) < self.min_log
+        out, start = [], lo if below[0] else None
+        for i in np.flatnonzero(below[1:] != below[:-1]):
+            a, b = float(grid[i]), float(grid[i + 1])
+            for _ in range(60):
+                mid = 0.5 * (a + b)
+                if (self.log_at(np.array([mid]))[0] < self.min_log) == below[i]:
+                    a = mid
+                else:
+                    b = mid
+            if below[i]:  # the last point known to be inside
+                out.append((start, a))
+                start = None
+            else:
+                start = b
+        return out + ([(start, hi)] if start is not None else [])
+
     def log_density(self, x: Column) -> Column:
         parts = literal_table(
             [
@@ -118,40 +152,47 @@ def rare_category(shares: DataFrame) -> DataFrame:
     )
 
 
-def local_value(mixture: Mixture, key: Column, seed: int, feature: str, draws: int = DRAWS) -> Column:
-    """First draw from the inflated mixture that is less likely than every normal value."""
-    parts = literal_table(
-        [
-            {"upto": sum(mixture.weights[: i + 1]), "m": m, "s": s * math.sqrt(INFLATE)}
-            for i, (m, s) in enumerate(zip(mixture.means, mixture.sds))
-        ],
-        "array<struct<upto:double,m:double,s:double>>",
-    )
+def local_value(mixture: Mixture, key: Column, seed: int, feature: str, positive: bool = False) -> Column:
+    """A draw from the inflated mixture, given that it is less likely than every normal value."""
+    sds = [s * math.sqrt(INFLATE) for s in mixture.sds]
+    lo = min(m - 12.0 * s for m, s in zip(mixture.means, sds))
+    hi = max(m + 12.0 * s for m, s in zip(mixture.means, sds))
 
-    def draw(i: Column) -> Column:
-        u = uniform(key, seed, feature, i, "component")
-        reached = F.filter(parts, lambda p: u < p["upto"])
-        part = F.coalesce(F.try_element_at(reached, F.lit(1)), F.element_at(parts, -1))
-        return part["m"] + part["s"] * normal(key, seed, feature, i)
+    def mass(a: np.ndarray) -> np.ndarray:
+        """Share of the inflated mixture below each of `a`."""
+        below = lambda v, m, s: 0.5 * math.erfc((m - v) / (s * math.sqrt(2.0)))
+        return np.array([sum(w * below(v, m, s) for w, m, s in zip(mixture.weights, mixture.means, sds)) for v in a])
 
-    return _first_unlikely(mixture, draw, draws)
+    return _drawn(mixture.unlikely(max(lo, 0.0) if positive else lo, hi), mass, uniform(key, seed, feature, "local"), feature)
 
 
-def global_value(mixture: Mixture, key: Column, seed: int, feature: str, draws: int = DRAWS) -> Column:
-    """First unlikely draw, uniform from half a range below to one and a half above the range."""
+def global_value(mixture: Mixture, key: Column, seed: int, feature: str, positive: bool = False) -> Column:
+    """An unlikely draw, uniform from half a range below to one and a half above the range."""
     span = mixture.hi - mixture.lo
-
-    def draw(i: Column) -> Column:
-        u = uniform(key, seed, feature, i, "global")
-        return u * F.lit(3.0 * span) + F.lit(mixture.lo - 0.5 * span)
-
-    return _first_unlikely(mixture, draw, draws)
+    lo, hi = mixture.lo - 0.5 * span, mixture.hi + 1.5 * span
+    return _drawn(
+        mixture.unlikely(max(lo, 0.0) if positive else lo, hi), lambda a: a, uniform(key, seed, feature, "global"), feature
+    )
 
 
-def _first_unlikely(mixture: Mixture, draw, draws: int) -> Column:
-    values = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), draw)
-    unlikely = F.filter(values, lambda v: mixture.log_density(v) < F.lit(mixture.min_log))
-    return F.try_element_at(unlikely, F.lit(1))
+def _drawn(intervals: list[tuple[float, float]], mass, u: Column, feature: str) -> Column:
+    """The value at share `u` of the mass that lies in the intervals, linear within SEGMENTS pieces."""
+    edges = []
+    for a, b in intervals:
+        points = np.linspace(a, b, max(2, SEGMENTS // len(intervals)) + 1)
+        below = mass(points)
+        edges += [(x, y, q - p) for x, y, p, q in zip(points, points[1:], below, below[1:]) if q > p]
+    whole = sum(e[2] for e in edges)
+    if whole <= 0.0:
+        raise ValueError(f"{feature} has no value less likely than its normal ones")
+    upto, pieces = 0.0, []
+    for x, y, m in edges:
+        pieces.append({"from": upto / whole, "upto": (upto + m) / whole, "lo": float(x), "hi": float(y)})
+        upto += m
+    table = literal_table(pieces, "array<struct<from:double,upto:double,lo:double,hi:double>>")
+    reached = F.filter(table, lambda p: u < p["upto"])
+    own = F.coalesce(F.try_element_at(reached, F.lit(1)), F.element_at(table, -1))
+    return own["lo"] + (own["hi"] - own["lo"]) * (u - own["from"]) / (own["upto"] - own["from"])
 
 
 @dataclass(frozen=True)
@@ -220,7 +261,8 @@ def inject(
 
     A group's features are replaced on a typical row; the outlier is accepted if
     every replacement makes the row less likely and the row ends up clearly above
-    the most abnormal typical row. Accepted outliers are copied with small noise.
+    the most abnormal typical row. Accepted outliers are copied with small noise. Too few
+    acceptable rows raise a ValueError.
     """
     normal_profile = profile(df, spec, max_components, seed, max_iter)
     scored = with_densities(df.select(ID, *[quote(f) for f in spec.features]), spec, normal_profile)
@@ -241,7 +283,7 @@ def inject(
             else:
                 mixture = normal_profile.mixtures[f]
                 make = local_value if group.kind == "local" else global_value
-                changed = changed.withColumn(f"_new_{i}", make(mixture, F.col(ID), seed + g, f))
+                changed = changed.withColumn(f"_new_{i}", make(mixture, F.col(ID), seed + g, f, positive))
                 new = F.col(f"_new_{i}")
                 density = mixture.log_density(new)
                 if positive:
@@ -258,6 +300,10 @@ def inject(
             .orderBy(F.xxhash64(F.col(ID), F.lit(seed + g)), ID)
             .limit(n_outliers)
         )
+        accepted = stage(accepted, "accepted")
+        found = accepted.count()
+        if found < n_outliers:
+            raise ValueError(f"only {found} of {n_outliers} outliers of {group.features} are acceptable")
         order = Window.orderBy(F.xxhash64(F.col(ID), F.lit(seed + g)), ID)  # n_outliers rows
         numbered = accepted.withColumn("_n", F.row_number().over(order) - 1).withColumn(
             "_c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))

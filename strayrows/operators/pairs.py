@@ -26,7 +26,7 @@ from strayrows.operators.chains import (
     ranges,
 )
 from strayrows.operators.countmin import (
-    MAX_TABLE_BYTES,
+    BLOCK_BYTES,
     CountMinModel,
     SketchShape,
     count_cells,
@@ -77,13 +77,17 @@ def pair_terms(fx: str, fy: str, n_dims: int | None) -> list[list[tuple[str, flo
 
 @dataclass(frozen=True)
 class PairDetector:
-    """Detector settings; `shape=None` counts exactly, otherwise with count-min counters."""
+    """Detector settings; `shape=None` counts exactly, otherwise with count-min counters.
+
+    A chain that halves `depth` times the two features of a pair has some 2^depth cells however many rows
+    there are, so 2^(depth + 2) counters do not fill up; the default fits the default depth.
+    """
 
     n_dims: int | None = 50
     n_chains: int = 50
     depth: int = 10
     seed: int = 0
-    shape: SketchShape | None = SketchShape(bits=10)
+    shape: SketchShape | None = SketchShape(bits=12)
 
     @property
     def width(self) -> int:
@@ -114,7 +118,7 @@ class PairDetector:
     def blocks(self, pairs: Sequence[Pair]) -> list[list[Pair]]:
         """Pairs whose counters fit in memory together."""
         one = self.n_chains * self.depth * self.shape.hashes * self.shape.width * 8
-        n = max(1, MAX_TABLE_BYTES // one)
+        n = max(1, BLOCK_BYTES // one)
         return [list(pairs[i : i + n]) for i in range(0, len(pairs), n)]
 
     def score(self, rows: DataFrame, pairs: Sequence[Pair], outliers: DataFrame) -> DataFrame:

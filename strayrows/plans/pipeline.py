@@ -21,12 +21,15 @@ from strayrows.sources import tables as IO
 from strayrows.spec import ID, FeatureSpec, split_roles
 from strayrows.staging import stage
 
-EXACT_STEPS = 2_000_000_000
-
 
 @dataclass(frozen=True)
 class Parameters:
-    """Settings of a run; the defaults are the usual workload."""
+    """Settings of a run; the defaults are the usual workload.
+
+    `detector` names the detector and means the same at every table size: "counters" keeps counters
+    of the given `shape` and overestimates a count by rows / width on average, "exact" keeps every
+    filled cell.
+    """
 
     projdim: int | None = 60
     nchains: int = 300
@@ -37,20 +40,14 @@ class Parameters:
     cluster_num: int = 10
     top_features: int = 10
     seed: int = 0
-    exact: bool | None = None
+    detector: str = "counters"
+    shape: CM.SketchShape = CM.SketchShape(bits=16)
     min_coverage: float = 0.05
     max_impurity: float = 0.95
     max_conditions: int = 5
     max_budget: int = 5
     pairs: L.PairDetector = L.PairDetector()
 
-    def sketch_shape(self) -> CM.SketchShape:
-        """The widest counters whose table stays within the memory limit."""
-        shape = CM.SketchShape(bits=16)
-        one = self.nchains * self.depth * shape.hashes * 8
-        bits = max(1, min(16, (CM.MAX_TABLE_BYTES // one).bit_length() - 1))
-        return CM.SketchShape(bits=bits)
-
 
 @dataclass
 class Detection:
@@ -78,16 +75,14 @@ def detect(df: DataFrame, spec: FeatureSpec, p: Parameters = Parameters()) -> De
     # Projected anew in every pass: cheaper than writing n x projdim doubles.
     vectors = vectorize(rows, role, p.projdim)
     width = p.projdim or len(spec.features)
-    exact = p.exact
-    if exact is None:
-        exact = vectors.count() * p.nchains * p.depth <= EXACT_STEPS
-    if exact:
+    if p.detector == "exact":
         model = C.ChainDetector(width, p.nchains, p.depth, p.seed).fit(vectors)
         scores = model.score(vectors, fitted=True)
-    else:
-        detector = CM.CountMinDetector(width, p.nchains, p.depth, p.seed, p.sketch_shape())
-        model = detector.fit(vectors)
+    elif p.detector == "counters":
+        model = CM.CountMinDetector(width, p.nchains, p.depth, p.seed, p.shape).fit(vectors)
         scores = model.score(vectors)
+    else:
+        raise ValueError(f"no detector named {p.detector}")
     scores = stage(scores, "raw-scores")
     if spec.label:
         scores = scores.join(rows.select(ID, "label"), ID)

@@ -160,10 +160,28 @@ def test_count_min_update_and_depths(spark):
     assert a == pytest.approx(b)
 
 
-def test_counters_are_limited(spark):
-    _, df = random_vectors(spark, 5)
-    with pytest.raises(ValueError):
-        CM.CountMinDetector(3, 300, 20, 0, CM.SketchShape(2, 16)).fit(df)
+def test_blocks_of_chains_change_no_score(spark):
+    _, df = random_vectors(spark)
+    shape = CM.SketchShape(2, 8)
+    whole = CM.CountMinDetector(3, 10, 6, 3, shape).fit(df)
+    parts = CM.CountMinDetector(3, 10, 6, 3, shape, block_bytes=3 * 6 * 2 * 256 * 8).fit(df)
+    assert len(parts.blocks) == 4
+    assert scores_of(parts.score(df)) == pytest.approx(scores_of(whole.score(df)))
+    key = lambda r: (r["row_id"], r["chain"], r["depth"], r["split"], r["v"])
+    assert sorted(map(key, parts.depth_scores(df).collect())) == sorted(map(key, whole.depth_scores(df).collect()))
+    half = CM.CountMinDetector(3, 10, 6, 3, shape, block_bytes=1).fit(df).update(df.where("row_id % 2 = 0"))
+    assert len(half.blocks) == 10
+
+
+def test_counters_of_a_chosen_width_find_planted_outliers(spark):
+    """40 outliers among 20,000 rows, with about 157 rows a counter and blocks of chains."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(20_000, 4)), rng.normal(size=(40, 4)) * 0.3 + rng.choice([-7, 7], size=(40, 4))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id bigint, x array<double>")
+    shape = CM.SketchShape(2, 7)
+    assert shape.foreign_rows(20_040) == 20_040 / 128
+    scores = CM.CountMinDetector(4, 20, 12, 2, shape, block_bytes=128 << 10).fit(df).score(df)
+    assert sum(r["row_id"] >= 20_000 for r in C.top_k(scores, 40).collect()) >= 36
 
 
 def test_top_k_breaks_ties_by_key(spark):

@@ -175,7 +175,8 @@ def test_whole_pipeline(spark, tmp_path):
 def test_pipeline_with_bounded_counters(spark, cloud):
     df = cloud.select("row_id", *[F.col("x")[i].alias(f"f{i}") for i in range(3)])
     spec = FeatureSpec.from_schema(df.schema)
-    p = pipeline.Parameters(projdim=None, nchains=100, depth=10, topk=20, cluster_num=3, exact=False)
+    p = pipeline.Parameters(projdim=None, nchains=100, depth=10, topk=20, cluster_num=3)
     found = pipeline.detect(df, spec, p)
     assert set(range(1000, 1008)) <= {r["row_id"] for r in found.outliers.collect()}
-    assert p.sketch_shape().table_bytes(C.ChainPlan.draw(3, 100, 10, 0)) <= CM.MAX_TABLE_BYTES
+    with pytest.raises(ValueError):
+        pipeline.detect(df, spec, pipeline.Parameters(projdim=None, detector="other"))
