@@ -25,9 +25,11 @@ _SALT = np.uint64(0x51ED270B7A3C9D15)
 
 def in_several(keys: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and whether each occurs in two units at least."""
+    if not len(keys):
+        return keys, np.zeros(0, bool)
     order = np.argsort(keys, kind="stable")
     keys, units = keys[order], units[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     end = np.append(start[1:], len(keys)) - 1
     return keys[start], units[start] != units[end]
 
