@@ -231,7 +231,29 @@ def line_dedup(
     )
 
 
-@query("op6_line_dedup")
+SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, i, list_filter(string_split_regex(parts[i], '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)),
+l AS (SELECT doc_id, i, w, array_to_string(w, ' ') AS t, {'d': doc_id, 'i': i} AS here FROM lines WHERE len(w) >= 3),
+same AS (SELECT t, any_value(w) AS w, min(here) AS own FROM l GROUP BY t),
+long AS (SELECT t, w, own, unnest(range(1, len(w) + 1)) AS p FROM same WHERE len(w) >= 10),
+cut AS (SELECT t, own, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') AS v FROM long),
+replaced AS (SELECT t, min(m) AS m FROM (SELECT t, min(own) OVER (PARTITION BY v, p) AS m FROM cut) GROUP BY t),
+added AS (SELECT cut.t, min(same.own) AS m FROM cut JOIN same ON cut.v = same.t WHERE len(same.w) >= 10 GROUP BY cut.t),
+lacking AS (SELECT same.t, min(cut.own) AS m FROM same JOIN cut ON cut.v = same.t WHERE len(same.w) >= 10 GROUP BY same.t),
+owners AS (
+  SELECT t, min(m) AS owner FROM (
+    SELECT t, own AS m FROM same UNION ALL FROM replaced UNION ALL FROM added UNION ALL FROM lacking) GROUP BY t),
+gone AS (SELECT doc_id, list(i) AS p FROM l JOIN owners USING (t) WHERE owner < here GROUP BY doc_id)
+SELECT d.doc_id, (SELECT count(*) FROM lines x WHERE x.doc_id = d.doc_id AND len(x.w) > 0) AS n_lines, coalesce(len(p), 0) AS n_removed,
+       sha256(array_to_string(list_filter(parts, lambda v, i: NOT list_contains(coalesce(p, []), i)), chr(10))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op6_line_dedup", SQL)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select(

@@ -231,6 +231,54 @@ def _limits(rows: DataFrame, rules: tuple[Rule, ...], least: int) -> DataFrame:
     return chosen.select("g0", "g1", *out)
 
 
-@query("op5_quality_rules")
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang AS g0, source AS g1, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE c > 1)
+  GROUP BY doc_id),
+m AS (
+  SELECT doc_id, g0, g1, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters
+  FROM d LEFT JOIN twice USING (doc_id)),
+r AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    [CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END,
+     CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END,
+     CASE WHEN n_letters > 0 THEN n_upper / n_letters ELSE 0 END] AS x FROM m),
+b AS (
+  SELECT g0, g1, k, CASE WHEN x[k] > 0 THEN ceil(ln(x[k]) / ln(1.02)) END AS b
+  FROM (SELECT g0, g1, x, unnest(range(1, 6)) AS k FROM r WHERE NOT base_failed)),
+levels AS (
+  SELECT 1 AS level, g0, g1, k, b FROM b UNION ALL SELECT 2, g0, NULL, k, b FROM b UNION ALL SELECT 3, NULL, NULL, k, b FROM b),
+ranked AS (
+  SELECT level, g0, g1, k, CASE WHEN b IS NULL THEN 0 ELSE exp((b - 0.5) * ln(1.02)) END AS x,
+         row_number() OVER (PARTITION BY level, g0, g1, k ORDER BY b NULLS FIRST) AS i, count(*) OVER (PARTITION BY level, g0, g1, k) AS n
+  FROM levels),
+q AS (
+  SELECT level, g0, g1, k, min(CASE WHEN i >= 0.25 * n THEN x END) AS q1, min(CASE WHEN i >= 0.75 * n THEN x END) AS q3
+  FROM ranked WHERE n >= 200 GROUP BY ALL),
+limits AS (
+  SELECT r.doc_id, k, arg_min(q1, level) AS q1, arg_min(q3, level) AS q3
+  FROM r JOIN q ON level = 3 OR q.g0 IS NOT DISTINCT FROM r.g0 AND (level = 2 OR q.g1 IS NOT DISTINCT FROM r.g1) GROUP BY ALL),
+outside AS (
+  SELECT r.doc_id, bool_or(
+    x[k] > q3 + greatest(3 * (q3 - q1), [2.0, 0.2, 0.4, 0.3, 0.4][k]) OR k = 1 AND x[k] < q1 - greatest(3 * (q3 - q1), 2.0)) AS out
+  FROM r JOIN limits USING (doc_id) GROUP BY r.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(out, false) AS kept
+FROM r LEFT JOIN outside USING (doc_id)
+"""
+
+
+@query("op5_quality_rules", SQL)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))

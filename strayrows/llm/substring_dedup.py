@@ -334,7 +334,23 @@ def substring_dedup(
     )
 
 
-@query("op1_substring_dedup")
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM starts),
+owners AS (SELECT x, min(doc_id) AS first FROM windows GROUP BY x),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS p FROM (
+    SELECT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN owners USING (x) WHERE first < doc_id)
+  GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda v, i: NOT list_contains(coalesce(p, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", SQL)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select(
