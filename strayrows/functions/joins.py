@@ -8,22 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strayrows.spec import quote
+from strayrows.staging import stage
 
-BROADCAST_ROWS = 1_000_000
-SALTS = 16
+#: What a broadcast may weigh, as text; above, the table is shuffled.
+BROADCAST_BYTES = 64 * 1024 * 1024
+#: A key with more than this share of the rows is spread.
+HOT_SHARE = 1 / 64
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of all values written as text, in one pass over a small staged table."""
+    texts = F.length(F.to_json(F.struct(*[F.col(quote(c)) for c in df.columns])))
+    return df.agg(F.coalesce(F.sum(texts), F.lit(0))).first()[0]
 
 
 def lookup(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join a lookup table with unique keys; `small` should be staged.
 
-    A table of up to BROADCAST_ROWS rows (counted, not assumed) is broadcast. A
-    larger one is repeated SALTS times and joined on a salted key, so rows that
-    share one frequent key still spread over SALTS partitions.
+    A table of at most BROADCAST_BYTES (measured, not assumed) is broadcast. Beyond that, the keys
+    that hold more than HOT_SHARE of the rows of `df`, 64 at most, are met by a broadcast of their
+    rows, and only the others are shuffled, so no task gets more than such a share.
     """
-    if small.count() <= BROADCAST_ROWS:
+    if size_of(small) <= BROADCAST_BYTES:
         return df.join(F.broadcast(small), list(on), how)
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # The salt follows from the row's content, so a task that is run again salts alike.
-    content = F.xxhash64(*[F.col(quote(c)) for c in df.columns])
-    salted = df.withColumn("_salt", F.pmod(content, F.lit(SALTS)).cast("int"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    keys = [F.col(quote(c)) for c in on]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(stage(counts.where(F.col("_n") > F.lit(HOT_SHARE * total)).drop("_n"), "hot-keys"))
+    spread = df.join(hot, list(on), "left_semi").join(F.broadcast(small.join(hot, list(on), "left_semi")), list(on), how)
+    return spread.unionByName(df.join(hot, list(on), "left_anti").join(small, list(on), how))

@@ -23,7 +23,7 @@ from strayrows.staging import stage
 
 SCORE_DIGITS = 9
 HOT_PARTS = 64
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 class DetectorModel(Protocol):
@@ -289,9 +289,13 @@ class ChainModel:
     path_counts: DataFrame | None = None
     _hot: DataFrame | None = field(default=None, repr=False)
 
+    def _row_bytes(self) -> int:
+        """What a row with an array of up to `depth` bins takes in memory."""
+        return 64 + 8 * self.plan.depth
+
     def _count(self, cells: DataFrame) -> DataFrame:
         """Add cnt to (chain, depth, bin) rows, 0 for a cell that was never filled."""
-        small = self.n_cells <= BROADCAST_ROWS
+        small = self.n_cells * self._row_bytes() <= BROADCAST_BYTES
         if not small and self._hot is None:
             # At most HOT_PARTS cells per chain and depth can exceed this share of the paths.
             share = F.col("paths") * HOT_PARTS * self.plan.n_chains
@@ -321,7 +325,7 @@ class ChainModel:
         counts = self.path_counts if known else count_paths(paths)
         values = stage(self.path_values(counts), "path-values")
         size = values.agg(F.count("*").alias("n"), F.sum("cnt").alias("rows")).first()
-        small = size["n"] <= BROADCAST_ROWS
+        small = size["n"] * self._row_bytes() <= BROADCAST_BYTES
         hot = None
         if not small:
             # At most HOT_PARTS paths per chain hold more than this share of the rows.

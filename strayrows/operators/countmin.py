@@ -26,6 +26,9 @@ from strayrows.staging import stage
 BATCH_ROWS = 65_536
 BLOCK_BYTES = 256 * 1024 * 1024
 TASKS_PER_CORE = 4
+#: Counters that travel as one array.
+PART = 1 << 18
+PACKED = "part int, at binary, cnt binary"
 
 
 @dataclass(frozen=True)
@@ -122,35 +125,102 @@ class CountMinDetector:
         blocks = []
         for first in range(0, self.n_chains, step):
             part = plan.block(first, first + step)
-            cells = count_cells(vectors, part, deltas, self.shape, self.fit_partitions)
-            blocks.append(CountMinModel(part, deltas, self.shape, stage(cells, "count-min")))
+            cells = packed_cells(vectors, part, deltas, self.shape, self.fit_partitions)
+            blocks.append(CountMinModel(part, deltas, self.shape, unpacked(stage(cells, "count-min"))))
         return blocks[0] if len(blocks) == 1 else BlockedModel(plan, blocks)
 
 
-def count_cells(
+def _table_counter(plan: ChainPlan, deltas: Sequence[float], shape: SketchShape):
+    """Counts of all counters, flat, over the batches of a task."""
+    deltas = list(deltas)
+
+    def count(batches) -> np.ndarray:
+        size = plan.n_chains * plan.depth * shape.hashes
+        table = np.zeros((size, shape.width), dtype=np.int64)
+        for _, x in matrices(batches):
+            for c, d, index in _buckets(x, plan, deltas, shape):
+                base = (c * plan.depth + d) * shape.hashes
+                for j, i in enumerate(index):
+                    table[base + j] += np.bincount(i, minlength=shape.width)
+        return table.reshape(-1)
+
+    return count
+
+
+def _few_tasks(vectors: DataFrame, partitions: int | None) -> DataFrame:
+    """The splits read by at most `partitions` tasks, so that one table per task stays little."""
+    if partitions is None:
+        partitions = TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    return vectors.select("x").coalesce(partitions)
+
+
+def packed_cells(
     vectors: DataFrame,
     plan: ChainPlan,
     deltas: Sequence[float],
     shape: SketchShape,
     partitions: int | None = None,
 ) -> DataFrame:
-    """(cell, cnt) of all non-empty counters.
+    """(part, at, cnt): the non-empty counters in arrays, PART counters a row.
 
-    Each task sends at most one row per counter, so the shuffle is bounded by
-    tasks times table size. To keep that small next to a large input, the splits
-    are read by at most `partitions` tasks, TASKS_PER_CORE per core by default.
+    Each task sends at most one array per part, so the shuffle is bounded by tasks times table size and
+    moves a few rows whatever the width.
     """
-    deltas = list(deltas)
+    counter = _table_counter(plan, deltas, shape)
+
+    def pack(batches):
+        flat = counter(batches)
+        rows = []
+        for part in range(0, -(-len(flat) // PART)):
+            own = flat[part * PART : (part + 1) * PART]
+            at = np.flatnonzero(own)
+            if len(at):
+                rows.append((part, at.astype(np.int32).tobytes(), own[at].tobytes()))
+        yield _packed(rows)
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(PART, dtype=np.int64)
+        for at, cnt in zip(group.column("at").to_pylist(), group.column("cnt").to_pylist()):
+            total[np.frombuffer(at, np.int32)] += np.frombuffer(cnt, np.int64)
+        at = np.flatnonzero(total)
+        part = group.column("part")[0].as_py()
+        return pa.Table.from_batches([_packed([(part, at.astype(np.int32).tobytes(), total[at].tobytes())])])
+
+    partial = _few_tasks(vectors, partitions).mapInArrow(pack, PACKED)
+    return partial.groupBy("part").applyInArrow(add, PACKED)
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    part, at, cnt = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part, pa.int32()), pa.array(at, pa.binary()), pa.array(cnt, pa.binary())], ["part", "at", "cnt"]
+    )
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """(cell, cnt) of packed counters."""
+
+    def unpack(batches):
+        for batch in batches:
+            for part, at, cnt in zip(*(c.to_pylist() for c in batch.columns)):
+                cell = np.frombuffer(at, np.int32).astype(np.int64) + part * PART
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.frombuffer(cnt, np.int64))], ["cell", "cnt"])
+
+    return packed.mapInArrow(unpack, "cell bigint, cnt bigint")
+
+
+def count_cells(
+    vectors: DataFrame,
+    plan: ChainPlan,
+    deltas: Sequence[float],
+    shape: SketchShape,
+    partitions: int | None = None,
+) -> DataFrame:
+    """(cell, cnt) of all non-empty counters, as rows that a stream can keep up to date."""
+    counter = _table_counter(plan, deltas, shape)
 
     def count(batches):
-        size = plan.n_chains * plan.depth * shape.hashes
-        table = np.zeros((size, shape.width), dtype=np.int64)
-        for _, x in matrices(batches):
-            for c, d, index in _buckets(x, plan, deltas, shape):
-                base = (c * plan.depth + d) * shape.hashes
-                for j, i in enumerate(index):
-                    table[base + j] += np.bincount(i, minlength=shape.width)
-        flat = table.reshape(-1)
+        flat = counter(batches)
         filled = np.flatnonzero(flat)
         for at in range(0, len(filled), BATCH_ROWS):
             part = filled[at : at + BATCH_ROWS]
@@ -158,10 +228,7 @@ def count_cells(
                 [pa.array(part.astype(np.int64)), pa.array(flat[part])], ["cell", "cnt"]
             )
 
-    if partitions is None:
-        partitions = TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
-    rows = vectors.select("x").coalesce(partitions)
-    partial = rows.mapInArrow(count, "cell bigint, cnt bigint")
+    partial = _few_tasks(vectors, partitions).mapInArrow(count, "cell bigint, cnt bigint")
     return partial.groupBy("cell").agg(F.sum("cnt").alias("cnt"))
 
 

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +27,7 @@ from strayrows.staging import stage
 INFLATE = 5.0
 NOISE = 0.01
 SEGMENTS = 512
+BINS = 4096
 
 
 @dataclass(frozen=True)
@@ -87,54 +87,91 @@ class Mixture:
         return peak + F.ln(total(F.transform(logs, lambda v: F.exp(v - peak))))
 
 
-def fit_mixture(
-    df: DataFrame, feature: str, max_components: int = 10, seed: int = 0, max_iter: int = 100
-) -> Mixture:
-    """Mixture of 1..max_components Gaussians with the lowest BIC."""
-    lo, hi = limits(df, [feature])[feature]
-    x = F.col(quote(feature)).cast("double")
-    if hi == lo:
-        best = Mixture((1.0,), (lo,), (1e-3,), lo, hi)
-    else:
-        # Fitted on 0..1, so the solver's tolerance means the same for every feature.
-        scaled = stage(
-            df.select(array_to_vector(F.array((x - lo) / F.lit(hi - lo))).alias("features")), "scaled"
-        )
-        n = scaled.count()
-        best, lowest = None, math.inf
-        for k in range(1, max_components + 1):
-            parts, log_likelihood = _components(scaled, k, n, seed, max_iter)
-            bic = -2.0 * log_likelihood + (3 * k - 1) * math.log(n)
-            if bic < lowest:
-                lowest = bic
-                best = Mixture(
-                    tuple(w for w, _, _ in parts),
-                    tuple(lo + m * (hi - lo) for _, m, _ in parts),
-                    tuple(s * (hi - lo) for _, _, s in parts),
-                    lo,
-                    hi,
-                )
-    least = df.agg(F.min(best.log_density(x))).first()[0]
-    return Mixture(best.weights, best.means, best.sds, lo, hi, float(least))
-
-
-def _components(
-    scaled: DataFrame, k: int, n: int, seed: int, max_iter: int
-) -> tuple[list[tuple[float, float, float]], float]:
-    """(weight, mean, sd) of k fitted Gaussians and their log likelihood."""
-    if k == 1:
-        x = F.get(vector_to_array("features"), F.lit(0))
-        row = scaled.agg(F.avg(x).alias("m"), F.var_pop(x).alias("v")).first()
-        return [(1.0, row["m"], math.sqrt(row["v"]))], -0.5 * n * (
-            math.log(2 * math.pi * row["v"]) + 1.0
+def fit_mixtures(
+    df: DataFrame, features: Sequence[str], max_components: int = 10, max_iter: int = 100
+) -> dict[str, Mixture]:
+    """Of each feature the mixture of 1..max_components Gaussians with the lowest BIC.
+
+    Two passes over the table for all features: ranges, then histograms of BINS cells with counts and means.
+    The mixtures are fitted to these, whose size does not depend on the table; nulls and NaN are left out.
+    """
+    if not features:
+        return {}
+    bounds = limits(df, list(features))
+    unknown = [f for f in features if bounds[f][0] is None]
+    if unknown:
+        raise ValueError(f"no values of {unknown}")
+    cells = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(i).alias("i"), F.col(quote(f)).cast("double").alias("x"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+                for i, (f, (lo, hi)) in enumerate((f, bounds[f]) for f in features)
+            ]
         )
-    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(scaled)
-    parts = [
-        (w, float(g.mean[0]), math.sqrt(max(float(g.cov.toArray()[0][0]), 1e-12)))
-        for w, g in zip(model.weights, model.gaussians)
-        if w > 1e-12
-    ]
-    return parts, model.summary.logLikelihood
+    )
+    place = F.when(F.col("c.hi") > F.col("c.lo"), F.floor((F.col("c.x") - F.col("c.lo")) / (F.col("c.hi") - F.col("c.lo")) * BINS))
+    rows = (
+        df.select(cells.alias("c"))
+        .where(F.col("c.x").isNotNull() & ~F.isnan("c.x"))
+        .groupBy("c.i", F.least(F.coalesce(place, F.lit(0)), F.lit(BINS - 1)).alias("cell"))
+        .agg(F.count("*").alias("n"), F.avg("c.x").alias("x"))
+        .collect()  # features x BINS at most
+    )
+    found = {}
+    for i, f in enumerate(features):
+        lo, hi = bounds[f]
+        own = sorted((r["x"], r["n"]) for r in rows if r["i"] == i)
+        x, n = np.array([r[0] for r in own]), np.array([float(r[1]) for r in own])
+        found[f] = _lowest_bic(x, n, lo, hi, max_components, max_iter)
+    least = df.agg(
+        *[F.min(found[f].log_density(F.col(quote(f)).cast("double"))).alias(f"m{i}") for i, f in enumerate(features)]
+    ).first()
+    return {f: replace(found[f], min_log=float(least[f"m{i}"])) for i, f in enumerate(features)}
+
+
+def fit_mixture(df: DataFrame, feature: str, max_components: int = 10, max_iter: int = 100) -> Mixture:
+    return fit_mixtures(df, [feature], max_components, max_iter)[feature]
+
+
+def _lowest_bic(x: np.ndarray, n: np.ndarray, lo: float, hi: float, max_components: int, max_iter: int) -> Mixture:
+    if hi == lo:
+        return Mixture((1.0,), (lo,), (1e-3,), lo, hi)
+    span, best, lowest = hi - lo, None, math.inf
+    for k in range(1, min(max_components, len(x)) + 1):
+        w, m, s, log_likelihood = _gaussians((x - lo) / span, n, k, max_iter)
+        bic = -2.0 * log_likelihood + (3 * k - 1) * math.log(n.sum())
+        if bic < lowest:
+            lowest = bic
+            keep = w > 1e-12
+            best = Mixture(
+                tuple(map(float, w[keep])), tuple(float(lo + v * span) for v in m[keep]),
+                tuple(float(v * span) for v in s[keep]), lo, hi,
+            )
+    return best
+
+
+def _gaussians(x: np.ndarray, n: np.ndarray, k: int, max_iter: int, tolerance: float = 1e-6):
+    """Weights, means, deviations and log likelihood of k Gaussians on weighted points in 0..1.
+
+    Starts from k groups of equal weight in ascending order, so no draw is needed.
+    """
+    share = (np.cumsum(n) - 0.5 * n) / n.sum()
+    part = np.minimum((share * k).astype(int), k - 1)
+    r = (part[None, :] == np.arange(k)[:, None]) * 0.9 + 0.1 / k
+    floor, before = (1.0 / BINS) ** 2 / 12.0, -math.inf
+    for _ in range(max_iter + 1):
+        mass = (r * n).sum(axis=1) + 1e-300
+        w, m = mass / n.sum(), (r * n * x).sum(axis=1) / mass
+        s = np.sqrt(np.maximum((r * n * (x - m[:, None]) ** 2).sum(axis=1) / mass, floor))
+        logs = np.log(w + 1e-300)[:, None] - np.log(s)[:, None] - 0.5 * math.log(2 * math.pi) - 0.5 * ((x - m[:, None]) / s[:, None]) ** 2
+        peak = logs.max(axis=0)
+        each = peak + np.log(np.exp(logs - peak).sum(axis=0))
+        r = np.exp(logs - each)
+        total_ = float((n * each).sum())
+        if total_ - before < tolerance * abs(total_):
+            break
+        before = total_
+    return w, m, s, total_
 
 
 def category_shares(df: DataFrame, feature: str) -> DataFrame:
@@ -185,14 +222,16 @@ def _drawn(intervals: list[tuple[float, float]], mass, u: Column, feature: str)
     whole = sum(e[2] for e in edges)
     if whole <= 0.0:
         raise ValueError(f"{feature} has no value less likely than its normal ones")
-    upto, pieces = 0.0, []
-    for x, y, m in edges:
-        pieces.append({"from": upto / whole, "upto": (upto + m) / whole, "lo": float(x), "hi": float(y)})
-        upto += m
-    table = literal_table(pieces, "array<struct<from:double,upto:double,lo:double,hi:double>>")
-    reached = F.filter(table, lambda p: u < p["upto"])
-    own = F.coalesce(F.try_element_at(reached, F.lit(1)), F.element_at(table, -1))
-    return own["lo"] + (own["hi"] - own["lo"]) * (u - own["from"]) / (own["upto"] - own["from"])
+    lo, hi, share = (np.array(c) for c in zip(*edges))
+    upto = np.cumsum(share) / whole
+    start = np.concatenate([np.zeros(1), upto[:-1]])
+
+    @F.pandas_udf("double")
+    def value(u: pd.Series) -> pd.Series:
+        i = np.minimum(np.searchsorted(upto, u, side="right"), len(upto) - 1)
+        return pd.Series(lo[i] + (hi[i] - lo[i]) * (u - start[i]) / (upto[i] - start[i]))
+
+    return value(u)
 
 
 @dataclass(frozen=True)
@@ -213,9 +252,9 @@ class Profile:
 
 
 def profile(
-    df: DataFrame, spec: FeatureSpec, max_components: int = 10, seed: int = 0, max_iter: int = 100
+    df: DataFrame, spec: FeatureSpec, max_components: int = 10, max_iter: int = 100
 ) -> Profile:
-    mixtures = {f: fit_mixture(df, f, max_components, seed, max_iter) for f in spec.numeric}
+    mixtures = fit_mixtures(df, spec.numeric, max_components, max_iter)
     shares = {f: stage(category_shares(df, f), "shares") for f in spec.categories}
     rare = {}
     for f, s in shares.items():
@@ -264,7 +303,7 @@ def inject(
     the most abnormal typical row. Accepted outliers are copied with small noise. Too few
     acceptable rows raise a ValueError.
     """
-    normal_profile = profile(df, spec, max_components, seed, max_iter)
+    normal_profile = profile(df, spec, max_components, max_iter)
     scored = with_densities(df.select(ID, *[quote(f) for f in spec.features]), spec, normal_profile)
     base = stage(typical_rows(scored, n_normal), "typical")
     threshold = base.agg(F.max("abnormality")).first()[0]

@@ -29,9 +29,10 @@ from strayrows.operators.countmin import (
     BLOCK_BYTES,
     CountMinModel,
     SketchShape,
-    count_cells,
     ensemble_totals,
     matrices,
+    packed_cells,
+    unpacked,
 )
 from strayrows.spec import ID, double, quote
 from strayrows.staging import stage
@@ -151,7 +152,7 @@ class PairDetector:
         plan, shape = self.plan(block), self.shape
         vectors = self.vectors(rows, block)
         deltas = half_ranges(ranges(vectors, self.width * len(block)))
-        cells = stage(count_cells(vectors, plan, deltas, shape), "pair-cells")
+        cells = unpacked(stage(packed_cells(vectors, plan, deltas, shape), "pair-cells"))
         shared = CountMinModel(plan, deltas, shape, cells).broadcast_values()
 
         def score(batches):

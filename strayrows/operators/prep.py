@@ -105,11 +105,12 @@ def one_hot(column: Column, categories: Sequence[str]) -> Column:
 
 
 def one_hot_inverse(vector: Column, sizes: Sequence[int]) -> Column:
-    """Position of the largest entry in every category block (first on ties)."""
+    """Position of the largest entry in every category block (first on ties); null where none is positive."""
     picks, at = [], 1
     for n in sizes:
         block = F.slice(vector, at, n)
-        picks.append((F.array_position(block, F.array_max(block)) - 1).cast("int"))
+        place = (F.array_position(block, F.array_max(block)) - 1).cast("int")
+        picks.append(F.when(F.array_max(block) > 0, place))
         at += n
     return F.array(*picks)
 

@@ -82,7 +82,7 @@ def _sweep(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         spark, sf_dir, "outlier-points",
         lambda: G.embed_2d(A.to_vectors(top_attribution(spark, sf_dir), ORDER_NUMERIC)),
     )
-    clusters = shared(spark, sf_dir, "outlier-clusters", lambda: G.cluster_sweep(points, 6))
+    clusters = shared(spark, sf_dir, "outlier-clusters", lambda: G.cluster_sweep(points, 10))
     return points, clusters
 
 
@@ -191,19 +191,24 @@ def label_decode(spark, sf_dir):
     return P.decode(encoded, tables)
 
 
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 @query(
     "one_hot",
     """SELECT c_custkey, concat_ws(',', (c_mktsegment = 'AUTOMOBILE')::INT, (c_mktsegment = 'BUILDING')::INT,
-  (c_mktsegment = 'FURNITURE')::INT) AS onehot,
-  CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 ELSE 0 END AS back FROM customer""",
+  (c_mktsegment = 'FURNITURE')::INT, (c_mktsegment = 'HOUSEHOLD')::INT, (c_mktsegment = 'MACHINERY')::INT) AS onehot,
+  list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) - 1 AS back,
+  list_position(['BUILDING', 'MACHINERY'], c_mktsegment) - 1 AS partly FROM customer""",
 )
 def one_hot(spark, sf_dir):
-    known = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
-    v = P.one_hot(F.col("c_mktsegment"), known)
+    """All segments there and back; with some of them only, the others come back as null."""
+    v, some = P.one_hot(F.col("c_mktsegment"), SEGMENTS), P.one_hot(F.col("c_mktsegment"), ["BUILDING", "MACHINERY"])
     return table(spark, sf_dir, "customer").select(
         "c_custkey",
         F.concat_ws(",", v.cast("array<int>").cast("array<string>")).alias("onehot"),
-        P.one_hot_inverse(v, [3])[0].alias("back"),
+        P.one_hot_inverse(v, [5])[0].alias("back"),
+        P.one_hot_inverse(some, [2])[0].alias("partly"),
     )
 
 

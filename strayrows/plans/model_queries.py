@@ -25,16 +25,18 @@ from strayrows.plans.detect_queries import (
     order_vectors,
     top_orders,
 )
+from strayrows.plans.mixed_forest import MixedForest, importance_of_runs
 from strayrows.plans.registry import query
 from strayrows.plans.views import (
     ORDER_NUMERIC,
+    ORDER_SPEC,
     embeddings,
     shared,
     staged_orders,
     table,
 )
 from strayrows.spec import FeatureSpec
-from strayrows.staging import shared_dir, stage
+from strayrows.staging import run_dir, stage
 from strayrows.streaming import updates as U
 
 # -------------------------------------------------------------------- forest
@@ -43,11 +45,11 @@ from strayrows.streaming import updates as U
 def forest(spark: SparkSession, sf_dir: str) -> I.ForestModel:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _forests:
-        _forests[key] = I.ForestDetector(64, 256, 3).fit(order_vectors(spark, sf_dir))
+        _forests[key] = I.ForestDetector(256, 256, 3).fit(order_vectors(spark, sf_dir))
     return _forests[key]
 
 
-_forests: dict[tuple, I.ForestModel] = {}
+_forests: dict[tuple, I.ForestModel | MixedForest] = {}
 
 
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +82,7 @@ def iforest_auc(spark, sf_dir):
 def iforest_embeddings(spark, sf_dir):
     """Forest over the 64-dimensional embedding vectors."""
     vectors = embeddings(spark, sf_dir).select("row_id", "x")
-    return I.ForestDetector(64, 256, 5).fit(vectors).score(vectors)
+    return I.ForestDetector(256, 256, 5).fit(vectors).score(vectors)
 
 
 @query("iforest_paths")
@@ -91,10 +93,38 @@ def iforest_paths(spark, sf_dir):
 
 @query("iforest_ranks")
 def iforest_ranks(spark, sf_dir):
-    runs = I.importance_over_runs(order_vectors(spark, sf_dir), ORDER_NUMERIC, (0, 1), 32, 128)
+    runs = I.importance_over_runs(order_vectors(spark, sf_dir), ORDER_NUMERIC, (0, 1), 100, 256)
     return I.ranked_importance(runs)
 
 
+def mixed_forest(spark: SparkSession, sf_dir: str) -> MixedForest:
+    key = (spark.sparkContext.applicationId, sf_dir, "mixed")
+    if key not in _forests:
+        _forests[key] = MixedForest.fit(staged_orders(spark, sf_dir), ORDER_SPEC, I.ForestDetector(256, 256, 7))
+    return _forests[key]
+
+
+@query("forest_mixed")
+def forest_mixed(spark, sf_dir):
+    """Forest scores of orders with their categories as indicators."""
+    return mixed_forest(spark, sf_dir).score(staged_orders(spark, sf_dir))
+
+
+@query("fold_paths")
+def fold_paths(spark, sf_dir):
+    """Path importance of the strangest orders, indicators folded back to their category."""
+    forest, orders = mixed_forest(spark, sf_dir), staged_orders(spark, sf_dir)
+    top = C.top_k(forest.score(orders), 20).select("row_id")
+    return forest.attribution(orders.join(top, "row_id", "left_semi"))
+
+
+@query("forest_runs")
+def forest_runs(spark, sf_dir):
+    """Features by importance over repeated forests, with the mean F1 against finished orders."""
+    label = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
+    return importance_of_runs(staged_orders(spark, sf_dir).withColumn("label", label), ORDER_SPEC, (0, 1))
+
+
 # ------------------------------------------------------------------- shapley
 
 
@@ -104,7 +134,7 @@ def shapley_chain_scores(spark, sf_dir):
     vectors = order_vectors(spark, sf_dir)
     rows = vectors.join(top_orders(spark, sf_dir), "row_id", "left_semi")
     model = order_model(spark, sf_dir)
-    return SH.shapley(rows, vectors, model.score, ORDER_NUMERIC, n_permutations=8, n_background=16)
+    return SH.shapley(rows, vectors, model.score, ORDER_NUMERIC)
 
 
 @query("shapley_forest")
@@ -112,7 +142,7 @@ def shapley_forest(spark, sf_dir):
     vectors = order_vectors(spark, sf_dir)
     rows = vectors.join(top_orders(spark, sf_dir), "row_id", "left_semi")
     return SH.absolute(
-        SH.shapley(rows, vectors, forest(spark, sf_dir).score, ORDER_NUMERIC, 8, 16)
+        SH.shapley(rows, vectors, forest(spark, sf_dir).score, ORDER_NUMERIC)
     )
 
 
@@ -163,7 +193,7 @@ def rare_category(spark, sf_dir):
 
 
 INJECT_SPEC = FeatureSpec(
-    ("o_totalprice", "qty", "max_price", "o_orderstatus", "o_orderpriority"),
+    ("o_totalprice", "qty", "max_price", "n_lines", "max_disc", "o_orderstatus", "o_orderpriority"),
     frozenset({"o_orderstatus", "o_orderpriority"}),
 )
 INJECT_GROUPS = (
@@ -176,7 +206,7 @@ def injected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     def build():
         rows = staged_orders(spark, sf_dir).select("row_id", *INJECT_SPEC.features)
         made, truth = N.inject(
-            rows, INJECT_SPEC, INJECT_GROUPS, max_components=2, max_iter=10, epsilon=0.1, seed=4
+            rows, INJECT_SPEC, INJECT_GROUPS, epsilon=0.1, seed=4
         )
         _truth[(spark.sparkContext.applicationId, sf_dir)] = stage(truth, "truth")
         return made
@@ -214,9 +244,16 @@ def inject_detect(spark, sf_dir):
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of (row_id, x) in several micro-batches."""
-    parts = f"{shared_dir(spark)}/strayrows/{uuid.uuid4().hex}/event-files"
-    event_vectors(spark, sf_dir).repartitionByRange(4, "row_id").write.parquet(parts)
+    """The events as a stream of (row_id, x) in four micro-batches, by ranges of row_id.
+
+    Files are taken by their time: each range is written after the one before it.
+    """
+    parts = f"{run_dir(spark)}/{uuid.uuid4().hex}/event-files"
+    events = event_vectors(spark, sf_dir)
+    lo, hi = events.agg(F.min("row_id"), F.max("row_id")).first()
+    quarter = F.floor((F.col("row_id") - F.lit(lo)) * 4 / F.lit(hi - lo + 1))
+    for i in range(4):
+        events.where(quarter == i).coalesce(1).write.mode("append").parquet(parts)
     schema = "row_id bigint, x array<double>"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(parts)
 
@@ -240,7 +277,7 @@ def _event_deltas(spark, sf_dir) -> list[float]:
 )
 def stream_update(spark, sf_dir):
     """Counts kept by a stream equal the counts of one batch."""
-    out = f"{shared_dir(spark)}/strayrows/{uuid.uuid4().hex}"
+    out = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     counts = U.streaming_sketch(_event_stream(spark, sf_dir), EVENT_PLAN, _event_deltas(spark, sf_dir))
     U.write_latest(counts, f"{out}/sketch", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/sketch").select(
@@ -248,10 +285,32 @@ def stream_update(spark, sf_dir):
     )
 
 
+@query("stream_new_category")
+def stream_new_category(spark, sf_dir):
+    """Events with their type as a category; errors come with the last batches only."""
+    spec = FeatureSpec(("value", "u", "event_type"), frozenset({"event_type"}))
+    events = event_vectors(spark, sf_dir).select("row_id", F.col("x")[0].alias("value"), F.col("x")[1].alias("u")).join(
+        table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "event_type"), "row_id"
+    )
+    events = stage(events, "typed-events")
+    lo, hi = events.agg(F.min("row_id"), F.max("row_id")).first()
+    quarter = F.floor((F.col("row_id") - F.lit(lo)) * 4 / F.lit(hi - lo + 1))
+    batch = F.when(F.col("event_type") == "error", F.greatest(quarter, F.lit(2))).otherwise(quarter)
+    out = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    for i in range(4):
+        events.where(batch == i).coalesce(1).write.mode("append").parquet(f"{out}/files")
+    schema = "row_id bigint, value double, u double, event_type string"
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/files")
+    first = vectorize(events.where(batch == 0), spec, 10)
+    start = CM.CountMinDetector(10, 20, 8, 4, CM.SketchShape(bits=12)).fit(first)
+    U.score_and_count(vectorize(arriving, spec, 10), start, f"{out}/run", f"{out}/checkpoint").awaitTermination()
+    return U.read_scores(spark, f"{out}/run")
+
+
 @query("stream_scores")
 def stream_scores(spark, sf_dir):
     """Every event scored against the counts of the events before its batch."""
-    out = f"{shared_dir(spark)}/strayrows/{uuid.uuid4().hex}"
+    out = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     shape = CM.SketchShape(bits=10)
     deltas = _event_deltas(spark, sf_dir)
     empty = spark.createDataFrame([], "cell bigint, cnt bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrows.operators import attribute as A
@@ -202,6 +202,29 @@ def save(df: DataFrame, spec: FeatureSpec, found: Detection, rules: DataFrame, p
     normal_rows(rows, found.outliers).write.mode("overwrite").parquet(f"{path}/normal")
     IO.write_members(found.clusters, rows, f"{path}/members")
     IO.write_rules(rules, f"{path}/rules")
+    for name in TABLES:
+        if (found_table := getattr(found, name)) is not None:
+            found_table.write.mode("overwrite").parquet(f"{path}/detection/{name}")
+
+
+TABLES = (
+    "scores", "outliers", "attribution", "embedding", "clusters", "silhouettes", "best_k", "auc",
+    "average_precision", "precision",
+)
+
+
+def load(spark: SparkSession, path: str, labelled: bool = False) -> Detection:
+    """The detection that `save` wrote below `path`; `labelled` if it was made with a label.
+
+    `describe`, `focus_pairs` and `joined` go on from it as from the original.
+    """
+    names = TABLES if labelled else TABLES[:-3]
+    return Detection(**{n: spark.read.parquet(f"{path}/detection/{n}") for n in names})
+
+
+def load_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rules that `save` wrote below `path`."""
+    return spark.read.parquet(f"{path}/rules")
 
 
 def selected_features(spec: FeatureSpec, names: Sequence[str]) -> FeatureSpec:

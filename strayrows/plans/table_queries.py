@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strayrows.operators import chains as C
+from strayrows.operators import countmin as CM
 from strayrows.operators import metrics as M
 from strayrows.operators import prep as P
 from strayrows.operators import rules as R
 from strayrows.operators.explore import parallel_view
+from strayrows.operators.project import vectorize
 from strayrows.plans import pipeline
 from strayrows.plans import sql_parts as S
 from strayrows.plans.detect_queries import ATTRIBUTION, LABELLED, labelled_scores, top_attribution
@@ -23,6 +28,7 @@ from strayrows.plans.views import (
     table,
 )
 from strayrows.sources.tables import lengthen, widen
+from strayrows.staging import run_dir, stage
 
 
 @query("select_by_label", LABELLED + "SELECT row_id FROM s WHERE label = 1")
@@ -139,7 +145,7 @@ def class_union(spark, sf_dir):
     return flagged.select("event_id", "event_type", "anomaly")
 
 
-PIPELINE = pipeline.Parameters(projdim=8, nchains=8, depth=5, topk=60, cluster_num=4, top_features=3, seed=2)
+PIPELINE = pipeline.Parameters(topk=60, top_features=4, seed=2, shape=CM.SketchShape(bits=12))
 
 
 def found(spark: SparkSession, sf_dir: str) -> pipeline.Detection:
@@ -152,16 +158,43 @@ def found(spark: SparkSession, sf_dir: str) -> pipeline.Detection:
 _found: dict[tuple, pipeline.Detection] = {}
 
 
+@query("detect_default")
+def detect_default(spark, sf_dir):
+    """The 300 strangest orders by the usual ensemble: 60 dimensions, 300 chains of depth 20, 2^12 counters."""
+    vectors = stage(vectorize(staged_orders(spark, sf_dir), ORDER_SPEC, 60), "default-vectors")
+    detector = CM.CountMinDetector(60, 300, 20, seed=1, shape=CM.SketchShape(bits=12))
+    return C.top_k(detector.fit(vectors).score(vectors), 300)
+
+
+@query("reload_result")
+def reload_result(spark, sf_dir):
+    """The wide result from a detection that was saved and read back."""
+    orders, path = staged_orders(spark, sf_dir), f"{run_dir(spark)}/{uuid.uuid4().hex}/saved"
+    pipeline.save(orders, ORDER_SPEC, found(spark, sf_dir), described(spark, sf_dir), path)
+    return pipeline.joined(orders, ORDER_SPEC, pipeline.load(spark, path))
+
+
+@query("reload_rules")
+def reload_rules(spark, sf_dir):
+    """Rules of a reloaded detection, saved and read back."""
+    orders, path = staged_orders(spark, sf_dir), f"{run_dir(spark)}/{uuid.uuid4().hex}/saved"
+    pipeline.save(orders, ORDER_SPEC, found(spark, sf_dir), described(spark, sf_dir), path)
+    return R.accepted_rules(R.top_rules(pipeline.load_rules(spark, path), 0.05, 0.05))
+
+
 @query("pipeline_result")
 def pipeline_result(spark, sf_dir):
     """Detection, attribution and clusters of mixed rows as one wide table."""
     return pipeline.joined(staged_orders(spark, sf_dir), ORDER_SPEC, found(spark, sf_dir))
 
 
-@query("pipeline_rules")
-def pipeline_rules(spark, sf_dir):
-    described: DataFrame = shared(
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(
         spark, sf_dir, "pipeline-rules",
         lambda: pipeline.describe(staged_orders(spark, sf_dir), ORDER_SPEC, found(spark, sf_dir), PIPELINE),
     )
-    return R.accepted_rules(R.top_rules(described, 0.05, 0.05))
+
+
+@query("pipeline_rules")
+def pipeline_rules(spark, sf_dir):
+    return R.accepted_rules(R.top_rules(described(spark, sf_dir), 0.05, 0.05))

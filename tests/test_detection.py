@@ -92,7 +92,7 @@ def test_fitted_shortcut_and_large_table_joins_agree(spark, monkeypatch):
     model = C.fit_plan(df, plan)
     small = scores_of(model.score(df))
     assert scores_of(model.score(df, fitted=True)) == small
-    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
     assert scores_of(model.score(df)) == small
     assert scores_of(C.fit_plan(df, plan).score(df, fitted=True)) == small
 

@@ -1,6 +1,8 @@
 """Forest, injection and streams."""
 
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from strayrows.operators import countmin as CM
 from strayrows.operators import inject as N
 from strayrows.operators import iforest as I
 from strayrows.plans import pipeline
+from strayrows.plans.mixed_forest import MixedForest, categories_of, importance_of_runs
 from strayrows.spec import FeatureSpec
 from strayrows.streaming import updates as U
 
@@ -180,3 +183,85 @@ def test_pipeline_with_bounded_counters(spark, cloud):
     assert set(range(1000, 1008)) <= {r["row_id"] for r in found.outliers.collect()}
     with pytest.raises(ValueError):
         pipeline.detect(df, spec, pipeline.Parameters(projdim=None, detector="other"))
+
+
+def mixed_rows(spark):
+    """300 usual rows and ten with a rare category and an extreme number."""
+    rows = [(i, float(i % 17), "ab"[i % 2], "xyz"[i % 3], 0) for i in range(300)]
+    rows += [(1000 + i, 90.0 + i, "odd", "x", 1) for i in range(10)]
+    return spark.createDataFrame(rows, "row_id bigint, v double, c string, d string, label int")
+
+
+def test_mixed_forest_finds_and_explains_odd_rows(spark):
+    df = mixed_rows(spark)
+    spec = FeatureSpec(("v", "c", "d"), frozenset({"c", "d"}))
+    forest = MixedForest.fit(df, spec, I.ForestDetector(64, 128, 3))
+    assert forest.columns == ["c=a", "c=b", "c=odd", "d=x", "d=y", "d=z", "v"]
+    top = {r["row_id"] for r in C.top_k(forest.score(df), 10).collect()}
+    assert len(top & set(range(1000, 1010))) >= 9
+    imp = {(r["row_id"], r["feature"]): r["importance"] for r in forest.attribution(df.where("row_id = 1003")).collect()}
+    assert set(imp) == {(1003, f) for f in spec.features}
+    assert imp[1003, "v"] > imp[1003, "d"]
+    other = spark.createDataFrame([(1, None, "new", None)], "row_id bigint, v double, c string, d string")
+    assert forest.vectors(other).first()["x"] == [0.0] * 7
+    with pytest.raises(ValueError):
+        categories_of(df, spec, most=3)
+
+
+def test_importance_of_runs_has_the_mean_f1(spark):
+    spec = FeatureSpec(("v", "c", "d"), frozenset({"c", "d"}))
+    rows = importance_of_runs(mixed_rows(spark), spec, (0, 1), 32, 128, 10 / 310).collect()
+    score = {r["feature"]: r["score"] for r in rows}
+    assert set(score) == set(spec.features) and score["d"] <= max(score.values())
+    assert {r["mean_f1"] for r in rows} == {rows[0]["mean_f1"]} and rows[0]["mean_f1"] >= 0.8
+
+
+def test_exact_quantile_of_contamination(spark):
+    df = spark.createDataFrame([(i, float(i // 2)) for i in range(100)], "row_id bigint, score double")
+    assert I.quantile(df, "score", 0.9) == 44.0 and I.quantile(df, "score", 0.0) == 0.0
+    assert I.quantile(df.limit(0), "score", 0.5) is None
+    assert I.predict(df, 0.1).where("prediction = 1").count() == 10
+
+
+def test_draws_come_from_the_unlikely_region():
+    m = N.Mixture((0.5, 0.5), (0.0, 10.0), (1.0, 1.0), -3.0, 13.0)
+    m = replace(m, min_log=float(m.log_at(np.array([-2.5]))[0]))
+    intervals = m.unlikely(-9.5, 32.5)
+    assert len(intervals) == 3
+    for a, b in intervals:
+        assert (m.log_at(np.linspace(a, b, 50)) < m.min_log + 1e-9).all()
+    inside = [x for x in np.linspace(-9.5, 32.5, 999) if any(a <= x <= b for a, b in intervals)]
+    assert len(inside) == int((m.log_at(np.linspace(-9.5, 32.5, 999)) < m.min_log).sum())
+
+
+def test_every_draw_is_accepted(spark):
+    m = N.Mixture((1.0,), (5.0,), (1.0,), 2.0, 8.0)
+    m = replace(m, min_log=float(m.log_at(np.array([2.0]))[0]))
+    ids = spark.range(500).select(F.col("id").alias("row_id"))
+    for make in (N.local_value, N.global_value):
+        x = np.array([r[0] for r in ids.select(make(m, F.col("row_id"), 1, "f", True)).collect()])
+        assert (m.log_at(x) < m.min_log).all() and (x > 0).all() and len(np.unique(x)) > 400
+
+
+def test_mixtures_from_histograms(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 1, 3000), rng.normal(20, 2, 1000)])
+    df = spark.createDataFrame([(float(v), 1.0) for v in x] + [(None, 1.0)], "x double, same double")
+    found = N.fit_mixtures(df, ["x", "same"], 4)
+    means = sorted(zip(found["x"].means, found["x"].weights), key=lambda p: -p[1])
+    assert means[0][0] == pytest.approx(0, abs=0.2) and means[0][1] == pytest.approx(0.75, abs=0.05)
+    assert found["same"].means == (1.0,)
+
+
+def test_a_saved_detection_goes_on_after_loading(spark, cloud, tmp_path):
+    df = cloud.select("row_id", *[F.col("x")[i].alias(f"f{i}") for i in range(3)])
+    spec = FeatureSpec.from_schema(df.schema)
+    p = pipeline.Parameters(projdim=None, nchains=20, depth=6, topk=12, cluster_num=3, top_features=2, shape=CM.SketchShape(bits=8))
+    found = pipeline.detect(df, spec, p)
+    rules = pipeline.describe(df, spec, found, p)
+    pipeline.save(df, spec, found, rules, str(tmp_path / "saved"))
+    again = pipeline.load(spark, str(tmp_path / "saved"))
+    key = lambda t: sorted(map(repr, t.collect()))
+    assert key(pipeline.joined(df, spec, again)) == key(pipeline.joined(df, spec, found))
+    assert pipeline.load_rules(spark, str(tmp_path / "saved")).count() == rules.count()
+    assert pipeline.focus(again, 2).count() == pipeline.focus(found, 2).count()

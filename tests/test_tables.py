@@ -46,9 +46,9 @@ def test_dense_key_and_label(spark):
     assert P.binary_label(df, "c", "ok").where("label = 0").count() == 3
 
 
-@pytest.mark.parametrize("limit", [joins.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 0])
 def test_encode_and_decode(spark, monkeypatch, limit):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     values = ["b"] * 30 + ["a", "d", "c", None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "row_id bigint, c string")
     encoded, tables = P.encode(df, ["c"])
@@ -64,6 +64,8 @@ def test_one_hot_unknown_is_zero(spark):
     assert got == [[1.0, 0.0], [0.0, 0.0]]
     v = spark.createDataFrame([([0.1, 0.9, 0.5, 0.2, 0.4],)], "v array<double>")
     assert v.select(P.one_hot_inverse(F.col("v"), [2, 3])).first()[0] == [1, 0]
+    none = df.select(P.one_hot_inverse(P.one_hot(F.col("c"), ["a", "b"]), [2])[0]).collect()
+    assert [r[0] for r in none] == [0, None]
 
 
 def test_scaling_round_trip(spark):
