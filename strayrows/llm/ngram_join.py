@@ -163,8 +163,15 @@ def _prefix(grams: np.ndarray, cells: np.ndarray, length: int) -> tuple[np.ndarr
     return grams[order], often[order]
 
 
+#: An entry of an inverted list is compared with its list's oldest set, as often as not in vain; that costs about as
+#: much as writing and grouping this many keys.
+SCAN = 4
+
+
 def _costs(cells_, similarity: Similarity):
-    """(class, subsets, scanned): keys of small-set treatment, and list entries of the other, per size class."""
+    """(class, subsets, scanned) per size class: the keys that small-set treatment writes, and the cost of the
+    list entries of the other. Entries count once, since a list is compared with one set at a time, not pair by pair.
+    """
 
     def run(batches):
         cells = cells_.value
@@ -172,8 +179,9 @@ def _costs(cells_, similarity: Similarity):
         for batch in batches:
             for n, grams in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 p = similarity.alien(n)
-                _, often = _prefix(np.frombuffer(grams, np.uint64), cells, p + 1)
-                cost = np.array([(p + 2) * (p + 1) // 2, int(often[often > 1].sum())])
+                _, often = _prefix(np.frombuffer(grams, np.uint64), cells, p + 2)
+                shared, listed = int((often > 1).sum()), int((often[: p + 1] > 1).sum())
+                cost = np.array([shared * (shared - 1) // 2, SCAN * listed])
                 size = int(np.log(n) / np.log(similarity.whole / similarity.part))
                 out[size] = out.get(size, 0) + cost
         yield pa.RecordBatch.from_pylist(
