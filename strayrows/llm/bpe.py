@@ -47,7 +47,7 @@ def chunked(texts: list[bytes], mask: int) -> list[list[tuple[int, int]]]:
 class Encoder:
     """Encodes words through a bounded memo, and chunks through a table of shared ones."""
 
-    def __init__(self, spec: str, shared: dict[bytes, tuple[bytes, bytes, bytes]] | None = None, memo: int = 300_000):
+    def __init__(self, spec: str, shared: dict[bytes, tuple[bytes, bytes, bytes]] | None = None, memo: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
