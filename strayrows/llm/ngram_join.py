@@ -122,9 +122,11 @@ def _still(flt, similarity: Similarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(*flt.value)
         for batch in batches:
-            grams, unit = _set_keys(texts_of(batch.column(3)))
-            alone = np.bincount(unit[~known.has(grams)], minlength=len(batch))
-            yield batch.filter(pa.array(alone <= similarity.alien(batch.column(2).to_numpy())))
+            sets, n = texts_of(batch.column(3)), batch.column(2).to_numpy()
+            for a, b in slices(sets):
+                grams, unit = _set_keys(sets[a:b])
+                alone = np.bincount(unit[~known.has(grams)], minlength=b - a)
+                yield batch[a:b].filter(pa.array(alone <= similarity.alien(n[a:b])))
 
     return run
 
@@ -136,8 +138,10 @@ def frequencies(sets: DataFrame, bits: int, parts: int = 64):
     def count(batches):
         cells = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            keys, _ = _set_keys(texts_of(batch.column(0)))
-            np.add.at(cells, (keys >> np.uint64(64 - bits)).astype(np.int64), 1)
+            sets = texts_of(batch.column(0))
+            for a, b in slices(sets):
+                keys, _ = _set_keys(sets[a:b])
+                np.add.at(cells, (keys >> np.uint64(64 - bits)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(parts), pa.int32()),
              pa.array([cells[i * size : (i + 1) * size].tobytes() for i in range(parts)], pa.binary())],
