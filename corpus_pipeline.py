@@ -13,26 +13,34 @@ from strayrows.llm.substring_dedup import substring_dedup
 from strayrows.staging import stage
 
 
-def _rewritten(columns: list[str], found: DataFrame, changed: Column) -> DataFrame:
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under column names that no operator adds, and the new name of each column."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _rewritten(names: dict[str, str], found: DataFrame, changed: Column) -> DataFrame:
     """The columns of documents; where `changed`, with the text that stays and its length."""
     new = {
-        "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.char_length("kept_text").cast("bigint")).otherwise(F.col("n_chars")),
+        "text": F.when(changed, F.col("kept_text")).otherwise(F.col(names["text"])),
+        "n_chars": F.when(changed, F.char_length("kept_text").cast("bigint")).otherwise(F.col(names["n_chars"])),
     }
-    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
+    return found.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the limits of their language and source, unchanged."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return quality(docs, keep=tuple(rest)).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    own, n = _renamed(docs)
+    by = (n["lang"], n["source"])
+    found = quality(own, n["doc_id"], n["text"], by, keep=tuple(own.columns)).where("kept")
+    return found.select(*[F.col(x).alias(c) for c, x in n.items()])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of earlier ones; those with no line left that has a word go."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    found = line_dedup(docs, keep=tuple(rest)).where("n_removed = 0 OR n_removed < n_lines")
-    return _rewritten(docs.columns, found, F.col("n_removed") > 0)
+    own, n = _renamed(docs)
+    found = line_dedup(own, n["doc_id"], n["text"], tuple(own.columns)).where("n_removed = 0 OR n_removed < n_lines")
+    return _rewritten(n, found, F.col("n_removed") > 0)
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +59,9 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of earlier ones; those with no word left go."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    found = substring_dedup(docs, keep=tuple(rest), layout=True).where("n_removed = 0 OR n_removed < n_words")
-    return _rewritten(docs.columns, found, F.col("n_removed") > 0)
+    own, n = _renamed(docs)
+    found = substring_dedup(own, n["doc_id"], n["text"], tuple(own.columns), layout=True)
+    return _rewritten(n, found.where("n_removed = 0 OR n_removed < n_words"), F.col("n_removed") > 0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
