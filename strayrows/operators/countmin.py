@@ -5,8 +5,8 @@ rows of `width` counters. Counting is a partial sum per input partition plus one
 small aggregation, scoring reads a broadcast table of bounded size. Estimates never
 fall below the exact counts; a counter holds rows / width foreign rows on average, so
 the width is chosen from the error that is acceptable, never from the number of
-chains. An ensemble whose counters exceed BLOCK_BYTES is counted and scored in blocks of
-chains, which changes no score.
+chains. Counters beyond BLOCK_BYTES are partitioned by chain (`partitioned.py`): still one scan to count and
+one to score, and neither a broadcast nor the driver holds them. The scores are the same.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strayrows.operators import partitioned as T
 from strayrows.operators.chains import SCORE_DIGITS, ChainPlan, half_ranges, ranges
 from strayrows.spec import ID
 from strayrows.staging import stage
@@ -51,10 +52,6 @@ class SketchShape:
     def table_bytes(self, plan: ChainPlan) -> int:
         return plan.n_chains * plan.depth * self.hashes * self.width * 8
 
-    def chains_in(self, n_bytes: int, depth: int) -> int:
-        """Chains whose counters fit in `n_bytes`, one at least."""
-        return max(1, n_bytes // (depth * self.hashes * self.width * 8))
-
     def foreign_rows(self, n_rows: int) -> float:
         """Rows of other cells a counter holds on average: the bound on an estimate's error."""
         return n_rows / self.width
@@ -70,13 +67,13 @@ def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array]
         held.append(batch)
         rows += batch.num_rows
         if rows >= BATCH_ROWS:
-            yield _join(held)
+            yield joined(held)
             held, rows = [], 0
     if held:
-        yield _join(held)
+        yield joined(held)
 
 
-def _join(held: list[pa.RecordBatch]) -> tuple[list[pa.Array], np.ndarray]:
+def joined(held: list[pa.RecordBatch]) -> tuple[list[pa.Array], np.ndarray]:
     table = pa.Table.from_batches(held).combine_chunks()
     x = table.column("x").combine_chunks()
     flat = x.flatten().to_numpy(zero_copy_only=False)
@@ -84,7 +81,7 @@ def _join(held: list[pa.RecordBatch]) -> tuple[list[pa.Array], np.ndarray]:
     return columns, np.ascontiguousarray(flat.reshape(len(x), -1).T)
 
 
-def _buckets(
+def buckets(
     x: np.ndarray, plan: ChainPlan, deltas: Sequence[float], shape: SketchShape
 ) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Per chain and depth, the counter index of each row in each hash row."""
@@ -117,17 +114,15 @@ class CountMinDetector:
     fit_partitions: int | None = None
     block_bytes: int = BLOCK_BYTES
 
-    def fit(self, vectors: DataFrame) -> CountMinModel | BlockedModel:
-        """A model of one block, or of as many as the counters need."""
+    def fit(self, vectors: DataFrame) -> CountMinModel | PartitionedModel:
+        """Counters of one broadcast, or partitioned ones beyond `block_bytes`."""
         plan = ChainPlan.draw(self.n_dims, self.n_chains, self.depth, self.seed)
         deltas = half_ranges(ranges(vectors, self.n_dims))
-        step = self.shape.chains_in(self.block_bytes, self.depth)
-        blocks = []
-        for first in range(0, self.n_chains, step):
-            part = plan.block(first, first + step)
-            cells = packed_cells(vectors, part, deltas, self.shape, self.fit_partitions)
-            blocks.append(CountMinModel(part, deltas, self.shape, unpacked(stage(cells, "count-min"))))
-        return blocks[0] if len(blocks) == 1 else BlockedModel(plan, blocks)
+        if self.shape.table_bytes(plan) > self.block_bytes:
+            packed = chain_counters(vectors, plan, deltas, self.shape, self.fit_partitions)
+            return PartitionedModel(plan, deltas, self.shape, stage(packed, "counters"))
+        cells = packed_cells(vectors, plan, deltas, self.shape, self.fit_partitions)
+        return CountMinModel(plan, deltas, self.shape, unpacked(stage(cells, "count-min")))
 
 
 def _table_counter(plan: ChainPlan, deltas: Sequence[float], shape: SketchShape):
@@ -138,7 +133,7 @@ def _table_counter(plan: ChainPlan, deltas: Sequence[float], shape: SketchShape)
         size = plan.n_chains * plan.depth * shape.hashes
         table = np.zeros((size, shape.width), dtype=np.int64)
         for _, x in matrices(batches):
-            for c, d, index in _buckets(x, plan, deltas, shape):
+            for c, d, index in buckets(x, plan, deltas, shape):
                 base = (c * plan.depth + d) * shape.hashes
                 for j, i in enumerate(index):
                     table[base + j] += np.bincount(i, minlength=shape.width)
@@ -147,11 +142,13 @@ def _table_counter(plan: ChainPlan, deltas: Sequence[float], shape: SketchShape)
     return count
 
 
-def _few_tasks(vectors: DataFrame, partitions: int | None) -> DataFrame:
-    """The splits read by at most `partitions` tasks, so that one table per task stays little."""
-    if partitions is None:
-        partitions = TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
-    return vectors.select("x").coalesce(partitions)
+def few_tasks(df: DataFrame) -> int:
+    """Tasks that count, so that one table per task stays little."""
+    return TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+
+
+def _few_splits(vectors: DataFrame, partitions: int | None) -> DataFrame:
+    return vectors.select("x").coalesce(partitions or few_tasks(vectors))
 
 
 def packed_cells(
@@ -186,7 +183,7 @@ def packed_cells(
         part = group.column("part")[0].as_py()
         return pa.Table.from_batches([_packed([(part, at.astype(np.int32).tobytes(), total[at].tobytes())])])
 
-    partial = _few_tasks(vectors, partitions).mapInArrow(pack, PACKED)
+    partial = _few_splits(vectors, partitions).mapInArrow(pack, PACKED)
     return partial.groupBy("part").applyInArrow(add, PACKED)
 
 
@@ -228,7 +225,7 @@ def count_cells(
                 [pa.array(part.astype(np.int64)), pa.array(flat[part])], ["cell", "cnt"]
             )
 
-    partial = _few_tasks(vectors, partitions).mapInArrow(count, "cell bigint, cnt bigint")
+    partial = _few_splits(vectors, partitions).mapInArrow(count, "cell bigint, cnt bigint")
     return partial.groupBy("cell").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -309,34 +306,100 @@ class CountMinModel:
         )
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    return (x for _, x in matrices(batches))
+
+
+def chain_counters(
+    vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float], shape: SketchShape, partitions: int | None = None
+) -> DataFrame:
+    """The counters of every chain as one packed row, from one scan."""
+
+    def counting(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for c in range(plan.n_chains):
+            index = (i for _, _, own in buckets(x, plan.block(c, c + 1), deltas, shape) for i in own)
+            yield (c, *T.filled(index, shape.width))
+
+    parts = T.partials(_few_splits(vectors, partitions), _blocks, counting)
+    return T.summed(parts, partitions or few_tasks(vectors), plan.depth * shape.hashes * shape.width)
+
+
 @dataclass
-class BlockedModel:
-    """One ensemble whose chains are spread over several models with the same rows."""
+class PartitionedModel:
+    """Counters by chain, as large as they need be; `packed` has one row per chain."""
 
     plan: ChainPlan
-    blocks: list[CountMinModel]
+    deltas: list[float]
+    shape: SketchShape
+    packed: DataFrame
+
+    @property
+    def _chain_size(self) -> int:
+        return self.plan.depth * self.shape.hashes * self.shape.width
+
+    @property
+    def _per_range(self) -> int:
+        """Chains whose filled counters meet a group of rows together."""
+        return max(1, BLOCK_BYTES // (self._chain_size * 12))
+
+    @property
+    def cells(self) -> DataFrame:
+        """(cell, cnt) of all filled counters."""
+        return T.opened(self.packed, self._chain_size)
+
+    def _meet(self, vectors: DataFrame, emit, schema: str) -> DataFrame:
+        """`emit(ids, x, values of each chain of a range)`; values are [depth, row] by chain."""
+        plan, deltas, shape, size, step = self.plan, self.deltas, self.shape, self._chain_size, self._per_range
+
+        def scored(number: int, own: pa.Table, tables: dict) -> pa.Table:
+            columns, x = joined(own.select([ID, "x"]).to_batches())
+
+            def values() -> Iterator[tuple[int, np.ndarray]]:
+                for c in range(number * step, min((number + 1) * step, plan.n_chains)):
+                    counts = T.dense(tables.get(c), size).reshape(-1, shape.width)
+                    out = np.empty((plan.depth, x.shape[1]))
+                    for _, d, index in buckets(x, plan.block(c, c + 1), deltas, shape):
+                        least = counts[d * shape.hashes][index[0]]
+                        for j in range(1, shape.hashes):
+                            least = np.minimum(least, counts[d * shape.hashes + j][index[j]])
+                        out[d] = np.log2(1.0 + least) + (d + 1)
+                    yield c, out
+
+            return emit(columns[0], values())
+
+        rows = vectors.select(ID, "x")
+        return T.met(rows, rows.count(), self.packed, step, plan.n_chains, scored, schema)
 
     def score(self, vectors: DataFrame) -> DataFrame:
-        """(row_id, score): the mean over all chains, from one sum per row and block."""
-        sums = None
-        for b in self.blocks:
-            part = b.score(vectors).select(ID, (F.col("score") * b.plan.n_chains).alias("s"))
-            sums = part if sums is None else sums.unionByName(part)
-        score = F.round(F.sum("s") / self.plan.n_chains, SCORE_DIGITS).alias("score")
+        """(row_id, score): the mean over all chains, from one sum per row and range of chains."""
+
+        def emit(ids: pa.Array, values) -> pa.Table:
+            total = sum(v.min(axis=0) for _, v in values)
+            return pa.table({ID: ids, "s": pa.array(total)})
+
+        sums = self._meet(vectors, emit, f"{ID} bigint, s double")
+        score = F.round(-F.sum("s") / self.plan.n_chains, SCORE_DIGITS).alias("score")
         return sums.groupBy(ID).agg(score)
 
     def depth_scores(self, vectors: DataFrame) -> DataFrame:
         """(row_id, chain, depth, split, v) for every depth."""
-        out, first = None, 0
-        for b in self.blocks:
-            part = b.depth_scores(vectors).withColumn("chain", F.col("chain") + first)
-            out = part if out is None else out.unionByName(part)
-            first += b.plan.n_chains
-        return out
-
-    def update(self, vectors: DataFrame) -> BlockedModel:
+
+        def emit(ids: pa.Array, values) -> pa.Table:
+            parts = [pa.table({ID: ids, "chain": pa.array(np.full(len(ids), c, np.int32)), "v": list_array(v.T)}) for c, v in values]
+            return pa.concat_tables(parts)
+
+        split = F.array(*[F.array(*[F.lit(k) for k in row]) for row in self.plan.dims])
+        return (
+            self._meet(vectors, emit, f"{ID} bigint, chain int, v array<double>")
+            .select(ID, "chain", F.posexplode("v").alias("i", "v"))
+            .select(ID, "chain", (F.col("i") + 1).alias("depth"), split[F.col("chain")][F.col("i")].alias("split"), "v")
+        )
+
+    def update(self, vectors: DataFrame) -> PartitionedModel:
         """The model after counting further rows."""
-        return BlockedModel(self.plan, [b.update(vectors) for b in self.blocks])
+        more = chain_counters(vectors, self.plan, self.deltas, self.shape)
+        both = T.summed(self.packed.unionByName(more), 1, self._chain_size)
+        return PartitionedModel(self.plan, self.deltas, self.shape, stage(both, "counters"))
 
 
 def merge_cells(*cells: DataFrame) -> DataFrame:
@@ -347,7 +410,7 @@ def merge_cells(*cells: DataFrame) -> DataFrame:
 
 
 def _values(x, table, plan, deltas, shape):
-    for c, d, index in _buckets(x, plan, deltas, shape):
+    for c, d, index in buckets(x, plan, deltas, shape):
         base = (c * plan.depth + d) * shape.hashes
         v = table[base][index[0]]
         for j in range(1, shape.hashes):

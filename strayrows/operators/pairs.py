@@ -1,8 +1,9 @@
 """Feature pairs that show a cluster's outliers best, under a budget of plots.
 
-Every distinct pair of top features gets a small ensemble of its own. The
-ensembles are stacked into one plan, so all pairs are scored by one job over the
-table instead of one training per pair and cluster.
+Every distinct pair of top features gets a small ensemble of its own. With exact counts the
+ensembles are stacked into one plan. With counters a pair is a unit of `partitioned.py`: all
+pairs together take three scans of the raw features (ranges, counts, scores), however many there are,
+and a row meets a pair as two numbers, projected where they are counted.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strayrows.functions.joins import lookup
 from strayrows.functions.tokens import murmur3, projection_weights
+from strayrows.operators import partitioned as T
 from strayrows.operators.chains import (
     SCORE_DIGITS,
     ChainPlan,
@@ -25,15 +27,7 @@ from strayrows.operators.chains import (
     normalise,
     ranges,
 )
-from strayrows.operators.countmin import (
-    BLOCK_BYTES,
-    CountMinModel,
-    SketchShape,
-    ensemble_totals,
-    matrices,
-    packed_cells,
-    unpacked,
-)
+from strayrows.operators.countmin import SketchShape, buckets, few_tasks, joined, matrices
 from strayrows.spec import ID, double, quote
 from strayrows.staging import stage
 
@@ -94,13 +88,17 @@ class PairDetector:
     def width(self) -> int:
         return 2 if self.n_dims is None else self.n_dims
 
+    def own_plan(self, pair: Pair) -> ChainPlan:
+        """A pair's draw depends on its own name only."""
+        seed = int(murmur3(["|".join(pair)], 1)[0, 0]) + self.seed
+        return ChainPlan.draw(self.width, self.n_chains, self.depth, seed)
+
     def plan(self, pairs: Sequence[Pair]) -> ChainPlan:
-        """The pairs' ensembles side by side; a pair's draw depends on its own name only."""
+        """The pairs' ensembles side by side."""
         dims: list[tuple[int, ...]] = []
         shift: list[dict[int, float]] = []
-        for p, (fx, fy) in enumerate(pairs):
-            seed = int(murmur3([f"{fx}|{fy}"], 1)[0, 0]) + self.seed
-            own = ChainPlan.draw(self.width, self.n_chains, self.depth, seed)
+        for p, pair in enumerate(pairs):
+            own = self.own_plan(pair)
             for c in range(self.n_chains):
                 dims.append(tuple(k + p * self.width for k in own.dims[c]))
                 shift.append({k + p * self.width: own.shift[c][k] for k in set(own.dims[c])})
@@ -116,23 +114,13 @@ class PairDetector:
                 )
         return rows.select(ID, *keep, F.expr("array(" + ", ".join(entries) + ")").alias("x"))
 
-    def blocks(self, pairs: Sequence[Pair]) -> list[list[Pair]]:
-        """Pairs whose counters fit in memory together."""
-        one = self.n_chains * self.depth * self.shape.hashes * self.shape.width * 8
-        n = max(1, BLOCK_BYTES // one)
-        return [list(pairs[i : i + n]) for i in range(0, len(pairs), n)]
-
     def score(self, rows: DataFrame, pairs: Sequence[Pair], outliers: DataFrame) -> DataFrame:
         """(fx, fy, row_id, score, score_norm) of the outliers, normalised over all rows."""
         if self.shape is None:
             return self._exact(rows, pairs).join(outliers.select(ID), ID, "left_semi")
         marks = stage(outliers.select(ID).distinct().withColumn("hit", F.lit(True)), "marks")
         marked = lookup(rows, marks, [ID]).withColumn("hit", F.col("hit").isNotNull())
-        out = None
-        for block in self.blocks(pairs):
-            part = self._counted(rows, marked, block)
-            out = part if out is None else out.unionByName(part)
-        return out
+        return self._counted(rows, marked, pairs)
 
     def score_all(self, rows: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
         """(fx, fy, row_id, score, score_norm) of every row, exact counts."""
@@ -147,53 +135,93 @@ class PairDetector:
             scores = scores.withColumn("ensemble", F.lit(0))
         return _named(normalise(stage(scores, "pair-scores"), ["ensemble"]), pairs)
 
-    def _counted(self, rows: DataFrame, marked: DataFrame, block: list[Pair]) -> DataFrame:
-        """One pass scores every row but emits only outliers and each task's extremes."""
-        plan, shape = self.plan(block), self.shape
-        vectors = self.vectors(rows, block)
-        deltas = half_ranges(ranges(vectors, self.width * len(block)))
-        cells = unpacked(stage(packed_cells(vectors, plan, deltas, shape), "pair-cells"))
-        shared = CountMinModel(plan, deltas, shape, cells).broadcast_values()
-
-        def score(batches):
-            table = shared.value
-            lo, hi = None, None
-            for (ids, hit), x in matrices(batches):
-                total = np.round(ensemble_totals(x, table, plan, deltas, shape), SCORE_DIGITS)
-                low, high = total.min(axis=0), total.max(axis=0)
-                lo = low if lo is None else np.minimum(lo, low)
-                hi = high if hi is None else np.maximum(hi, high)
-                chosen = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
-                if len(chosen):
-                    yield _long(ids.to_numpy()[chosen], total[chosen], None)
-            if lo is not None:
-                yield _long(None, lo[None, :], hi[None, :])
-
-        out = stage(
-            self.vectors(marked, block, "hit").mapInArrow(
-                score, f"{ID} bigint, ensemble int, score double, hi double"
-            ),
-            "pair-scores",
-        )
-        # One row per pair of the block.
+    def weights(self) -> np.ndarray:
+        """[2, dim]: what the features of a pair add to each dimension of its space."""
+        return np.eye(2) if self.n_dims is None else np.asarray(projection_weights(["0", "1"], self.n_dims))
+
+    def bounds(self, vectors: DataFrame, at: Sequence[tuple[int, int]]) -> list[list[float]]:
+        """Half the range of every dimension of every pair, in one scan of the features.
+
+        A space has few different dimensions, as weights are signs: at most nine per pair reach the driver.
+        """
+        axes, own = np.unique(self.weights(), axis=1, return_inverse=True)
+
+        def extremes(batches):
+            lo = np.full((len(at), axes.shape[1]), np.inf)
+            hi = -lo
+            for _, x in matrices(batches):
+                for p, (i, j) in enumerate(at):
+                    y = axes[0][:, None] * x[i] + axes[1][:, None] * x[j]
+                    lo[p] = np.fmin(lo[p], np.fmin.reduce(y, axis=1))
+                    hi[p] = np.fmax(hi[p], np.fmax.reduce(y, axis=1))
+            p, k = np.indices(lo.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(p.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(lo.ravel()), pa.array(hi.ravel())],
+                ["pair", "axis", "lo", "hi"],
+            )
+
+        each = vectors.select("x").mapInArrow(extremes, "pair int, axis int, lo double, hi double")
+        found = {(r["pair"], r["axis"]): (r["lo"], r["hi"]) for r in each.groupBy("pair", "axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+        return [half_ranges([found[p, int(k)] for k in own.ravel()]) for p in range(len(at))]
+
+    def _counted(self, rows: DataFrame, marked: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
+        """Scores every row but emits only outliers and each group's extremes."""
+        features = sorted({f for p in pairs for f in p})
+        at = [(features.index(fx), features.index(fy)) for fx, fy in pairs]
+        number = [F.col(quote(f)).cast("double") for f in features]
+        vectors = rows.select(ID, F.array(*number).alias("x"))
+        deltas, plans = self.bounds(vectors, at), [self.own_plan(p) for p in pairs]
+        w, shape, n_chains, depth = self.weights(), self.shape, self.n_chains, self.depth
+        size = n_chains * depth * shape.hashes * shape.width
+
+        def space(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return w[0][:, None] * a + w[1][:, None] * b
+
+        def counting(x: np.ndarray):
+            for p, (i, j) in enumerate(at):
+                index = (i for _, _, own in buckets(space(x[i], x[j]), plans[p], deltas[p], shape) for i in own)
+                yield (p, *T.filled(index, shape.width))
+
+        blocks = lambda batches: (x for _, x in matrices(batches))
+        tasks = few_tasks(vectors)
+        parts = T.partials(vectors.select("x").coalesce(tasks), blocks, counting, 8 * len(w[0]))
+        packed = stage(T.summed(parts, tasks, size), "pair-counters")
+
+        def scored(p: int, own: pa.Table, tables: dict) -> pa.Table:
+            (ids, hit), x = joined(own.select([ID, "hit", "x"]).to_batches())
+            counts = T.dense(tables.get(p), size).reshape(-1, shape.width)
+            total = np.zeros(x.shape[1])
+            for c, d, index in buckets(space(x[0], x[1]), plans[p], deltas[p], shape):
+                base = (c * depth + d) * shape.hashes
+                least = counts[base][index[0]]
+                for j in range(1, shape.hashes):
+                    least = np.minimum(least, counts[base + j][index[j]])
+                v = np.log2(1.0 + least) + (d + 1)
+                low = v if d == 0 else np.minimum(low, v)
+                if d == depth - 1:
+                    total -= low
+            total = np.round(total / n_chains, SCORE_DIGITS)
+            chosen = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+            return pa.table({
+                ID: pa.array([None, *ids.to_numpy()[chosen].tolist()], pa.int64()),
+                "ensemble": pa.array(np.full(len(chosen) + 1, p, np.int32)),
+                "score": pa.array([total.min(), *total[chosen]]),
+                "hi": pa.array([total.max(), *[None] * len(chosen)], pa.float64()),
+            })
+
+        one = [F.struct(F.lit(p).alias("unit"), F.array(number[i], number[j]).alias("x")) for p, (i, j) in enumerate(at)]
+        spread = marked.select(ID, "hit", F.inline(F.array(*one)))
+        schema = f"{ID} bigint, ensemble int, score double, hi double"
+        out = stage(T.met(spread, rows.count(), packed, 1, len(pairs), scored, schema), "pair-scores")
+        # One row per pair.
         ends = out.where(F.col(ID).isNull()).groupBy("ensemble").agg(
             F.min("score").alias("_lo"), F.max("hi").alias("_hi")
         )
         norm = F.coalesce(
             F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)
         )
-        scored = out.where(F.col(ID).isNotNull()).join(F.broadcast(ends), "ensemble")
-        return _named(scored.withColumn("score_norm", norm), block)
-
-
-def _long(ids, low: np.ndarray, high: np.ndarray | None) -> pa.RecordBatch:
-    n, e = low.shape
-    keys = pa.nulls(n * e, pa.int64()) if ids is None else pa.array(np.repeat(ids, e))
-    top = pa.nulls(n * e, pa.float64()) if high is None else pa.array(high.reshape(-1))
-    return pa.RecordBatch.from_arrays(
-        [keys, pa.array(np.tile(np.arange(e, dtype=np.int32), n)), pa.array(low.reshape(-1)), top],
-        [ID, "ensemble", "score", "hi"],
-    )
+        chosen = out.where(F.col(ID).isNotNull()).join(F.broadcast(ends), "ensemble")
+        return _named(chosen.withColumn("score_norm", norm), pairs)
 
 
 def _named(scores: DataFrame, pairs: Sequence[Pair]) -> DataFrame:

@@ -290,6 +290,28 @@ def count_min_scores(spark, sf_dir):
     return scores.select("row_id", F.round("score", 6).alias("score"))
 
 
+WIDE_PLAN = C.ChainPlan.draw(len(ORDER_NUMERIC), 20, 20, SEED)
+WIDE_SHAPE = CM.SketchShape(bits=16)
+
+
+@query(
+    "count_min_partitioned",
+    S.with_(
+        S.ORDER_FEATURES,
+        S.long_vectors("of", ORDER_NUMERIC),
+        S.half_ranges(),
+        *S.count_min(WIDE_PLAN, WIDE_SHAPE, len(ORDER_NUMERIC)),
+        S.scores().replace("depth_values", "cm_values"),
+    )
+    + "SELECT row_id, round(score, 6) AS score FROM scores",
+)
+def count_min_partitioned(spark, sf_dir):
+    """2^16 counters a chain, depth and hash, partitioned by chain."""
+    vectors = order_vectors(spark, sf_dir)
+    detector = CM.CountMinDetector(len(ORDER_NUMERIC), 20, 20, SEED, WIDE_SHAPE)
+    return detector.fit(vectors).score(vectors).select("row_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "depth_scores",
     S.with_(*DETECT, S.top(TOP))

@@ -412,10 +412,10 @@ def budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pair_vectors_sql() -> str:
+def _pair_vectors_sql(n_dims: int) -> str:
     selects, dim = [], 0
     for fx, fy in ALL_PAIRS:
-        for terms in L.pair_terms(fx, fy, PAIRS.n_dims):
+        for terms in L.pair_terms(fx, fy, n_dims):
             x = " + ".join(f"{f} * {S.num(w)}" for f, w in terms) or "0.0::DOUBLE"
             selects.append(f"SELECT row_id, {dim} AS dim, {x} AS x FROM of")
             dim += 1
@@ -438,7 +438,7 @@ def _pair_score_parts() -> list[str]:
             p = p.replace(a, b)
         parts[i] = p
     return [
-        _pair_vectors_sql(),
+        _pair_vectors_sql(PAIRS.n_dims),
         S.half_ranges("pxs", "prng"),
         S.plan_values(PAIRS.plan(ALL_PAIRS), "pplan"),
         S.bins("pxs", "prng", "pplan", "pbins"),
@@ -537,9 +537,29 @@ def pair_roles(spark, sf_dir):
     )
 
 
-@query("pair_count_min")
+COUNTED = L.PairDetector(n_dims=50, n_chains=10, depth=10, seed=5)
+TOTAL_PRICE_TOP = 100
+
+
+@query(
+    "pair_count_min",
+    S.with_(
+        S.ORDER_FEATURES,
+        _pair_vectors_sql(COUNTED.n_dims),
+        S.half_ranges("pxs", "prng"),
+        *S.count_min(COUNTED.plan(ALL_PAIRS), COUNTED.shape, COUNTED.n_dims, "pxs", "prng"),
+        S.scores(COUNTED.n_chains).replace("depth_values", "cm_values"),
+        PAIR_NAMES,
+        "ends AS (SELECT ensemble, min(score) AS lo, max(score) AS hi FROM scores GROUP BY ensemble)",
+        f"chosen AS (SELECT row_id FROM of ORDER BY o_totalprice DESC, row_id LIMIT {TOTAL_PRICE_TOP})",
+    )
+    + """SELECT fx, fy, row_id, round(score, 6) AS score,
+  round(CASE WHEN hi = lo THEN 0 ELSE (score - lo) / (hi - lo) END, 6) AS score_norm
+FROM scores JOIN ends USING (ensemble) JOIN pn USING (ensemble) SEMI JOIN chosen USING (row_id)""",
+)
 def pair_count_min(spark, sf_dir):
-    """The same outliers scored with bounded counters."""
-    bounded = L.PairDetector(n_dims=4, n_chains=4, depth=4, seed=5, shape=L.SketchShape(bits=10))
-    pairs = L.distinct_pairs(cluster_pairs(spark, sf_dir))
-    return bounded.score(staged_orders(spark, sf_dir), pairs, rule_top(spark, sf_dir))
+    """The dearest orders on every pair of numeric features, by counters."""
+    orders = staged_orders(spark, sf_dir)
+    dearest = orders.orderBy(F.desc("o_totalprice"), "row_id").limit(TOTAL_PRICE_TOP).select("row_id")
+    scored = COUNTED.score(orders, ALL_PAIRS, dearest)
+    return scored.withColumns({c: F.round(c, 6) for c in ("score", "score_norm")})

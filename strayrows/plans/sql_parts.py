@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from strayrows.functions.tokens import projection_weights
 from strayrows.operators.chains import ChainPlan
+from strayrows.operators.countmin import SketchShape
 
 
 def with_(*parts: str) -> str:
@@ -109,3 +110,35 @@ def weight_values(tokens: Sequence[str], n_dims: int, signed: bool = True, name:
         f"('{t}',{k},{num(float(w[i, k]))})" for i, t in enumerate(tokens) for k in range(n_dims)
     ]
     return f"{name}(token, k, r) AS MATERIALIZED (VALUES {', '.join(rows)})"
+
+
+def count_min(
+    plan: ChainPlan, shape: SketchShape, n_dims: int, vectors: str = "xs", rng: str = "rng"
+) -> list[str]:
+    """cm_values(row_id, chain, depth, v): depth values by count-min counters of the rows in `vectors`.
+
+    A cell's hash is a running sum: a split adds what its dimension's bin has changed by. `n_dims` is the number of
+    dimensions of one ensemble; those of stacked ones follow each other.
+    """
+    mult = shape.multipliers(n_dims)
+    rows = []
+    for c in range(plan.n_chains):
+        for d, uses in enumerate(plan.uses(c)):
+            k = plan.dims[c][d]
+            own = ",".join(f"{int(mult[j, k % n_dims])}::HUGEINT" for j in range(shape.hashes))
+            rows.append(f"({c},{d + 1},{k},{num(2.0 ** (uses[k] - 1))},{num(plan.shift[c][k])},[{own}])")
+    wrap = 2**64
+    bucket = f"((((sum(b * a[{{j}}]) OVER w) % {wrap}) + {wrap}) % {wrap}) // {2 ** (64 - shape.bits)}"
+    hashes = ", ".join(f"({bucket.format(j=j + 1)})::INT AS b{j}" for j in range(shape.hashes))
+    counts = ", ".join(f"count(*) OVER (PARTITION BY chain, depth, b{j})" for j in range(shape.hashes))
+    return [
+        f"cm_plan(chain, depth, dim, mult, u, a) AS MATERIALIZED (VALUES {', '.join(rows)})",
+        f"""cm_steps AS MATERIALIZED (
+  SELECT row_id, chain, depth, a, (floor((mult * x + u * delta) / delta)
+         - CASE WHEN mult > 1 THEN floor((mult / 2 * x + u * delta) / delta) ELSE 0 END)::HUGEINT AS b
+  FROM {vectors} v JOIN cm_plan p ON v.dim = p.dim JOIN {rng} r ON r.dim = p.dim)""",
+        f"""cm_hashed AS MATERIALIZED (
+  SELECT row_id, chain, depth, {hashes} FROM cm_steps WINDOW w AS (PARTITION BY row_id, chain ORDER BY depth))""",
+        f"""cm_values AS MATERIALIZED (
+  SELECT row_id, chain, depth, log2(1.0::DOUBLE + least({counts})) + depth AS v FROM cm_hashed)""",
+    ]

@@ -9,6 +9,7 @@ import pytest
 from strayrows.functions import tokens
 from strayrows.operators import chains as C
 from strayrows.operators import countmin as CM
+from strayrows.operators import partitioned as T
 from strayrows.operators.project import projection_table, vectorize
 from strayrows.spec import FeatureSpec
 
@@ -160,17 +161,49 @@ def test_count_min_update_and_depths(spark):
     assert a == pytest.approx(b)
 
 
-def test_blocks_of_chains_change_no_score(spark):
+def test_partitioned_counters_change_no_score(spark, monkeypatch):
     _, df = random_vectors(spark)
     shape = CM.SketchShape(2, 8)
     whole = CM.CountMinDetector(3, 10, 6, 3, shape).fit(df)
-    parts = CM.CountMinDetector(3, 10, 6, 3, shape, block_bytes=3 * 6 * 2 * 256 * 8).fit(df)
-    assert len(parts.blocks) == 4
+    cut = CM.CountMinDetector(3, 10, 6, 3, shape, block_bytes=1)
+    monkeypatch.setattr(CM, "BLOCK_BYTES", 3 * 6 * 2 * 256 * 12)
+    monkeypatch.setattr(T, "GROUP_ROWS", 37)
+    monkeypatch.setattr(T, "FAN_IN", 2)
+    parts = cut.fit(df.repartition(7))
+    assert parts.packed.count() == 10 and parts._per_range == 3
+    listed = lambda m: sorted((r["cell"], r["cnt"]) for r in m.cells.collect())
+    assert listed(parts) == listed(whole)
     assert scores_of(parts.score(df)) == pytest.approx(scores_of(whole.score(df)))
     key = lambda r: (r["row_id"], r["chain"], r["depth"], r["split"], r["v"])
     assert sorted(map(key, parts.depth_scores(df).collect())) == sorted(map(key, whole.depth_scores(df).collect()))
-    half = CM.CountMinDetector(3, 10, 6, 3, shape, block_bytes=1).fit(df).update(df.where("row_id % 2 = 0"))
-    assert len(half.blocks) == 10
+    more = df.where("row_id % 2 = 0")
+    assert listed(parts.update(more)) == listed(whole.update(more))
+
+
+def test_partitioned_counters_that_are_sent_early(spark, monkeypatch):
+    rows = np.arange(100.0)[None, :]
+
+    def counting(x):
+        for unit in range(4):
+            yield (unit, *T.filled([x[0].astype(int) % (unit + 2)], 8))
+
+    df = spark.createDataFrame([(i,) for i in range(6)], "i int").repartition(2)
+    blocks = lambda batches: (rows for b in batches for _ in range(b.num_rows))
+    expected = [(u * 8 + k, 6 * sum(j % (u + 2) == k for j in range(100))) for u in range(4) for k in range(u + 2)]
+    for chunk, held in ((1, 1), (1 << 20, 1 << 20), (1, 1 << 20)):
+        counted = T.partials(df, early(blocks, chunk, held), counting)
+        got = T.opened(T.summed(counted, 2, 8), 8)
+        assert sorted((r["cell"], r["cnt"]) for r in got.collect()) == expected
+
+
+def early(blocks, chunk, held):
+    """Blocks read by a worker that holds little."""
+
+    def run(batches):
+        T.CHUNK_BYTES, T.HELD_BYTES = chunk, held
+        return blocks(batches)
+
+    return run
 
 
 def test_counters_of_a_chosen_width_find_planted_outliers(spark):
