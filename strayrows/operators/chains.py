@@ -5,6 +5,10 @@ into sparsely filled cells early is unusual. Here a whole ensemble is one table
 job: all chains and depths are group keys, nothing loops over them. Rows that
 pass a chain through the same bins share one path; depths are unfolded for
 distinct paths only, so the row-level work is rows x chains.
+
+Paths and cells are joined by two 64-bit keys of fixed width (`cells.py`), rolled along the chain; the bins
+themselves stay with the distinct paths. A path is looked up LEVELS depths at a time and leaves
+the frontier once one of its cells holds a single row: deeper cells can't give a smaller value.
 """
 
 from __future__ import annotations
@@ -15,15 +19,19 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strayrows.functions.blocks import list_array, matrices
+from strayrows.operators import cells as K
 from strayrows.spec import ID
 from strayrows.staging import stage
 
 SCORE_DIGITS = 9
 HOT_PARTS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
+LEVELS = 8
 
 
 class DetectorModel(Protocol):
@@ -68,6 +76,11 @@ class ChainPlan:
         dims = self.dims[first:last]
         return ChainPlan(dims, self.shift[first:last], len(dims))
 
+    @property
+    def n_dims(self) -> int:
+        """Dimensions up to the last one that is split."""
+        return max(max(row) for row in self.dims) + 1
+
     @property
     def n_chains(self) -> int:
         return len(self.dims)
@@ -195,9 +208,57 @@ def bin_rows(vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float]) -> Da
     return unfold(path_rows(vectors, plan, deltas), plan, ID)
 
 
-def count_paths(paths: DataFrame) -> DataFrame:
-    """(chain, path, cnt): rows that pass a chain alike are counted before the shuffle."""
-    return paths.groupBy("chain", "path").agg(F.count("*").alias("cnt"))
+def count_paths(vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float]) -> DataFrame:
+    """(chain, h1, h2, path, cnt): rows that pass a chain alike are counted in their task, then once per path."""
+
+    def count(batches):
+        for _, x in matrices(batches):
+            for c in range(plan.n_chains):
+                bins = K.path_bins(x, plan, deltas, c)
+                h1, h2 = K.path_keys(bins)
+                at, n = K.distinct(h1, h2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), c, np.int32)), K.signed(h1[at]), K.signed(h2[at]), list_array(bins[:, at].T), pa.array(n)],
+                    ["chain", "h1", "h2", "path", "cnt"],
+                )
+
+    found = vectors.select("x").mapInArrow(count, PATHS)
+    return found.groupBy("chain", "h1", "h2", "path").agg(F.sum("cnt").alias("cnt"))
+
+
+PATHS = "chain int, h1 bigint, h2 bigint, path array<bigint>, cnt bigint"
+
+
+def cells_of(paths: DataFrame, plan: ChainPlan, levels: range, count: bool) -> DataFrame:
+    """(chain, h1, h2, depth, c1, c2) of counted paths at `levels`; or, to `count`, (chain, depth, c1, c2, cnt, paths)."""
+
+    def unfold_keys(batches):
+        for batch in batches:
+            chain = batch.column(0).to_numpy()
+            for c in np.unique(chain):
+                own = batch.filter(pa.array(chain == c))
+                bins = own.column(3).flatten().to_numpy().reshape(own.num_rows, -1).T
+                n = own.column(4).to_numpy()
+                for depth, c1, c2 in K.cell_keys(bins, plan, int(c)):
+                    if depth - 1 not in levels:
+                        continue
+                    if count:
+                        at, paths, rows = K.distinct(c1, c2, n)
+                        more = {"cnt": pa.array(rows), "paths": pa.array(paths)}
+                        c1, c2 = c1[at], c2[at]
+                        first = {}
+                    else:
+                        first, more = {"h1": own.column(1), "h2": own.column(2)}, {}
+                    yield pa.RecordBatch.from_pydict({
+                        "chain": pa.array(np.full(len(c1), c, np.int32)), **first,
+                        "depth": pa.array(np.full(len(c1), depth, np.int32)), "c1": K.signed(c1), "c2": K.signed(c2), **more,
+                    })
+
+    source = paths.select("chain", "h1", "h2", "path", "cnt")
+    if count:
+        found = source.mapInArrow(unfold_keys, "chain int, depth int, c1 bigint, c2 bigint, cnt bigint, paths bigint")
+        return found.groupBy("chain", "depth", "c1", "c2").agg(F.sum("cnt").alias("cnt"), F.sum("paths").alias("paths"))
+    return source.mapInArrow(unfold_keys, "chain int, h1 bigint, h2 bigint, depth int, c1 bigint, c2 bigint")
 
 
 def count_bins(binned: DataFrame) -> DataFrame:
@@ -217,16 +278,6 @@ def sketch_of(path_counts: DataFrame, plan: ChainPlan) -> DataFrame:
     )
 
 
-def merge_sketches(*sketches: DataFrame) -> DataFrame:
-    """Add up counts of sketches that share one plan and one set of ranges."""
-    merged = sketches[0]
-    for s in sketches[1:]:
-        merged = merged.unionByName(s)
-    return merged.groupBy("chain", "depth", "bin").agg(
-        F.sum("cnt").alias("cnt"), F.sum("paths").alias("paths")
-    )
-
-
 def look_up(df: DataFrame, table: DataFrame, on: list[str], small: bool, hot: DataFrame | None) -> DataFrame:
     """Left join a table with unique keys.
 
@@ -277,81 +328,144 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), F.asc(ID)).limit(k)
 
 
+CELL = ["chain", "depth", "c1", "c2"]
+PATH = ["chain", "h1", "h2"]
+#: What a row with the key of a cell or path and two numbers takes in memory.
+ROW_BYTES = 64
+
+
 @dataclass
 class ChainModel:
-    """Exact counts of a fitted ensemble."""
+    """Exact counts of a fitted ensemble: its distinct paths and its cells."""
 
     plan: ChainPlan
     deltas: list[float]
-    sketch: DataFrame
+    paths: DataFrame
+    cells: DataFrame
     n_cells: int
     n_paths: int
-    path_counts: DataFrame | None = None
     _hot: DataFrame | None = field(default=None, repr=False)
 
-    def _row_bytes(self) -> int:
-        """What a row with an array of up to `depth` bins takes in memory."""
-        return 64 + 8 * self.plan.depth
+    @property
+    def sketch(self) -> DataFrame:
+        """(chain, depth, bin, cnt, paths): the cells with their bins."""
+        return sketch_of(self.paths, self.plan)
 
-    def _count(self, cells: DataFrame) -> DataFrame:
-        """Add cnt to (chain, depth, bin) rows, 0 for a cell that was never filled."""
-        small = self.n_cells * self._row_bytes() <= BROADCAST_BYTES
+    def _count(self, keyed: DataFrame) -> DataFrame:
+        """Add cnt to rows with the key of a cell, 0 for a cell that was never filled."""
+        small = self.n_cells * ROW_BYTES <= BROADCAST_BYTES
         if not small and self._hot is None:
             # At most HOT_PARTS cells per chain and depth can exceed this share of the paths.
             share = F.col("paths") * HOT_PARTS * self.plan.n_chains
-            self._hot = stage(
-                self.sketch.where(share > F.lit(self.n_paths)).drop("paths"), "hot-cells"
-            )
-        joined = look_up(
-            cells, self.sketch.drop("paths"), ["chain", "depth", "bin"], small, self._hot
-        )
-        return joined.withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+            self._hot = stage(self.cells.where(share > F.lit(self.n_paths)).drop("paths"), "hot-cells")
+        found = look_up(keyed, self.cells.drop("paths"), CELL, small, self._hot)
+        return found.withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
-    def path_values(self, path_counts: DataFrame) -> DataFrame:
-        """(chain, path, cnt, v): the smallest depth value along each distinct path."""
-        cells = self._count(
-            unfold(path_counts.withColumnRenamed("cnt", "n"), self.plan, "path", "n")
-        )
-        return cells.groupBy("chain", "path").agg(
-            F.max("n").alias("cnt"),
-            F.min(depth_value(F.col("cnt"), F.col("depth"))).alias("v"),
-        )
+    def path_values(self, paths: DataFrame) -> DataFrame:
+        """(chain, h1, h2, v): the smallest depth value along each of the counted `paths`.
+
+        A path whose cell holds one row, or none, at some depth has its smallest value there or before.
+        """
+        out, frontier = None, paths
+        for first in range(0, self.plan.depth, LEVELS):
+            levels = range(first, min(first + LEVELS, self.plan.depth))
+            found = self._count(cells_of(frontier, self.plan, levels, False)).groupBy(*PATH).agg(
+                F.min(depth_value(F.col("cnt"), F.col("depth"))).alias("v"), F.min("cnt").alias("least")
+            )
+            last = levels.stop == self.plan.depth
+            if not last or out is not None:
+                found = stage(found, "frontier")
+            out = found.select(*PATH, "v") if out is None else out.unionByName(found.select(*PATH, "v"))
+            if not last:
+                frontier = frontier.join(found.where("least > 1").select(*PATH), PATH, "left_semi")
+        if self.plan.depth > LEVELS:
+            out = out.groupBy(*PATH).agg(F.min("v").alias("v"))
+        return out
 
     def score(self, vectors: DataFrame, fitted: bool = False) -> DataFrame:
         """(row_id[, ensemble], score). `fitted` says these are the rows of the fit, whose
         distinct paths are known already."""
-        paths = path_rows(vectors, self.plan, self.deltas)
-        known = fitted and self.path_counts is not None
-        counts = self.path_counts if known else count_paths(paths)
-        values = stage(self.path_values(counts), "path-values")
-        size = values.agg(F.count("*").alias("n"), F.sum("cnt").alias("rows")).first()
-        small = size["n"] * self._row_bytes() <= BROADCAST_BYTES
-        hot = None
-        if not small:
-            # At most HOT_PARTS paths per chain hold more than this share of the rows.
-            share = F.col("cnt") * HOT_PARTS * self.plan.n_chains
-            hot = stage(values.where(share > F.lit(size["rows"])).drop("cnt"), "hot-paths")
-        minima = look_up(paths, values.drop("cnt"), ["chain", "path"], small, hot)
-        return ensemble_scores(minima, self.plan)
+        plan, deltas = self.plan, self.deltas
+        paths = self.paths if fitted else stage(count_paths(vectors, plan, deltas), "paths")
+        values = stage(self.path_values(paths), "path-values")
+        n_values = self.n_paths if fitted else values.count()
+        if n_values * ROW_BYTES <= BROADCAST_BYTES:
+            return self._by_table(vectors, values)
+
+        def keys(batches):
+            for columns, x in matrices(batches):
+                for c in range(plan.n_chains):
+                    h1, h2 = K.path_keys(K.path_bins(x, plan, deltas, c))
+                    chain = pa.array(np.full(x.shape[1], c, np.int32))
+                    yield pa.RecordBatch.from_arrays([columns[0], chain, K.signed(h1), K.signed(h2)], [ID, *PATH])
+
+        rows = vectors.select(ID, "x").mapInArrow(keys, f"{ID} bigint, chain int, h1 bigint, h2 bigint")
+        size = paths.agg(F.sum("cnt")).first()[0]
+        # At most HOT_PARTS paths per chain hold more than this share of the rows.
+        hot = paths.where(F.col("cnt") * HOT_PARTS * plan.n_chains > F.lit(size)).select(*PATH)
+        hot = stage(values.join(hot, PATH, "left_semi"), "hot-paths")
+        return ensemble_scores(look_up(rows, values, PATH, False, hot), plan)
+
+    def _by_table(self, vectors: DataFrame, values: DataFrame) -> DataFrame:
+        """Scores by a broadcast of all path values, whose number the caller has checked."""
+        plan, deltas = self.plan, self.deltas
+        every = values.toArrow()  # BROADCAST_BYTES / ROW_BYTES rows at most
+        chain, h1, h2, v = (every.column(c).to_numpy() for c in (*PATH, "v"))
+        tables = []
+        for c in range(plan.n_chains):
+            own = np.flatnonzero(chain == c)
+            a = h1[own].view(np.uint64)
+            order = np.argsort(a, kind="stable")
+            tables.append((a[order], h2[own].view(np.uint64)[order], v[own][order]))
+        shared = vectors.sparkSession.sparkContext.broadcast(tables)
+        n = plan.chains_per_ensemble
+
+        def score(batches):
+            for columns, x in matrices(batches):
+                total = np.zeros((x.shape[1], plan.n_ensembles))
+                for c, (a, b, least) in enumerate(shared.value):
+                    own1, own2 = K.path_keys(K.path_bins(x, plan, deltas, c))
+                    at = np.searchsorted(a, own1)
+                    while (other := b[at] != own2).any():  # paths that share one of the keys
+                        at[other] += 1
+                    total[:, c // n] -= least[at]
+                yield pa.RecordBatch.from_arrays([columns[0], list_array(total / n)], [ID, "s"])
+
+        scored = vectors.select(ID, "x").mapInArrow(score, f"{ID} bigint, s array<double>")
+        if plan.n_ensembles == 1:
+            return scored.select(ID, F.round(F.col("s")[0], SCORE_DIGITS).alias("score"))
+        each = scored.select(ID, F.posexplode("s").alias("ensemble", "score"))
+        return each.withColumn("score", F.round("score", SCORE_DIGITS))
 
     def depth_scores(self, vectors: DataFrame) -> DataFrame:
         """(row_id, chain, depth, split, v) for every depth."""
-        return self._count(bin_rows(vectors, self.plan, self.deltas)).select(
-            ID, "chain", "depth", "split", depth_value(F.col("cnt"), F.col("depth")).alias("v")
-        )
+        plan, deltas = self.plan, self.deltas
+
+        def keys(batches):
+            for columns, x in matrices(batches):
+                for c in range(plan.n_chains):
+                    for depth, c1, c2 in K.cell_keys(K.path_bins(x, plan, deltas, c), plan, c):
+                        same = lambda v: pa.array(np.full(x.shape[1], v, np.int32))  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays(
+                            [columns[0], same(c), same(depth), same(plan.dims[c][depth - 1]), K.signed(c1), K.signed(c2)],
+                            [ID, "chain", "depth", "split", "c1", "c2"],
+                        )
+
+        schema = f"{ID} bigint, chain int, depth int, split int, c1 bigint, c2 bigint"
+        keyed = vectors.select(ID, "x").mapInArrow(keys, schema)
+        return self._count(keyed).select(ID, "chain", "depth", "split", depth_value(F.col("cnt"), F.col("depth")).alias("v"))
 
     def update(self, vectors: DataFrame) -> ChainModel:
         """The model after counting further rows; chains and ranges stay as fitted."""
-        more = sketch_of(count_paths(path_rows(vectors, self.plan, self.deltas)), self.plan)
-        return _model(self.plan, self.deltas, stage(merge_sketches(self.sketch, more), "sketch"))
+        more = self.paths.unionByName(count_paths(vectors, self.plan, self.deltas))
+        counted = more.groupBy(*PATH, "path").agg(F.sum("cnt").alias("cnt"))
+        return _model(self.plan, self.deltas, counted)
 
 
-def _model(
-    plan: ChainPlan, deltas: list[float], sketch: DataFrame, path_counts: DataFrame | None = None
-) -> ChainModel:
-    size = sketch.agg(F.count("*").alias("cells"), F.sum("paths").alias("paths")).first()
-    n_paths = int(size["paths"] or 0) // plan.depth
-    return ChainModel(plan, deltas, sketch, int(size["cells"]), n_paths, path_counts)
+def _model(plan: ChainPlan, deltas: list[float], paths: DataFrame) -> ChainModel:
+    paths = stage(paths, "paths")
+    cells = stage(cells_of(paths, plan, range(plan.depth), True), "cells")
+    return ChainModel(plan, deltas, paths, cells, cells.count(), paths.count())
 
 
 @dataclass(frozen=True)
@@ -375,5 +489,4 @@ def fit_plan(
     if bounds is None:
         bounds = ranges(vectors, len(plan.shift[0]))
     deltas = half_ranges(bounds)
-    path_counts = stage(count_paths(path_rows(vectors, plan, deltas)), "paths")
-    return _model(plan, deltas, stage(sketch_of(path_counts, plan), "sketch"), path_counts)
+    return _model(plan, deltas, count_paths(vectors, plan, deltas))

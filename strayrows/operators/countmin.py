@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strayrows.functions.blocks import BATCH_ROWS, joined, list_array, matrices
 from strayrows.operators import partitioned as T
 from strayrows.operators.chains import SCORE_DIGITS, ChainPlan, half_ranges, ranges
 from strayrows.spec import ID
 from strayrows.staging import stage
 
-BATCH_ROWS = 65_536
 BLOCK_BYTES = 256 * 1024 * 1024
 TASKS_PER_CORE = 4
 #: Counters that travel as one array.
@@ -57,30 +57,6 @@ class SketchShape:
         return n_rows / self.width
 
 
-def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
-    """Join small Arrow batches; yield the other columns and x as [dim, row]."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= BATCH_ROWS:
-            yield joined(held)
-            held, rows = [], 0
-    if held:
-        yield joined(held)
-
-
-def joined(held: list[pa.RecordBatch]) -> tuple[list[pa.Array], np.ndarray]:
-    table = pa.Table.from_batches(held).combine_chunks()
-    x = table.column("x").combine_chunks()
-    flat = x.flatten().to_numpy(zero_copy_only=False)
-    columns = [table.column(n).combine_chunks() for n in table.column_names if n != "x"]
-    return columns, np.ascontiguousarray(flat.reshape(len(x), -1).T)
-
-
 def buckets(
     x: np.ndarray, plan: ChainPlan, deltas: Sequence[float], shape: SketchShape
 ) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -427,9 +403,3 @@ def ensemble_totals(x, table, plan, deltas, shape) -> np.ndarray:
         if d == plan.depth - 1:
             total[:, c // plan.chains_per_ensemble] -= lowest
     return total / plan.chains_per_ensemble
-
-
-def list_array(values: np.ndarray) -> pa.ListArray:
-    rows, width = values.shape
-    offsets = np.arange(0, (rows + 1) * width, width, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strayrows.functions.blocks import joined, matrices
 from strayrows.functions.joins import lookup
 from strayrows.functions.tokens import murmur3, projection_weights
 from strayrows.operators import partitioned as T
@@ -27,7 +28,7 @@ from strayrows.operators.chains import (
     normalise,
     ranges,
 )
-from strayrows.operators.countmin import SketchShape, buckets, few_tasks, joined, matrices
+from strayrows.operators.countmin import SketchShape, buckets, few_tasks
 from strayrows.spec import ID, double, quote
 from strayrows.staging import stage
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from strayrows.functions import tokens
+from strayrows.operators import cells as K
 from strayrows.operators import chains as C
 from strayrows.operators import countmin as CM
 from strayrows.operators import partitioned as T
@@ -98,6 +99,30 @@ def test_fitted_shortcut_and_large_table_joins_agree(spark, monkeypatch):
     assert scores_of(C.fit_plan(df, plan).score(df, fitted=True)) == small
 
 
+@pytest.mark.parametrize("levels", [1, 3])
+def test_frontier_leaves_scores_alone(spark, monkeypatch, levels):
+    x, df = random_vectors(spark)
+    plan = C.ChainPlan.draw(3, 5, 20, seed=8)
+    monkeypatch.setattr(C, "LEVELS", levels)
+    model = C.fit_plan(df, plan)
+    want = by_hand(x, x, plan)
+    for got in (scores_of(model.score(df)), scores_of(model.score(df, fitted=True))):
+        assert np.allclose([got[10 + 7 * i] for i in range(len(x))], want, atol=1e-8)
+
+
+def test_keys_follow_bins():
+    plan = C.ChainPlan.draw(4, 2, 12, seed=1)
+    x = np.random.default_rng(3).normal(size=(4, 4000))
+    bins = K.path_bins(x, plan, [1.0] * 4, 1)
+    paths = {tuple(b) for b in bins.T}
+    assert len(K.distinct(*K.path_keys(bins))[0]) == len(paths)
+    picks = plan.keys()[1]
+    for depth, c1, c2 in K.cell_keys(bins, plan, 1):
+        at, n = K.distinct(c1, c2)
+        cells = Counter(tuple(bins[picks[depth - 1]["picks"], i]) for i in range(bins.shape[1]))
+        assert {tuple(bins[picks[depth - 1]["picks"], i]): m for i, m in zip(at, n)} == cells
+
+
 def test_update_equals_one_pass(spark):
     _, df = random_vectors(spark)
     plan = C.ChainPlan.draw(3, 3, 4, seed=4)
