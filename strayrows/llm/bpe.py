@@ -1,16 +1,19 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 Texts are cut where a rolling hash of the last bytes says so. One pass counts chunks over all documents;
-those that save most are encoded once, by one task each, and travel as a table of bounded size.
-All other chunks are encoded where they are met. A cut may go through a word, so tokens next to it
-are not final: the join is repaired by encoding anew what lies between the last white space before it
-and the first one after it. White space ends every pre-token and meets no normalisation
-across it, so there both sides agree with the encoding of the whole text.
+the shared ones are encoded once, by one task each, and travel as a table whose bytes are bounded. In a text, what lies
+between shared chunks is encoded in one go, and so is a shared chunk that the table has no room for.
+
+Either side of a join was encoded without the other. The join is repaired by encoding a window that reaches over it by some
+words on each side. The window is right once it agrees with both sides: they end and begin with what
+the window's own halves give, and its outermost words come out as they do there. Until then it grows, at last to the
+whole text so far and the whole next part, which needs no agreement.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from strayrows.llm.registry import query, table
 from strayrows.llm.words import Words, slices, texts_of
+from strayrows.staging import stage
 
 WINDOW = 16
 
@@ -45,62 +49,106 @@ def chunked(texts: list[bytes], mask: int) -> list[list[tuple[int, int]]]:
 
 
 class Encoder:
-    """Encodes words through a bounded memo, and chunks through a table of shared ones."""
+    """Encodes texts through a table of shared chunks: their bytes to their ids."""
 
-    def __init__(self, spec: str, shared: dict[bytes, tuple[bytes, bytes, bytes]] | None = None, memo: int = 120_000):
+    def __init__(self, spec: str, shared: dict[bytes, bytes] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.shared, self.limit = shared or {}, memo
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Puts `words` into the memo, which forgets what two fillings of it have not met."""
-        if len(self.memo) > self.limit:
-            self.older, self.memo = self.memo, {}
-        missing = words.difference(self.memo)
-        known = missing.intersection(self.older)
-        self.memo.update((w, self.older[w]) for w in known)
-        missing = list(missing.difference(known))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, found))
-
-    def chunk(self, chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
-        """Bytes before the first white space, ids between, bytes after the last; ids None without white space."""
-        if (known := self.shared.get(chunk)) is not None:
-            return known
-        words = chunk.split()
-        head = b"" if not words or not chunk.startswith(words[0]) else words[0]
-        if len(head) == len(chunk):
-            return head, None, b""
-        tail = b"" if not words or not chunk.endswith(words[-1]) else words[-1]
-        inner = words[bool(head) : len(words) - bool(tail)]
-        return head, b"".join([self.memo[w] for w in inner]), tail
+        self.shared = shared or {}
+
+    def plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def parts(self, text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int, bytes | None]]:
+        """(start, end, ids if shared); what lies between shared chunks is one part."""
+        out, open_from = [], 0
+        for a, b in spans:
+            ids = self.shared.get(text[a:b])
+            if ids is not None:
+                if a > open_from:
+                    out.append((open_from, a, None))
+                out.append((a, b, ids))
+                open_from = b
+        if open_from < len(text):
+            out.append((open_from, len(text), None))
+        return out
 
     def encode(self, texts: list[bytes], mask: int) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        self.learn({w for t in texts for w in t.split()})
+        cut = [self.parts(t, s) if s else [] for t, s in zip(texts, chunked(texts, mask))]
+        own = iter(self.plain([t[a:b] for t, parts in zip(texts, cut) for a, b, ids in parts if ids is None]))
         out = []
-        for text, spans in zip(texts, chunked(texts, mask)):
-            ids, open_word = [], b""
-            for a, b in spans:
-                head, inner, tail = self.chunk(text[a:b])
-                open_word += head
-                if inner is None:
-                    continue
-                if open_word:  # the repaired join
-                    ids.append(self.memo[open_word])
-                ids.append(inner)
-                open_word = tail
-            if open_word:
-                ids.append(self.memo[open_word])
-            out.append(b"".join(ids))
+        for text, parts in zip(texts, cut):
+            ids = np.zeros(0, "<u4")
+            for a, b, known in parts:
+                more = next(own) if known is None else np.frombuffer(known, "<u4")
+                ids = self.joined(text[:a], ids, text[a:b], more) if a else more
+            out.append(ids.tobytes())
         return out
 
+    def joined(self, left: bytes, left_ids: np.ndarray, right: bytes, right_ids: np.ndarray, words: int = 2) -> np.ndarray:
+        """Ids of `left` + `right`, given those of each."""
+        while True:
+            a, b = _last_words(left, words), _first_words(right, words)
+            if a == 0 and b == len(right):
+                return self.plain([left + right])[0]
+            tail, head = left[a:], right[:b]
+            outer = (tail.split(maxsplit=1)[0] if a else b"", head.rsplit(maxsplit=1)[-1] if b < len(right) else b"")
+            window, of_tail, of_head, first, last = self.plain([tail + head, tail, head, *outer])
+            before, after = left_ids[: len(left_ids) - len(of_tail)], right_ids[len(of_head) :]
+            if a:
+                agrees = _starts(window, first) and _starts(of_tail, first) and _ends(left_ids, of_tail)
+            else:
+                agrees, before = True, left_ids[:0]
+            if b < len(right):
+                agrees = agrees and _ends(window, last) and _ends(of_head, last) and _starts(right_ids, of_head)
+            else:
+                after = right_ids[:0]
+            if agrees:
+                return np.concatenate([before, window, after])
+            words *= 2
+
+
+def _starts(ids: np.ndarray, with_ids: np.ndarray) -> bool:
+    return np.array_equal(ids[: len(with_ids)], with_ids)
+
+
+def _ends(ids: np.ndarray, with_ids: np.ndarray) -> bool:
+    return np.array_equal(ids[len(ids) - len(with_ids) :], with_ids)
+
+
+_WHITE = re.compile(rb"[\x20\x09-\x0D]+")
+
+
+def _last_words(text: bytes, n: int) -> int:
+    """Where the last n words start and a cut-off one after them, if more lie before; else 0."""
+    reach = 64 * n
+    while True:
+        at = max(len(text) - reach, 0)
+        gaps = [m.end() for m in _WHITE.finditer(text, at) if m.start() > at or not at]
+        if len(gaps) > n:
+            return gaps[-n - 1]
+        if not at:
+            return 0
+        reach *= 4
+
+
+def _first_words(text: bytes, n: int) -> int:
+    """Where the first n words end, with a cut-off one before them, if more follow; else the length."""
+    reach = 64 * n
+    while True:
+        gaps = [m.start() for m in _WHITE.finditer(text, 0, reach) if m.end() < reach or reach >= len(text)]
+        if len(gaps) > n:
+            return gaps[n]
+        if reach >= len(text):
+            return len(text)
+        reach *= 4
+
 
 _last: dict[str, Encoder] = {}
 
@@ -113,12 +161,13 @@ def _kept(key: str, spec: str, shared: dict) -> Encoder:
     return _last[key]
 
 
-def _counts(mask: int, longest: int):
-    """(h, n, doc_id, start, length): chunks counted in the task first."""
+def _counts(mask: int):
+    """(h, n, doc_id, text_hash, start, length): chunks counted in the task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = texts_of(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            texts = texts_of(batch.column(2))
             for a, b in slices(texts):
                 words = Words(texts[a:b])
                 edges = np.union1d(cuts(words, mask), words.offsets)
@@ -129,57 +178,62 @@ def _counts(mask: int, longest: int):
                 starts, ends = edges[:-1], edges[1:]
                 doc = np.searchsorted(words.offsets, starts, side="right") - 1
                 ends = np.minimum(ends, words.offsets[doc + 1] - 1)
-                fits = (ends - starts > 0) & (ends - starts <= longest)
+                fits = ends > starts
                 starts, ends, doc = starts[fits], ends[fits], doc[fits]
                 h, at, n = np.unique(words.span_hashes(starts, ends), return_index=True, return_counts=True)
+                own = a + doc[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(ids[a:b][doc[at]].astype(np.int64)),
+                    [pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(ids[own].astype(np.int64)), pa.array(hashes[own]),
                      pa.array(starts[at] - words.offsets[doc[at]]), pa.array(ends[at] - starts[at])],
-                    names=["h", "n", "doc_id", "start", "length"],
+                    names=["h", "n", "doc_id", "text_hash", "start", "length"],
                 )
 
     return run
 
 
-def shared_chunks(
-    docs: DataFrame, spec: str, mask: int, most: int = 4096, longest: int = 4096
-) -> dict[bytes, tuple[bytes, bytes, bytes]]:
-    """The `most` chunks of at most `longest` bytes whose repetition covers most bytes, encoded once.
-
-    The table holds `most` x `longest` bytes of text at most, and about three times that in all.
+def shared_chunks(docs: DataFrame, spec: str, mask: int, table_bytes: int = 32 << 20) -> dict[bytes, bytes]:
+    """Chunks that occur twice at least, encoded once: those whose repetition covers most bytes, until their texts and ids
+    take `table_bytes` (ids counted as twice the text). What has no room is encoded where it is met.
     """
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    top = (
-        known.mapInArrow(_counts(mask, longest), "h bigint, n bigint, doc_id bigint, start bigint, length bigint")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
+    schema = "h bigint, n bigint, doc_id bigint, text_hash bigint, start bigint, length bigint"
+    repeated = stage(
+        known.select("doc_id", "text_hash", "text")
+        .mapInArrow(_counts(mask), schema)
         .groupBy("h")
-        .agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start", "length")).alias("at"))
+        .agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "length")).alias("at"))
         .where("n > 1")
-        .orderBy(F.desc((F.col("n") - 1) * F.col("at.length")), "h")
-        .limit(most)
-        .groupBy(F.col("at.doc_id").alias("doc_id"))
-        .agg(F.collect_list(F.struct("at.start", "at.length")).alias("spans"))
+        .select("h", ((F.col("n") - 1) * F.col("at.length")).alias("saves"), "at.*"),
+        "shared-chunks",
     )
+    # The bytes of chunks by what they save, in powers of two: some sixty numbers.
+    power = F.log2("saves").cast("int")
+    sizes = {r["p"]: r["b"] for r in repeated.groupBy(power.alias("p")).agg(F.sum(F.col("length") * 3 + 100).alias("b")).collect()}
+    room, least = table_bytes, max(sizes, default=0) + 1
+    for p in sorted(sizes, reverse=True):
+        if sizes[p] > room:
+            break
+        room, least = room - sizes[p], p
+    # Of the first power that doesn't fit, as many as do.
+    rest = repeated.where(power == least - 1).orderBy(F.desc("saves"), "h").limit(max(room // 400, 0))
+    chosen = stage(repeated.where(power >= least).unionByName(rest), "chosen-chunks")
+    spans = chosen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec)
         for batch in batches:
-            rows = []
-            for text, spans in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                encoder.learn(set(text.split()))
-                for s in spans:
-                    chunk = text[s["start"] : s["start"] + s["length"]]
-                    encoder.learn(set(chunk.split()))
-                    rows.append((chunk, *encoder.chunk(chunk)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.binary()) for c in (zip(*rows) if rows else [()] * 4)],
-                names=["chunk", "head", "ids", "tail"],
-            )
-
-    # At most `most` rows.
-    chosen = known.join(F.broadcast(top), "doc_id").select("text", "spans")
-    found = chosen.mapInArrow(run, "chunk binary, head binary, ids binary, tail binary").collect()
-    as_bytes = lambda x: None if x is None else bytes(x)
-    return {bytes(r[0]): (bytes(r[1]), as_bytes(r[2]), bytes(r[3])) for r in found}
+            chunks = [
+                text[s["start"] : s["start"] + s["length"]]
+                for text, own in zip(texts_of(batch.column(0)), batch.column(1).to_pylist())
+                for s in own
+            ]
+            ids = [x.tobytes() for x in encoder.plain(chunks)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "ids"])
+
+    # At most `table_bytes`, whatever the corpus: the spans are few, and so are the chunks.
+    texts = known.join(F.broadcast(spans), ["doc_id", "text_hash"]).select("text", "spans")
+    found = texts.mapInArrow(run, "chunk binary, ids binary").collect()
+    return {bytes(r[0]): bytes(r[1]) for r in found}
 
 
 def encode(
@@ -187,9 +241,9 @@ def encode(
 ) -> DataFrame:
     """(doc_id, ids, decoded) for every row: ids are little-endian 32-bit integers.
 
-    The tokenizer must treat white space as `public_tokenizers` word_bpe does: it ends pre-tokens and is
-    dropped. `decoded` is made from the ids: their tokens joined by spaces. A null text is empty and
-    has no ids. Chunks average `mask` + 1 bytes.
+    `decoded` is made from the ids: their tokens joined by spaces, as a tokenizer without a decoder does. A
+    null text is empty and has no ids. Rows that repeat a doc_id, with the same text or another, are rows like others, and
+    so are those without one. No rows: no rows. Chunks average `mask` + 1 bytes.
     """
     from tokenizers import Tokenizer
 

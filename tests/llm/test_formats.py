@@ -52,12 +52,65 @@ def test_chunks_are_cut_by_content():
     assert len(parts[0] & parts[1]) >= 0.9 * len(parts[0])
 
 
-def test_memo_forgets_and_stays_right():
-    encoder = bpe.Encoder(Tokenizer.from_file(FILE).to_str(), memo=3)
-    texts = [b"one two three four", b"five six seven eight", b"one nine two ten"]
+def test_bpe_of_repeated_identifiers(odd, make):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    rows += [(7, "naïve café 中文 " * 200), (7, "plain words only " * 200), (7, "naïve café 中文 " * 200), (None, "中文 é " * 300), (None, "plain words only " * 200)]
+    found = bpe.encode(make(rows), FILE, mask=31).collect()
     library = Tokenizer.from_file(FILE)
-    for t in texts * 2:
-        assert np.frombuffer(encoder.encode([t], 3)[0], "<u4").tolist() == library.encode(t.decode()).ids
+    expected = [(i, np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()) for i, t in rows]
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in found), key=repr) == sorted(expected, key=repr)
+
+
+def test_joins_agree_wherever_a_text_is_cut():
+    spec = Tokenizer.from_file(FILE).to_str()
+    plain = bpe.Encoder(spec)
+    texts = [
+        "can't stop ' ll we'll <|endoftext|> é\u0301 x\u0301 ΑΣ Σ a\u0085b\u00a0c\n\nd 中文 中文 123 45a !!! ... x", "word", "a b", "x" * 300 + " y",
+        " lead and trail  ", "one two three four five six seven eight nine ten", "e\u0301 " * 30,
+    ]
+    for text in map(str.encode, texts):
+        whole = plain.plain([text])[0]
+        for at in range(1, len(text)):
+            if text[at] & 0xC0 != 0x80:
+                left, right = plain.plain([text[:at], text[at:]])
+                assert np.array_equal(plain.joined(text[:at], left, text[at:], right), whole)
+                assert np.array_equal(plain.joined(text[:at], left, text[at:], right, words=1), whole)
+
+
+def test_a_window_grows_until_both_sides_agree():
+    """A tokenizer whose tokens reach over white space: pairs of words, counted from the start of what it is given."""
+    spec = Tokenizer.from_file(FILE).to_str()
+    encoder = bpe.Encoder(spec)
+
+    def paired(texts):
+        out = []
+        for t in texts:
+            w = t.split()
+            out.append(np.array([hash(tuple(w[i : i + 2])) % 2**31 for i in range(0, len(w), 2)], "<u4"))
+        return out
+
+    encoder.plain = paired
+    text = b" ".join(b"w%d" % i for i in range(41))
+    for at in (30, 31, 32, 33, 60):
+        left, right = paired([text[:at], text[at:]])
+        assert np.array_equal(encoder.joined(text[:at], left, text[at:], right), paired([text])[0])
+
+
+def test_table_of_shared_chunks(make):
+    text = " ".join(f"word{i} and more" for i in range(400))
+    rows = [(i, f"{i} {text} {i * 7}") for i in range(6)] + [(9, text), (9, text + " é" * 99), (10, None)]
+    spec = Tokenizer.from_file(FILE).to_str()
+    source = make(rows).select("doc_id", "text")
+    shared = bpe.shared_chunks(source, spec, 63)
+    encoder = bpe.Encoder(spec)
+    assert len(shared) > 50 and all(any(c in (t or "").encode() for _, t in rows) for c in shared)
+    assert all(np.array_equal(np.frombuffer(v, "<u4"), encoder.plain([c])[0]) for c, v in shared.items())
+    few = bpe.shared_chunks(source, spec, 63, table_bytes=4000)
+    assert 0 < len(few) < len(shared) and sum(map(len, few)) <= 4000
+    for table in (shared, few, {}):
+        encoder.shared = table
+        texts = [(t or "").encode() for _, t in rows]
+        assert encoder.encode(texts, 63) == [x.tobytes() for x in encoder.plain(texts)]
 
 
 def written(spark, tmp_path, rows, **options):
