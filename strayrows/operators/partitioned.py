@@ -133,6 +133,19 @@ def opened(packed: DataFrame, size: int) -> DataFrame:
     return packed.mapInArrow(run, "cell bigint, cnt bigint")
 
 
+def packed_cells_of(cells: DataFrame, size: int) -> DataFrame:
+    """Packed rows of (cell, cnt), `size` counters to a unit."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        at = group.column("cell").to_numpy()
+        unit = int(at[0] // size)
+        order = np.argsort(at)
+        return pa.Table.from_batches([_packed(unit, 0, at[order] - unit * size, group.column("cnt").to_numpy()[order])])
+
+    unit = F.floor(F.col("cell") / size).alias("unit")
+    return cells.groupBy(unit).applyInArrow(pack, PACKED)
+
+
 def met(rows: DataFrame, n_rows: int, packed: DataFrame, per_range: int, n_units: int, scored, schema: str) -> DataFrame:
     """`scored(range, rows, tables)` for all rows against all units, `per_range` units at a time.
 

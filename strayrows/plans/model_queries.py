@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strayrows.functions.tokens import projection_weights
 from strayrows.operators import chains as C
 from strayrows.operators import countmin as CM
 from strayrows.operators import inject as N
@@ -37,6 +38,7 @@ from strayrows.plans.views import (
 )
 from strayrows.spec import FeatureSpec
 from strayrows.staging import run_dir, stage
+from strayrows.streaming import blocks as B
 from strayrows.streaming import updates as U
 
 # -------------------------------------------------------------------- forest
@@ -285,10 +287,100 @@ def stream_update(spark, sf_dir):
     )
 
 
-@query("stream_new_category")
+BLOCK_SHAPE = CM.SketchShape(bits=12)
+
+
+@query(
+    "stream_update_bounded",
+    S.with_(
+        EVENT_VECTORS,
+        S.long_vectors("ev", ("value", "u")),
+        EVENT_RANGES,
+        *S.count_min(EVENT_PLAN, BLOCK_SHAPE, 2),
+    )
+    + " UNION ALL ".join(
+        f"SELECT chain, depth, {j} AS j, b{j}::BIGINT AS bucket, count(*) AS cnt FROM cm_hashed GROUP BY ALL"
+        for j in range(BLOCK_SHAPE.hashes)
+    ),
+)
+def stream_update_bounded(spark, sf_dir):
+    """Counters that a custom stateful operator keeps, a fixed number of state values."""
+    out, shape = f"{run_dir(spark)}/{uuid.uuid4().hex}", BLOCK_SHAPE
+    B.use_rocksdb(spark)
+    blocks = B.running_blocks(_event_stream(spark, sf_dir), EVENT_PLAN, _event_deltas(spark, sf_dir), shape)
+    U.write_blocks(blocks, f"{out}/blocks", f"{out}/checkpoint").awaitTermination()
+    row = F.floor(F.col("cell") / shape.width)
+    return B.opened_blocks(U.latest_blocks(spark, f"{out}/blocks")).select(
+        F.floor(row / (shape.hashes * EVENT_PLAN.depth)).cast("int").alias("chain"),
+        (F.floor(row / shape.hashes) % EVENT_PLAN.depth + 1).cast("int").alias("depth"),
+        (row % shape.hashes).cast("int").alias("j"),
+        (F.col("cell") % shape.width).alias("bucket"),
+        "cnt",
+    )
+
+
+def _scores_by_epoch(hashes: int, bootstrap: bool) -> list[str]:
+    """Scores from the counts of the epochs before; with `bootstrap` epoch 0 has been counted once already."""
+    parts, joins, least = [], "", []
+    for j in range(hashes):
+        parts.append(
+            f"""own{j} AS MATERIALIZED (SELECT chain, depth, b{j}, epoch, count(*) AS n
+  FROM cm_hashed JOIN batches USING (row_id) GROUP BY ALL)"""
+        )
+        once = "WHEN o.epoch = 0 THEN 2" if bootstrap else ""
+        first = f"WHEN o.epoch = 0 AND t.epoch = 0 THEN {int(bootstrap)}"
+        parts.append(
+            f"""seen{j} AS MATERIALIZED (SELECT t.chain, t.depth, t.b{j}, t.epoch,
+  sum(CASE {first} WHEN o.epoch >= t.epoch THEN 0 {once} ELSE 1 END * o.n) AS n{j}
+  FROM own{j} t JOIN own{j} o ON o.chain = t.chain AND o.depth = t.depth AND o.b{j} = t.b{j} GROUP BY ALL)"""
+        )
+        joins += f" JOIN seen{j} USING (chain, depth, b{j}, epoch)"
+        least.append(f"n{j}")
+    value = f"log2(1.0::DOUBLE + least({', '.join(least)})) + depth"
+    last = f"""v AS (SELECT row_id, epoch, chain, {value} AS v FROM cm_hashed JOIN batches USING (row_id){joins})"""
+    return [*parts, last]
+
+
+SCORES_BY_EPOCH = """SELECT row_id, epoch, round(round(-avg(m), 9), 6) AS score FROM (
+  SELECT row_id, epoch, chain, min(v) AS m FROM v GROUP BY row_id, epoch, chain) GROUP BY row_id, epoch"""
+
+
+def _read_scores(spark: SparkSession, path: str) -> DataFrame:
+    return U.read_scores(spark, path).select("row_id", "epoch", F.round("score", 6).alias("score"))
+
+
+QUARTERS = "(row_id - (SELECT min(event_id) FROM events)) * 4 // (SELECT max(event_id) - min(event_id) + 1 FROM events)"
+TYPED_SPEC = FeatureSpec(("value", "u", "event_type"), frozenset({"event_type"}))
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+TYPED_PLAN, TYPED_SHAPE = C.ChainPlan.draw(10, 20, 8, 4), CM.SketchShape(bits=12)
+
+
+def _typed_vectors_sql() -> str:
+    number = projection_weights(["value", "u"], 10)
+    kind = projection_weights([f"event_type.{t}" for t in EVENT_TYPES], 10)
+    rows = []
+    for k in range(10):
+        terms = " + ".join(f"{f} * {S.num(float(number[i, k]))}" for i, f in enumerate(("value", "u")) if number[i, k] != 0.0)
+        cases = " ".join(f"WHEN '{t}' THEN {S.num(float(kind[i, k]))}" for i, t in enumerate(EVENT_TYPES))
+        rows.append(f"SELECT row_id, {k} AS dim, ({terms or '0.0::DOUBLE'}) + CASE event_type {cases} END AS x FROM ev")
+    return "xs AS MATERIALIZED (" + " UNION ALL ".join(rows) + ")"
+
+
+@query(
+    "stream_new_category",
+    S.with_(
+        "ev AS (SELECT event_id AS row_id, value, user_id::DOUBLE AS u, event_type FROM events)",
+        f"batches AS (SELECT row_id, CASE WHEN event_type = 'error' THEN greatest({QUARTERS}, 2) ELSE {QUARTERS} END AS epoch FROM ev)",
+        _typed_vectors_sql(),
+        S.half_ranges(where="SEMI JOIN (SELECT row_id FROM batches WHERE epoch = 0) USING (row_id)"),
+        *S.count_min(TYPED_PLAN, TYPED_SHAPE, 10)[:-1],
+        *_scores_by_epoch(TYPED_SHAPE.hashes, bootstrap=True),
+    )
+    + SCORES_BY_EPOCH,
+)
 def stream_new_category(spark, sf_dir):
     """Events with their type as a category; errors come with the last batches only."""
-    spec = FeatureSpec(("value", "u", "event_type"), frozenset({"event_type"}))
+    spec = TYPED_SPEC
     events = event_vectors(spark, sf_dir).select("row_id", F.col("x")[0].alias("value"), F.col("x")[1].alias("u")).join(
         table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "event_type"), "row_id"
     )
@@ -302,20 +394,34 @@ def stream_new_category(spark, sf_dir):
     schema = "row_id bigint, value double, u double, event_type string"
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/files")
     first = vectorize(events.where(batch == 0), spec, 10)
-    start = CM.CountMinDetector(10, 20, 8, 4, CM.SketchShape(bits=12)).fit(first)
+    start = CM.CountMinDetector(10, 20, 8, 4, TYPED_SHAPE).fit(first)
     U.score_and_count(vectorize(arriving, spec, 10), start, f"{out}/run", f"{out}/checkpoint").awaitTermination()
-    return U.read_scores(spark, f"{out}/run")
+    return _read_scores(spark, f"{out}/run")
 
 
-@query("stream_scores")
+SCORED_SHAPE = CM.SketchShape(bits=10)
+
+
+@query(
+    "stream_scores",
+    S.with_(
+        EVENT_VECTORS,
+        S.long_vectors("ev", ("value", "u")),
+        EVENT_RANGES,
+        f"batches AS (SELECT row_id, {QUARTERS} AS epoch FROM ev)",
+        *S.count_min(EVENT_PLAN, SCORED_SHAPE, 2)[:-1],
+        *_scores_by_epoch(SCORED_SHAPE.hashes, bootstrap=False),
+    )
+    + SCORES_BY_EPOCH,
+)
 def stream_scores(spark, sf_dir):
     """Every event scored against the counts of the events before its batch."""
     out = f"{run_dir(spark)}/{uuid.uuid4().hex}"
-    shape = CM.SketchShape(bits=10)
+    shape = SCORED_SHAPE
     deltas = _event_deltas(spark, sf_dir)
     empty = spark.createDataFrame([], "cell bigint, cnt bigint")
     start = CM.CountMinModel(EVENT_PLAN, deltas, shape, empty)
     U.score_and_count(
         _event_stream(spark, sf_dir), start, f"{out}/run", f"{out}/checkpoint"
     ).awaitTermination()
-    return U.read_scores(spark, f"{out}/run")
+    return _read_scores(spark, f"{out}/run")

@@ -1,8 +1,8 @@
 """Structured Streaming: keep counts current, score arriving rows.
 
 Chains and ranges are frozen from a bootstrap batch; values outside the ranges
-still fall into a bin. Counts commute, so late rows need no watermark, and the
-count-min state has a fixed size.
+still fall into a bin. Counts commute, so late rows need no watermark. State has a fixed size where it is
+made of counters (`blocks.py`, `log.py`); exact counts grow with the filled cells.
 """
 
 from __future__ import annotations
@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strayrows.operators.chains import ChainPlan, bin_rows, count_bins
-from strayrows.operators.countmin import CountMinModel, SketchShape, count_cells, merge_cells
+from strayrows.operators.countmin import (
+    BLOCK_BYTES,
+    CountMinModel,
+    PartitionedModel,
+    SketchShape,
+    chain_counters,
+    count_cells,
+)
+from strayrows.operators.partitioned import opened, packed_cells_of
+from strayrows.spec import ID
+from strayrows.staging import remove, stage
+from strayrows.streaming.log import CounterLog
 
 
 def streaming_sketch(vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float]) -> DataFrame:
@@ -44,49 +55,93 @@ def write_latest(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
+class ScoringStep:
+    """Scores a micro-batch against the counters so far, then adds its rows to them.
+
+    Scores go to `path`/scores/epoch=<n>, counters to a log below `path`/counters. The batch is evaluated once. An epoch reads
+    the counters of the one before and replaces its own folders, so a repeated batch changes nothing.
+    """
+
+    def __init__(self, spark, bootstrap: CountMinModel | PartitionedModel, path: str, count_first: bool = False, every: int = 8):
+        self.plan, self.deltas, self.shape = bootstrap.plan, bootstrap.deltas, bootstrap.shape
+        self.path, self.count_first = path, count_first
+        size = self.plan.depth * self.shape.hashes * self.shape.width
+        self.log = CounterLog(spark, f"{path}/counters", size, every)
+        self.log.start(packed_cells_of(bootstrap.cells, size))
+
+    def model(self, until: int) -> CountMinModel | PartitionedModel:
+        """The detector after epoch `until`."""
+        packed = self.log.summed(until)
+        if self.shape.table_bytes(self.plan) > BLOCK_BYTES:
+            return PartitionedModel(self.plan, self.deltas, self.shape, stage(packed, "counters"))
+        return CountMinModel(self.plan, self.deltas, self.shape, opened(packed, self.log.size))
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        held = f"{self.path}/batch/{epoch}"
+        batch.select(ID, "x").write.mode("overwrite").parquet(held)
+        rows = batch.sparkSession.read.schema(batch.select(ID, "x").schema).parquet(held)
+        counted = chain_counters(rows, self.plan, self.deltas, self.shape)
+        if self.count_first:
+            self.log.commit(epoch, counted)
+        model = self.model(epoch if self.count_first else epoch - 1)
+        model.score(rows).write.mode("overwrite").parquet(f"{self.path}/scores/epoch={epoch}")
+        if not self.count_first:
+            self.log.commit(epoch, counted)
+        remove(batch.sparkSession, held)
+
+
 def score_and_count(
     vectors: DataFrame,
-    bootstrap: CountMinModel,
+    bootstrap: CountMinModel | PartitionedModel,
     path: str,
     checkpoint: str,
     count_first: bool = False,
+    every: int = 8,
 ) -> StreamingQuery:
-    """Score each micro-batch against the counts so far, then add its rows to them.
-
-    Scores go to `path`/scores/epoch=<n>, counters to `path`/cells/epoch=<n>. Each
-    epoch reads the counters of the one before and overwrites its own folders, so
-    a repeated batch changes nothing.
-    """
+    """Score each micro-batch against the counts so far, then add its rows to them."""
+    return (
+        vectors.writeStream.foreachBatch(ScoringStep(vectors.sparkSession, bootstrap, path, count_first, every))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
-    def cells_at(epoch: int) -> str:
-        return f"{path}/cells/epoch={epoch}"
 
-    bootstrap.cells.write.mode("overwrite").parquet(cells_at(-1))
+def write_blocks(blocks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the latest counters of every block at `path`: an epoch writes them all, the last two epochs stay."""
 
-    def step(batch: DataFrame, epoch: int) -> None:
+    def save(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(cells_at(epoch - 1))
-        fresh = count_cells(batch, bootstrap.plan, bootstrap.deltas, bootstrap.shape)
-        merge_cells(before, fresh).write.mode("overwrite").parquet(cells_at(epoch))
-        current = spark.read.parquet(cells_at(epoch)) if count_first else before
-        model = CountMinModel(bootstrap.plan, bootstrap.deltas, bootstrap.shape, current)
-        model.score(batch).write.mode("overwrite").parquet(f"{path}/scores/epoch={epoch}")
+        if epoch:
+            before = spark.read.schema(batch.schema).parquet(f"{path}/epoch={epoch - 1}")
+            both = before.withColumn("now", F.lit(0)).unionByName(batch.withColumn("now", F.lit(1)))
+            latest = both.groupBy("block").agg(F.max(F.struct("now", "counts")).alias("last"))
+            batch = latest.select("block", "last.counts")
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        remove(spark, f"{path}/epoch={epoch - 2}")
 
     return (
-        vectors.writeStream.foreachBatch(step)
+        blocks.writeStream.outputMode("update")
+        .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def latest_blocks(spark, path: str) -> DataFrame:
+    """(block, counts) after the last epoch."""
+    every = spark.read.parquet(path)
+    last = every.agg(F.max("epoch")).first()[0]
+    return every.where(F.col("epoch") == last).select("block", "counts")
+
+
+def counters_after(spark, path: str, plan: ChainPlan, shape: SketchShape, epoch: int) -> DataFrame:
+    """(cell, cnt) after an epoch of `score_and_count`, one of the last."""
+    log = CounterLog(spark, f"{path}/counters", plan.depth * shape.hashes * shape.width)
+    return opened(log.summed(epoch), log.size)
+
+
 def read_scores(spark, path: str) -> DataFrame:
     """(row_id, score, epoch) of all batches so far."""
     return spark.read.parquet(f"{path}/scores").withColumn("epoch", F.col("epoch").cast("long"))
-
-
-def latest_cells(spark, path: str) -> DataFrame:
-    """Counters after the last epoch."""
-    every = spark.read.parquet(f"{path}/cells")
-    last = every.agg(F.max(F.col("epoch").cast("long"))).scalar()
-    return every.where(F.col("epoch") == last).select("cell", "cnt")

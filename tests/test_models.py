@@ -14,6 +14,7 @@ from strayrows.operators import iforest as I
 from strayrows.plans import pipeline
 from strayrows.plans.mixed_forest import MixedForest, categories_of, importance_of_runs
 from strayrows.spec import FeatureSpec
+from strayrows.streaming import blocks as B
 from strayrows.streaming import updates as U
 
 VECTORS = "row_id bigint, x array<double>"
@@ -140,7 +141,59 @@ def test_scores_before_counting_and_final_counts(spark, cloud, tmp_path):
     key = lambda d: {r["row_id"]: r["score"] for r in d.collect()}
     assert key(epoch0) == key(start.score(rows))
     cells = lambda d: {r["cell"]: r["cnt"] for r in d.collect()}
-    assert cells(U.latest_cells(spark, str(tmp_path / "run"))) == cells(start.update(later).cells)
+    last = scores.agg(F.max("epoch")).first()[0]
+    after = U.counters_after(spark, str(tmp_path / "run"), start.plan, shape, last)
+    assert cells(after) == cells(start.update(later).cells)
+
+
+def test_repeated_batches_change_nothing_and_the_log_stays_small(spark, cloud, tmp_path):
+    shape = CM.SketchShape(2, 6)
+    parts = [cloud.where(f"row_id % 13 = {i}") for i in range(13)]
+    start = CM.CountMinDetector(3, 4, 5, 1, shape).fit(parts[0])
+    path = str(tmp_path / "run")
+    step = U.ScoringStep(spark, start, path, every=3)
+    cells = lambda d: {r["cell"]: r["cnt"] for r in d.collect()}
+    model, folders = start, set()
+    for epoch, part in enumerate(parts[1:]):
+        for _ in range(2 if epoch % 2 or epoch == 8 else 1):  # 2, 5, 8 and 11 end with a new base
+            step(part, epoch)
+            got = spark.read.parquet(f"{path}/scores/epoch={epoch}")
+            assert {r["row_id"]: r["score"] for r in got.collect()} == {r["row_id"]: r["score"] for r in model.score(part).collect()}
+        model = model.update(part)
+        assert cells(U.counters_after(spark, path, start.plan, shape, epoch)) == cells(model.cells)
+        counters = tmp_path / "run" / "counters"
+        folders.add((len(list((counters / "epochs").iterdir())), len(list((counters / "bases").iterdir())), len(list((counters / "manifest").iterdir()))))
+    assert max(f[0] for f in folders) <= 6 and max(f[1] for f in folders) <= 3 and max(f[2] for f in folders) <= 4
+    assert not list((tmp_path / "run" / "batch").iterdir())
+
+
+def test_partitioned_counters_score_a_stream(spark, cloud, tmp_path):
+    shape = CM.SketchShape(2, 6)
+    first, later = cloud.where("row_id < 200"), cloud.where("row_id >= 200")
+    whole = CM.CountMinDetector(3, 4, 5, 1, shape).fit(first)
+    cut = CM.CountMinDetector(3, 4, 5, 1, shape, block_bytes=1).fit(first)
+    a, b = U.ScoringStep(spark, whole, str(tmp_path / "a")), U.ScoringStep(spark, cut, str(tmp_path / "b"), count_first=True)
+    a(later, 0)
+    b(later, 0)
+    read = lambda p: {r["row_id"]: r["score"] for r in U.read_scores(spark, str(tmp_path / p)).collect()}
+    assert read("a") == {r["row_id"]: r["score"] for r in whole.score(later).collect()}
+    assert read("b") == {r["row_id"]: r["score"] for r in whole.update(later).score(later).collect()}
+
+
+def test_state_rows_stay_constant(spark, cloud, tmp_path):
+    plan, shape = C.ChainPlan.draw(3, 3, 4, 1), CM.SketchShape(2, 13)
+    deltas = C.half_ranges(C.ranges(cloud, 3))
+    B.use_rocksdb(spark)
+    stream = event_files(spark, cloud, tmp_path)
+    query = U.write_blocks(B.running_blocks(stream, plan, deltas, shape), str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    blocks = 3 * 4 * 2 * (1 << 13) // B.BLOCK
+    assert len(rows) >= 3 and set(rows) == {blocks}
+    got = {r["cell"]: r["cnt"] for r in B.opened_blocks(U.latest_blocks(spark, str(tmp_path / "out"))).collect()}
+    want = CM.count_cells(cloud, plan, deltas, shape)
+    assert got == {r["cell"]: r["cnt"] for r in want.collect()}
+    assert len(list((tmp_path / "out").glob("epoch=*"))) == 2
 
 
 def test_whole_pipeline(spark, tmp_path):
