@@ -17,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strayrows.functions.blocks import list_array, matrices
 from strayrows.functions.draws import uniform
 from strayrows.functions.prefix import running_totals
 from strayrows.operators.attribute import to_long
-from strayrows.operators.countmin import list_array, matrices
 from strayrows.operators.metrics import roc_auc
-from strayrows.operators.ranking import log_rank
 from strayrows.spec import ID
 from strayrows.staging import stage
 
@@ -113,25 +112,25 @@ class ForestModel:
     nodes: DataFrame
     sample: int
 
-    def _broadcast(self):
-        """Node arrays per tree; at most trees x 2 x sample nodes."""
+    def shared(self):
+        """A broadcast of node arrays per tree; at most trees x 2 x sample nodes."""
         frame = self.nodes.toPandas().sort_values(["tree", "node"])
         trees = [
-            {c: part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "size", "depth")}
-            for _, part in frame.groupby("tree")
+            {"tree": int(tree)} | {c: part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "size", "depth")}
+            for tree, part in frame.groupby("tree")
         ]
         return self.nodes.sparkSession.sparkContext.broadcast(trees)
 
     def score(self, vectors: DataFrame) -> DataFrame:
         """(row_id, score) in 0..1; short average paths score high."""
-        shared, scale = self._broadcast(), float(expected_depth(self.sample))
+        shared, scale = self.shared(), float(expected_depth(self.sample))
 
         def score(batches):
             trees = shared.value
             for columns, x in matrices(batches):
                 total = np.zeros(x.shape[1])
                 for t in trees:
-                    leaf = list(_walk(t, x))[-1]
+                    leaf = list(walk(t, x))[-1]
                     total += t["depth"][leaf] + expected_depth(t["size"][leaf])
                 s = np.power(2.0, -total / len(trees) / scale)
                 yield pa.RecordBatch.from_arrays([columns[0], pa.array(s)], [ID, "score"])
@@ -141,7 +140,7 @@ class ForestModel:
     def path_importance(self, vectors: DataFrame, features: Sequence[str]) -> DataFrame:
         """(row_id, feature, importance): every split on a row's path adds 1/h - 1/h_max,
         divided by how often the feature was used; short paths weigh more."""
-        shared, n_features = self._broadcast(), len(features)
+        shared, n_features = self.shared(), len(features)
 
         def attribute(batches):
             trees = shared.value
@@ -150,7 +149,7 @@ class ForestModel:
                 total, used = np.zeros((n, n_features)), np.zeros((n, n_features))
                 rows = np.arange(n)
                 for t in trees:
-                    steps = list(_walk(t, x))
+                    steps = list(walk(t, x))
                     h = t["depth"][steps[-1]].astype(float)
                     deepest = max(float(t["depth"].max()), 1.0)
                     gain = 1.0 / np.maximum(h, 1.0) - 1.0 / deepest
@@ -166,7 +165,7 @@ class ForestModel:
         return to_long(vectors, "imp", features)
 
 
-def _walk(tree: dict[str, np.ndarray], x: np.ndarray):
+def walk(tree: dict[str, np.ndarray], x: np.ndarray):
     """Node of every row at each level from the root down."""
     rows = np.arange(x.shape[1])
     at = np.zeros(x.shape[1], dtype=np.int64)
@@ -201,27 +200,3 @@ def predict(scored: DataFrame, contamination: float | None = None) -> DataFrame:
 def evaluate(scored: DataFrame, labels: DataFrame) -> DataFrame:
     """One row `auc` against (row_id, label)."""
     return roc_auc(scored.join(labels.select(ID, "label"), ID))
-
-
-def importance_over_runs(
-    vectors: DataFrame, features: Sequence[str], seeds: Sequence[int], n_trees: int, sample: int
-) -> DataFrame:
-    """(run, feature, importance): mean path importance of each forest's predicted outliers."""
-    out = None
-    for seed in seeds:
-        model = ForestDetector(n_trees, sample, seed).fit(vectors)
-        found = predict(model.score(vectors)).where(F.col("prediction") == 1)
-        outliers = vectors.join(found.select(ID), ID, "left_semi")
-        part = (
-            model.path_importance(outliers, features)
-            .groupBy("feature")
-            .agg(F.avg("importance").alias("importance"))
-            .select(F.lit(seed).alias("run"), "feature", "importance")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def ranked_importance(per_run: DataFrame) -> DataFrame:
-    """(feature, score) by log rank over the runs."""
-    return log_rank(per_run)

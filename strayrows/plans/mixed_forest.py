@@ -13,6 +13,7 @@ from strayrows.operators.attribute import fold_one_hot, to_long
 from strayrows.operators.metrics import f1
 from strayrows.operators.prep import limits, one_hot
 from strayrows.operators.ranking import log_rank
+from strayrows.operators.trees import split_importance
 from strayrows.spec import ID, FeatureSpec, quote
 from strayrows.staging import stage
 
@@ -49,6 +50,11 @@ class MixedForest:
         """Names of the vector's entries: feature=value, then the numeric features."""
         return [f"{f}={v}" for f, values in self.categories.items() for v in values] + list(self.spec.numeric)
 
+    @property
+    def names(self) -> dict[str, str]:
+        """The feature of each indicator column."""
+        return {f"{f}={v}": f for f, values in self.categories.items() for v in values}
+
     def vectors(self, df: DataFrame) -> DataFrame:
         """(row_id, x): unknown and null categories have no indicator, null numbers count as the lowest."""
         parts = [one_hot(F.coalesce(F.col(quote(f)).cast("string"), F.lit("")), v) for f, v in self.categories.items() if v]
@@ -72,8 +78,7 @@ class MixedForest:
             ID, F.col("feature").alias("column"), F.col("importance").alias("value")
         )
         active = paths.join(set_, [ID, "column"]).withColumn("active", F.when(numeric, 1.0).otherwise(F.col("value")))
-        names = {f"{f}={v}": f for f, values in self.categories.items() for v in values}
-        return fold_one_hot(active, names) if names else active.select(ID, F.col("column").alias("feature"), "importance")
+        return fold_one_hot(active, self.names) if self.names else active.select(ID, F.col("column").alias("feature"), "importance")
 
 
 def importance_of_runs(
@@ -86,17 +91,16 @@ def importance_of_runs(
 ) -> DataFrame:
     """(feature, score, mean_f1) over forests with different seeds; `df` has a label.
 
-    A run's importance of a feature is its mean over the predicted outliers divided by that over the
-    other rows; runs are put together by log rank, beside the mean F1 of their predictions.
+    A run's importance of a feature is that of its splits over all rows (`trees.split_importance`), a category's
+    indicators together; runs are put together by log rank, beside the mean F1 of their predictions.
     """
     per_run, scores = None, None
     for seed in seeds:
         forest = MixedForest.fit(df, spec, I.ForestDetector(n_trees, sample, seed))
         predicted = stage(I.predict(forest.score(df), contamination).join(df.select(ID, "label"), ID), "predicted")
-        parts = forest.attribution(df).join(predicted.select(ID, "prediction"), ID)
-        mean = lambda p: F.avg(F.when(F.col("prediction") == p, F.col("importance")))
-        run = parts.groupBy("feature").agg(F.try_divide(mean(1), mean(0)).alias("importance"))
-        run = run.select(F.lit(seed).alias("run"), "feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+        flagged = forest.vectors(df).join(predicted.select(ID, "prediction"), ID)
+        run = split_importance(forest.model, flagged, forest.columns, forest.names)
+        run = run.select(F.lit(seed).alias("run"), "feature", "importance")
         own = f1(predicted).select(F.lit(seed).alias("run"), "f1")
         per_run = run if per_run is None else per_run.unionByName(run)
         scores = own if scores is None else scores.unionByName(own)

@@ -13,14 +13,17 @@ from strayrows.operators import countmin as CM
 from strayrows.operators import inject as N
 from strayrows.operators import iforest as I
 from strayrows.operators import shapley as SH
+from strayrows.operators import trees as TR
 from strayrows.operators.attribute import fold_one_hot
 from strayrows.operators.prep import one_hot
 from strayrows.operators.project import vectorize
 from strayrows.plans import sql_parts as S
 from strayrows.plans.detect_queries import (
+    DETECT,
     EVENT_PLAN,
     EVENT_RANGES,
     EVENT_VECTORS,
+    TOP,
     event_vectors,
     order_model,
     order_vectors,
@@ -95,8 +98,8 @@ def iforest_paths(spark, sf_dir):
 
 @query("iforest_ranks")
 def iforest_ranks(spark, sf_dir):
-    runs = I.importance_over_runs(order_vectors(spark, sf_dir), ORDER_NUMERIC, (0, 1), 100, 256)
-    return I.ranked_importance(runs)
+    runs = TR.importance_over_runs(order_vectors(spark, sf_dir), ORDER_NUMERIC, range(5), 100, 256)
+    return TR.ranked_importance(runs)
 
 
 def mixed_forest(spark: SparkSession, sf_dir: str) -> MixedForest:
@@ -124,7 +127,7 @@ def fold_paths(spark, sf_dir):
 def forest_runs(spark, sf_dir):
     """Features by importance over repeated forests, with the mean F1 against finished orders."""
     label = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
-    return importance_of_runs(staged_orders(spark, sf_dir).withColumn("label", label), ORDER_SPEC, (0, 1))
+    return importance_of_runs(staged_orders(spark, sf_dir).withColumn("label", label), ORDER_SPEC, range(5))
 
 
 # ------------------------------------------------------------------- shapley
@@ -148,6 +151,28 @@ def shapley_forest(spark, sf_dir):
     )
 
 
+@query("tree_shapley")
+def tree_shapley(spark, sf_dir):
+    """Exact Shapley values of the strangest orders under the forest, by size."""
+    rows = order_vectors(spark, sf_dir).join(top_orders(spark, sf_dir), "row_id", "left_semi")
+    return SH.absolute(TR.tree_shapley(forest(spark, sf_dir), rows, ORDER_NUMERIC))
+
+
+@query(
+    "tree_shapley_sums",
+    S.with_(*DETECT, S.top(TOP)) + f"SELECT row_id, {len(ORDER_NUMERIC)}::BIGINT AS features, 0.0::DOUBLE AS gap FROM top_rows",
+)
+def tree_shapley_sums(spark, sf_dir):
+    """What the Shapley values of a row leave unexplained of its path length: nothing."""
+    rows = order_vectors(spark, sf_dir).join(top_orders(spark, sf_dir), "row_id", "left_semi")
+    model = forest(spark, sf_dir)
+    sums = TR.tree_shapley(model, rows, ORDER_NUMERIC).groupBy("row_id").agg(
+        F.sum("importance").alias("explained"), F.count("*").alias("features")
+    )
+    left = F.col("expected") - F.col("length") - F.col("explained")
+    return sums.join(TR.path_lengths(model, rows), "row_id").select("row_id", "features", F.round(F.abs(left), 6).alias("gap"))
+
+
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 

@@ -1,6 +1,8 @@
 """Forest, injection and streams."""
 
-
+import itertools
+import math
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -11,6 +13,7 @@ from strayrows.operators import chains as C
 from strayrows.operators import countmin as CM
 from strayrows.operators import inject as N
 from strayrows.operators import iforest as I
+from strayrows.operators import trees as TR
 from strayrows.plans import pipeline
 from strayrows.plans.mixed_forest import MixedForest, categories_of, importance_of_runs
 from strayrows.spec import FeatureSpec
@@ -57,10 +60,88 @@ def test_forest_finds_and_explains_far_rows(spark, cloud):
     why = model.path_importance(cloud.where("row_id >= 1000"), ("a", "b", "c"))
     mean = {r[0]: r[1] for r in why.groupBy("feature").avg("importance").collect()}
     assert mean["b"] > mean["a"] and mean["b"] > mean["c"]
-    ranks = I.ranked_importance(I.importance_over_runs(cloud, ("a", "b", "c"), (0, 1), 20, 64)).collect()
+    ranks = TR.ranked_importance(TR.importance_over_runs(cloud, ("a", "b", "c"), (0, 1), 20, 64)).collect()
     assert {r["feature"] for r in ranks} == {"a", "b", "c"}
 
 
+def subset_value(tree, x, known, node=0):
+    """Mean path length of a row of which only the features `known` count."""
+    f = tree["feature"][node]
+    if f < 0:
+        return float(tree["depth"][node] + I.expected_depth(tree["size"][node]))
+    left, right = tree["left"][node], tree["right"][node]
+    if f in known:
+        return subset_value(tree, x, known, left if x[f] < tree["threshold"][node] else right)
+    share = tree["size"][left] / tree["size"][node]
+    return share * subset_value(tree, x, known, left) + (1 - share) * subset_value(tree, x, known, right)
+
+
+def test_tree_shapley_equals_all_subsets(spark, cloud):
+    model = I.ForestDetector(6, 40, 2).fit(cloud)
+    trees, rows = model.shared().value, cloud.where("row_id % 50 = 3 or row_id >= 1005")
+    x = {r["row_id"]: np.array(r["x"]) for r in rows.collect()}
+    got = {(r["row_id"], r["feature"]): r["importance"] for r in TR.tree_shapley(model, rows, "abc").collect()}
+    names = range(3)
+    for i, row in x.items():
+        mean = lambda known: sum(subset_value(t, row, known) for t in trees) / len(trees)  # noqa: E731, B023
+        for f in names:
+            others, value = [g for g in names if g != f], 0.0
+            for size in range(3):
+                for known in itertools.combinations(others, size):
+                    weight = math.factorial(size) * math.factorial(2 - size) / 6
+                    value += weight * (mean({*known, f}) - mean(set(known)))
+            assert got[i, "abc"[f]] == pytest.approx(-value, abs=1e-9)
+    lengths = {r["row_id"]: (r["length"], r["expected"]) for r in TR.path_lengths(model, rows).collect()}
+    for i, (length, expected) in lengths.items():
+        assert sum(got[i, f] for f in "abc") == pytest.approx(expected - length, abs=1e-9)
+
+
+def test_tree_shapley_of_missing_values_and_empty_sides():
+    """A split that no row took one way, and NaN, which goes right everywhere."""
+    tree = {
+        "tree": 0, "feature": np.array([0, 1, -1, -1, 0, -1, -1]), "threshold": np.array([1.0, 0.0, 0, 0, 2.0, 0, 0]),
+        "left": np.array([1, 2, -1, -1, 5, -1, -1]), "right": np.array([4, 3, -1, -1, 6, -1, -1]),
+        "size": np.array([8, 4, 0, 4, 4, 3, 1]), "depth": np.array([0, 1, 2, 2, 1, 2, 2]),
+    }
+    for row in ([0.0, -1.0], [np.nan, np.nan], [1.5, 3.0], [9.0, -2.0], [0.5, np.nan]):
+        x = np.array(row)
+        v = {k: subset_value(tree, x, set(k)) for k in ((), (0,), (1,), (0, 1))}
+        want = [(v[0,] - v[()] + v[0, 1] - v[1,]) / 2, (v[1,] - v[()] + v[0, 1] - v[0,]) / 2]
+        assert TR.shapley_values([tree], x[:, None])[:, 0] == pytest.approx(want)
+
+
+def test_split_importance_equals_row_by_row(spark, cloud):
+    model = I.ForestDetector(7, 30, 4).fit(cloud)
+    flagged = cloud.withColumn("prediction", (F.col("row_id") >= 1000).cast("int")).repartition(3)
+    weight = {}
+    for kind in (0, 1):
+        x = np.array([r["x"] for r in flagged.where(f"prediction = {kind}").collect()])
+        total, times = np.zeros(3), np.zeros(3)
+        for t in model.shared().value:
+            paths = []
+            for row in x:
+                path = [0]
+                while t["feature"][path[-1]] >= 0:
+                    at = path[-1]
+                    path.append(t["left"][at] if row[t["feature"][at]] < t["threshold"][at] else t["right"][at])
+                paths.append(path)
+            n = Counter(node for p in paths for node in p)
+            for p in paths:
+                for at in p[:-1]:
+                    if n[at] < 2:
+                        continue
+                    sides = n[t["left"][at]], n[t["right"][at]]
+                    lo, hi, most = math.ceil(n[at] / 2) / n[at], (n[at] - 1) / n[at], max(sides) / n[at]
+                    uneven = 0 if min(sides) == 0 else 0.5 + 0.5 * (most - lo) / (hi - lo) if hi > lo else most
+                    total[t["feature"][at]] += uneven / (len(p) - 1)
+                    times[t["feature"][at]] += 1
+        weight[kind] = total / times
+    got = {r["feature"]: r["importance"] for r in TR.split_importance(model, flagged, "abc").collect()}
+    assert [got[f] for f in "abc"] == pytest.approx(list(weight[1] / weight[0]))
+    folded = TR.split_importance(model, flagged, "abc", {"a": "ab", "b": "ab"}).collect()
+    assert {r["feature"] for r in folded} == {"ab", "c"}
+
+
 def test_mixture_density_integrates_to_one(spark):
     m = N.Mixture((0.3, 0.7), (0.0, 5.0), (1.0, 0.5), 0.0, 1.0)
     grid = spark.range(-1000, 2000).select((F.col("id") / 100).alias("x"))
