@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from strayrows.spec import ID
 from strayrows.staging import stage
 
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
+OTHER_ROWS = 1 << 16
 
 
 def embed_2d(vectors: DataFrame) -> DataFrame:
@@ -57,52 +58,63 @@ def cluster_sweep(points: DataFrame, max_k: int, seed: int = 0) -> DataFrame:
 def cluster_distances(points: DataFrame, clusters: DataFrame) -> DataFrame:
     """(k, row_id, cluster_id, other_id, n, mean_distance) for every row and cluster.
 
-    mean_distance is to the members of other_id, the row itself left out. Rows
-    are cut into blocks of about BLOCK_ROWS; every pair of blocks is one matrix
-    whose sums per cluster leave the task, never the pairs of rows themselves.
+    mean_distance is to the members of other_id, the row itself left out (null if there is no other). All clusterings share
+    one pass: a row's distances to a block of rows, times the block's memberships in the clusters of
+    every k, are the sums. BLOCK_ROWS rows meet OTHER_ROWS at a time; only sums leave a task.
     """
-    joined = stage(points.select(ID, "v").join(clusters, ID), "cluster-points")
-    blocks = max(1, -(-joined.select(ID).distinct().count() // BLOCK_ROWS))
-    labelled = joined.withColumn("block", F.pmod(F.xxhash64(ID), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = labelled.withColumnRenamed("block", "bi").withColumn("bj", every)
-    right = labelled.withColumnRenamed("block", "bj").withColumn("bi", every)
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=["k", ID, "cluster_id", "other_id", "n", "s"])
-        out = []
-        for k, part in a.groupby("k"):
-            against = b[b["k"] == k]
-            if against.empty:
-                continue
-            d = distances(np.stack(part["v"]), np.stack(against["v"]))
-            ids = against["cluster_id"].to_numpy()
-            same_row = part[ID].to_numpy()[:, None] == against[ID].to_numpy()[None, :]
-            for other in np.unique(ids):
-                mine = ids == other
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "k": k,
-                            ID: part[ID].to_numpy(),
-                            "cluster_id": part["cluster_id"].to_numpy(),
-                            "other_id": other,
-                            "n": mine.sum() - same_row[:, mine].sum(axis=1),
-                            "s": d[:, mine].sum(axis=1),
-                        }
-                    )
-                )
-        return pd.concat(out)
-
-    schema = f"k int, {ID} bigint, cluster_id int, other_id int, n bigint, s double"
-    keys = ["k", ID, "cluster_id", "other_id"]
-    per_pair = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(sums, schema)
-    return (
-        per_pair.groupBy(*keys)
-        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        .select(*keys, "n", F.try_divide("s", "n").alias("mean_distance"))
+    sizes = {
+        (r["k"], r["cluster_id"]): r["n"]
+        for r in clusters.groupBy("k", "cluster_id").agg(F.count("*").alias("n")).collect()  # clusters of all k
+    }
+    every = sorted(sizes)
+    place = {key: i for i, key in enumerate(every)}
+    width = len(every)
+    labels = clusters.groupBy(ID).agg(F.collect_list(F.struct("k", "cluster_id")).alias("own"))
+    joined = stage(points.select(ID, "v").join(labels, ID), "cluster-points")
+    n = joined.count()
+    blocks, others = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // OTHER_ROWS))
+    hashed = F.xxhash64(ID)
+    left = joined.withColumn("bi", F.pmod(hashed, F.lit(blocks)).cast("int")).withColumn(
+        "bj", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
     )
+    right = joined.withColumn("bj", F.pmod(hashed, F.lit(others)).cast("int")).withColumn(
+        "bi", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+
+    def memberships(table: pa.Table) -> np.ndarray:
+        out = np.zeros((table.num_rows, width))
+        for i, own in enumerate(table.column("own").to_pylist()):
+            for c in own:
+                out[i, place[c["k"], c["cluster_id"]]] = 1.0
+        return out
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = _matrix(a), _matrix(b)
+        total = np.zeros((len(x), width))
+        for start in range(0, len(y), BLOCK_ROWS):
+            part = slice(start, start + BLOCK_ROWS)
+            total += distances(x, y[part]) @ memberships(b.slice(start, BLOCK_ROWS))
+        return pa.table({ID: a.column(ID), **{f"s{i}": pa.array(total[:, i]) for i in range(width)}})
+
+    schema = f"{ID} bigint, " + ", ".join(f"s{i} double" for i in range(width))
+    partial = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInArrow(sums, schema)
+    total = partial.groupBy(ID).agg(F.array(*[F.sum(f"s{i}") for i in range(width)]).alias("s")).join(joined.select(ID, "own"), ID)
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("other_id"), F.lit(sizes[k, c]).alias("size")) for k, c in every])
+    pairs = F.filter(
+        F.zip_with("s", known, lambda s, c: F.struct(s.alias("s"), c["k"].alias("k"), c["other_id"].alias("other_id"), c["size"].alias("size"))),
+        lambda p: p["k"] == F.col("o.k"),
+    )
+    each = total.select(ID, "s", F.explode("own").alias("o")).select(ID, F.col("o.cluster_id").alias("cluster_id"), F.inline(pairs))
+    left_out = F.when(F.col("cluster_id") == F.col("other_id"), 1).otherwise(0)
+    count = (F.col("size") - left_out).cast("bigint")
+    return each.select(
+        F.col("k").cast("int").alias("k"), ID, "cluster_id", F.col("other_id").cast("int").alias("other_id"),
+        count.alias("n"), F.when(count > 0, F.col("s") / count).alias("mean_distance"),
+    )
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

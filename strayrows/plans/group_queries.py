@@ -71,6 +71,35 @@ def silhouette(spark, sf_dir):
     )
 
 
+LABELLED = """pt AS MATERIALIZED (SELECT row_id, o_totalprice / 100000 AS x, qty / 50 AS y,
+  CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS c3, left(o_orderpriority, 1)::INT - 1 AS c5 FROM of)"""
+
+
+@query(
+    "silhouette_orders",
+    S.with_(
+        S.ORDER_FEATURES,
+        LABELLED,
+        """pd AS MATERIALIZED (SELECT a.row_id, a.c3, a.c5, b.c3 AS o3, b.c5 AS o5, count(*) AS n,
+  sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM pt a, pt b WHERE a.row_id <> b.row_id
+  GROUP BY ALL)""",
+        """md AS (SELECT 3 AS k, row_id, c3 = o3 AS own, sum(d) / sum(n) AS m FROM pd GROUP BY row_id, c3, o3
+  UNION ALL SELECT 5, row_id, c5 = o5, sum(d) / sum(n) FROM pd GROUP BY row_id, c5, o5)""",
+        """ab AS (SELECT k, row_id, max(CASE WHEN own THEN m END) AS a, min(CASE WHEN NOT own THEN m END) AS b FROM md GROUP BY k, row_id)""",
+    )
+    + "SELECT k, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM ab GROUP BY k",
+)
+def silhouette_orders(spark, sf_dir):
+    """All orders, grouped by status and by priority, both in one pass over pairs of blocks."""
+    orders = staged_orders(spark, sf_dir)
+    points = orders.select("row_id", F.array(F.col("o_totalprice") / 100000, F.col("qty") / 50).alias("v"))
+    status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    priority = F.left("o_orderpriority", F.lit(1)).cast("int") - 1
+    of = lambda k, c: orders.select(F.lit(k).alias("k"), "row_id", c.alias("cluster_id"))
+    found = G.silhouette(G.cluster_distances(points, of(3, status).unionByName(of(5, priority))))
+    return found.withColumn("silhouette", F.round("silhouette", 6))
+
+
 @query("embed_2d")
 def embed_2d(spark, sf_dir):
     points, _ = embedding_clusters(spark, sf_dir)

@@ -141,6 +141,7 @@ def _points(spark, n=150, dims=4):
 
 def test_silhouette_over_blocks_matches_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(G, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(G, "OTHER_ROWS", 50)
     x, df = _points(spark)
     labels = np.arange(len(x)) % 3
     labels[0] = 9  # a cluster of one row counts as 0
