@@ -18,6 +18,7 @@ from strayrows.operators import rules as R
 from strayrows.operators.prep import encode, normal_rows, outlier_rows, select_outliers
 from strayrows.operators.project import vectorize
 from strayrows.sources import tables as IO
+from strayrows.sources.store import ResultStore
 from strayrows.spec import ID, FeatureSpec, split_roles
 from strayrows.staging import stage
 
@@ -153,7 +154,8 @@ def focus_pairs(
 ) -> PairFocus:
     """The feature pairs that show each cluster's outliers best, for budgets 1..max_budget.
 
-    With `saved`, pair scores are kept there, or read from there with load_saved.
+    With `saved`, pair scores are kept there; with load_saved they are read from there if detector, pairs, rows and outliers are
+    those they were made from.
     """
     encoded, _ = encode(split_roles(df, spec), spec.categories)
     chosen = stage(focus(found, p.top_features), "focus")
@@ -163,7 +165,8 @@ def focus_pairs(
         return p.pairs.score(encoded, L.distinct_pairs(pairs), found.outliers)
 
     if saved is not None:
-        scores = IO.load_or_build(df.sparkSession, saved, build, load_saved)
+        made_from = {"detector": p.pairs, "pairs": L.distinct_pairs(pairs), "rows": encoded, "outliers": found.outliers.select(ID)}
+        scores = ResultStore(df.sparkSession, saved).get("pair_scores", made_from, build, load_saved)
     else:
         scores = stage(build(), "pair-scores")
     assigned = stage(L.best_pairs(scores, found.clusters, pairs), "assigned")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrows.operators import attribute as A
 from strayrows.operators import chains as C
 from strayrows.operators import pairs as L
+from strayrows.operators import rule_index as RI
 from strayrows.operators import rules as R
 from strayrows.plans import sql_parts as S
 from strayrows.plans.detect_queries import ATTRIBUTION, order_model, order_scores, order_vectors
@@ -19,7 +22,9 @@ from strayrows.plans.views import (
     staged_orders,
     table,
 )
+from strayrows.sources.store import ResultStore
 from strayrows.spec import FeatureSpec
+from strayrows.staging import run_dir
 
 RULE_TOP = 300
 RULE_SPEC = FeatureSpec(ORDER_NUMERIC + ("o_orderstatus",), frozenset({"o_orderstatus"}))
@@ -563,3 +568,68 @@ def pair_count_min(spark, sf_dir):
     dearest = orders.orderBy(F.desc("o_totalprice"), "row_id").limit(TOTAL_PRICE_TOP).select("row_id")
     scored = COUNTED.score(orders, ALL_PAIRS, dearest)
     return scored.withColumns({c: F.round(c, 6) for c in ("score", "score_norm")})
+
+
+@query(
+    "saved_pairs",
+    S.with_(*ASSIGN) + "SELECT DISTINCT fx, fy, row_id, round(score_norm, 6) AS score FROM ps SEMI JOIN cl USING (row_id) SEMI JOIN cp USING (fx, fy)",
+)
+def saved_pairs(spark, sf_dir):
+    """Pair scores of the strangest orders, saved and then found again by what they were made from."""
+    orders, top = staged_orders(spark, sf_dir), rule_top(spark, sf_dir)
+    pairs = L.distinct_pairs(cluster_pairs(spark, sf_dir))
+    store = ResultStore(spark, f"{run_dir(spark)}/{uuid.uuid4().hex}/saved")
+    made_from = {"detector": PAIRS, "pairs": pairs, "rows": orders, "outliers": top.select("row_id")}
+
+    def again():
+        raise ValueError("built twice")
+
+    store.get("pair_scores", made_from, lambda: PAIRS.score(orders, pairs, top))
+    found = store.get("pair_scores", made_from, again)
+    return found.select("fx", "fy", "row_id", F.round("score_norm", 6).alias("score"))
+
+
+MANY = 5000
+MANY_RULES = f"""SELECT 5 AS k, (j % 5)::INT AS cluster_id, j AS rule_id, (j * 37 % 400) * 1000.0::DOUBLE AS lo1,
+  (j * 37 % 400) * 1000.0::DOUBLE + 20000 + (j % 50) * 2000 AS hi1, (j % 40)::DOUBLE AS lo2, (j % 40 + 5 + j % 20)::DOUBLE AS hi2,
+  CASE WHEN j % 3 = 0 THEN ['F', 'O', 'P'][(j // 3 % 3 + 1)::INT] END AS status FROM range({MANY}) AS g(j)"""
+
+
+@query(
+    "rules_at_scale",
+    S.with_(
+        S.ORDER_FEATURES,
+        f"rule AS MATERIALIZED ({MANY_RULES})",
+        "marked AS MATERIALIZED (SELECT *, left(o_orderpriority, 1)::INT - 1 AS c, o_totalprice > 200000 AS own FROM of)",
+        """hit AS (SELECT rule_id, count(*) FILTER (own AND c = cluster_id) AS hits, count(*) FILTER (NOT own) AS outside
+  FROM rule JOIN marked ON o_totalprice BETWEEN lo1 AND hi1 AND qty BETWEEN lo2 AND hi2 AND (status IS NULL OR status = o_orderstatus)
+  GROUP BY rule_id)""",
+        "size AS (SELECT c AS cluster_id, count(*) AS size FROM marked WHERE own GROUP BY c)",
+    )
+    + """SELECT k, cluster_id, rule_id, coalesce(hits, 0) AS hits, size, coalesce(outside, 0) AS outside,
+  round(coalesce(hits, 0) / size, 6) AS coverage, round(CASE WHEN hits + outside > 0 THEN hits / (hits + outside) END, 6) AS purity
+FROM rule LEFT JOIN hit USING (rule_id) JOIN size USING (cluster_id)""",
+)
+def rules_at_scale(spark, sf_dir):
+    """5,000 saved rules over all orders, one scan of each side."""
+    j = F.col("id")
+    status = F.array(F.lit("F"), F.lit("O"), F.lit("P"))[(F.floor(j / 3) % 3).cast("int")]
+    lo, low = (j * 37 % 400) * 1000.0, (j % 40).cast("double")
+    condition = lambda f, kind, a, b, v: F.struct(
+        F.lit(f).alias("feature"), F.lit(kind).alias("kind"), a.cast("double").alias("lo"), b.cast("double").alias("hi"), v.cast("string").alias("value")
+    )
+    none = F.lit(None)
+    numbers = F.array(
+        condition("o_totalprice", "interval", lo, lo + 20000 + (j % 50) * 2000, none),
+        condition("qty", "interval", low, low + 5 + j % 20, none),
+    )
+    with_status = F.concat(numbers, F.array(condition("o_orderstatus", "value", none, none, status)))
+    saved = spark.range(MANY).select(
+        F.lit(5).alias("k"), (j % 5).cast("int").alias("cluster_id"), j.alias("rule_id"),
+        F.when(j % 3 == 0, with_status).otherwise(numbers).alias("rule"),
+    )
+    marked = staged_orders(spark, sf_dir).withColumn("k", F.lit(5)).withColumn(
+        "cluster_id", F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    )
+    found = RI.score_rules(saved, marked.where("o_totalprice > 200000"), marked.where("o_totalprice <= 200000"))
+    return found.withColumns({c: F.round(c, 6) for c in ("coverage", "purity")})

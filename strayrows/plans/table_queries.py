@@ -27,7 +27,7 @@ from strayrows.plans.views import (
     staged_orders,
     table,
 )
-from strayrows.sources.tables import lengthen, widen
+from strayrows.sources.tables import lengthen, read_attribute_file, read_named, widen
 from strayrows.staging import run_dir, stage
 
 
@@ -199,3 +199,35 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline_rules")
 def pipeline_rules(spark, sf_dir):
     return R.accepted_rules(R.top_rules(described(spark, sf_dir), 0.05, 0.05))
+
+
+def _text_lines(spark: SparkSession, lines: list[str], path: str) -> None:
+    spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string").coalesce(1).orderBy("i").select("value").write.mode("append").text(path)
+
+
+@query(
+    "attribute_file",
+    """SELECT c_custkey::DOUBLE AS c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS "account balance", c_mktsegment
+FROM customer""",
+)
+def attribute_file(spark, sf_dir):
+    """Customers written with declarations of their columns, and read by them."""
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}/customers"
+    _text_lines(spark, ["% customers", "@relation customer", "@attribute c_custkey numeric", "@attribute 'account balance' real", "@attribute c_mktsegment {AUTOMOBILE,BUILDING}", "@data"], path)
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string")).otherwise("?")
+    rows = table(spark, sf_dir, "customer").select(F.concat_ws(", ", F.col("c_custkey").cast("string"), balance, "c_mktsegment").alias("value"))
+    rows.write.mode("append").text(path)
+    return read_attribute_file(spark, path)
+
+
+@query(
+    "names_file",
+    "SELECT p_brand AS brand, p_size::DOUBLE AS size, p_type AS kind, CASE WHEN p_size > 10 THEN p_retailprice END AS price FROM part",
+)
+def names_file(spark, sf_dir):
+    """Parts without a header, read by the file that names their columns."""
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    _text_lines(spark, ["| brands come first", "Brand#1, Brand#2.   | and so on", "", "size:  continuous.", "kind: PROMO, STANDARD.", "price: continuous."], f"{path}/names")
+    price = F.when(F.col("p_size") > 10, F.col("p_retailprice").cast("string")).otherwise("?")
+    table(spark, sf_dir, "part").select("p_brand", "p_size", "p_type", price.alias("price")).write.csv(f"{path}/data")
+    return read_named(spark, f"{path}/data", f"{path}/names", label="brand")

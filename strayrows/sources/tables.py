@@ -30,18 +30,62 @@ def read_delimited(
     return reader.schema(schema).csv(path)
 
 
+_DECLARED = r"(?i)^\s*@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*?)\s*$"
+_NUMERIC = ("real", "numeric", "integer")
+
+
+def declared_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The schema that a file's `@attribute` lines declare: numbers are doubles, all else is text.
+
+    The lines are read by Spark, from whatever store the file lies in, in the file's order.
+    """
+    lines = spark.read.text(path).where(F.lower(F.ltrim("value")).startswith("@attribute"))
+    at = F.col("_metadata.file_block_start")
+    found = lines.select(at.alias("at"), F.monotonically_increasing_id().alias("i"), F.regexp_extract("value", _DECLARED, 1).alias("name"), F.regexp_extract("value", _DECLARED, 2).alias("kind"))
+    rows = found.orderBy("at", "i").collect()  # one row per column
+    return T.StructType(
+        [T.StructField(r["name"].strip("'\""), T.DoubleType() if r["kind"].lower() in _NUMERIC else T.StringType()) for r in rows]
+    )
+
+
 def read_attribute_file(
-    spark: SparkSession, path: str, schema: T.StructType | str, missing: str = "?"
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, missing: str = "?"
 ) -> DataFrame:
-    """Data rows of a text file that also holds `%` comments and `@` declarations."""
+    """Data rows of a text file that also holds `%` comments and `@` declarations, which give the schema if none is given."""
+    if schema is None:
+        schema = declared_schema(spark, path)
     lines = spark.read.text(path).where(
         (F.trim("value") != "") & ~F.col("value").rlike(r"^\s*[%@]")
     )
     parsed = F.from_csv("value", schema if isinstance(schema, str) else _ddl(schema),
-                        {"nullValue": missing, "ignoreLeadingWhiteSpace": "true"})
+                        {"nullValue": missing, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "quote": "'"})
     return lines.select(parsed.alias("r")).select("r.*")
 
 
+def named_schema(spark: SparkSession, names: str, label: str = "class") -> T.StructType:
+    """The schema that a `.names` file gives: after the class values, `name: continuous.` or `name: a, b.` line by line.
+
+    `|` starts a comment. Continuous columns are doubles, all else is text; `label` comes first.
+    """
+    text = F.trim(F.regexp_replace("value", r"\|.*$", ""))
+    lines = spark.read.text(names).select(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), text.alias("line"))
+    rows = lines.where(F.col("line").contains(":")).orderBy("at", "i").collect()  # one row per column
+    fields = [T.StructField(label, T.StringType())]
+    for r in rows:
+        name, kind = r["line"].split(":", 1)
+        number = kind.strip().rstrip(".").strip().lower() == "continuous"
+        fields.append(T.StructField(name.strip(), T.DoubleType() if number else T.StringType()))
+    return T.StructType(fields)
+
+
+def read_named(spark: SparkSession, path: str, names: str, label: str = "class", missing: str = "?", label_last: bool = False) -> DataFrame:
+    """A file without a header whose columns a `.names` file describes; the label comes first, or last."""
+    schema = named_schema(spark, names, label)
+    if label_last:
+        schema = T.StructType([*schema.fields[1:], schema.fields[0]])
+    return read_delimited(spark, path, schema, header=False, missing=missing)
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"{quote(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
 
@@ -140,13 +184,6 @@ def write_labelled(table: DataFrame, truth: DataFrame, path: str) -> None:
     truth.write.mode("overwrite").parquet(f"{path}/truth")
 
 
-def load_or_build(spark: SparkSession, path: str, build, load_saved: bool) -> DataFrame:
-    """Read a saved result, or build, save and read it."""
-    if not load_saved:
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def _write(df: DataFrame, path: str, text: bool) -> None:
     if text:
         df.write.mode("overwrite").csv(path, header=False)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from strayrows.functions import joins
 from strayrows.operators import explore as X
 from strayrows.operators import prep as P
+from strayrows.operators.pairs import PairDetector
 from strayrows.sources import tables as IO
+from strayrows.sources.store import ResultStore
 from strayrows.spec import FeatureSpec, split_roles
 
 
@@ -145,12 +147,49 @@ def test_members_are_partitioned_and_rules_appended(spark, tmp_path):
     for _ in range(2):
         IO.append_rule(rule, str(tmp_path / "saved"))
     assert spark.read.parquet(str(tmp_path / "saved")).count() == 2
+
+
+def test_store_rebuilds_what_was_made_from_something_else(spark, tmp_path):
     built = []
+    store = ResultStore(spark, str(tmp_path / "store"))
+
+    def result(depth, rows, reuse=True, name="scores"):
+        def build():
+            built.append((depth, rows.count()))
+            return spark.range(depth)
+
+        return store.get(name, {"detector": PairDetector(depth=depth), "rows": rows, "pairs": [("a", "b")]}, build, reuse).count()
 
-    def build():
-        built.append(1)
-        return rule
+    rows = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "row_id bigint, c string")
+    assert result(4, rows) == 4 and result(4, rows.repartition(5)) == 4
+    assert built == [(4, 3)]  # neither order nor files matter
+    assert result(5, rows) == 5 and result(4, rows.distinct()) == 4 and result(4, rows.withColumn("c", F.lit("a"))) == 4
+    assert built == [(4, 3), (5, 3), (4, 2), (4, 3)]
+    assert result(4, rows) == 4 and result(4, rows, name="other") == 4 and len(built) == 5
+    assert result(4, rows, reuse=False) == 4 and len(built) == 6
 
-    for load in (False, True):
-        assert IO.load_or_build(spark, str(tmp_path / "p"), build, load).count() == 1
-    assert built == [1]
+    def broken():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        store.get("broken", {}, broken)
+    assert not store.has("broken", store.key({}))
+
+
+def test_files_that_describe_themselves(spark, tmp_path):
+    arff = tmp_path / "t.arff"
+    arff.write_text(
+        "% note\n@relation r\n@ATTRIBUTE a {x,y}\n@attribute 'b c' real % not a comment\n@attribute d  NUMERIC\n@attribute e {0,1}\n\n@data\n"
+        "x, 1.5,2,0\n% more\ny,?,-3e2,1\n'y',0,?,?\n".replace(" % not a comment", "")
+    )
+    df = IO.read_attribute_file(spark, str(arff))
+    assert df.dtypes == [("a", "string"), ("b c", "double"), ("d", "double"), ("e", "string")]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, [("x", 1.5, 2.0, "0"), ("y", None, -300.0, "1"), ("y", 0.0, None, None)]))
+    names, data = tmp_path / "t.names", tmp_path / "t.data"
+    names.write_text("| made\nsick, negative.   | classes\n\nage:\tcontinuous.\nsex: M, F.\nTSH: continuous.\n")
+    data.write_text("negative,41,F,?\nsick,?,M,1.5\n")
+    df = IO.read_named(spark, str(data), str(names))
+    assert df.dtypes == [("class", "string"), ("age", "double"), ("sex", "string"), ("TSH", "double")]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, [("negative", 41.0, "F", None), ("sick", None, "M", 1.5)]))
+    data.write_text("41,F,?,negative\n")
+    assert IO.read_named(spark, str(data), str(names), label_last=True).first().asDict() == {"age": 41.0, "sex": "F", "TSH": None, "class": "negative"}
