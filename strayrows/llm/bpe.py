@@ -27,6 +27,8 @@ from strayrows.llm.words import Words, slices, texts_of
 from strayrows.staging import stage
 
 WINDOW = 16
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 
 
 def cuts(words: Words, mask: int) -> np.ndarray:
@@ -48,10 +50,70 @@ def chunked(texts: list[bytes], mask: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+class WordMemo:
+    """Ids of words met before, in flat arrays: the words of many texts are looked up at once, and a repeated word is
+    encoded once. Words have 64-bit hashes for names, and their bytes are compared. Past `most` words it starts anew.
+    """
+
+    def __init__(self, encode, most: int):
+        self.encode, self.most = encode, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.names = np.zeros(0, np.uint64)
+        self.rows = np.zeros((4, 0), np.int64)  # of each name: start and size of its ids, start and size of its bytes
+        self.ids, self.bytes = np.zeros(0, "<u4"), np.zeros(0, np.uint8)
+
+    def learn(self, words: Words, names: np.ndarray, at: np.ndarray) -> None:
+        """Words `at` with names that are not known; ascending names."""
+        spans = [words.data[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
+        found = self.encode([x.tobytes().decode() for x in spans])
+        n_ids, n_bytes = (np.array([len(x) for x in y], np.int64) for y in (found, spans))
+        rows = np.stack([
+            len(self.ids) + np.cumsum(n_ids) - n_ids, n_ids, len(self.bytes) + np.cumsum(n_bytes) - n_bytes, n_bytes
+        ])
+        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], "<u4")])
+        self.bytes = np.concatenate([self.bytes, *spans])
+        place = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, place, names)
+        self.rows = np.insert(self.rows, place, rows, axis=1)
+
+    def lookup(self, texts: list[bytes]) -> list[np.ndarray] | None:
+        """Ids of each text; None if two of the words share a name."""
+        words = Words(texts)
+        if not len(words):
+            return [np.zeros(0, "<u4")] * len(texts)
+        names, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        new = ~np.isin(names, self.names, assume_unique=True)
+        if len(self.names) + new.sum() > self.most:
+            self.forget()
+            new[:] = True
+        if new.any():
+            self.learn(words, names[new], first[new])
+        start, n_ids, byte, n_bytes = self.rows[:, np.searchsorted(self.names, names)[which]]
+        if not np.array_equal(n_bytes, words.ends - words.starts):
+            return None
+        if not np.array_equal(words.data[_runs(words.starts, n_bytes)], self.bytes[_runs(byte, n_bytes)]):
+            return None
+        ids = self.ids[_runs(start, n_ids)]
+        ends = np.concatenate([[0], np.cumsum(n_ids)])[words.first[1:]]
+        return np.split(ids, ends[:-1])
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(before[-1] + sizes[-1])
+
+
 class Encoder:
-    """Encodes texts through a table of shared chunks: their bytes to their ids."""
+    """Encodes texts through a table of shared chunks: their bytes to their ids.
 
-    def __init__(self, spec: str, shared: dict[bytes, bytes] | None = None):
+    With `memo`, long runs of text go through a WordMemo of that many words. It is for tokenizers
+    that end a pre-token at white space, drop it and normalise nothing across it, as word_bpe does.
+    """
+
+    def __init__(self, spec: str, shared: dict[bytes, bytes] | None = None, memo: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -59,6 +121,12 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.shared = shared or {}
+        self.memo = WordMemo(lambda words: [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)], memo)
+
+    def many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """`plain`, through the memo if there is one."""
+        found = self.memo.lookup(texts) if self.memo.most else None
+        return self.plain(texts) if found is None else found
 
     def plain(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
@@ -81,7 +149,7 @@ class Encoder:
     def encode(self, texts: list[bytes], mask: int) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         cut = [self.parts(t, s) if s else [] for t, s in zip(texts, chunked(texts, mask))]
-        own = iter(self.plain([t[a:b] for t, parts in zip(texts, cut) for a, b, ids in parts if ids is None]))
+        own = iter(self.many([t[a:b] for t, parts in zip(texts, cut) for a, b, ids in parts if ids is None]))
         out = []
         for text, parts in zip(texts, cut):
             ids = np.zeros(0, "<u4")
@@ -153,11 +221,11 @@ def _first_words(text: bytes, n: int) -> int:
 _last: dict[str, Encoder] = {}
 
 
-def _kept(key: str, spec: str, shared: dict) -> Encoder:
+def _kept(key: str, spec: str, shared: dict, memo: int) -> Encoder:
     """The encoder of an earlier task of the same call in this worker, with its memo."""
     if key not in _last:
         _last.clear()
-        _last[key] = Encoder(spec, shared)
+        _last[key] = Encoder(spec, shared, memo)
     return _last[key]
 
 
@@ -237,13 +305,13 @@ def shared_chunks(docs: DataFrame, spec: str, mask: int, table_bytes: int = 32 <
 
 
 def encode(
-    docs: DataFrame, tokenizer_file: str, id: str = "doc_id", text: str = "text", mask: int = 511
+    docs: DataFrame, tokenizer_file: str, id: str = "doc_id", text: str = "text", mask: int = 511, memo: int = 0
 ) -> DataFrame:
     """(doc_id, ids, decoded) for every row: ids are little-endian 32-bit integers.
 
     `decoded` is made from the ids: their tokens joined by spaces, as a tokenizer without a decoder does. A
     null text is empty and has no ids. Rows that repeat a doc_id, with the same text or another, are rows like others, and
-    so are those without one. No rows: no rows. Chunks average `mask` + 1 bytes.
+    so are those without one. No rows: no rows. Chunks average `mask` + 1 bytes; `memo` is as in Encoder.
     """
     from tokenizers import Tokenizer
 
@@ -258,10 +326,10 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, tokens, shared = fixed.value
-        encoder = _kept(key, spec, shared)
+        encoder = _kept(key, spec, shared, memo)
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 ids = encoder.encode(texts[a:b], mask)
                 decoded = [b" ".join([tokens[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
                 yield pa.RecordBatch.from_arrays(
@@ -276,7 +344,7 @@ def encode(
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), memo=700_000)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),

@@ -33,8 +33,8 @@ def test_bpe_of_odd_texts(make):
         "the same words again and again " * 300, "the same words again and again " * 300,
     ]
     df = make([(i, t) for i, t in enumerate(texts)])
-    for mask in (7, 511):
-        got = {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.encode(df, FILE, mask=mask).collect()}
+    for mask, memo in ((7, 0), (511, 0), (7, 1000), (511, 9)):
+        got = {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.encode(df, FILE, mask=mask, memo=memo).collect()}
         same_as_library(texts, [got[i] for i in range(len(texts))])
     assert bpe.encode(make([]), FILE).count() == 0
 
@@ -52,6 +52,20 @@ def test_chunks_are_cut_by_content():
     assert len(parts[0] & parts[1]) >= 0.9 * len(parts[0])
 
 
+def test_word_memo(monkeypatch):
+    spec = Tokenizer.from_file(FILE).to_str()
+    plain, rng = bpe.Encoder(spec), np.random.default_rng(2)
+    texts = [" ".join(f"w{i}'s é{i % 7}" for i in rng.integers(0, 300, 200)).encode() for _ in range(8)] + [b"", b" \n", "中文 x".encode()]
+    expected = [x.tobytes() for x in plain.plain(texts)]
+    for most in (1, 100, 100_000):
+        encoder = bpe.Encoder(spec, memo=most)
+        for _ in range(2):
+            assert encoder.encode(texts, 511) == expected
+            assert [x.tobytes() for x in encoder.many(texts[:3])] == expected[:3]
+    monkeypatch.setattr(bpe.Words, "hashes", lambda self: (self.ends - self.starts).astype(np.uint64))
+    assert bpe.Encoder(spec, memo=1000).encode(texts, 511) == expected
+
+
 def test_bpe_of_repeated_identifiers(odd, make):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     rows += [(7, "naïve café 中文 " * 200), (7, "plain words only " * 200), (7, "naïve café 中文 " * 200), (None, "中文 é " * 300), (None, "plain words only " * 200)]
