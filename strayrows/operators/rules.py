@@ -27,6 +27,7 @@ GRID = 1000
 BANDWIDTH_SHARE = 0.02
 DENSE_SHARE = 0.8
 EDGE = 1e-8
+TERMS = 6
 WORD_BITS = 62
 
 
@@ -49,9 +50,10 @@ def _focus_values(
 def density_grid(values: DataFrame) -> DataFrame:
     """(k, cluster_id, feature, g, x, density): Gaussian density on a grid of GRID points.
 
-    The bandwidth is a fixed share of the group's range, 1 for a constant. Tasks
-    sum whole grids over the rows they hold and send one grid per group, so a
-    group of any size stays spread over all tasks.
+    The bandwidth is a fixed share of the group's range, 1 for a constant. A value adds TERMS powers of its distance
+    to the nearest grid point, so it costs a few additions and not a kernel value per grid point; the kernel's
+    series around the grid points then gives the sums. A distance is at most a fortieth of the bandwidth, which
+    leaves a relative error below 1e-10. Tasks send the filled cells of a group, however many rows they hold.
     """
     keys = [*GROUP, "feature"]
     spans = values.groupBy(*keys).agg(
@@ -70,31 +72,45 @@ def density_grid(values: DataFrame) -> DataFrame:
         "spans",
     )
 
-    def grids(batches):
+    def moments(batches):
         held: dict[tuple, np.ndarray] = {}
         for frame in batches:
             for key, part in frame.groupby([*keys, "start", "stop", "h"], sort=False):
                 *_, start, stop, h = key
-                grid = start + (stop - start) * np.arange(GRID) / (GRID - 1)
-                sums = held.setdefault(key[:3], np.zeros(GRID))
-                for at in range(0, len(part), 4096):
-                    x = part["v"].to_numpy()[at : at + 4096, None]
-                    sums += np.exp(-0.5 * ((grid - x) / h) ** 2).sum(axis=0)
-            if len(held) > 2000:
-                yield _grid_frame(held, keys)
+                step = (stop - start) / (GRID - 1)
+                x = part["v"].to_numpy() - start
+                cell = np.rint(x / step).astype(np.int64) if step else np.zeros(len(x), np.int64)
+                away, power = (x - cell * step) / h, np.ones(len(x))
+                sums = held.setdefault(key[:3], np.zeros((TERMS, GRID)))
+                for t in range(TERMS):
+                    sums[t] += np.bincount(cell, power, GRID)
+                    power = power * away / (t + 1)
+            if len(held) > 500:
+                yield _moment_frame(held, keys)
                 held = {}
         if held:
-            yield _grid_frame(held, keys)
-
-    partial = values.join(spans, keys).mapInPandas(
-        grids, "k int, cluster_id int, feature string, s array<double>"
-    )
-    summed = (
-        partial.select(*keys, F.posexplode("s").alias("g", "s"))
-        .groupBy(*keys, "g")
-        .agg(F.sum("s").alias("s"))
-    )
-    return summed.join(spans, keys).select(
+            yield _moment_frame(held, keys)
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        """All grid points of a group: sums over cells of moments times derivatives of the kernel."""
+        first = frame.iloc[0]
+        cells = np.zeros((TERMS, GRID))
+        cells[frame["term"], frame["cell"]] = frame["s"]
+        u = (first["stop"] - first["start"]) / first["h"] * np.arange(1 - GRID, GRID) / (GRID - 1)
+        total, before, now = np.zeros(GRID), np.zeros_like(u), np.exp(-0.5 * u * u)
+        for t in range(TERMS):
+            total += np.convolve(cells[t], now)[GRID - 1 : 2 * GRID - 1]
+            before, now = now, u * now - t * before
+        out = pd.DataFrame({"g": np.arange(GRID), "s": total})
+        for c in keys:
+            out[c] = first[c]
+        return out
+
+    cells = values.join(spans, keys).mapInPandas(moments, "k int, cluster_id int, feature string, term int, cell int, s double")
+    summed = cells.groupBy(*keys, "term", "cell").agg(F.sum("s").alias("s"))
+    # At most TERMS x GRID rows of a group.
+    grid = summed.join(spans, keys).groupBy(*keys).applyInPandas(kernel, "k int, cluster_id int, feature string, g int, s double")
+    return grid.join(spans, keys).select(
         *keys,
         "g",
         (F.col("start") + (F.col("stop") - F.col("start")) * F.col("g") / F.lit(GRID - 1)).alias("x"),
@@ -102,10 +118,12 @@ def density_grid(values: DataFrame) -> DataFrame:
     )
 
 
-def _grid_frame(held: dict[tuple, np.ndarray], keys: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(list(held), columns=keys)
-    frame["s"] = list(held.values())
-    return frame
+def _moment_frame(held: dict[tuple, np.ndarray], keys: list[str]) -> pd.DataFrame:
+    parts = []
+    for key, sums in held.items():
+        term, cell = np.nonzero(sums)
+        parts.append(pd.DataFrame({**dict(zip(keys, key)), "term": term, "cell": cell, "s": sums[term, cell]}))
+    return pd.concat(parts)
 
 
 def dense_intervals(
