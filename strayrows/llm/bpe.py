@@ -52,28 +52,55 @@ def chunked(texts: list[bytes], mask: int) -> list[list[tuple[int, int]]]:
 
 class WordMemo:
     """Ids of words met before, in flat arrays: the words of many texts are looked up at once, and a repeated word is
-    encoded once. Words have 64-bit hashes for names, and their bytes are compared. Past `most` words it starts anew.
+    encoded once. Words have 64-bit hashes for names, and their bytes are compared. Past `most` words it keeps those that
+    several slices have met, or nothing if they are too many.
     """
 
+    MARK = b"\x01"
+    RUN = 64
+
     def __init__(self, encode, most: int):
         self.encode, self.most = encode, most
+        self.mark = encode([self.MARK.decode()])[0]
         self.forget()
 
     def forget(self) -> None:
         self.names = np.zeros(0, np.uint64)
-        self.rows = np.zeros((4, 0), np.int64)  # of each name: start and size of its ids, start and size of its bytes
+        self.rows = np.zeros((5, 0), np.int64)  # of each name: start and size of its ids, of its bytes, slices that met it
         self.ids, self.bytes = np.zeros(0, "<u4"), np.zeros(0, np.uint8)
 
+    def shrink(self) -> None:
+        kept = self.rows[4] > 1
+        if 2 * kept.sum() > self.most:
+            return self.forget()
+        start, n_ids, byte, n_bytes, _ = rows = self.rows[:, kept]
+        self.ids, self.bytes = self.ids[_runs(start, n_ids)], self.bytes[_runs(byte, n_bytes)]
+        rows[0], rows[2], rows[4] = np.cumsum(n_ids) - n_ids, np.cumsum(n_bytes) - n_bytes, 1
+        self.names, self.rows = self.names[kept], rows
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has: in runs with a mark between words, or one by one
+        where the mark is no token of its own or occurs in a word."""
+        if len(self.mark) == 1 and not any(self.MARK in w for w in words):
+            between = b" " + self.MARK + b" "
+            runs = [between.join(words[i : i + self.RUN]) + between for i in range(0, len(words), self.RUN)]
+            flat = np.concatenate([np.array(x, "<u4") for x in self.encode([r.decode() for r in runs])])
+            ends = np.flatnonzero(flat == self.mark[0])
+            if len(ends) == len(words):
+                return np.delete(flat, ends), np.diff(np.concatenate([[-1], ends])) - 1
+        found = self.encode([w.decode() for w in words])
+        return np.array([i for x in found for i in x], "<u4"), np.array([len(x) for x in found], np.int64)
+
     def learn(self, words: Words, names: np.ndarray, at: np.ndarray) -> None:
         """Words `at` with names that are not known; ascending names."""
-        spans = [words.data[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
-        found = self.encode([x.tobytes().decode() for x in spans])
-        n_ids, n_bytes = (np.array([len(x) for x in y], np.int64) for y in (found, spans))
+        starts, n_bytes = words.starts[at], words.ends[at] - words.starts[at]
+        own = words.data[_runs(starts, n_bytes)]
+        text, ends = own.tobytes(), np.cumsum(n_bytes).tolist()
+        ids, n_ids = self.encoded([text[a:b] for a, b in zip([0, *ends], ends)])
         rows = np.stack([
-            len(self.ids) + np.cumsum(n_ids) - n_ids, n_ids, len(self.bytes) + np.cumsum(n_bytes) - n_bytes, n_bytes
+            len(self.ids) + np.cumsum(n_ids) - n_ids, n_ids, len(self.bytes) + np.cumsum(n_bytes) - n_bytes, n_bytes, np.zeros_like(n_ids)
         ])
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], "<u4")])
-        self.bytes = np.concatenate([self.bytes, *spans])
+        self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, own])
         place = np.searchsorted(self.names, names)
         self.names = np.insert(self.names, place, names)
         self.rows = np.insert(self.rows, place, rows, axis=1)
@@ -84,13 +111,14 @@ class WordMemo:
         if not len(words):
             return [np.zeros(0, "<u4")] * len(texts)
         names, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.names) + len(names) > self.most:
+            self.shrink()
         new = ~np.isin(names, self.names, assume_unique=True)
-        if len(self.names) + new.sum() > self.most:
-            self.forget()
-            new[:] = True
         if new.any():
             self.learn(words, names[new], first[new])
-        start, n_ids, byte, n_bytes = self.rows[:, np.searchsorted(self.names, names)[which]]
+        own = np.searchsorted(self.names, names)
+        self.rows[4, own] += 1
+        start, n_ids, byte, n_bytes, _ = self.rows[:, own[which]]
         if not np.array_equal(n_bytes, words.ends - words.starts):
             return None
         if not np.array_equal(words.data[_runs(words.starts, n_bytes)], self.bytes[_runs(byte, n_bytes)]):
@@ -102,6 +130,8 @@ class WordMemo:
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each run, one run after the other."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
     before = np.cumsum(sizes) - sizes
     return np.repeat(starts - before, sizes) + np.arange(before[-1] + sizes[-1])
 

@@ -62,6 +62,14 @@ def test_word_memo(monkeypatch):
         for _ in range(2):
             assert encoder.encode(texts, 511) == expected
             assert [x.tobytes() for x in encoder.many(texts[:3])] == expected[:3]
+    odd = [b"a\x01b \x01 plain words", b"x \x01\x01 y", b"a, b, c. d; e!", "é \x01".encode()]
+    assert bpe.Encoder(spec, memo=1000).encode(odd, 511) == [x.tobytes() for x in plain.plain(odd)]
+    encoder = bpe.Encoder(spec, memo=420)
+    for i in range(9):  # frequent words stay, single ones go
+        once = [b" ".join(b"s%dx%d" % (i, j) for j in range(150)) + b" often used words"]
+        assert encoder.encode(once, 511) == [x.tobytes() for x in plain.plain(once)]
+        assert len(encoder.memo.names) <= 420
+    assert encoder.memo.rows[4].max() > 1
     monkeypatch.setattr(bpe.Words, "hashes", lambda self: (self.ends - self.starts).astype(np.uint64))
     assert bpe.Encoder(spec, memo=1000).encode(texts, 511) == expected
 
