@@ -1,10 +1,16 @@
 """Quality rules with thresholds that each language and source sets for itself.
 
 Every text is measured once. Measures go into quantile sketches per language and source: counts of
-logarithmic buckets, each 2 % wide, so a quantile is off by 1 % of itself at most, merging is
+logarithmic buckets, each 0.2 % wide, so a quantile is off by 0.1 % of itself at most, merging is
 adding, and the result depends on no order. Sketches of sources merge to one per language and
 one for all. A document's limits come from the finest level that holds enough documents,
 and are joined to it.
+
+No limit is a constant. Between its median and third quartile a sketch halves; if it goes on like that, fewer than one
+document lies beyond the limit. Where the quartiles coincide (most texts have no symbol at all), the values beyond them are
+taken instead. An empty stretch of a factor of two above the quartile ends the body earlier: what lies beyond
+it is another kind of text. A share is known no better than the trials behind it allow: a document may exceed a limit
+by three trials, the most that one would expect to miss where the true share is the limit.
 """
 
 from __future__ import annotations
@@ -14,8 +20,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,26 +38,22 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects values outside [q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)].
-
-    `slack` is the least distance of a limit from its quartile: where nearly all documents
-    agree, the quartiles coincide and a harmless difference must not be an outlier.
-    """
+    """An upper limit on `measure`, a share of `trials` if that is given, and a lower one on request."""
 
     measure: str
-    slack: float
+    trials: str | None = None
     lower: bool = False
-    reach: float = 3.0
 
 
-#: Shares of words, lines and characters; the upper limit always holds, the lower one on request.
 RULES = (
-    Rule("chars_per_word", 2.0, lower=True),
-    Rule("symbols_per_word", 0.2),
-    Rule("dup_line_share", 0.4),
-    Rule("repeat_share", 0.3),
-    Rule("upper_share", 0.4),
+    Rule("chars_per_word", lower=True),
+    Rule("symbols_per_word", "n_words"),
+    Rule("dup_line_share", "n_lines"),
+    Rule("repeat_share", "n_words"),
+    Rule("upper_share", "n_letters"),
 )
+#: Trials that a document may be above a limit, and the factor that an empty stretch spans.
+MISSED, STRETCH = 3, 2.0
 SCHEMA = "key bigint, " + ", ".join(f"{c} bigint" for c in [*BASE, "n_lines", "n_upper", "n_letters"])
 
 
@@ -132,7 +135,7 @@ def quality(
     """One row per document: doc_id, the columns `keep`, the counts of BASE, base_failed, kept.
 
     A document fails the base rules with fewer than 50 words or if more than half of its words
-    lie in repeated windows. Quantiles are taken over the documents that pass them. Levels with
+    lie in repeated windows. Sketches are taken of the documents that pass them. Levels with
     fewer than `least` such documents leave the decision to the next coarser one; if all
     documents together are fewer, only the base rules decide. A null text has no words; null
     language or source is a group of its own. Repeated rows are judged alike.
@@ -158,9 +161,10 @@ def quality(
     limits = stage(_limits(rows.where(~F.col("base_failed")), rules, least), "limits")
     inside = F.lit(True)
     for r in rules:
-        inside &= (F.col(r.measure) <= F.col(f"{r.measure}_hi")) if not r.lower else F.col(r.measure).between(
-            F.col(f"{r.measure}_lo"), F.col(f"{r.measure}_hi")
-        )
+        above = F.lit(0.0) if r.trials is None else MISSED / F.greatest(F.col(r.trials), F.lit(1))
+        inside &= F.col(r.measure) <= F.col(f"{r.measure}_hi") + above
+        if r.lower:
+            inside &= F.col(r.measure) >= F.col(f"{r.measure}_lo")
     if keep:
         # Measured again beside the columns to keep: cheaper than moving whole texts to meet their measures.
         carried = [f"_keep_{c}" for c in keep]
@@ -179,56 +183,87 @@ def quality(
     )
 
 
-WIDTH = math.log(1.02)
+WIDTH = math.log(1.002)
+
+
+def _tail(middle: float, quartile: float, n: int) -> float:
+    """Where fewer than one of n documents lies beyond, if as many again are lost at each step of that size."""
+    return quartile + (quartile - middle) * max(math.log(n / 4), 0.0) / math.log(2)
+
+
+def limits_of(sketch: dict[str, tuple[np.ndarray, np.ndarray]], rules: tuple[Rule, ...]) -> dict[str, tuple[float, float]]:
+    """(lower, upper) for each rule from (buckets, counts) of each measure, ascending; bucket NONE holds the zeros."""
+    out = {}
+    value = lambda b, at=0.5: 0.0 if b == NONE else math.exp((b - at) * WIDTH)
+    quantile = lambda b, n, q: int(b[np.searchsorted(np.cumsum(n), q * n.sum())])
+    for r in rules:
+        buckets, counts = sketch[r.measure]
+        n, (q1, q2, q3) = counts.sum(), (quantile(buckets, counts, q) for q in (0.25, 0.5, 0.75))
+        limits = []
+        for middle, quartile, beyond, far, end in ((q2, q1, buckets < q1, 0.25, 1), (q2, q3, buckets > q3, 0.75, 0)):
+            rest = buckets[beyond], counts[beyond]
+            if quartile != middle:
+                limits.append(_tail(value(middle), value(quartile), n))
+            elif beyond.any():
+                limits.append(_tail(value(quantile(*rest, 0.5)), value(quantile(*rest, far)), rest[1].sum()))
+            else:
+                limits.append(value(quartile, end))
+        low, high = limits
+        # One hit in a text of middling length is the smallest share there is.
+        least = NONE if r.trials is None else -quantile(*sketch[r.trials], 0.5)
+        steps = np.maximum(buckets[buckets >= q3], least)
+        wide = np.flatnonzero(np.diff(steps) * WIDTH >= math.log(STRETCH))
+        if len(wide) and steps[wide[0]] > NONE:
+            high = min(high, math.exp((steps[wide[0]] + steps[wide[0] + 1]) / 2 * WIDTH))
+        out[r.measure] = low, high
+    return out
+
+
+#: Bucket of the zeros: below that of any double.
+NONE = -(1 << 20)
 
 
 def _limits(rows: DataFrame, rules: tuple[Rule, ...], least: int) -> DataFrame:
     """(g0, g1, <measure>_lo, <measure>_hi): one row per group, from the finest level with enough rows."""
-    bucket = lambda m: F.when(F.col(m) > 0, F.ceil(F.log(m) / WIDTH)).cast("bigint")
-    values = F.explode(
-        F.array(*[F.struct(F.lit(r.measure).alias("m"), bucket(r.measure).alias("b")) for r in rules])
-    )
+    bucket = lambda m: F.when(F.col(m) > 0, F.ceil(F.log(m) / WIDTH)).otherwise(NONE).cast("bigint")
+    named = [r.measure for r in rules] + sorted({r.trials for r in rules if r.trials})
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), bucket(m).alias("b")) for m in named]))
     fine = stage(
         rows.select("g0", "g1", values.alias("v"))
         .groupBy("g0", "g1", F.col("v.m").alias("m"), F.col("v.b").alias("b"))
         .agg(F.count("*").alias("n")),
         "sketches",
     )
+    names = [f"{r.measure}_{side}" for r in rules for side in ("lo", "hi")]
+    schema = "g0 string, g1 string, total bigint, " + ", ".join(f"{n} double" for n in names)
+
+    def decide(frame: pd.DataFrame) -> pd.DataFrame:
+        sketch = {}
+        for m, own in frame.groupby("m"):
+            own = own.sort_values("b")
+            sketch[m] = own["b"].to_numpy(), own["n"].to_numpy()
+        found = limits_of(sketch, rules)
+        total = int(sketch[rules[0].measure][1].sum())
+        cells = [x for r in rules for x in found[r.measure]]
+        return pd.DataFrame([[frame["g0"].iloc[0], frame["g1"].iloc[0], total, *cells]], columns=["g0", "g1", "total", *names])
+
     groups = fine.select("g0", "g1").distinct().alias("f")
+    none = F.lit(None).cast("string")
     levels = []
     for by in (["g0", "g1"], ["g0"], []):
-        # A window holds the buckets of one measure of one group, a few hundred rows.
-        low = Window.partitionBy(*by, "m").orderBy(F.col("b").asc_nulls_first())
-        all_rows = Window.partitionBy(*by, "m")
         merged = fine.groupBy(*by, "m", "b").agg(F.sum("n").alias("n"))
-        ranked = merged.select(
-            *by, "m", "n",
-            F.when(F.col("b").isNull(), 0.0).otherwise(F.exp((F.col("b") - 0.5) * WIDTH)).alias("x"),
-            F.sum("n").over(low).alias("upto"),
-            F.sum("n").over(all_rows).alias("total"),
-        )
-        least_with = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("x")))
-        levels.append(
-            ranked.groupBy(*by, "m").agg(
-                F.max("total").alias("total"), least_with(0.25).alias("q1"), least_with(0.75).alias("q3")
-            )
-            .where(F.col("total") >= least)
-            .groupBy(*by)
-            .agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("q1", "q3")))).alias("q"))
-        )
+        merged = merged.select(*[(F.col(g) if g in by else none).alias(g) for g in ("g0", "g1")], "m", "b", "n")
+        # The buckets of a group, some hundreds for each measure.
+        levels.append(merged.groupBy("g0", "g1").applyInPandas(decide, schema).where(F.col("total") >= least))
     f, c, e = (t.alias(n) for t, n in zip(levels, "hce"))
     chosen = (
         groups.join(f, F.col("f.g0").eqNullSafe(F.col("h.g0")) & F.col("f.g1").eqNullSafe(F.col("h.g1")), "left")
         .join(c, F.col("f.g0").eqNullSafe(F.col("c.g0")), "left")
         .join(F.broadcast(e), F.lit(True), "left")  # one row of fixed size
-        .select(F.col("f.g0").alias("g0"), F.col("f.g1").alias("g1"), F.coalesce("h.q", "c.q", "e.q").alias("q"))
     )
-    out = []
-    for r in rules:
-        q1, q3 = (F.col("q")[r.measure][q] for q in ("q1", "q3"))
-        width = F.greatest(r.reach * (q3 - q1), F.lit(r.slack))
-        out += [(q1 - width).alias(f"{r.measure}_lo"), (q3 + width).alias(f"{r.measure}_hi")]
-    return chosen.select("g0", "g1", *out)
+    return chosen.select(
+        F.col("f.g0").alias("g0"), F.col("f.g1").alias("g1"), *[F.coalesce(f"h.{n}", f"c.{n}", f"e.{n}").alias(n) for n in names]
+    )
 
 
 SQL = r"""
@@ -255,23 +290,53 @@ r AS (
      CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END,
      CASE WHEN n_letters > 0 THEN n_upper / n_letters ELSE 0 END] AS x FROM m),
 b AS (
-  SELECT g0, g1, k, CASE WHEN x[k] > 0 THEN ceil(ln(x[k]) / ln(1.02)) END AS b
-  FROM (SELECT g0, g1, x, unnest(range(1, 6)) AS k FROM r WHERE NOT base_failed)),
+  SELECT g0, g1, k, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.002)) ELSE -1048576 END AS b
+  FROM (SELECT g0, g1, unnest(list_concat(x, [n_words::DOUBLE, n_lines::DOUBLE, n_letters::DOUBLE])) AS x, unnest(range(1, 9)) AS k FROM r WHERE NOT base_failed)),
 levels AS (
   SELECT 1 AS level, g0, g1, k, b FROM b UNION ALL SELECT 2, g0, NULL, k, b FROM b UNION ALL SELECT 3, NULL, NULL, k, b FROM b),
 ranked AS (
-  SELECT level, g0, g1, k, CASE WHEN b IS NULL THEN 0 ELSE exp((b - 0.5) * ln(1.02)) END AS x,
-         row_number() OVER (PARTITION BY level, g0, g1, k ORDER BY b NULLS FIRST) AS i, count(*) OVER (PARTITION BY level, g0, g1, k) AS n
+  SELECT *, row_number() OVER (PARTITION BY level, g0, g1, k ORDER BY b) AS i, count(*) OVER (PARTITION BY level, g0, g1, k) AS n
   FROM levels),
 q AS (
-  SELECT level, g0, g1, k, min(CASE WHEN i >= 0.25 * n THEN x END) AS q1, min(CASE WHEN i >= 0.75 * n THEN x END) AS q3
-  FROM ranked WHERE n >= 200 GROUP BY ALL),
+  SELECT level, g0, g1, k, any_value(n) AS n, min(CASE WHEN i >= 0.25 * n THEN b END) AS b1, min(CASE WHEN i >= 0.5 * n THEN b END) AS b2,
+         min(CASE WHEN i >= 0.75 * n THEN b END) AS b3 FROM ranked WHERE n >= 200 GROUP BY ALL),
+beyond AS (
+  SELECT q.level, q.g0, q.g1, q.k, t.b > q.b3 AS up, t.b, row_number() OVER (PARTITION BY q.level, q.g0, q.g1, q.k, t.b > q.b3 ORDER BY t.b) AS i,
+         count(*) OVER (PARTITION BY q.level, q.g0, q.g1, q.k, t.b > q.b3) AS n
+  FROM q JOIN ranked t ON t.level = q.level AND t.k = q.k AND t.g0 IS NOT DISTINCT FROM q.g0 AND t.g1 IS NOT DISTINCT FROM q.g1
+    AND (t.b > q.b3 OR t.b < q.b1) WHERE q.k <= 5),
+more AS (
+  SELECT level, g0, g1, k, min(CASE WHEN up AND i >= 0.5 * n THEN b END) AS p2, min(CASE WHEN up AND i >= 0.75 * n THEN b END) AS p3,
+         max(CASE WHEN up THEN n END) AS np, min(CASE WHEN NOT up AND i >= 0.25 * n THEN b END) AS l1,
+         min(CASE WHEN NOT up AND i >= 0.5 * n THEN b END) AS l2, max(CASE WHEN NOT up THEN n END) AS nl FROM beyond GROUP BY ALL),
+steps AS (
+  SELECT q.level, q.g0, q.g1, q.k, greatest(t.b, coalesce(-u.b2, -1048576)) AS s
+  FROM q JOIN (SELECT DISTINCT level, g0, g1, k, b FROM ranked) t
+    ON t.level = q.level AND t.k = q.k AND t.g0 IS NOT DISTINCT FROM q.g0 AND t.g1 IS NOT DISTINCT FROM q.g1 AND t.b >= q.b3
+  LEFT JOIN q u ON u.level = q.level AND u.g0 IS NOT DISTINCT FROM q.g0 AND u.g1 IS NOT DISTINCT FROM q.g1 AND u.k = [0, 6, 7, 6, 8][q.k]
+  WHERE q.k <= 5),
+gaps AS (
+  SELECT level, g0, g1, k, min(exp((s + next) / 2 * ln(1.002))) AS edge, min(s) AS s FROM (
+    SELECT *, lead(s) OVER (PARTITION BY level, g0, g1, k ORDER BY s) AS next FROM steps)
+  WHERE (next - s) * ln(1.002) >= ln(2) AND s > -1048576 GROUP BY ALL),
+own AS (
+  SELECT q.*, edge, np, nl, CASE WHEN b1 > -1048576 THEN exp((b1 - 0.5) * ln(1.002)) ELSE 0 END AS q1, CASE WHEN b2 > -1048576 THEN exp((b2 - 0.5) * ln(1.002)) ELSE 0 END AS q2, CASE WHEN b3 > -1048576 THEN exp((b3 - 0.5) * ln(1.002)) ELSE 0 END AS q3, CASE WHEN p2 > -1048576 THEN exp((p2 - 0.5) * ln(1.002)) ELSE 0 END AS v2, CASE WHEN p3 > -1048576 THEN exp((p3 - 0.5) * ln(1.002)) ELSE 0 END AS v3, CASE WHEN l1 > -1048576 THEN exp((l1 - 0.5) * ln(1.002)) ELSE 0 END AS u1, CASE WHEN l2 > -1048576 THEN exp((l2 - 0.5) * ln(1.002)) ELSE 0 END AS u2,
+         CASE WHEN b1 > -1048576 THEN exp((b1 - 1) * ln(1.002)) ELSE 0 END AS at1, CASE WHEN b3 > -1048576 THEN exp((b3 - 0) * ln(1.002)) ELSE 0 END AS at3
+  FROM q LEFT JOIN more m ON m.level = q.level AND m.k = q.k AND m.g0 IS NOT DISTINCT FROM q.g0 AND m.g1 IS NOT DISTINCT FROM q.g1
+  LEFT JOIN gaps g ON g.level = q.level AND g.k = q.k AND g.g0 IS NOT DISTINCT FROM q.g0 AND g.g1 IS NOT DISTINCT FROM q.g1 WHERE q.k <= 5),
+edges AS (
+  SELECT level, g0, g1, k,
+         CASE WHEN b1 <> b2 THEN q1 + (q1 - q2) * greatest(ln(n / 4), 0) / ln(2)
+              WHEN nl > 0 THEN u1 + (u1 - u2) * greatest(ln(nl / 4), 0) / ln(2) ELSE at1 END AS low,
+         least(CASE WHEN b3 <> b2 THEN q3 + (q3 - q2) * greatest(ln(n / 4), 0) / ln(2)
+               WHEN np > 0 THEN v3 + (v3 - v2) * greatest(ln(np / 4), 0) / ln(2) ELSE at3 END, coalesce(edge, 1e300)) AS high
+  FROM own),
 limits AS (
-  SELECT r.doc_id, k, arg_min(q1, level) AS q1, arg_min(q3, level) AS q3
-  FROM r JOIN q ON level = 3 OR q.g0 IS NOT DISTINCT FROM r.g0 AND (level = 2 OR q.g1 IS NOT DISTINCT FROM r.g1) GROUP BY ALL),
+  SELECT r.doc_id, k, arg_min(low, level) AS low, arg_min(high, level) AS high
+  FROM r JOIN edges q ON level = 3 OR q.g0 IS NOT DISTINCT FROM r.g0 AND (level = 2 OR q.g1 IS NOT DISTINCT FROM r.g1) GROUP BY ALL),
 outside AS (
-  SELECT r.doc_id, bool_or(
-    x[k] > q3 + greatest(3 * (q3 - q1), [2.0, 0.2, 0.4, 0.3, 0.4][k]) OR k = 1 AND x[k] < q1 - greatest(3 * (q3 - q1), 2.0)) AS out
+  SELECT r.doc_id, bool_or(x[k] > high + CASE WHEN k = 1 THEN 0 ELSE 3 / greatest([0, n_words, n_lines, n_words, n_letters][k], 1) END
+                           OR k = 1 AND x[k] < low) AS out
   FROM r JOIN limits USING (doc_id) GROUP BY r.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(out, false) AS kept
