@@ -27,7 +27,8 @@ from strayrows.staging import stage
 INFLATE = 5.0
 NOISE = 0.01
 SEGMENTS = 512
-BINS = 4096
+#: Cells have 1 / (CENTRE * PER_UNIT) of the quartile distance at the median, and 1 / PER_UNIT of their distance far from it.
+CENTRE, PER_UNIT = 8.0, 128.0
 
 
 @dataclass(frozen=True)
@@ -92,8 +93,10 @@ def fit_mixtures(
 ) -> dict[str, Mixture]:
     """Of each feature the mixture of 1..max_components Gaussians with the lowest BIC.
 
-    Two passes over the table for all features: ranges, then histograms of BINS cells with counts and means.
-    The mixtures are fitted to these, whose size does not depend on the table; nulls and NaN are left out.
+    Two passes over the table for all features: ranges and quartiles, then counts and means of cells. A cell's edges
+    follow from median and quartile distance only: even around the median, in proportion to the distance in the tails, so
+    far values have cells of their own and leave those of the body as they are. Cells merge by adding, and there are
+    some thousands whatever the table. The mixtures are fitted to them; nulls and what is not finite are left out.
     """
     if not features:
         return {}
@@ -101,28 +104,28 @@ def fit_mixtures(
     unknown = [f for f in features if bounds[f][0] is None]
     if unknown:
         raise ValueError(f"no values of {unknown}")
-    cells = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("i"), F.col(quote(f)).cast("double").alias("x"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-                for i, (f, (lo, hi)) in enumerate((f, bounds[f]) for f in features)
-            ]
-        )
-    )
-    place = F.when(F.col("c.hi") > F.col("c.lo"), F.floor((F.col("c.x") - F.col("c.lo")) / (F.col("c.hi") - F.col("c.lo")) * BINS))
+    finite = lambda x: F.when(F.abs(x) < F.lit(math.inf), x)
+    numbers = [finite(F.col(quote(f)).cast("double")) for f in features]
+    row = df.agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i, x in enumerate(numbers)]).first()
+    shape = {}
+    for i, f in enumerate(features):
+        q1, q2, q3 = row[f"q{i}"]
+        lo, hi = bounds[f]
+        shape[f] = (q2, q3 - q1 or hi - lo or 1.0)
+    cell = lambda x, at, scale: F.floor(F.asinh((x - at) / scale * CENTRE) * PER_UNIT)
+    each = [F.struct(F.lit(i).alias("i"), x.alias("x"), cell(x, *map(F.lit, shape[f])).alias("cell")) for i, (f, x) in enumerate(zip(features, numbers))]
     rows = (
-        df.select(cells.alias("c"))
-        .where(F.col("c.x").isNotNull() & ~F.isnan("c.x"))
-        .groupBy("c.i", F.least(F.coalesce(place, F.lit(0)), F.lit(BINS - 1)).alias("cell"))
-        .agg(F.count("*").alias("n"), F.avg("c.x").alias("x"))
-        .collect()  # features x BINS at most
+        df.select(F.inline(F.array(*each)))
+        .where("x IS NOT NULL")
+        .groupBy("i", "cell")
+        .agg(F.count("*").alias("n"), F.avg("x").alias("x"))
+        .collect()  # some thousands for each feature
     )
     found = {}
     for i, f in enumerate(features):
-        lo, hi = bounds[f]
         own = sorted((r["x"], r["n"]) for r in rows if r["i"] == i)
         x, n = np.array([r[0] for r in own]), np.array([float(r[1]) for r in own])
-        found[f] = _lowest_bic(x, n, lo, hi, max_components, max_iter)
+        found[f] = _lowest_bic(x, n, *bounds[f], *shape[f], max_components, max_iter)
     least = df.agg(
         *[F.min(found[f].log_density(F.col(quote(f)).cast("double"))).alias(f"m{i}") for i, f in enumerate(features)]
     ).first()
@@ -133,32 +136,40 @@ def fit_mixture(df: DataFrame, feature: str, max_components: int = 10, max_iter:
     return fit_mixtures(df, [feature], max_components, max_iter)[feature]
 
 
-def _lowest_bic(x: np.ndarray, n: np.ndarray, lo: float, hi: float, max_components: int, max_iter: int) -> Mixture:
+def _lowest_bic(
+    x: np.ndarray, n: np.ndarray, lo: float, hi: float, middle: float, scale: float, max_components: int, max_iter: int
+) -> Mixture:
     if hi == lo:
         return Mixture((1.0,), (lo,), (1e-3,), lo, hi)
-    span, best, lowest = hi - lo, None, math.inf
+    best, lowest = None, math.inf
     for k in range(1, min(max_components, len(x)) + 1):
-        w, m, s, log_likelihood = _gaussians((x - lo) / span, n, k, max_iter)
+        w, m, s, log_likelihood = _gaussians((x - middle) / scale, n, k, max_iter)
         bic = -2.0 * log_likelihood + (3 * k - 1) * math.log(n.sum())
         if bic < lowest:
             lowest = bic
             keep = w > 1e-12
             best = Mixture(
-                tuple(map(float, w[keep])), tuple(float(lo + v * span) for v in m[keep]),
-                tuple(float(v * span) for v in s[keep]), lo, hi,
+                tuple(map(float, w[keep])), tuple(float(middle + v * scale) for v in m[keep]),
+                tuple(float(v * scale) for v in s[keep]), lo, hi,
             )
     return best
 
 
 def _gaussians(x: np.ndarray, n: np.ndarray, k: int, max_iter: int, tolerance: float = 1e-6):
-    """Weights, means, deviations and log likelihood of k Gaussians on weighted points in 0..1.
+    """Weights, means, deviations and log likelihood of k Gaussians on weighted points around 0.
 
-    Starts from k groups of equal weight in ascending order, so no draw is needed.
+    Starts from the medians and quartile distances of k groups of equal weight in ascending order, so no draw is
+    needed and far values move no start.
     """
     share = (np.cumsum(n) - 0.5 * n) / n.sum()
-    part = np.minimum((share * k).astype(int), k - 1)
-    r = (part[None, :] == np.arange(k)[:, None]) * 0.9 + 0.1 / k
-    floor, before = (1.0 / BINS) ** 2 / 12.0, -math.inf
+    at = lambda q: x[np.searchsorted(share, q).clip(max=len(x) - 1)]
+    group = np.arange(k) / k
+    m, s = at(group + 0.5 / k), at(group + 0.75 / k) - at(group + 0.25 / k)
+    s = np.maximum(s, 0.1 * max(s.max(), 1e-3))
+    logs = -0.5 * ((x - m[:, None]) / s[:, None]) ** 2 - np.log(s)[:, None]
+    r = np.exp(logs - logs.max(axis=0))
+    r /= r.sum(axis=0)
+    floor, before = (1.0 / (CENTRE * PER_UNIT)) ** 2 / 12.0, -math.inf  # of a cell at the median
     for _ in range(max_iter + 1):
         mass = (r * n).sum(axis=1) + 1e-300
         w, m = mass / n.sum(), (r * n * x).sum(axis=1) / mass

@@ -387,6 +387,19 @@ def test_mixtures_from_histograms(spark):
     assert found["same"].means == (1.0,)
 
 
+@pytest.mark.parametrize("far", [1e4, 1e12, -1e9])
+def test_mixtures_beside_an_extreme_value(spark, far):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, 3000), rng.normal(20, 2, 1000)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(far,), (float("nan"),), (None,)], "x double")
+    found = N.fit_mixture(df, "x", 5)
+    body = sorted((w, m, s) for w, m, s in zip(found.weights, found.means, found.sds) if abs(m) < 100)
+    weight = lambda lo, hi: sum(w for w, m, _ in body if lo < m < hi)
+    assert weight(-4, 6) == pytest.approx(0.75, abs=0.03) and weight(12, 28) == pytest.approx(0.25, abs=0.03)
+    assert all(s < 4 for w, m, s in body if w > 0.01)
+    assert max(abs(m) for m in found.means) == pytest.approx(abs(far), rel=1e-6)
+
+
 def test_a_saved_detection_goes_on_after_loading(spark, cloud, tmp_path):
     df = cloud.select("row_id", *[F.col("x")[i].alias(f"f{i}") for i in range(3)])
     spec = FeatureSpec.from_schema(df.schema)
