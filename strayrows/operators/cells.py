@@ -14,6 +14,8 @@ import pyarrow as pa
 
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SEED = 11
+#: Bin of what is no number.
+MISSING = -(1 << 62)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -23,6 +25,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def binned(v: np.ndarray) -> np.ndarray:
+    """floor as integers, MISSING for NaN."""
+    v = np.floor(v)
+    gone = np.isnan(v)
+    return np.where(gone, MISSING, np.where(gone, 0.0, v).astype(np.int64)) if gone.any() else v.astype(np.int64)
+
+
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -30,14 +39,14 @@ def signed(h: np.ndarray) -> pa.Array:
 def path_bins(x: np.ndarray, plan, deltas: Sequence[float], c: int) -> np.ndarray:
     """[depth, row]: the bins rows pass along chain c.
 
-    After m splits of a dimension the coordinate is floor((2^(m-1) x + s) / delta).
+    After m splits of a dimension the coordinate is floor((2^(m-1) x + s) / delta); null and NaN have bin MISSING.
     """
     out = np.empty((plan.depth, x.shape[1]), np.int64)
     uses: dict[int, int] = {}
     for d, k in enumerate(plan.dims[c]):
         uses[k] = uses.get(k, 0) + 1
         shift = plan.shift[c][k] * deltas[k]
-        out[d] = np.floor((2.0 ** (uses[k] - 1) * x[k] + shift) / deltas[k])
+        out[d] = binned((2.0 ** (uses[k] - 1) * x[k] + shift) / deltas[k])
     return out
 
 

@@ -153,21 +153,27 @@ def literal_table(records: list, ddl: str) -> Column:
 
 
 def ranges(vectors: DataFrame, n_dims: int, x: str = "x") -> list[tuple[float, float]]:
-    """(min, max) per dimension of the vector column, in one pass."""
+    """(min, max) per dimension of the vector column, in one pass; null and NaN are left out, (0, 0) without values."""
     if n_dims <= 200:
+        entry = [F.nanvl(F.col(x)[k], F.lit(None).cast("double")) for k in range(n_dims)]
         row = vectors.agg(
-            *[F.min(F.col(x)[k]).alias(f"lo{k}") for k in range(n_dims)],
-            *[F.max(F.col(x)[k]).alias(f"hi{k}") for k in range(n_dims)],
+            *[F.min(e).alias(f"lo{k}") for k, e in enumerate(entry)],
+            *[F.max(e).alias(f"hi{k}") for k, e in enumerate(entry)],
         ).first()
-        return [(row[f"lo{k}"], row[f"hi{k}"]) for k in range(n_dims)]
-    rows = (
-        vectors.select(F.posexplode(x).alias("k", "v"))
-        .groupBy("k")
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()  # one row per dimension
-    )
-    by_dim = {r["k"]: (r["lo"], r["hi"]) for r in rows}
-    return [by_dim[k] for k in range(n_dims)]
+        found = {k: (row[f"lo{k}"], row[f"hi{k}"]) for k in range(n_dims)}
+    else:
+
+        def extremes(batches):
+            lo, hi = np.full(n_dims, np.inf), np.full(n_dims, -np.inf)
+            for _, own in matrices(batches):
+                lo, hi = np.fmin(lo, np.fmin.reduce(own, axis=1)), np.fmax(hi, np.fmax.reduce(own, axis=1))
+            some = np.flatnonzero(lo <= hi)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(lo[some]), pa.array(hi[some])], ["k", "lo", "hi"])
+
+        each = vectors.select(F.col(x).alias("x")).mapInArrow(extremes, "k int, lo double, hi double")
+        rows = each.groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()  # one row per dimension
+        found = {r["k"]: (r["lo"], r["hi"]) for r in rows}
+    return [found[k] if found.get(k, (None,))[0] is not None else (0.0, 0.0) for k in range(n_dims)]
 
 
 def half_ranges(bounds: Sequence[tuple[float, float]]) -> list[float]:
@@ -178,7 +184,7 @@ def half_ranges(bounds: Sequence[tuple[float, float]]) -> list[float]:
 def path_rows(vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float]) -> DataFrame:
     """(row_id, chain, path): the bins a row passes along every chain.
 
-    After m splits of a dimension its coordinate is floor((2^(m-1) x + s) / delta).
+    After m splits of a dimension its coordinate is floor((2^(m-1) x + s) / delta). Null and NaN have a bin of their own.
     """
     chains = literal_table(plan.steps(deltas), STEPS_TYPE)
     return vectors.select(ID, "x", F.explode(chains).alias("p")).select(
@@ -186,7 +192,10 @@ def path_rows(vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float]) -> D
         "p.chain",
         F.transform(
             "p.steps",
-            lambda t: F.floor((t["mult"] * F.col("x")[t["dim"]] + t["shift"]) / t["delta"]),
+            lambda t: F.coalesce(
+                F.when(~F.isnan(F.col("x")[t["dim"]]), F.floor((t["mult"] * F.col("x")[t["dim"]] + t["shift"]) / t["delta"])),
+                F.lit(K.MISSING),
+            ),
         ).alias("path"),
     )
 

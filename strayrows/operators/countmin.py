@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from strayrows.functions.blocks import BATCH_ROWS, joined, list_array, matrices
 from strayrows.operators import partitioned as T
+from strayrows.operators.cells import binned
 from strayrows.operators.chains import SCORE_DIGITS, ChainPlan, half_ranges, ranges
 from strayrows.spec import ID
 from strayrows.staging import stage
@@ -71,8 +72,7 @@ def buckets(
         for d, k in enumerate(plan.dims[c]):
             uses[k] = uses.get(k, 0) + 1
             shift = plan.shift[c][k] * deltas[k]
-            new = np.floor((2.0 ** (uses[k] - 1) * x[k] + shift) / deltas[k]).astype(np.int64)
-            new = new.view(np.uint64)
+            new = binned((2.0 ** (uses[k] - 1) * x[k] + shift) / deltas[k]).view(np.uint64)
             step = new - current[k] if k in current else new
             current[k] = new
             for j in range(shape.hashes):

@@ -39,9 +39,12 @@ def binary_label(df: DataFrame, column: str, normal_value: str, label: str = "la
 
 
 def with_row_key(df: DataFrame, dense: bool = False, name: str = ID) -> DataFrame:
-    """Add a unique row key; `dense` numbers rows 0..n-1 partition after partition."""
+    """Add a unique row key; `dense` numbers rows 0..n-1 partition after partition.
+
+    The rows are staged with their keys: a key that depends on where a row was read must not be drawn twice.
+    """
     if not dense:
-        return df.withColumn(name, F.monotonically_increasing_id())
+        return stage(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     numbered = stage(
         df.withColumn("_part", F.spark_partition_id()).withColumn("_pos", position), "numbered"
@@ -58,23 +61,22 @@ def with_row_key(df: DataFrame, dense: bool = False, name: str = ID) -> DataFram
     )
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): distinct categories numbered from 0 in sorted order."""
-    values = df.select(F.col(quote(column)).cast("string").alias("value")).where(
-        F.col("value").isNotNull()
-    )
-    distinct = values.distinct().withColumn("one", F.lit(1))
-    return running_totals(distinct, F.col("value"), ["one"]).select(
-        "value", (F.col("cum_one") - 1).alias("code")
-    )
+def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, code): the categories of each column numbered from 0 in sorted order, from one scan."""
+    named = [F.struct(F.lit(c).alias("column"), F.col(quote(c)).cast("string").alias("value")) for c in columns]
+    distinct = df.select(F.inline(F.array(*named))).where("value IS NOT NULL").distinct().withColumn("one", F.lit(1))
+    upto = stage(running_totals(distinct, F.struct("column", "value"), ["one"]), "codes")
+    first = upto.groupBy("column").agg(F.min("cum_one").alias("first"))  # one row a column
+    return upto.join(F.broadcast(first), "column").select("column", "value", (F.col("cum_one") - F.col("first")).alias("code"))
 
 
 def encode(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Replace categories by their codes; also returns the code tables."""
-    tables = {}
+    if not columns:
+        return df, {}
+    tables, every = {}, stage(category_codes(df, columns), "codes")
     for c in columns:
-        codes = stage(category_codes(df, c), "codes")
-        tables[c] = codes
+        codes = tables[c] = every.where(F.col("column") == c).select("value", "code")
         named = codes.select(F.col("value").alias(c), F.col("code").alias("_code"))
         df = (
             lookup(df.withColumn(c, F.col(quote(c)).cast("string")), named, [c])

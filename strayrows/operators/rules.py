@@ -682,12 +682,9 @@ def domains(df: DataFrame, spec: FeatureSpec, digits: int = 4) -> DataFrame:
     out = spark.createDataFrame(
         [(f, float(lo), float(hi), None) for f, (lo, hi) in bounds.items()], schema
     ).select("feature", F.round("lo", digits).alias("lo"), F.round("hi", digits).alias("hi"), "value")
+    if not spec.categories:
+        return out
+    named = [F.struct(F.lit(f).alias("feature"), F.col(quote(f)).cast("string").alias("value")) for f in spec.categories]
     none = F.lit(None).cast("double")
-    for f in spec.categories:
-        out = out.unionByName(
-            df.select(
-                F.lit(f).alias("feature"), none.alias("lo"), none.alias("hi"),
-                F.col(quote(f)).cast("string").alias("value"),
-            ).distinct()
-        )
-    return out
+    values = df.select(F.inline(F.array(*named))).distinct()  # one scan for all categories
+    return out.unionByName(values.select("feature", none.alias("lo"), none.alias("hi"), "value"))

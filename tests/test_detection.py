@@ -123,6 +123,27 @@ def test_keys_follow_bins():
         assert {tuple(bins[picks[depth - 1]["picks"], i]): m for i, m in zip(at, n)} == cells
 
 
+@pytest.mark.parametrize("n_dims", [3, 201])
+def test_missing_entries_have_a_bin_of_their_own(spark, n_dims):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(size=n_dims)]) for i in range(60)]
+    for i, gone in ((0, float("nan")), (1, None), (2, float("nan"))):
+        rows[i][1][0] = gone
+    df = spark.createDataFrame(rows, VECTORS)
+    present = [r[1][0] for r in rows[3:]]
+    assert C.ranges(df, n_dims)[0] == (min(present), max(present))
+    assert C.ranges(df.where("false"), n_dims) == [(0.0, 0.0)] * n_dims
+    plan = C.ChainPlan(((0, 0, 1),), ((0.5,) * n_dims,), 1)
+    model = C.fit_plan(df, plan)
+    bins = {r["row_id"]: r["bin"] for r in C.bin_rows(df, plan, model.deltas).where("depth = 2").collect()}
+    assert bins[0] == bins[1] == bins[2] == [K.MISSING] and bins[5] != bins[0]
+    counted = {r["row_id"]: r["v"] for r in model.depth_scores(df).where("depth = 1").collect()}
+    assert counted[0] == counted[1] == 1 + math.log2(1 + 3)
+    sketched = CM.CountMinDetector(n_dims, 4, 3, 1, CM.SketchShape(3, 16)).fit(df)
+    exact = C.ChainDetector(n_dims, 4, 3, 1).fit(df)
+    assert scores_of(sketched.score(df)) == pytest.approx(scores_of(exact.score(df)))
+
+
 def test_update_equals_one_pass(spark):
     _, df = random_vectors(spark)
     plan = C.ChainPlan.draw(3, 3, 4, seed=4)
