@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 from strayrows.spec import ID
 from strayrows.staging import stage
 
-BLOCK_ROWS = 1024
+#: Places that meet at a time, and most of a block. Two blocks make a tile, of which a core gets about TILES_PER_CORE.
+BLOCK_ROWS = 256
 OTHER_ROWS = 1 << 16
+TILES_PER_CORE = 8
 
 
 def embed_2d(vectors: DataFrame) -> DataFrame:
@@ -58,47 +62,61 @@ def cluster_sweep(points: DataFrame, max_k: int, seed: int = 0) -> DataFrame:
 def cluster_distances(points: DataFrame, clusters: DataFrame) -> DataFrame:
     """(k, row_id, cluster_id, other_id, n, mean_distance) for every row and cluster.
 
-    mean_distance is to the members of other_id, the row itself left out (null if there is no other). All clusterings share
-    one pass: a row's distances to a block of rows, times the block's memberships in the clusters of
-    every k, are the sums. BLOCK_ROWS rows meet OTHER_ROWS at a time; only sums leave a task.
+    mean_distance is to the members of other_id, the row itself left out (null if there is no other). Rows with equal
+    vectors are one place, met once with the number of its rows in every cluster, so copies add no pairs. All
+    clusterings share one pass: a place's distances to a block of places, times their numbers of rows in the clusters of
+    every k, are the sums. A pair of blocks meets once and adds to the sums of both; only sums leave a task.
     """
     sizes = {
         (r["k"], r["cluster_id"]): r["n"]
         for r in clusters.groupBy("k", "cluster_id").agg(F.count("*").alias("n")).collect()  # clusters of all k
     }
     every = sorted(sizes)
-    place = {key: i for i, key in enumerate(every)}
+    number = {key: i for i, key in enumerate(every)}
     width = len(every)
     labels = clusters.groupBy(ID).agg(F.collect_list(F.struct("k", "cluster_id")).alias("own"))
-    joined = stage(points.select(ID, "v").join(labels, ID), "cluster-points")
-    n = joined.count()
-    blocks, others = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // OTHER_ROWS))
-    hashed = F.xxhash64(ID)
-    left = joined.withColumn("bi", F.pmod(hashed, F.lit(blocks)).cast("int")).withColumn(
-        "bj", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-    )
-    right = joined.withColumn("bj", F.pmod(hashed, F.lit(others)).cast("int")).withColumn(
-        "bi", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-
-    def memberships(table: pa.Table) -> np.ndarray:
+    at = F.col("v").alias("at")
+    joined = stage(points.select(ID, at).join(labels, ID), "cluster-points")
+    places = stage(places_of(joined), "cluster-places")
+    n = places.count()
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    # A place is sent to as many tiles as there are blocks: a number that the cores fix until a block would hold more than OTHER_ROWS.
+    blocks = max(1, -(-n // OTHER_ROWS), min(-(-n // BLOCK_ROWS), math.isqrt(TILES_PER_CORE * 2 * cores)))
+    dealt = places.withColumn("b", F.pmod(F.xxhash64("at"), F.lit(blocks)).cast("int"))
+    left = dealt.select("at", "held", F.col("b").alias("bi"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("bj"))
+    right = dealt.select("at", "held", F.col("b").alias("bj"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bi"))
+
+    def members(table: pa.Table) -> np.ndarray:
         out = np.zeros((table.num_rows, width))
-        for i, own in enumerate(table.column("own").to_pylist()):
+        for i, own in enumerate(table.column("held").to_pylist()):
             for c in own:
-                out[i, place[c["k"], c["cluster_id"]]] = 1.0
+                out[i, number[c["k"], c["cluster_id"]]] = c["n"]
         return out
 
-    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = _matrix(a), _matrix(b)
-        total = np.zeros((len(x), width))
-        for start in range(0, len(y), BLOCK_ROWS):
-            part = slice(start, start + BLOCK_ROWS)
-            total += distances(x, y[part]) @ memberships(b.slice(start, BLOCK_ROWS))
-        return pa.table({ID: a.column(ID), **{f"s{i}": pa.array(total[:, i]) for i in range(width)}})
-
-    schema = f"{ID} bigint, " + ", ".join(f"s{i} double" for i in range(width))
+    def sums(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        """What the pairs of a tile add to the places of both its blocks."""
+        same = key[0].as_py() == key[1].as_py()
+        both = [a] if same else [a, b]
+        total = [np.zeros((t.num_rows, width)) for t in both]
+        if a.num_rows and b.num_rows:
+            x, y, own, other = _matrix(a), _matrix(b), members(a), members(b)
+            for i in range(0, len(x), BLOCK_ROWS):
+                p = slice(i, i + BLOCK_ROWS)
+                for j in range(0, len(y), BLOCK_ROWS):
+                    q = slice(j, j + BLOCK_ROWS)
+                    away = distances(x[p], y[q])
+                    total[0][p] += away @ other[q]
+                    if not same:
+                        total[1][q] += away.T @ own[p]
+        parts = [
+            pa.table({"at": t.column("at"), **{f"s{i}": pa.array(s[:, i]) for i in range(width)}}) for t, s in zip(both, total)
+        ]
+        return pa.concat_tables(parts)
+
+    schema = "at array<double>, " + ", ".join(f"s{i} double" for i in range(width))
     partial = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInArrow(sums, schema)
-    total = partial.groupBy(ID).agg(F.array(*[F.sum(f"s{i}") for i in range(width)]).alias("s")).join(joined.select(ID, "own"), ID)
+    total = partial.groupBy("at").agg(F.array(*[F.sum(f"s{i}") for i in range(width)]).alias("s"))
+    total = joined.join(stage(total, "cluster-sums"), "at").select(ID, "own", "s")
     known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("other_id"), F.lit(sizes[k, c]).alias("size")) for k, c in every])
     pairs = F.filter(
         F.zip_with("s", known, lambda s, c: F.struct(s.alias("s"), c["k"].alias("k"), c["other_id"].alias("other_id"), c["size"].alias("size"))),
@@ -113,16 +131,50 @@ def cluster_distances(points: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
+def places_of(labelled: DataFrame) -> DataFrame:
+    """(at, held): distinct vectors of (at, own) rows, with the number of rows in each cluster that has any there."""
+    held = labelled.select("at", F.explode("own").alias("c")).groupBy("at", "c").agg(F.count("*").alias("n"))
+    return held.groupBy("at").agg(F.collect_list(F.struct("c.k", "c.cluster_id", "n")).alias("held"))
+
+
 def _matrix(table: pa.Table) -> np.ndarray:
-    return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return table.column("at").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+#: From so many dimensions on, distances come from products of matrices.
+PRODUCT_DIMS = 8
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances [len(a), len(b)], one dimension at a time."""
-    squares = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        squares += (a[:, i, None] - b[None, :, i]) ** 2
-    return np.sqrt(squares)
+    """Euclidean distances [len(a), len(b)].
+
+    One dimension at a time if they are few. Else |a|^2 + |b|^2 - 2ab, which is off by some 1e-16 of the squared lengths; pairs
+    so near that this could be seen are measured by their differences.
+    """
+    if a.shape[1] < PRODUCT_DIMS:
+        squares = np.zeros((len(a), len(b)))
+        for i in range(a.shape[1]):
+            away = a[:, i, None] - b[None, :, i]
+            away *= away
+            squares += away
+        return np.sqrt(squares, out=squares)
+    middle = b.mean(axis=0) if len(b) else 0.0
+    a, b = a - middle, b - middle
+    own, other = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    squares = a @ b.T
+    squares *= -2.0
+    squares += own[:, None]
+    squares += other
+    scale = own.max(initial=0.0) + other.max(initial=0.0)
+    i, j = np.nonzero(~(squares > NEAR * scale))
+    for at in range(0, len(i), NEAR_PAIRS):
+        p, q = i[at : at + NEAR_PAIRS], j[at : at + NEAR_PAIRS]
+        squares[p, q] = ((a[p] - b[q]) ** 2).sum(axis=1)
+    return np.sqrt(squares, out=squares)
+
+
+#: Squared distances below this share of the squared lengths are taken from differences, so many pairs at a time.
+NEAR, NEAR_PAIRS = 1e-6, 1 << 16
 
 
 def silhouette(mean_distances: DataFrame) -> DataFrame:

@@ -163,6 +163,36 @@ def test_silhouette_over_blocks_matches_all_pairs(spark, monkeypatch):
     assert got == {3: pytest.approx(np.mean(values))}
 
 
+def test_copies_of_a_row_add_no_pairs(spark, monkeypatch):
+    """200 rows at 8 places: 8 places meet, and every row's means are those over all 200."""
+    monkeypatch.setattr(G, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(G, "OTHER_ROWS", 3)
+    x = np.random.default_rng(4).normal(size=(8, 9))[np.arange(200) % 8]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id bigint, v array<double>")
+    label = np.arange(200) % 3
+    rows = [(3, i, int(c)) for i, c in enumerate(label)] + [(2, i, i // 199) for i in range(200)]
+    clusters = spark.createDataFrame(rows, "k int, row_id bigint, cluster_id int")
+    held = clusters.groupBy("row_id").agg(F.collect_list(F.struct("k", "cluster_id")).alias("own"))
+    assert G.places_of(df.select("row_id", F.col("v").alias("at")).join(held, "row_id")).count() == 8
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    found = G.cluster_distances(df, clusters).collect()
+    assert len(found) == 200 * 5
+    for r in found:
+        own = label if r["k"] == 3 else np.arange(200) // 199
+        others = [j for j in np.flatnonzero(own == r["other_id"]) if j != r["row_id"]]
+        assert (r["cluster_id"], r["n"]) == (own[r["row_id"]], len(others))
+        assert r["mean_distance"] == (pytest.approx(d[r["row_id"], others].mean(), abs=1e-12) if others else None)
+
+
+def test_distances_of_near_rows_far_from_the_origin():
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(50, 64)) + 1e4
+    b = np.concatenate([a[:20], a[:20] + 1e-7, rng.normal(size=(30, 64)) + 1e4])
+    exact = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    assert np.allclose(G.distances(a, b), exact, rtol=1e-9, atol=0)
+    assert (np.diag(G.distances(a, b)[:20, :20]) == 0).all()
+
+
 def test_embedding_is_centred_and_keeps_planar_distances(spark):
     rng = np.random.default_rng(1)
     flat = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 5)) + 3
