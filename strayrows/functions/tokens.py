@@ -7,9 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strayrows.functions.blocks import list_array
+
 DENSITY = 1.0 / 3.0
 
 # The published constants of 32-bit Murmur3.
@@ -74,31 +77,36 @@ def token(feature: str, value: Column) -> Column:
 
 
 def category_weights(
-    features: Sequence[str], columns: Sequence[Column], n_dims: int, signed: bool = True
+    features: Sequence[str], columns: Sequence[Column], n_dims: int, signed: bool = True, base: Column | None = None
 ) -> Column:
-    """Summed weights of a row's category tokens as array<double>.
+    """Summed weights of a row's category tokens as array<double>, added to those of `base` if given.
 
     Only the distinct tokens of each Arrow batch are hashed, so values first
     seen while scoring need no refit and no lookup table grows with the data.
     """
 
-    @F.pandas_udf("array<double>")
-    def weights(frame: pd.DataFrame) -> pd.Series:
-        total = np.zeros((len(frame), n_dims))
-        for name in frame.columns:
-            codes, values = pd.factorize(frame[name])
-            if not len(values):
+    def summed(tokens: Sequence[pa.Array]) -> np.ndarray:
+        total = np.zeros((len(tokens[0]), n_dims))
+        for column in tokens:
+            coded = column.dictionary_encode()
+            if not len(coded.dictionary):
                 continue
-            table = projection_weights([str(v) for v in values], n_dims, signed)
-            known = codes >= 0
-            total[known] += table[codes[known]]
-        return pd.Series(list(total))
-
-    named = [token(f, c).alias(f"c{i}") for i, (f, c) in enumerate(zip(features, columns))]
-    named = [
-        F.when(c.isNotNull(), n).alias(f"c{i}") for i, (c, n) in enumerate(zip(columns, named))
-    ]
-    return weights(F.struct(*named))
+            table = projection_weights(coded.dictionary.to_pylist(), n_dims, signed)
+            codes = coded.indices.fill_null(len(table)).to_numpy(zero_copy_only=False)
+            total += np.concatenate([table, np.zeros((1, n_dims))])[codes]
+        return total
+
+    @F.arrow_udf("array<double>")
+    def weights(first: pa.Array, *rest: pa.Array) -> pa.Array:
+        return list_array(summed([first, *rest]))
+
+    @F.arrow_udf("array<double>")
+    def added(numbers: pa.Array, first: pa.Array, *rest: pa.Array) -> pa.Array:
+        own = numbers.flatten().to_numpy(zero_copy_only=False).reshape(len(numbers), n_dims)
+        return list_array(own + summed([first, *rest]))
+
+    named = [F.when(c.isNotNull(), token(f, c)) for f, c in zip(features, columns)]
+    return weights(*named) if base is None else added(base, *named)
 
 
 def token_weights(column: Column, n_dims: int, signed: bool = True) -> Column:

@@ -5,8 +5,8 @@ rows of `width` counters. Counting is a partial sum per input partition plus one
 small aggregation, scoring reads a broadcast table of bounded size. Estimates never
 fall below the exact counts; a counter holds rows / width foreign rows on average, so
 the width is chosen from the error that is acceptable, never from the number of
-chains. Counters beyond BLOCK_BYTES are partitioned by chain (`partitioned.py`): still one scan to count and
-one to score, and neither a broadcast nor the driver holds them. The scores are the same.
+chains. Counters beyond BLOCK_BYTES are packed by chain (`partitioned.py`): counted by parts of the rows and ranges
+of chains, and met by the rows one range after the other. The scores are the same.
 """
 
 from __future__ import annotations
@@ -65,19 +65,27 @@ def buckets(
     mult = shape.multipliers(x.shape[0])
     drop = np.uint64(64 - shape.bits)
     n = x.shape[1]
+    split = {k for row in plan.dims for k in row}
+    gone = {k for k in split if not np.isfinite(x[k]).all()}
+    value = np.empty(n)
     for c in range(plan.n_chains):
         uses: dict[int, int] = {}
         current: dict[int, np.ndarray] = {}
         sums = [np.zeros(n, dtype=np.uint64) for _ in range(shape.hashes)]
         for d, k in enumerate(plan.dims[c]):
             uses[k] = uses.get(k, 0) + 1
-            shift = plan.shift[c][k] * deltas[k]
-            new = binned((2.0 ** (uses[k] - 1) * x[k] + shift) / deltas[k]).view(np.uint64)
+            np.multiply(x[k], 2.0 ** (uses[k] - 1), out=value)
+            value += plan.shift[c][k] * deltas[k]
+            value /= deltas[k]
+            if k in gone:
+                new = binned(value).view(np.uint64)
+            else:
+                new = np.floor(value, out=value).astype(np.int64).view(np.uint64)
             step = new - current[k] if k in current else new
             current[k] = new
             for j in range(shape.hashes):
                 sums[j] += mult[j, k] * step
-            yield c, d, [(s >> drop).astype(np.int64) for s in sums]
+            yield c, d, [(s >> drop).view(np.int64) for s in sums]
 
 
 @dataclass(frozen=True)
@@ -289,15 +297,35 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def chain_counters(
     vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float], shape: SketchShape, partitions: int | None = None
 ) -> DataFrame:
-    """The counters of every chain as one packed row, from one scan."""
+    """The counters of every chain as one packed row.
 
-    def counting(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for c in range(plan.n_chains):
-            index = (i for _, _, own in buckets(x, plan.block(c, c + 1), deltas, shape) for i in own)
-            yield (c, *T.filled(index, shape.width))
+    Tasks are a grid of parts of the rows and ranges of chains, so a few parts keep all cores busy and a chain's counters
+    leave a few tasks only.
+    """
+    size = plan.depth * shape.hashes * shape.width
+    step = chains_at_once(size)
+    n_ranges = -(-plan.n_chains // step)
+    splits = partitions or max(1, -(-few_tasks(vectors) // (2 * n_ranges)))
+
+    def counting(number: int):
+        first, last = number * step, min((number + 1) * step, plan.n_chains)
+        own, table = plan.block(first, last), np.zeros((last - first, size), np.uint32)
+
+        def add(x: np.ndarray) -> None:
+            for c, d, index in buckets(x, own, deltas, shape):
+                for j, i in enumerate(index):
+                    at = (d * shape.hashes + j) * shape.width
+                    table[c, at : at + shape.width] += np.bincount(i, minlength=shape.width).astype(table.dtype)
+
+        return range(first, last), table, add
+
+    parts = T.gridded(vectors.select("x"), splits, n_ranges, _blocks, counting, size)
+    return T.summed(parts, splits, size)
 
-    parts = T.partials(_few_splits(vectors, partitions), _blocks, counting)
-    return T.summed(parts, partitions or few_tasks(vectors), plan.depth * shape.hashes * shape.width)
+
+def chains_at_once(size: int) -> int:
+    """Chains of `size` counters that a task holds together."""
+    return max(1, BLOCK_BYTES // (size * 4))
 
 
 @dataclass
@@ -347,15 +375,47 @@ class PartitionedModel:
         return T.met(rows, rows.count(), self.packed, step, plan.n_chains, scored, schema)
 
     def score(self, vectors: DataFrame) -> DataFrame:
-        """(row_id, score): the mean over all chains, from one sum per row and range of chains."""
-
-        def emit(ids: pa.Array, values) -> pa.Table:
-            total = sum(v.min(axis=0) for _, v in values)
-            return pa.table({ID: ids, "s": pa.array(total)})
-
-        sums = self._meet(vectors, emit, f"{ID} bigint, s double")
-        score = F.round(-F.sum("s") / self.plan.n_chains, SCORE_DIGITS).alias("score")
-        return sums.groupBy(ID).agg(score)
+        """(row_id, score): the mean over all chains.
+
+        Rows stay where they are: ranges of chains reach them one after the other as a broadcast of at most BLOCK_BYTES, which
+        ends before the next, and a row leaves one sum for each range.
+        """
+        plan, deltas, shape, size = self.plan, self.deltas, self.shape, self._chain_size
+        spark, step, sums = vectors.sparkSession, chains_at_once(size), None
+        for first in range(0, plan.n_chains, step):
+            own = plan.block(first, min(first + step, plan.n_chains))
+            shared = spark.sparkContext.broadcast(self._counts(first, own))
+
+            def add(batches, own=own, shared=shared):
+                counts = shared.value
+                for columns, x in matrices(batches):
+                    total = np.zeros(x.shape[1])
+                    for c, d, index in buckets(x, own, deltas, shape):
+                        rows = counts[c, d * shape.hashes : (d + 1) * shape.hashes]
+                        least = rows[0][index[0]]
+                        for j in range(1, shape.hashes):
+                            least = np.minimum(least, rows[j][index[j]])
+                        v = np.log2(1.0 + least) + (d + 1)
+                        low = v if d == 0 else np.minimum(low, v)
+                        if d == plan.depth - 1:
+                            total += low
+                    yield pa.RecordBatch.from_arrays([columns[0], pa.array(total)], [ID, "s"])
+
+            part = stage(vectors.select(ID, "x").mapInArrow(add, f"{ID} bigint, s double"), "chain-sums")
+            shared.destroy()
+            sums = part if sums is None else sums.unionByName(part)
+        return sums.groupBy(ID).agg(F.round(-F.sum("s") / plan.n_chains, SCORE_DIGITS).alias("score"))
+
+    def _counts(self, first: int, own: ChainPlan) -> np.ndarray:
+        """[chain, depth and hash, counter] of the chains from `first` on; their size is fixed by plan and shape."""
+        held = self.packed.where((F.col("unit") >= first) & (F.col("unit") < first + own.n_chains)).select("unit", "at", "cnt").toArrow()
+        counts = np.zeros((own.n_chains, self._chain_size), np.uint32)
+        for unit, at, cnt in zip(*[held.column(c).to_pylist() for c in ("unit", "at", "cnt")]):
+            where, n = T.places(at, cnt)
+            if n.max(initial=0) > np.iinfo(np.uint32).max:
+                counts = counts.astype(np.int64)
+            counts[unit - first][where] = n
+        return counts.reshape(own.n_chains, own.depth * self.shape.hashes, self.shape.width)
 
     def depth_scores(self, vectors: DataFrame) -> DataFrame:
         """(row_id, chain, depth, split, v) for every depth."""

@@ -60,20 +60,35 @@ def _chunks(blocks: Iterator[np.ndarray], row_bytes: int | None) -> Iterator[np.
         yield np.concatenate(held, axis=1)
 
 
-def _packed(unit: int, part: int, at: np.ndarray, cnt: np.ndarray) -> pa.RecordBatch:
-    narrow = np.uint8 if cnt.max(initial=0) < 1 << 8 else np.uint32 if cnt.max(initial=0) < 1 << 32 else np.int64
+def _packed(unit: int, part: int, at: np.ndarray, cnt: np.ndarray, size: int | None = None) -> pa.RecordBatch:
+    """Places and counts; of `size` counters that are mostly filled, the counts of all with their width as the place."""
+    narrow = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if t == np.int64 or cnt.max(initial=0) <= np.iinfo(t).max)
+    wide = np.dtype(narrow).itemsize
+    if size is not None and size * wide < len(at) * (4 + wide):
+        every = np.zeros(size, narrow)
+        every[at] = cnt
+        # Bytes of equal weight side by side: the upper ones are nearly all 0 and take no room once compressed.
+        where, counts = bytes([wide]), every.view(np.uint8).reshape(size, wide).T.tobytes()
+    else:
+        where, counts = at.astype(np.uint32).tobytes(), cnt.astype(narrow).tobytes()
     cells = [pa.array([unit], pa.int32()), pa.array([part], pa.int32())]
     return pa.RecordBatch.from_arrays(
-        [*cells, pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([cnt.astype(narrow).tobytes()], pa.binary())],
-        names=["unit", "part", "at", "cnt"],
+        [*cells, pa.array([where], pa.binary()), pa.array([counts], pa.binary())], names=["unit", "part", "at", "cnt"]
     )
 
 
+_TYPES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+
+
 def places(at: bytes, cnt: bytes) -> tuple[np.ndarray, np.ndarray]:
     """What a packed row holds."""
+    if len(at) == 1:
+        wide = at[0]
+        every = np.ascontiguousarray(np.frombuffer(cnt, np.uint8).reshape(wide, -1).T).view(_TYPES[wide]).reshape(-1)
+        where = np.flatnonzero(every)
+        return where, every[where]
     where = np.frombuffer(at, np.uint32)
-    n = len(cnt) // max(len(where), 1)
-    return where, np.frombuffer(cnt, {1: np.uint8, 4: np.uint32}.get(n, np.int64))
+    return where, np.frombuffer(cnt, _TYPES[len(cnt) // max(len(where), 1) or 8])
 
 
 def partials(
@@ -101,6 +116,39 @@ def partials(
     return rows.mapInArrow(count, PACKED)
 
 
+def gridded(
+    rows: DataFrame, splits: int, n_ranges: int, blocks: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], counting, size: int
+) -> DataFrame:
+    """Packed counters of `splits` parts of `rows`, one row per unit and part.
+
+    A task counts one part for one of `n_ranges` ranges of units: `counting(range)` gives the units of the range, a dense
+    table [unit, size] and a function that adds a block of rows to it. Parts are read once for every range and never shuffled, so what
+    the tasks send is `splits` times the counters, whatever the number of rows.
+    """
+    ranges = rows.sparkSession.range(0, n_ranges, 1, n_ranges).select(F.col("id").cast("int").alias("range"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId() // n_ranges, None
+
+        def own() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for batch in batches:
+                if batch.num_rows:
+                    number = batch.column(batch.schema.get_field_index("range"))[0].as_py()
+                    yield batch.drop_columns(["range"])
+
+        units = table = add = None
+        for x in blocks(own()):
+            if table is None:
+                units, table, add = counting(number)
+            add(x)
+        for i, unit in enumerate(units or ()):
+            at = np.flatnonzero(table[i])
+            yield _packed(unit, part, at, table[i][at], size)
+
+    return rows.coalesce(splits).hint("shuffle_replicate_nl").crossJoin(ranges).mapInArrow(count, PACKED)
+
+
 def summed(parts: DataFrame, n_parts: int, size: int) -> DataFrame:
     """One packed row per unit of `size` counters; no node of the tree adds the rows of more than FAN_IN parts."""
 
@@ -111,7 +159,7 @@ def summed(parts: DataFrame, n_parts: int, size: int) -> DataFrame:
             total[where] += n
         at = np.flatnonzero(total)
         unit, part = group.column("unit")[0].as_py(), group.column("part")[0].as_py()
-        return pa.Table.from_batches([_packed(unit, part, at, total[at])])
+        return pa.Table.from_batches([_packed(unit, part, at, total[at], size)])
 
     while n_parts > FAN_IN:
         n_parts = -(-n_parts // FAN_IN)

@@ -35,12 +35,10 @@ def projected_vector(spec: FeatureSpec, n_dims: int, signed: bool = True) -> Col
             ]
             sums.append(" + ".join(terms) if terms else "0D")
         parts.append(F.expr("array(" + ", ".join(sums) + ")"))
-    if spec.categories:
-        columns = [F.col(quote(f)).cast("string") for f in spec.categories]
-        parts.append(category_weights(spec.categories, columns, n_dims, signed))
-    if len(parts) == 1:
+    if not spec.categories:
         return parts[0]
-    return F.zip_with(parts[0], parts[1], lambda a, b: a + b)
+    columns = [F.col(quote(f)).cast("string") for f in spec.categories]
+    return category_weights(spec.categories, columns, n_dims, signed, parts[0] if parts else None)
 
 
 def vectorize(

@@ -161,7 +161,7 @@ _found: dict[tuple, pipeline.Detection] = {}
 @query("detect_default")
 def detect_default(spark, sf_dir):
     """The 300 strangest orders by the usual ensemble: 60 dimensions, 300 chains of depth 20, 2^16 counters."""
-    vectors = stage(vectorize(staged_orders(spark, sf_dir), ORDER_SPEC, 60), "default-vectors")
+    vectors = vectorize(staged_orders(spark, sf_dir), ORDER_SPEC, 60)  # anew in every pass: 60 numbers a row would fill the disk
     usual = pipeline.Parameters()
     detector = CM.CountMinDetector(usual.projdim, usual.nchains, usual.depth, seed=1, shape=usual.shape)
     return C.top_k(detector.fit(vectors).score(vectors), usual.topk)

@@ -226,6 +226,45 @@ def test_partitioned_counters_change_no_score(spark, monkeypatch):
     assert listed(parts.update(more)) == listed(whole.update(more))
 
 
+def test_neither_rows_nor_counters_are_copied_for_each_other(spark):
+    """Counters leave as many tasks as there are parts, not splits of the input; rows are scored where they are."""
+    _, df = random_vectors(spark)
+    plan, shape = C.ChainPlan.draw(3, 10, 6, 3), CM.SketchShape(2, 8)
+    size = 6 * 2 * 256
+
+    def counting(number):
+        units, table = range(number * 4, min(number * 4 + 4, 10)), np.zeros((4, size), np.int64)
+
+        def add(x):
+            for i, unit in enumerate(units):
+                at, n = T.filled((i for _, _, own in CM.buckets(x, plan.block(unit, unit + 1), [1.0] * 3, shape) for i in own), 256)
+                table[i][at] += n
+
+        return units, table, add
+
+    parts = T.gridded(df.select("x").repartition(9), 2, 3, CM._blocks, counting, size)
+    assert sorted((r["unit"], r["part"]) for r in parts.select("unit", "part").collect()) == [(u, p) for u in range(10) for p in range(2)]
+    counted = CM.unpacked(CM.packed_cells(df, plan, [1.0] * 3, shape))
+    listed = lambda cells: sorted((r["cell"], r["cnt"]) for r in cells.collect())
+    assert listed(T.opened(T.summed(parts, 2, size), size)) == listed(counted)
+    model = CM.CountMinDetector(3, 10, 6, 3, shape, block_bytes=1).fit(df)
+    plan_text = model.score(df)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan_text
+
+
+def test_full_counters_are_packed_without_places():
+    rng = np.random.default_rng(1)
+    for top in (5, 300, 70_000, 1 << 40):
+        for share in (0.02, 0.9):
+            dense = np.where(rng.random(1000) < share, rng.integers(1, top, 1000), 0)
+            at = np.flatnonzero(dense)
+            row = T._packed(0, 0, at, dense[at], 1000).to_pylist()[0]
+            where, n = T.places(row["at"], row["cnt"])
+            assert (where == at).all() and (n == dense[at]).all()
+            assert (len(row["at"]) == 1) == (share == 0.9)
+    assert len(T.places(b"", b"")[0]) == 0
+
+
 def test_partitioned_counters_that_are_sent_early(spark, monkeypatch):
     rows = np.arange(100.0)[None, :]
 
