@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strayrows.functions.arrays import total
+from strayrows.functions.arrays import let, total
 from strayrows.functions.draws import normal, uniform
 from strayrows.functions.joins import lookup
 from strayrows.operators.chains import literal_table
@@ -83,9 +83,11 @@ class Mixture:
             ],
             "array<struct<a:double,m:double,s:double>>",
         )
-        logs = F.transform(parts, lambda p: p["a"] - F.pow((x - p["m"]) / p["s"], 2) * F.lit(0.5))
-        peak = F.array_max(logs)
-        return peak + F.ln(total(F.transform(logs, lambda v: F.exp(v - peak))))
+        # Named once: an expression within a lambda is worked out for every element of the array.
+        return let(
+            F.transform(parts, lambda p: p["a"] - F.pow((x - p["m"]) / p["s"], 2) * F.lit(0.5)),
+            lambda logs: let(F.array_max(logs), lambda peak: peak + F.ln(total(F.transform(logs, lambda v: F.exp(v - peak))))),
+        )
 
 
 def fit_mixtures(
