@@ -270,11 +270,6 @@ def cells_of(paths: DataFrame, plan: ChainPlan, levels: range, count: bool) -> D
     return source.mapInArrow(unfold_keys, "chain int, h1 bigint, h2 bigint, depth int, c1 bigint, c2 bigint")
 
 
-def count_bins(binned: DataFrame) -> DataFrame:
-    """(chain, depth, bin, cnt) straight from rows; used where one aggregation must do."""
-    return binned.groupBy("chain", "depth", "bin").agg(F.count("*").alias("cnt"))
-
-
 def sketch_of(path_counts: DataFrame, plan: ChainPlan) -> DataFrame:
     """(chain, depth, bin, cnt, paths): counts per cell from counted paths.
 

@@ -273,14 +273,15 @@ def inject_detect(spark, sf_dir):
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of (row_id, x) in four micro-batches, by ranges of row_id.
 
-    Files are taken by their time: each range is written after the one before it.
+    Files are taken by their time: each range is written after the one before it, as as many files as there are
+    cores, which make a batch.
     """
     parts = f"{run_dir(spark)}/{uuid.uuid4().hex}/event-files"
     events = event_vectors(spark, sf_dir)
     lo, hi = events.agg(F.min("row_id"), F.max("row_id")).first()
     quarter = F.floor((F.col("row_id") - F.lit(lo)) * 4 / F.lit(hi - lo + 1))
     for i in range(4):
-        events.where(quarter == i).coalesce(1).write.mode("append").parquet(parts)
+        events.where(quarter == i).repartition(1).write.mode("append").parquet(parts)
     schema = "row_id bigint, x array<double>"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(parts)
 
@@ -415,7 +416,7 @@ def stream_new_category(spark, sf_dir):
     batch = F.when(F.col("event_type") == "error", F.greatest(quarter, F.lit(2))).otherwise(quarter)
     out = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     for i in range(4):
-        events.where(batch == i).coalesce(1).write.mode("append").parquet(f"{out}/files")
+        events.where(batch == i).repartition(1).write.mode("append").parquet(f"{out}/files")
     schema = "row_id bigint, value double, u double, event_type string"
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/files")
     first = vectorize(events.where(batch == 0), spec, 10)

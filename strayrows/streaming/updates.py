@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strayrows.operators.chains import ChainPlan, bin_rows, count_bins
+from strayrows.functions.blocks import list_array, matrices
+from strayrows.operators import cells as K
+from strayrows.operators.chains import ChainPlan
 from strayrows.operators.countmin import (
     BLOCK_BYTES,
     CountMinModel,
@@ -29,8 +33,30 @@ from strayrows.streaming.log import CounterLog
 
 
 def streaming_sketch(vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float]) -> DataFrame:
-    """Running exact counts of a streaming (row_id, x); start it in update or complete mode."""
-    return count_bins(bin_rows(vectors, plan, deltas))
+    """Running exact counts (chain, depth, bin, cnt) of a streaming (row_id, x); start it in update or complete mode.
+
+    Rows that fall into one cell are counted in their task, so it is cells and not rows x chains x depths that are
+    grouped.
+    """
+    deltas = list(deltas)
+    picks = [[depth["picks"] for depth in chain] for chain in plan.keys()]
+
+    def count(batches):
+        for _, x in matrices(batches):
+            for c in range(plan.n_chains):
+                bins = K.path_bins(x, plan, deltas, c)
+                at, paths = K.distinct(*K.path_keys(bins))
+                bins = bins[:, at]
+                for depth, c1, c2 in K.cell_keys(bins, plan, c):
+                    at, _, n = K.distinct(c1, c2, paths)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), c, np.int32)), pa.array(np.full(len(at), depth, np.int32)),
+                         list_array(bins[picks[c][depth - 1]][:, at].T), pa.array(n)],
+                        ["chain", "depth", "bin", "cnt"],
+                    )
+
+    cells = vectors.select("x").mapInArrow(count, "chain int, depth int, bin array<bigint>, cnt bigint")
+    return cells.groupBy("chain", "depth", "bin").agg(F.sum("cnt").alias("cnt"))
 
 
 def streaming_cells(
