@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strayrows.functions.blocks import list_array, matrices
 from strayrows.operators.attribute import to_long
-from strayrows.operators.iforest import ForestDetector, ForestModel, expected_depth, predict, walk
+from strayrows.operators.iforest import ForestDetector, ForestModel, ends, expected_depth, lengths, limit, unusual
 from strayrows.operators.ranking import log_rank
 from strayrows.spec import ID
 from strayrows.staging import stage
@@ -118,8 +118,7 @@ def path_lengths(model: ForestModel, rows: DataFrame) -> DataFrame:
         for columns, x in matrices(batches):
             total = np.zeros(x.shape[1])
             for t in shared.value:
-                leaf = list(walk(t, x))[-1]
-                total += t["depth"][leaf] + expected_depth(t["size"][leaf])
+                total += lengths(t)[ends(t, x)]
             yield pa.RecordBatch.from_arrays(
                 [columns[0], pa.array(total / len(shared.value)), pa.array(np.full(len(total), expected))], [ID, "length", "expected"]
             )
@@ -127,37 +126,53 @@ def path_lengths(model: ForestModel, rows: DataFrame) -> DataFrame:
     return rows.select(ID, "x").mapInArrow(run, f"{ID} bigint, length double, expected double")
 
 
-def node_visits(model: ForestModel, flagged: DataFrame) -> DataFrame:
+def node_visits(model: ForestModel, rows: DataFrame, limit: float | None = None) -> DataFrame:
     """(tree, node, prediction, n, inverse): rows of (row_id, x, prediction) through each node, and the sum of
-    one over the depth of the leaf they end in."""
-    shared = model.shared()
+    one over the depth of the leaf they end in.
+
+    Without a column `prediction`, rows with a score above `limit` are the predicted outliers: one walk serves score and count. Only
+    leaves are counted; a task adds them up the trees at its end.
+    """
+    shared, scale, known = model.shared(), float(expected_depth(model.sample)), "prediction" in rows.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         n = [np.zeros((2, len(t["feature"]))) for t in trees]
-        inverse = [np.zeros_like(a) for a in n]
+        far = [lengths(t) for t in trees]
         for columns, x in matrices(batches):
-            kind = columns[1].to_numpy(zero_copy_only=False).astype(np.int64)
-            for t, own, inv in zip(trees, n, inverse):
-                size, steps = own.shape[1], list(walk(t, x))
-                one = 1.0 / np.maximum(t["depth"][steps[-1]], 1)
-                for before, at in zip([None, *steps], steps):
-                    new = slice(None) if before is None else before != at  # a row waits in its leaf
-                    place = kind[new] * size + at[new]
-                    own += np.bincount(place, minlength=2 * size).reshape(2, size)
-                    inv += np.bincount(place, weights=one[new], minlength=2 * size).reshape(2, size)
-        for t, own, inv in zip(trees, n, inverse):
+            leaf = [ends(t, x).astype(np.uint32) for t in trees]
+            if known:
+                kind = columns[1].to_numpy(zero_copy_only=False).astype(np.int64)
+            else:
+                s = unusual((own[at] for own, at in zip(far, leaf)), len(trees), scale)
+                kind = (s > (np.inf if limit is None else limit)).astype(np.int64)
+            for own, at in zip(n, leaf):
+                size = own.shape[1]
+                own += np.bincount(kind * size + at, minlength=2 * size).reshape(2, size)
+        for t, own in zip(trees, n):
+            inverse = own / np.maximum(t["depth"], 1)
+            for a in (own, inverse):
+                _add_up(t, a)
             kind, node = np.nonzero(own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(node), t["tree"], np.int32)), pa.array(node.astype(np.int32)), pa.array(kind.astype(np.int32)),
-                 pa.array(own[kind, node].astype(np.int64)), pa.array(inv[kind, node])],
+                 pa.array(own[kind, node].astype(np.int64)), pa.array(inverse[kind, node])],
                 ["tree", "node", "prediction", "n", "inverse"],
             )
 
-    parts = flagged.select(ID, "prediction", "x").mapInArrow(count, "tree int, node int, prediction int, n bigint, inverse double")
+    source = rows.select(ID, "prediction", "x") if known else rows.select(ID, "x")
+    parts = source.mapInArrow(count, "tree int, node int, prediction int, n bigint, inverse double")
     return parts.groupBy("tree", "node", "prediction").agg(F.sum("n").alias("n"), F.sum("inverse").alias("inverse"))
 
 
+def _add_up(tree: dict[str, np.ndarray], own: np.ndarray) -> None:
+    """Numbers of leaves [kind, node] to those of all nodes, the deepest first."""
+    inner = np.flatnonzero(tree["feature"] >= 0)
+    for depth in range(int(tree["depth"].max()) - 1, -1, -1):
+        at = inner[tree["depth"][inner] == depth]
+        own[:, at] = own[:, tree["left"][at]] + own[:, tree["right"][at]]
+
+
 def imbalance(n: Column, left: Column, right: Column) -> Column:
     """How uneven a split parts n rows: 0 if all go one way, else from 0.5 (halves) to 1 (one row against the rest)."""
     most = F.greatest(left, right) / n
@@ -166,14 +181,16 @@ def imbalance(n: Column, left: Column, right: Column) -> Column:
     return F.when((left == 0) | (right == 0), 0.0).otherwise(F.coalesce(scaled, most))
 
 
-def split_importance(model: ForestModel, flagged: DataFrame, columns: Sequence[str], names: dict[str, str] | None = None) -> DataFrame:
-    """(feature, importance) over all rows of (row_id, x, prediction).
+def split_importance(
+    model: ForestModel, flagged: DataFrame, columns: Sequence[str], names: dict[str, str] | None = None, limit: float | None = None
+) -> DataFrame:
+    """(feature, importance) over all rows of (row_id, x, prediction), or of (row_id, x) with a `limit` of the score.
 
     A feature's weight in a set of rows is the mean, over rows and the nodes that split them by the feature, of the split's imbalance in
     that set over the row's path length; nodes that one row of the set passes are left out. The importance is the weight in the
     predicted outliers over that in the other rows (0 if either has none). `names` puts columns together to one feature.
     """
-    visits = stage(node_visits(model, flagged), "visits")
+    visits = stage(node_visits(model, flagged, limit), "visits")
     inner = model.nodes.where("feature >= 0").select("tree", "node", "feature", "left", "right")
     child = lambda side: visits.select("tree", F.col("node").alias(side), "prediction", F.col("n").alias(f"n_{side}"))
     split = (
@@ -196,8 +213,8 @@ def importance_over_runs(
     out = None
     for seed in seeds:
         model = ForestDetector(n_trees, sample, seed).fit(vectors)
-        predicted = predict(model.score(vectors), contamination).select(ID, "prediction")
-        part = split_importance(model, vectors.join(predicted, ID), features)
+        scored = None if contamination is None else stage(model.score(vectors), "scores")
+        part = split_importance(model, vectors.select(ID, "x"), features, limit=limit(scored, contamination))
         part = part.select(F.lit(seed).alias("run"), "feature", "importance")
         out = part if out is None else out.unionByName(part)
     return out

@@ -97,9 +97,10 @@ def importance_of_runs(
     per_run, scores = None, None
     for seed in seeds:
         forest = MixedForest.fit(df, spec, I.ForestDetector(n_trees, sample, seed))
-        predicted = stage(I.predict(forest.score(df), contamination).join(df.select(ID, "label"), ID), "predicted")
-        flagged = forest.vectors(df).join(predicted.select(ID, "prediction"), ID)
-        run = split_importance(forest.model, flagged, forest.columns, forest.names)
+        scored = stage(forest.score(df), "scores")  # one walk for the limit, one for predictions and visits
+        least = I.limit(scored, contamination)
+        predicted = I.predict_above(scored, least).join(df.select(ID, "label"), ID)
+        run = split_importance(forest.model, forest.vectors(df), forest.columns, forest.names, least)
         run = run.select(F.lit(seed).alias("run"), "feature", "importance")
         own = f1(predicted).select(F.lit(seed).alias("run"), "f1")
         per_run = run if per_run is None else per_run.unionByName(run)

@@ -412,3 +412,40 @@ def test_a_saved_detection_goes_on_after_loading(spark, cloud, tmp_path):
     assert key(pipeline.joined(df, spec, again)) == key(pipeline.joined(df, spec, found))
     assert pipeline.load_rules(spark, str(tmp_path / "saved")).count() == rules.count()
     assert pipeline.focus(again, 2).count() == pipeline.focus(found, 2).count()
+
+
+def test_density_works_out_its_parts_once(spark):
+    """The powers of a mixture's Gaussians stand once in the expression, not once for each of its parts."""
+    m = N.Mixture((0.5, 0.5), (0.0, 3.0), (1.0, 2.0), -5.0, 9.0)
+    density = m.log_density(F.col("x"))
+    assert density._jc.toString().upper().count("POW") <= 1
+    rows = spark.createDataFrame([(v,) for v in (-4.0, 0.0, 2.5, 60.0)], "x double").select("x", density.alias("d")).collect()
+    assert [r["d"] for r in rows] == pytest.approx(list(m.log_at(np.array([r["x"] for r in rows]))))
+
+
+def test_running_counts_group_cells_not_rows(spark, cloud):
+    """No row is multiplied by chains and depths on the way to the counts."""
+    plan = C.ChainPlan.draw(3, 4, 5, 2)
+    deltas = C.half_ranges(C.ranges(cloud, 3))
+    counts = U.streaming_sketch(cloud, plan, deltas)
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    expected = Counter((r["chain"], r["depth"], tuple(r["bin"])) for r in C.bin_rows(cloud, plan, deltas).collect())
+    assert {(r["chain"], r["depth"], tuple(r["bin"])): r["cnt"] for r in counts.collect()} == expected
+
+
+def test_one_walk_scores_and_counts(spark, cloud):
+    """Visits by a limit of the score are those of rows marked before; leaves are those of the walk, NaN goes right."""
+    model = I.ForestDetector(20, 64, 2).fit(cloud)
+    scored = model.score(cloud)
+    least = I.limit(scored, 0.1)
+    marked = cloud.join(I.predict(scored, 0.1).select("row_id", "prediction"), "row_id")
+    key = lambda r: (r["tree"], r["node"], r["prediction"])
+    one = {key(r): (r["n"], r["inverse"]) for r in TR.node_visits(model, cloud, least).collect()}
+    two = {key(r): (r["n"], r["inverse"]) for r in TR.node_visits(model, marked).collect()}
+    assert one.keys() == two.keys()
+    assert all(one[k] == pytest.approx(two[k]) for k in one)
+    assert sum(n for (tree, node, _), (n, _) in one.items() if node == 0) == 20 * cloud.count()
+    x = np.random.default_rng(3).normal(size=(3, 20_000))
+    x[1, ::7] = np.nan
+    for t in model.shared().value[:3]:
+        assert (I.ends(t, x) == list(I.walk(t, x))[-1]).all()
