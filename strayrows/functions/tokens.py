@@ -76,14 +76,23 @@ def token(feature: str, value: Column) -> Column:
     return F.concat_ws(".", F.lit(feature), value)
 
 
-def category_weights(
-    features: Sequence[str], columns: Sequence[Column], n_dims: int, signed: bool = True, base: Column | None = None
+def feature_weights(
+    numeric: Sequence[str], numbers: Sequence[Column], categories: Sequence[str], values: Sequence[Column], n_dims: int, signed: bool = True
 ) -> Column:
-    """Summed weights of a row's category tokens as array<double>, added to those of `base` if given.
+    """Numbers times the weights of their features, plus the summed weights of category tokens, as array<double>.
 
-    Only the distinct tokens of each Arrow batch are hashed, so values first
+    `numbers` are doubles without nulls. Only the distinct tokens of each Arrow batch are hashed, so values first
     seen while scoring need no refit and no lookup table grows with the data.
     """
+    by_number = projection_weights(numeric, n_dims, signed) if numeric else np.zeros((0, n_dims))
+
+    def weighted(columns: Sequence[pa.Array]) -> np.ndarray:
+        x = [c.to_numpy(zero_copy_only=False) for c in columns]
+        total = np.zeros((n_dims, len(x[0])))
+        for k in range(n_dims):
+            for i in np.flatnonzero(by_number[:, k]):
+                total[k] += x[i] * by_number[i, k]
+        return np.ascontiguousarray(total.T)
 
     def summed(tokens: Sequence[pa.Array]) -> np.ndarray:
         total = np.zeros((len(tokens[0]), n_dims))
@@ -98,15 +107,13 @@ def category_weights(
 
     @F.arrow_udf("array<double>")
     def weights(first: pa.Array, *rest: pa.Array) -> pa.Array:
-        return list_array(summed([first, *rest]))
-
-    @F.arrow_udf("array<double>")
-    def added(numbers: pa.Array, first: pa.Array, *rest: pa.Array) -> pa.Array:
-        own = numbers.flatten().to_numpy(zero_copy_only=False).reshape(len(numbers), n_dims)
-        return list_array(own + summed([first, *rest]))
+        every = [first, *rest]
+        own, tokens = every[: len(numeric)], every[len(numeric) :]
+        if not tokens:
+            return list_array(weighted(own))
+        return list_array(weighted(own) + summed(tokens) if own else summed(tokens))
 
-    named = [F.when(c.isNotNull(), token(f, c)) for f, c in zip(features, columns)]
-    return weights(*named) if base is None else added(base, *named)
+    return weights(*numbers, *[F.when(c.isNotNull(), token(f, c)) for f, c in zip(categories, values)])
 
 
 def token_weights(column: Column, n_dims: int, signed: bool = True) -> Column:

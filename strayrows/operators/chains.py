@@ -32,6 +32,8 @@ SCORE_DIGITS = 9
 HOT_PARTS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 LEVELS = 8
+#: Dimensions whose ranges are generated expressions; those of more make a method too long for the JVM to compile.
+FEW_DIMS = 16
 
 
 class DetectorModel(Protocol):
@@ -154,7 +156,7 @@ def literal_table(records: list, ddl: str) -> Column:
 
 def ranges(vectors: DataFrame, n_dims: int, x: str = "x") -> list[tuple[float, float]]:
     """(min, max) per dimension of the vector column, in one pass; null and NaN are left out, (0, 0) without values."""
-    if n_dims <= 200:
+    if n_dims <= FEW_DIMS:
         entry = [F.nanvl(F.col(x)[k], F.lit(None).cast("double")) for k in range(n_dims)]
         row = vectors.agg(
             *[F.min(e).alias(f"lo{k}") for k, e in enumerate(entry)],

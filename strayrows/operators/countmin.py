@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayrows.functions.blocks import BATCH_ROWS, joined, list_array, matrices
+from strayrows.functions.blocks import BATCH_ROWS, distinct_matrices, joined, list_array, matrices
 from strayrows.operators import partitioned as T
 from strayrows.operators.cells import binned
-from strayrows.operators.chains import SCORE_DIGITS, ChainPlan, half_ranges, ranges
+from strayrows.operators.chains import SCORE_DIGITS, ChainPlan, half_ranges, literal_table, ranges
 from strayrows.spec import ID
 from strayrows.staging import stage
 
@@ -61,21 +61,26 @@ class SketchShape:
 def buckets(
     x: np.ndarray, plan: ChainPlan, deltas: Sequence[float], shape: SketchShape
 ) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """Per chain and depth, the counter index of each row in each hash row."""
+    """Per chain and depth, the counter index of each row in each hash row, valid until the next is asked for."""
     mult = shape.multipliers(x.shape[0])
     drop = np.uint64(64 - shape.bits)
     n = x.shape[1]
     split = {k for row in plan.dims for k in row}
     gone = {k for k in split if not np.isfinite(x[k]).all()}
-    value = np.empty(n)
+    value, part = np.empty(n), np.empty(n, np.uint64)
+    sums, index = ([np.empty(n, np.uint64) for _ in range(shape.hashes)] for _ in range(2))
+    seen = [i.view(np.int64) for i in index]
     for c in range(plan.n_chains):
         uses: dict[int, int] = {}
         current: dict[int, np.ndarray] = {}
-        sums = [np.zeros(n, dtype=np.uint64) for _ in range(shape.hashes)]
         for d, k in enumerate(plan.dims[c]):
             uses[k] = uses.get(k, 0) + 1
-            np.multiply(x[k], 2.0 ** (uses[k] - 1), out=value)
-            value += plan.shift[c][k] * deltas[k]
+            shift = plan.shift[c][k] * deltas[k]
+            if uses[k] == 1:
+                np.add(x[k], shift, out=value)
+            else:
+                np.multiply(x[k], 2.0 ** (uses[k] - 1), out=value)
+                value += shift
             value /= deltas[k]
             if k in gone:
                 new = binned(value).view(np.uint64)
@@ -84,8 +89,12 @@ def buckets(
             step = new - current[k] if k in current else new
             current[k] = new
             for j in range(shape.hashes):
-                sums[j] += mult[j, k] * step
-            yield c, d, [(s >> drop).view(np.int64) for s in sums]
+                if d == 0:
+                    np.multiply(step, mult[j, k], out=sums[j])
+                else:
+                    sums[j] += np.multiply(step, mult[j, k], out=part)
+                np.right_shift(sums[j], drop, out=index[j])
+            yield c, d, seen
 
 
 @dataclass(frozen=True)
@@ -251,7 +260,7 @@ class CountMinModel:
 
     def depth_scores(self, vectors: DataFrame) -> DataFrame:
         """(row_id, chain, depth, split, v) for every depth."""
-        split = F.array(*[F.array(*[F.lit(k) for k in row]) for row in self.plan.dims])
+        split = literal_table(self.plan.dims, "array<array<int>>")
         depth = self.plan.depth
         return (
             self.depth_arrays(vectors)
@@ -294,6 +303,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     return (x for _, x in matrices(batches))
 
 
+def _weighted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    return ((x, n) for _, x, n in distinct_matrices(batches))
+
+
 def chain_counters(
     vectors: DataFrame, plan: ChainPlan, deltas: Sequence[float], shape: SketchShape, partitions: int | None = None
 ) -> DataFrame:
@@ -311,15 +324,17 @@ def chain_counters(
         first, last = number * step, min((number + 1) * step, plan.n_chains)
         own, table = plan.block(first, last), np.zeros((last - first, size), np.uint32)
 
-        def add(x: np.ndarray) -> None:
+        def add(block: tuple[np.ndarray, np.ndarray | None]) -> None:
+            x, n = block
+            n = None if n is None else n.astype(np.float64)
             for c, d, index in buckets(x, own, deltas, shape):
                 for j, i in enumerate(index):
                     at = (d * shape.hashes + j) * shape.width
-                    table[c, at : at + shape.width] += np.bincount(i, minlength=shape.width).astype(table.dtype)
+                    table[c, at : at + shape.width] += np.bincount(i, n, shape.width).astype(table.dtype)
 
         return range(first, last), table, add
 
-    parts = T.gridded(vectors.select("x"), splits, n_ranges, _blocks, counting, size)
+    parts = T.gridded(vectors.select("x"), splits, n_ranges, _weighted_blocks, counting, size)
     return T.summed(parts, splits, size)
 
 
@@ -378,7 +393,8 @@ class PartitionedModel:
         """(row_id, score): the mean over all chains.
 
         Rows stay where they are: ranges of chains reach them one after the other as a broadcast of at most BLOCK_BYTES, which
-        ends before the next, and a row leaves one sum for each range.
+        ends before the next, and a row leaves one sum for each range. A depth's value log2(1 + count) + depth grows with
+        (1 + count) * 2^depth, so the least product of a chain is found first and one logarithm taken of it.
         """
         plan, deltas, shape, size = self.plan, self.deltas, self.shape, self._chain_size
         spark, step, sums = vectors.sparkSession, chains_at_once(size), None
@@ -388,33 +404,41 @@ class PartitionedModel:
 
             def add(batches, own=own, shared=shared):
                 counts = shared.value
-                for columns, x in matrices(batches):
-                    total = np.zeros(x.shape[1])
+                for columns, x, n in distinct_matrices(batches):
+                    total, value, low = np.zeros(x.shape[1]), np.empty(x.shape[1]), np.empty(x.shape[1])
+                    least, other = (np.empty(x.shape[1], counts.dtype) for _ in range(2))
                     for c, d, index in buckets(x, own, deltas, shape):
                         rows = counts[c, d * shape.hashes : (d + 1) * shape.hashes]
-                        least = rows[0][index[0]]
+                        np.take(rows[0], index[0], out=least, mode="clip")
                         for j in range(1, shape.hashes):
-                            least = np.minimum(least, rows[j][index[j]])
-                        v = np.log2(1.0 + least) + (d + 1)
-                        low = v if d == 0 else np.minimum(low, v)
+                            np.minimum(least, np.take(rows[j], index[j], out=other, mode="clip"), out=least)
+                        np.multiply(least, 2.0 ** (d + 1), out=value)
+                        if d == 0:
+                            value, low = low, value
+                        else:
+                            np.minimum(low, value, out=low)
                         if d == plan.depth - 1:
-                            total += low
+                            total += np.log2(low, out=low)
+                    if n is not None:
+                        total = np.repeat(total, n)
                     yield pa.RecordBatch.from_arrays([columns[0], pa.array(total)], [ID, "s"])
 
             part = stage(vectors.select(ID, "x").mapInArrow(add, f"{ID} bigint, s double"), "chain-sums")
             shared.destroy()
             sums = part if sums is None else sums.unionByName(part)
+        if step >= plan.n_chains:
+            return sums.select(ID, F.round(-F.col("s") / plan.n_chains, SCORE_DIGITS).alias("score"))
         return sums.groupBy(ID).agg(F.round(-F.sum("s") / plan.n_chains, SCORE_DIGITS).alias("score"))
 
     def _counts(self, first: int, own: ChainPlan) -> np.ndarray:
-        """[chain, depth and hash, counter] of the chains from `first` on; their size is fixed by plan and shape."""
+        """1 + count as [chain, depth and hash, counter] of the chains from `first` on; their size is fixed by plan and shape."""
         held = self.packed.where((F.col("unit") >= first) & (F.col("unit") < first + own.n_chains)).select("unit", "at", "cnt").toArrow()
-        counts = np.zeros((own.n_chains, self._chain_size), np.uint32)
+        counts = np.ones((own.n_chains, self._chain_size), np.uint32)
         for unit, at, cnt in zip(*[held.column(c).to_pylist() for c in ("unit", "at", "cnt")]):
             where, n = T.places(at, cnt)
-            if n.max(initial=0) > np.iinfo(np.uint32).max:
+            if n.max(initial=0) >= np.iinfo(np.uint32).max:
                 counts = counts.astype(np.int64)
-            counts[unit - first][where] = n
+            counts[unit - first][where] += n.astype(counts.dtype)
         return counts.reshape(own.n_chains, own.depth * self.shape.hashes, self.shape.width)
 
     def depth_scores(self, vectors: DataFrame) -> DataFrame:
@@ -424,7 +448,7 @@ class PartitionedModel:
             parts = [pa.table({ID: ids, "chain": pa.array(np.full(len(ids), c, np.int32)), "v": list_array(v.T)}) for c, v in values]
             return pa.concat_tables(parts)
 
-        split = F.array(*[F.array(*[F.lit(k) for k in row]) for row in self.plan.dims])
+        split = literal_table(self.plan.dims, "array<array<int>>")
         return (
             self._meet(vectors, emit, f"{ID} bigint, chain int, v array<double>")
             .select(ID, "chain", F.posexplode("v").alias("i", "v"))

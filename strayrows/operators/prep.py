@@ -13,6 +13,10 @@ from strayrows.spec import ID, FeatureSpec, quote
 from strayrows.staging import stage
 
 
+#: Tasks a core for rows that are put in order.
+ORDER_TASKS = 4
+
+
 def force_numeric(df: DataFrame, columns: Sequence[str], strict: bool = True) -> DataFrame:
     """Cast to double; unparsable text fails, or becomes NULL with strict=False."""
     cast = (lambda c: c.cast("double")) if strict else (lambda c: c.try_cast("double"))
@@ -196,6 +200,13 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(ID).limit(n)
 
 
+def alike_adjacent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows in an order of `columns`, so that equal ones follow each other; the key as the last one spreads frequent values."""
+    order = [F.col(quote(c)) for c in (*columns, ID)]
+    tasks = ORDER_TASKS * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+
+
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
     """Rows in a random order fixed by the seed."""
     return df.orderBy(F.xxhash64(F.col(ID), F.lit(seed)), ID)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strayrows.functions.tokens import category_weights, projection_weights
-from strayrows.spec import ID, FeatureSpec, double, quote, split_roles
+from strayrows.functions.tokens import feature_weights, projection_weights
+from strayrows.spec import ID, FeatureSpec, quote, split_roles
 
 
 def plain_vector(spec: FeatureSpec) -> Column:
@@ -20,25 +20,12 @@ def plain_vector(spec: FeatureSpec) -> Column:
 def projected_vector(spec: FeatureSpec, n_dims: int, signed: bool = True) -> Column:
     """array<double> of n_dims projections.
 
-    The numeric part is one generated arithmetic expression per projection; only
-    category tokens pass through Arrow. A missing value contributes nothing.
+    Numbers and category tokens pass through Arrow once and are projected batch by batch: as generated expressions,
+    60 projections are a method too long for the JVM to compile. A missing value contributes nothing.
     """
-    parts = []
-    if spec.numeric:
-        weights = projection_weights(spec.numeric, n_dims, signed)
-        sums = []
-        for k in range(n_dims):
-            terms = [
-                f"coalesce(CAST({quote(f)} AS DOUBLE), 0D) * {double(float(weights[i, k]))}"
-                for i, f in enumerate(spec.numeric)
-                if weights[i, k] != 0.0
-            ]
-            sums.append(" + ".join(terms) if terms else "0D")
-        parts.append(F.expr("array(" + ", ".join(sums) + ")"))
-    if not spec.categories:
-        return parts[0]
-    columns = [F.col(quote(f)).cast("string") for f in spec.categories]
-    return category_weights(spec.categories, columns, n_dims, signed, parts[0] if parts else None)
+    numbers = [F.coalesce(F.col(quote(f)).cast("double"), F.lit(0.0)) for f in spec.numeric]
+    tokens = [F.col(quote(f)).cast("string") for f in spec.categories]
+    return feature_weights(spec.numeric, numbers, spec.categories, tokens, n_dims, signed)
 
 
 def vectorize(

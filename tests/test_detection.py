@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from strayrows.functions import tokens
+from strayrows.functions.blocks import runs
+from strayrows.functions.tokens import projection_weights
 from strayrows.operators import cells as K
 from strayrows.operators import chains as C
 from strayrows.operators import countmin as CM
@@ -310,3 +312,49 @@ def test_top_k_breaks_ties_by_key(spark):
 def test_plan_is_fixed_by_the_seed():
     assert C.ChainPlan.draw(4, 3, 5, 1) == C.ChainPlan.draw(4, 3, 5, 1)
     assert C.ChainPlan.draw(4, 3, 5, 1) != C.ChainPlan.draw(4, 3, 5, 2)
+
+
+def test_equal_rows_that_follow_each_other_are_met_once():
+    rng = np.random.default_rng(4)
+    x, n = rng.normal(size=(5, 40)), rng.integers(1, 9, 40)
+    own, times = runs(np.repeat(x, n, axis=1))
+    assert (own == x).all() and (times == n).all()
+    assert runs(x)[1] is None and runs(np.full((2, 6), np.nan))[1] is None
+    half = x.copy()
+    half[0] = 1.0  # equal in the first dimension only
+    assert runs(half)[1] is None
+
+
+def test_rows_met_once_keep_their_counters_and_scores(spark, monkeypatch):
+    vectors, _ = random_vectors(spark)
+    schema, shape = "row_id bigint, x array<double>", CM.SketchShape(2, 8)
+    copies = [(30 * i + j, [float(v) for v in x]) for i, x in enumerate(vectors) for j in range(30)]
+    near = spark.createDataFrame(copies, schema).coalesce(1)
+    far = near.repartition(5, "row_id")
+    whole = CM.CountMinDetector(3, 10, 6, 3, shape).fit(far)
+    model = CM.CountMinDetector(3, 10, 6, 3, shape, block_bytes=1).fit(near)
+    listed = lambda m: sorted((r["cell"], r["cnt"]) for r in m.cells.collect())
+    assert listed(model) == listed(whole)
+    expected = scores_of(whole.score(far))
+    assert scores_of(model.score(near)) == pytest.approx(expected, abs=2e-9)
+    assert scores_of(model.score(far)) == pytest.approx(expected, abs=2e-9)
+    monkeypatch.setattr(CM, "BLOCK_BYTES", 3 * 6 * 2 * 256 * 4)  # several ranges
+    assert scores_of(model.score(near)) == pytest.approx(expected, abs=2e-9)
+
+
+def test_projections_are_no_generated_expressions(spark):
+    """Sixty sums in one generated method are more than the JVM compiles."""
+    df = spark.createDataFrame([(1, 2.0, None, "a"), (2, float("nan"), 3.0, None)], "row_id bigint, a double, b double, c string")
+    spec = FeatureSpec(("a", "b", "c"), frozenset({"c"}))
+    plans = [vectorize(df, spec, n)._jdf.queryExecution().optimizedPlan().toString() for n in (4, 60)]
+    assert len(plans[0]) + 20 > len(plans[1])
+    w = projection_weights(["a", "b", "c.a"], 60)
+    x = {r["row_id"]: np.array(r["x"]) for r in vectorize(df, spec, 60).collect()}
+    assert (x[1] == 2.0 * w[0] + w[2]).all()
+    assert np.array_equal(x[2], np.where(w[0] != 0, np.nan, 3.0 * w[1]), equal_nan=True)
+
+
+def test_ranges_of_many_dimensions_are_those_of_few(spark):
+    rows = [(0, [1.0, None, float("nan")] * 10), (1, [-2.0, None, 5.0] * 10)]
+    df = spark.createDataFrame(rows, "row_id bigint, x array<double>")
+    assert C.ranges(df, 30) == C.ranges(df, 3) * 10 == [(-2.0, 1.0), (0.0, 0.0), (5.0, 5.0)] * 10
