@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strayrows.functions import planes
 from strayrows.operators import attribute as A
 from strayrows.operators import grouping as G
 from strayrows.operators import metrics as M
@@ -184,6 +185,70 @@ def test_copies_of_a_row_add_no_pairs(spark, monkeypatch):
         assert r["mean_distance"] == (pytest.approx(d[r["row_id"], others].mean(), abs=1e-12) if others else None)
 
 
+def _brute_sums(places, weights):
+    total = np.zeros((len(places), weights.shape[1]))
+    planes.add(total, places, places, weights)
+    return total
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "one line", "few rows high", "far from 0"])
+def test_sums_over_boxes_equal_sums_over_pairs(kind):
+    rng = np.random.default_rng(3)
+    x = rng.random((6000, 2))
+    if kind == "skewed":
+        x = np.exp(6 * rng.normal(size=x.shape))
+    elif kind == "one line":
+        x[:, 1] = 0.25
+    elif kind == "few rows high":
+        x[:, 1] = rng.integers(1, 9, len(x))
+    elif kind == "far from 0":
+        x += 1e6
+    x = np.unique(x, axis=0)
+    weights = rng.integers(0, 4, (len(x), 3)).astype(float)
+    order, boxes = planes.tree(x)
+    found = planes.sums(x[order], weights[order], boxes, [])
+    assert np.allclose(found, _brute_sums(x[order], weights[order]), rtol=1e-11, atol=0)
+
+
+def test_sums_over_boxes_meet_few_pairs(monkeypatch):
+    """Twice the places meet little more than twice the pairs, far fewer than all."""
+    met, add = [], planes.add
+    monkeypatch.setattr(planes, "add", lambda total, a, b, w: (met.append(len(a) * len(b)), add(total, a, b, w)))
+    pairs = []
+    for n in (20_000, 40_000):
+        met.clear()
+        x = np.random.default_rng(2).random((n, 2))
+        order, boxes = planes.tree(x)
+        planes.sums(x[order], np.ones((n, 1)), boxes, [])
+        pairs.append(sum(met))
+    assert pairs[1] < 2.6 * pairs[0] and pairs[1] < 40_000**2 / 3
+
+
+@pytest.mark.parametrize("dims", [1, 2])
+def test_many_places_are_summed_by_regions(spark, monkeypatch, dims):
+    """Several regions of several leaves: every row's means equal those over all pairs, copies counted."""
+    monkeypatch.setattr(G, "MANY_PLACES", 100)
+    monkeypatch.setattr(G, "REGION_ROWS", 300)
+    monkeypatch.setattr(G, "block_sums", None)
+    rng = np.random.default_rng(8)
+    x = np.exp(2 * rng.normal(size=(2500, dims)))
+    x = np.concatenate([x, x[:200]])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id bigint, v array<double>")
+    label = {3: rng.integers(0, 3, len(x)), 2: (np.arange(len(x)) == 7).astype(int)}
+    rows = [(k, i, int(c)) for k, own in label.items() for i, c in enumerate(own)]
+    found = G.cluster_distances(df, spark.createDataFrame(rows, "k int, row_id bigint, cluster_id int")).collect()
+    assert len(found) == len(x) * 5
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for k, own in label.items():
+        sums = np.stack([d[:, own == c].sum(axis=1) for c in range(k)], axis=1)
+        size = np.bincount(own, minlength=k)
+        for r in (r for r in found if r["k"] == k):
+            c = r["other_id"]
+            n = size[c] - (own[r["row_id"]] == c)
+            assert (r["cluster_id"], r["n"]) == (own[r["row_id"]], n)
+            assert r["mean_distance"] == (pytest.approx(sums[r["row_id"], c] / n, rel=1e-11) if n else None)
+
+
 def test_distances_of_near_rows_far_from_the_origin():
     rng = np.random.default_rng(6)
     a = rng.normal(size=(50, 64)) + 1e4
