@@ -5,8 +5,9 @@ rows of `width` counters. Counting is a partial sum per input partition plus one
 small aggregation, scoring reads a broadcast table of bounded size. Estimates never
 fall below the exact counts; a counter holds rows / width foreign rows on average, so
 the width is chosen from the error that is acceptable, never from the number of
-chains. Counters beyond BLOCK_BYTES are packed by chain (`partitioned.py`): counted by parts of the rows and ranges
-of chains, and met by the rows one range after the other. The scores are the same.
+chains. Counters beyond BLOCK_BYTES are packed by chain (`partitioned.py`) and met by the rows one range after the other. Rows that
+take the same bins along a chain are counted and scored once (`paths.py`): a task keeps the distinct paths of its rows for all chains; where these
+are too many, rows are counted by parts and ranges of chains. The scores are the same.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,14 @@ from strayrows.functions.blocks import BATCH_ROWS, distinct_matrices, joined, li
 from strayrows.operators import partitioned as T
 from strayrows.operators.cells import binned
 from strayrows.operators.chains import SCORE_DIGITS, ChainPlan, half_ranges, literal_table, ranges
+from strayrows.operators.paths import Filled, HeldPaths, PathCoder, Paths, distinct
 from strayrows.spec import ID
 from strayrows.staging import stage
 
 BLOCK_BYTES = 256 * 1024 * 1024
 TASKS_PER_CORE = 4
+#: Distinct paths that a counting task holds.
+PATH_BYTES = 192 * 1024 * 1024
 #: Counters that travel as one array.
 PART = 1 << 18
 PACKED = "part int, at binary, cnt binary"
@@ -110,9 +115,12 @@ class CountMinDetector:
     def fit(self, vectors: DataFrame) -> CountMinModel | PartitionedModel:
         """Counters of one broadcast, or partitioned ones beyond `block_bytes`."""
         plan = ChainPlan.draw(self.n_dims, self.n_chains, self.depth, self.seed)
-        deltas = half_ranges(ranges(vectors, self.n_dims))
+        bounds = ranges(vectors, self.n_dims)
+        deltas = half_ranges(bounds)
         if self.shape.table_bytes(plan) > self.block_bytes:
-            packed = chain_counters(vectors, plan, deltas, self.shape, self.fit_partitions)
+            packed = path_counters(vectors, plan, bounds, self.shape, self.fit_partitions)
+            if packed is None:
+                packed = chain_counters(vectors, plan, deltas, self.shape, self.fit_partitions)
             return PartitionedModel(plan, deltas, self.shape, stage(packed, "counters"))
         cells = packed_cells(vectors, plan, deltas, self.shape, self.fit_partitions)
         return CountMinModel(plan, deltas, self.shape, unpacked(stage(cells, "count-min")))
@@ -326,11 +334,17 @@ def chain_counters(
 
         def add(block: tuple[np.ndarray, np.ndarray | None]) -> None:
             x, n = block
-            n = None if n is None else n.astype(np.float64)
-            for c, d, index in buckets(x, own, deltas, shape):
-                for j, i in enumerate(index):
-                    at = (d * shape.hashes + j) * shape.width
-                    table[c, at : at + shape.width] += np.bincount(i, n, shape.width).astype(table.dtype)
+            found = PathCoder.of(x, own, deltas)
+            for c in range(own.n_chains):
+                paths = found.paths(c, x, n)
+                if paths is not None:
+                    count_paths(paths, table[c], shape, x.shape[0])
+                    continue
+                weights = None if n is None else n.astype(np.float64)
+                for _, d, index in buckets(x, own.block(c, c + 1), deltas, shape):
+                    for j, i in enumerate(index):
+                        at = (d * shape.hashes + j) * shape.width
+                        table[c, at : at + shape.width] += np.bincount(i, weights, shape.width).astype(table.dtype)
 
         return range(first, last), table, add
 
@@ -338,6 +352,81 @@ def chain_counters(
     return T.summed(parts, splits, size)
 
 
+def path_counters(
+    vectors: DataFrame, plan: ChainPlan, bounds: Sequence[tuple[float, float]], shape: SketchShape, partitions: int | None = None
+) -> DataFrame | None:
+    """As `chain_counters`, from one pass for all chains, or None where a task would hold too many paths.
+
+    A task keeps the distinct paths of its rows, PATH_BYTES at most; they are counted once more by chain. Rows outside the bounds,
+    null and NaN among them, have no path here.
+    """
+    deltas, (low, high) = half_ranges(bounds), np.array(bounds, float).reshape(-1, 2).T
+    size = plan.depth * shape.hashes * shape.width
+    splits = partitions or vectors.sparkSession.sparkContext.defaultParallelism
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, coder = TaskContext.get().partitionId(), HeldPaths(), PathCoder(plan, deltas, low, high)
+        for x, n in _weighted_blocks(batches):
+            whole = coder.holds(x) and held.nbytes() <= PATH_BYTES
+            for c in range(plan.n_chains if whole else 0):
+                keys = coder.keys(c, x)
+                whole = keys is not None
+                if not whole:
+                    break
+                held.add(c, *distinct(keys, n)[:2])
+            if not whole:
+                yield T.path_row(-1, part, np.empty(0, np.uint64), np.empty(0, np.int64))
+                return
+        for c in sorted(held.parts):
+            yield T.path_row(c, part, *held.of(c))
+
+    def add(group: pa.Table) -> pa.Table:
+        c, total = group.column("unit")[0].as_py(), np.zeros(size, np.int64)
+        coder = PathCoder(plan.block(c, c + 1), deltas, low, high)
+        keys, rows = (np.concatenate(p) for p in zip(*(T.path_of(a, n) for a, n in zip(*[group.column(i).to_pylist() for i in ("at", "cnt")]))))
+        count_paths(coder.decoded(0, *distinct(keys, rows)[:2]), total, shape, len(low))
+        at = np.flatnonzero(total)
+        return pa.Table.from_batches([T._packed(c, 0, at, total[at], size)])
+
+    parts = stage(vectors.select("x").coalesce(splits).mapInArrow(count, T.PACKED), "chain-paths")
+    if parts.where("unit < 0").limit(1).count():
+        return None
+    return parts.groupBy("unit").applyInArrow(add, T.PACKED)
+
+
+def count_paths(paths: Paths, table: np.ndarray, shape: SketchShape, n_dims: int) -> None:
+    """Add the rows of a chain's paths to its counters; rows of one cell are added together."""
+    for d, _, at, index in paths.cells(shape.multipliers(n_dims), np.uint64(64 - shape.bits)):
+        rows = np.add.reduceat(paths.rows, at).astype(table.dtype)
+        for j, i in enumerate(index):
+            own = (d * shape.hashes + j) * shape.width
+            np.add.at(table[own : own + shape.width], i, rows)
+
+
+def path_values(paths: Paths, counts: Filled, shape: SketchShape, n_dims: int) -> np.ndarray:
+    """The least (1 + count) * 2^depth of each path; the rows of counters are by depth and hash."""
+    low = None
+    for d, new, at, index in paths.cells(shape.multipliers(n_dims), np.uint64(64 - shape.bits)):
+        least = counts.at(d * shape.hashes, index[0])
+        for j in range(1, shape.hashes):
+            least = np.minimum(least, counts.at(d * shape.hashes + j, index[j]))
+        value = np.repeat(least * 2.0 ** (d + 1), np.diff(np.append(at, len(new))))
+        low = value if low is None else np.minimum(low, value)
+    return low
+
+
+def row_values(x: np.ndarray, chain: ChainPlan, deltas: Sequence[float], shape: SketchShape, counts: Filled) -> np.ndarray:
+    """As `path_values`, of every row along one chain."""
+    low = None
+    for _, d, index in buckets(x, chain, deltas, shape):
+        least = counts.at(d * shape.hashes, index[0])
+        for j in range(1, shape.hashes):
+            least = np.minimum(least, counts.at(d * shape.hashes + j, index[j]))
+        value = least * 2.0 ** (d + 1)
+        low = value if low is None else np.minimum(low, value)
+    return low
+
+
 def chains_at_once(size: int) -> int:
     """Chains of `size` counters that a task holds together."""
     return max(1, BLOCK_BYTES // (size * 4))
@@ -392,33 +481,26 @@ class PartitionedModel:
     def score(self, vectors: DataFrame) -> DataFrame:
         """(row_id, score): the mean over all chains.
 
-        Rows stay where they are: ranges of chains reach them one after the other as a broadcast of at most BLOCK_BYTES, which
-        ends before the next, and a row leaves one sum for each range. A depth's value log2(1 + count) + depth grows with
-        (1 + count) * 2^depth, so the least product of a chain is found first and one logarithm taken of it.
+        Rows stay where they are: ranges of chains reach them one after the other as a broadcast of at most BLOCK_BYTES of filled
+        counters, which ends before the next, and a row leaves one sum for each range. A depth's value log2(1 + count) + depth grows with
+        (1 + count) * 2^depth, so the least product of a path is found first and one logarithm taken of it.
         """
         plan, deltas, shape, size = self.plan, self.deltas, self.shape, self._chain_size
-        spark, step, sums = vectors.sparkSession, chains_at_once(size), None
-        for first in range(0, plan.n_chains, step):
-            own = plan.block(first, min(first + step, plan.n_chains))
-            shared = spark.sparkContext.broadcast(self._counts(first, own))
+        spark, sums = vectors.sparkSession, None
+        for first, last in self._ranges():
+            own = plan.block(first, last)
+            shared = spark.sparkContext.broadcast(self._counts(first, last))
 
             def add(batches, own=own, shared=shared):
-                counts = shared.value
+                counts, found = shared.value, None
                 for columns, x, n in distinct_matrices(batches):
-                    total, value, low = np.zeros(x.shape[1]), np.empty(x.shape[1]), np.empty(x.shape[1])
-                    least, other = (np.empty(x.shape[1], counts.dtype) for _ in range(2))
-                    for c, d, index in buckets(x, own, deltas, shape):
-                        rows = counts[c, d * shape.hashes : (d + 1) * shape.hashes]
-                        np.take(rows[0], index[0], out=least, mode="clip")
-                        for j in range(1, shape.hashes):
-                            np.minimum(least, np.take(rows[j], index[j], out=other, mode="clip"), out=least)
-                        np.multiply(least, 2.0 ** (d + 1), out=value)
-                        if d == 0:
-                            value, low = low, value
+                    total, found = np.zeros(x.shape[1]), PathCoder.of(x, own, deltas, found)
+                    for c in range(own.n_chains):
+                        paths = found.paths(c, x, ordered=True)
+                        if paths is None:
+                            total += np.log2(row_values(x, own.block(c, c + 1), deltas, shape, counts[c]))
                         else:
-                            np.minimum(low, value, out=low)
-                        if d == plan.depth - 1:
-                            total += np.log2(low, out=low)
+                            total[paths.order] += np.repeat(np.log2(path_values(paths, counts[c], shape, len(x))), paths.rows)
                     if n is not None:
                         total = np.repeat(total, n)
                     yield pa.RecordBatch.from_arrays([columns[0], pa.array(total)], [ID, "s"])
@@ -426,20 +508,30 @@ class PartitionedModel:
             part = stage(vectors.select(ID, "x").mapInArrow(add, f"{ID} bigint, s double"), "chain-sums")
             shared.destroy()
             sums = part if sums is None else sums.unionByName(part)
-        if step >= plan.n_chains:
+        if chains_at_once(size) >= plan.n_chains:
             return sums.select(ID, F.round(-F.col("s") / plan.n_chains, SCORE_DIGITS).alias("score"))
         return sums.groupBy(ID).agg(F.round(-F.sum("s") / plan.n_chains, SCORE_DIGITS).alias("score"))
 
-    def _counts(self, first: int, own: ChainPlan) -> np.ndarray:
-        """1 + count as [chain, depth and hash, counter] of the chains from `first` on; their size is fixed by plan and shape."""
-        held = self.packed.where((F.col("unit") >= first) & (F.col("unit") < first + own.n_chains)).select("unit", "at", "cnt").toArrow()
-        counts = np.ones((own.n_chains, self._chain_size), np.uint32)
-        for unit, at, cnt in zip(*[held.column(c).to_pylist() for c in ("unit", "at", "cnt")]):
-            where, n = T.places(at, cnt)
-            if n.max(initial=0) >= np.iinfo(np.uint32).max:
-                counts = counts.astype(np.int64)
-            counts[unit - first][where] += n.astype(counts.dtype)
-        return counts.reshape(own.n_chains, own.depth * self.shape.hashes, self.shape.width)
+    def _ranges(self) -> list[tuple[int, int]]:
+        """Chains whose filled counters, and a place map for each chain, take BLOCK_BYTES at most together."""
+        every = F.when(F.length("at") == 1, F.lit(self._chain_size)).otherwise(F.length("at") / 4)
+        filled = {r["unit"]: r["n"] for r in self.packed.select("unit", every.alias("n")).collect()}  # one row per chain
+        out, first, held = [], 0, 0
+        for c in range(self.plan.n_chains):
+            own = 4 * int(filled.get(c, 0)) + self._chain_size * 3 // 16 + 8
+            if c > first and held + own > BLOCK_BYTES:
+                out.append((first, c))
+                first, held = c, 0
+            held += own
+        return [*out, (first, self.plan.n_chains)]
+
+    def _counts(self, first: int, last: int) -> list[Filled]:
+        """Filled counters of the chains first..last - 1; no more than their size, which is fixed by plan and shape."""
+        held = self.packed.where((F.col("unit") >= first) & (F.col("unit") < last)).select("unit", "at", "cnt").toArrow()
+        rows = self.plan.depth * self.shape.hashes
+        none = np.empty(0, np.int64)
+        found = {unit: T.places(at, cnt) for unit, at, cnt in zip(*[held.column(c).to_pylist() for c in ("unit", "at", "cnt")])}
+        return [Filled(*(v.astype(np.int64) for v in found.get(c, (none, none))), rows, self.shape.width) for c in range(first, last)]
 
     def depth_scores(self, vectors: DataFrame) -> DataFrame:
         """(row_id, chain, depth, split, v) for every depth."""

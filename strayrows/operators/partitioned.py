@@ -91,6 +91,22 @@ def places(at: bytes, cnt: bytes) -> tuple[np.ndarray, np.ndarray]:
     return where, np.frombuffer(cnt, _TYPES[len(cnt) // max(len(where), 1) or 8])
 
 
+def path_row(unit: int, part: int, keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Keys of paths, bytes of equal weight side by side, and the rows of each."""
+    narrow = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if t == np.int64 or rows.max(initial=0) <= np.iinfo(t).max)
+    wide = keys.dtype.itemsize
+    at = bytes([wide]) + np.ascontiguousarray(keys).view(np.uint8).reshape(-1, wide).T.tobytes()
+    cells = [pa.array([v], t) for v, t in ((unit, pa.int32()), (part, pa.int32()), (at, pa.binary()), (rows.astype(narrow).tobytes(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(cells, names=["unit", "part", "at", "cnt"])
+
+
+def path_of(at: bytes, cnt: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What `path_row` holds."""
+    wide = at[0]
+    keys = np.ascontiguousarray(np.frombuffer(at, np.uint8, offset=1).reshape(wide, -1).T).view(f"<u{wide}").reshape(-1)
+    return keys, np.frombuffer(cnt, _TYPES[len(cnt) // max(len(keys), 1) or 8]).astype(np.int64)
+
+
 def partials(
     rows: DataFrame, blocks: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], counting: Counting, row_bytes: int | None = None
 ) -> DataFrame:

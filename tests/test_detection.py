@@ -13,6 +13,7 @@ from strayrows.operators import cells as K
 from strayrows.operators import chains as C
 from strayrows.operators import countmin as CM
 from strayrows.operators import partitioned as T
+from strayrows.operators import paths as H
 from strayrows.operators.project import projection_table, vectorize
 from strayrows.spec import FeatureSpec
 
@@ -342,6 +343,73 @@ def test_rows_met_once_keep_their_counters_and_scores(spark, monkeypatch):
     assert scores_of(model.score(near)) == pytest.approx(expected, abs=2e-9)
 
 
+@pytest.mark.parametrize("kind", ["spread", "on edges", "constant", "skewed"])
+def test_paths_take_the_bins_of_their_rows(kind):
+    """Counters and values by path are those by row, to the bit; also for values that lie on the edges of bins."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5, 3000))
+    if kind == "on edges":
+        x = np.round(x * 4) / 4
+    elif kind == "constant":
+        x[1:3] = 4.5
+    elif kind == "skewed":
+        x = np.exp(5 * x)
+    deltas = C.half_ranges(list(zip(x.min(axis=1), x.max(axis=1))))
+    plan, shape = C.ChainPlan.draw(5, 12, 9, 4), CM.SketchShape(2, 8)
+    size, coder = 9 * 2 * 256, H.PathCoder.of(x, plan, deltas)
+    for c in range(12):
+        by_row, by_path = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for _, d, index in CM.buckets(x, plan.block(c, c + 1), deltas, shape):
+            for j, i in enumerate(index):
+                by_row[(d * 2 + j) * 256 :][:256] += np.bincount(i, None, 256)
+        paths = coder.paths(c, x, ordered=True)
+        CM.count_paths(paths, by_path, shape, 5)
+        assert (by_row == by_path).all()
+        low = np.full(3000, np.inf)
+        for _, d, index in CM.buckets(x, plan.block(c, c + 1), deltas, shape):
+            least = np.min([by_row[(d * 2 + j) * 256 + i] for j, i in enumerate(index)], axis=0)
+            low = np.minimum(low, (1.0 + least) * 2.0 ** (d + 1))
+        at = np.flatnonzero(by_row)
+        filled, found = H.Filled(at, by_row[at], 18, 256), np.empty(3000)
+        found[paths.order] = np.repeat(CM.path_values(paths, filled, shape, 5), paths.rows)
+        assert (found == low).all()
+        assert (CM.row_values(x, plan.block(c, c + 1), deltas, shape, filled) == low).all()
+
+
+def test_all_chains_are_counted_and_scored_in_one_pass(spark, monkeypatch):
+    """Counters of 300 chains are 3.1 GB if all are kept, those that rows fill a part of one range."""
+    x = np.random.default_rng(5).normal(size=(200, 30))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], VECTORS)
+    staged, stage = [], CM.stage
+    monkeypatch.setattr(CM, "stage", lambda t, tag: (staged.append(tag), stage(t, tag))[1])
+    monkeypatch.setattr(CM, "chain_counters", None)
+    shape = CM.SketchShape(2, 16)
+    scores = scores_of(CM.CountMinDetector(30, 300, 20, 3, shape).fit(df).score(df))
+    assert staged == ["chain-paths", "counters", "chain-sums"] and len(scores) == 200
+    monkeypatch.undo()
+    monkeypatch.setattr(CM, "path_counters", lambda *_: None)
+    assert scores_of(CM.CountMinDetector(30, 300, 20, 3, shape).fit(df).score(df)) == pytest.approx(scores, abs=2e-9)
+
+
+@pytest.mark.parametrize("odd", [None, float("nan"), "many paths"])
+def test_rows_without_a_path_are_counted_and_scored(spark, monkeypatch, odd):
+    """A value that is null or no number, or more paths than a task holds: counters and scores are those of all rows."""
+    vectors, df = random_vectors(spark)
+    shape = CM.SketchShape(2, 8)
+    if odd == "many paths":
+        monkeypatch.setattr(CM, "PATH_BYTES", -1)
+    else:
+        rows = [(i, [odd if i % 40 == k else float(v) for k, v in enumerate(r)]) for i, r in enumerate(vectors)]
+        df = spark.createDataFrame(rows, VECTORS).coalesce(1)
+    cut = CM.CountMinDetector(3, 10, 6, 3, shape, block_bytes=1).fit(df)
+    whole = CM.CountMinDetector(3, 10, 6, 3, shape).fit(df)
+    listed = lambda m: sorted((r["cell"], r["cnt"]) for r in m.cells.collect())
+    assert listed(cut) == listed(whole)
+    assert scores_of(cut.score(df)) == pytest.approx(scores_of(whole.score(df)), abs=2e-9)
+    beyond = spark.createDataFrame([(1, [1e4, -1e4, 3.0]), (2, [float(v) for v in vectors[0]])], VECTORS)  # not among those counted
+    assert scores_of(cut.score(beyond)) == pytest.approx(scores_of(whole.score(beyond)), abs=2e-9)
+
+
 def test_projections_are_no_generated_expressions(spark):
     """Sixty sums in one generated method are more than the JVM compiles."""
     df = spark.createDataFrame([(1, 2.0, None, "a"), (2, float("nan"), 3.0, None)], "row_id bigint, a double, b double, c string")
