@@ -396,7 +396,7 @@ def path_counters(
 
 def count_paths(paths: Paths, table: np.ndarray, shape: SketchShape, n_dims: int) -> None:
     """Add the rows of a chain's paths to its counters; rows of one cell are added together."""
-    for d, _, at, index in paths.cells(shape.multipliers(n_dims), np.uint64(64 - shape.bits)):
+    for d, at, index in paths.cells(shape.multipliers(n_dims), np.uint64(64 - shape.bits)):
         rows = np.add.reduceat(paths.rows, at).astype(table.dtype)
         for j, i in enumerate(index):
             own = (d * shape.hashes + j) * shape.width
@@ -405,13 +405,16 @@ def count_paths(paths: Paths, table: np.ndarray, shape: SketchShape, n_dims: int
 
 def path_values(paths: Paths, counts: Filled, shape: SketchShape, n_dims: int) -> np.ndarray:
     """The least (1 + count) * 2^depth of each path; the rows of counters are by depth and hash."""
-    low = None
-    for d, new, at, index in paths.cells(shape.multipliers(n_dims), np.uint64(64 - shape.bits)):
-        least = counts.at(d * shape.hashes, index[0])
-        for j in range(1, shape.hashes):
-            least = np.minimum(least, counts.at(d * shape.hashes + j, index[j]))
-        value = np.repeat(least * 2.0 ** (d + 1), np.diff(np.append(at, len(new))))
-        low = value if low is None else np.minimum(low, value)
+    cells = list(paths.cells(shape.multipliers(n_dims), np.uint64(64 - shape.bits)))
+    depth = np.repeat(np.arange(len(cells)), [len(at) for _, at, _ in cells])
+    least = None  # the cells of all depths are looked up together
+    for j in range(shape.hashes):
+        own = counts.at(depth * shape.hashes + j, np.concatenate([index[j] for _, _, index in cells]))
+        least = own if least is None else np.minimum(least, own)
+    value, low, first = least * 2.0 ** (depth + 1), None, 0
+    for _, at, _ in cells:
+        own = np.repeat(value[first : first + len(at)], np.diff(np.append(at, len(paths.rows))))
+        low, first = own if low is None else np.minimum(low, own), first + len(at)
     return low
 
 

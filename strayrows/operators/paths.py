@@ -28,8 +28,8 @@ class Paths:
     rows: np.ndarray  # how many each stands for
     order: np.ndarray | None  # the rows, path by path
 
-    def cells(self, mult: np.ndarray, drop: np.uint64) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """Per depth: where a new cell starts, the first path of each cell, and its counter in each hash row."""
+    def cells(self, mult: np.ndarray, drop: np.uint64) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """Per depth: the first path of each cell, and the cell's counter in each hash row."""
         n, current = len(self.rows), {}
         sums = [np.zeros(n, np.uint64) for _ in mult]
         new = np.zeros(n, bool)
@@ -41,7 +41,7 @@ class Paths:
             current[k] = own
             for j, total in enumerate(sums):
                 total += step * mult[j, k]
-            yield d, new, at, [(total[at] >> drop).view(np.int64) for total in sums]
+            yield d, at, [(total[at] >> drop).view(np.int64) for total in sums]
 
 
 def _ordered(x: np.ndarray) -> np.ndarray:
@@ -200,8 +200,8 @@ class Filled:
         narrow = np.uint32 if counts.max(initial=0) < np.iinfo(np.uint32).max else np.int64
         self.counts = np.append(counts[order] + 1, 1).astype(narrow)
 
-    def at(self, row: int, place: np.ndarray) -> np.ndarray:
-        word, bit = place >> 6, (place & 63).astype(np.uint64)
-        own = self.words[row][word]
-        rank = self.before[row][word] + np.bitwise_count(own & ((np.uint64(1) << bit) - np.uint64(1)))
-        return np.where(own >> bit & np.uint64(1), self.counts[rank], self.counts.dtype.type(1))
+    def at(self, row: int | np.ndarray, place: np.ndarray) -> np.ndarray:
+        word = row * self.words.shape[1] + (place >> 6)
+        own, low = self.words.reshape(-1)[word], np.uint64(1) << (place & 63).astype(np.uint64)
+        rank = self.before.reshape(-1)[word] + np.bitwise_count(own & (low - np.uint64(1)))
+        return np.where(own & low, self.counts[rank], self.counts.dtype.type(1))
